@@ -27,15 +27,19 @@ def scaled(v: Column, factor) -> Column:
     return F.transform(v, lambda x: x * factor)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and hand it to `body`: a lambda body is otherwise re-evaluated per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unit(v: Column) -> Column:
     """L2 normalise; an all-zero vector stays zero."""
-    length = norm(v)
-    return F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(v)
+    divide = lambda a, n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+    return let(v, lambda a: let(norm(a), lambda n: divide(a, n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
-    lengths = norm(a) * norm(b)
-    return F.when(lengths > 0, dot(a, b) / lengths).otherwise(F.lit(0.0))
+    return let(norm(a) * norm(b), lambda n: F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0)))
 
 
 def added(a: Column, b: Column) -> Column:
