@@ -227,9 +227,9 @@ def longest_history(spark, d):
 
 COCLICK_SQL = """lng AS (SELECT user_id, arg_max(impression_id, n * 1000000000 - impression_id) AS impression_id
         FROM (SELECT user_id, impression_id, count(*) AS n FROM hist WHERE bucket < 4 GROUP BY 1, 2) GROUP BY 1),
-    rec AS (SELECT h.user_id, h.pos, h.item_id FROM hist h JOIN lng USING (user_id, impression_id)
+    rc15 AS (SELECT h.user_id, h.pos, h.item_id FROM hist h JOIN lng USING (user_id, impression_id)
         QUALIFY row_number() OVER (PARTITION BY h.user_id ORDER BY h.pos DESC) <= 15),
-    prs AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS n FROM rec x JOIN rec y ON x.user_id = y.user_id AND x.pos < y.pos GROUP BY 1, 2),
+    prs AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS n FROM rc15 x JOIN rc15 y ON x.user_id = y.user_id AND x.pos < y.pos GROUP BY 1, 2),
     sym AS (SELECT a, b, sum(n) AS n FROM (SELECT a, b, n FROM prs UNION ALL SELECT b, a, n FROM prs) GROUP BY 1, 2),
     coc AS (SELECT a, b, n / max(n) OVER (PARTITION BY a)::DOUBLE AS weight FROM sym
         QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, b) <= 50)"""
