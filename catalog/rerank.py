@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.retrieval import RANKED_SQL
 from catalog.views import Catalog, sql
 from lapwing.operators import aggregates as A, rerank as H
-from lapwing.plans import recommend as M, tables as T
+from lapwing.plans import recommend as M
 from lapwing.session import stage
 
 CATALOG = Catalog()
@@ -94,8 +94,7 @@ def calibrated_sql(src: str, alpha: float, weight: float, k: str = "10", name: s
 
 def setup(spark, d, n: int = N_CANDIDATES):
     """Top-n baseline candidates of every test list and the re-ranking context; both are reused by all methods."""
-    model = M.fitted(spark, d)
-    h = M.test_history(spark, d)
+    model, h = M.prepared(spark, d)
     cands = stage(M.recommend(h, model, n), "candidates")
     return cands, H.Context(model.items, model.vectors, model.popularity, h)
 
@@ -149,8 +148,8 @@ _method("rerank_baseline", _OUT.format("(SELECT * FROM rec WHERE rank <= 10)"),
 )
 def category_pool(spark, d):
     """All items by popularity within their category."""
-    model = M.fitted(spark, d)
-    ctx = H.Context(model.items, model.vectors, model.popularity, T.history(spark, d))
+    model, h = M.prepared(spark, d)
+    ctx = H.Context(model.items, model.vectors, model.popularity, h)
     return A.rounded(H.category_pool(ctx))
 
 
@@ -192,7 +191,7 @@ _SIMPLE = {
 
 def _simple(method: str, objective: str, params: dict):
     def run(spark, d):
-        model, h = M.fitted(spark, d), M.test_history(spark, d)
+        model, h = M.prepared(spark, d)
         ctx = H.Context(model.items, model.vectors, model.popularity, h)
         pool = H.popular_pool(h.select("impression_id").distinct(), ctx, 10)
         return A.rounded(H.SIMPLE_METHODS[method](pool, ctx, 10, **params))

@@ -142,7 +142,8 @@ def category_affinity(spark, d):
 
 @q("cf_signal", sql("items impr hist", "SELECT impression_id, item_id, round(round(cf, 9), 6) AS cf FROM ecf", EVAL_SQL))
 def cf_signal(spark, d):
-    votes = S.cf_signal(M.test_history(spark, d), M.fitted(spark, d).coclick)
+    model, h = M.prepared(spark, d)
+    votes = S.cf_signal(h, model.coclick)
     return A.rounded(A.rounded(votes, 9))
 
 
@@ -162,13 +163,15 @@ def dynamic_weights(spark, d):
 @q("score_candidates", sql("items impr hist", "SELECT impression_id, item_id, round(score, 6) AS score FROM esc", EVAL_SQL))
 def score_candidates(spark, d):
     """Evaluation mode: hybrid scores of the shown items."""
-    return A.rounded(M.score_candidates(T.test(spark, d), M.test_history(spark, d), M.fitted(spark, d)))
+    model, h = M.prepared(spark, d)
+    return A.rounded(M.score_candidates(T.test(spark, d), h, model))
 
 
 @q("recommend_top10", sql("items impr hist", "SELECT impression_id, item_id, rank, round(score, 6) AS score FROM rec WHERE rank <= 10", RANKED_SQL))
 def recommend_top10(spark, d):
     """Production mode: retrieve, score and rank for every test list."""
-    return A.rounded(M.recommend(M.test_history(spark, d), M.fitted(spark, d), 10))
+    model, h = M.prepared(spark, d)
+    return A.rounded(M.recommend(h, model, 10))
 
 
 @q(
@@ -181,7 +184,8 @@ def recommend_top10(spark, d):
 )
 def recommend_hydrated(spark, d):
     """Recommendations with item metadata, order kept in `rank`."""
-    recs = M.recommend(M.test_history(spark, d), M.fitted(spark, d), 10)
+    model, h = M.prepared(spark, d)
+    recs = M.recommend(h, model, 10)
     return recs.join(T.item_meta(spark, d), "item_id").select("impression_id", "rank", "item_id", "category", "subcategory")
 
 

@@ -82,7 +82,8 @@ def hybrid(
         .join(popularity.select("item_id", "popularity"), "item_id", "left")
         .withColumn("popularity", F.coalesce("popularity", default_popularity(popularity)))
     )
-    if recency is not None:
+    table = WEIGHTS if affinities is not None else WEIGHTS_NO_CATEGORY
+    if recency is not None and any(tier[2] for tier in table.values()):  # a zero weight needs no join
         rows = rows.join(recency, "item_id", "left")
     else:
         rows = rows.withColumn("recency", F.lit(DEFAULT_RECENCY))
@@ -91,7 +92,7 @@ def hybrid(
     else:
         rows = rows.withColumn("affinity", F.lit(0.0))
     rows = rows.join(cf, ["impression_id", "item_id"], "left") if cf is not None else rows.withColumn("cf", F.lit(0.0))
-    weights = dynamic_weights(F.col("n_history"), WEIGHTS if affinities is not None else WEIGHTS_NO_CATEGORY)
+    weights = dynamic_weights(F.col("n_history"), table)
     defaults = {"recency": DEFAULT_RECENCY, "affinity": 0.0, "cf": 0.0}
     signal = {s: F.coalesce(F.col(s), F.lit(defaults[s])) if s in defaults else F.col(s) for s in SIGNALS}
     score = sum((weights[s] * signal[s] for s in SIGNALS), F.lit(0.0))

@@ -69,11 +69,16 @@ def score_candidates(shown: DataFrame, history: DataFrame, model: Model, profile
     return signals(shown.select("impression_id", "item_id"), history, model, table)
 
 
-def fitted(spark, sf_dir) -> Model:
-    """Model of the training buckets of the fixture tables, fitted once and read back."""
-    h = T.history(spark, sf_dir).where(F.col("bucket") < T.TEST_BUCKET)
-    model = fit(T.items(spark, sf_dir), T.train(spark, sf_dir), h)
-    return replace(model, popularity=stage(model.popularity, "popularity"), coclick=stage(model.coclick, "coclick"))
+def prepared(spark, sf_dir) -> tuple[Model, DataFrame]:
+    """Model of the training buckets and histories of the test bucket.
+
+    Histories feed the co-click graph and every user signal, so they are written once; popularity and the
+    co-click graph are read several times as well.
+    """
+    histories = stage(T.history(spark, sf_dir), "history")
+    model = fit(T.items(spark, sf_dir), T.train(spark, sf_dir), histories.where(F.col("bucket") < T.TEST_BUCKET))
+    model = replace(model, popularity=stage(model.popularity, "popularity"), coclick=stage(model.coclick, "coclick"))
+    return model, histories.where(F.col("bucket") == T.TEST_BUCKET)
 
 
 def test_history(spark, sf_dir) -> DataFrame:
