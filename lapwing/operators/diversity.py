@@ -164,11 +164,124 @@ def hhi(counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return counts.groupBy(*(keys or [])).agg((F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("system_hhi"))
 
 
-def system_kl(corpus: DataFrame, rec_counts: DataFrame, smoothing: float = SYSTEM_SMOOTHING) -> DataFrame:
-    """KL(corpus || recommendations) over the corpus categories: corpus has (category, n), rec_counts too."""
-    c_total, r_total = corpus.agg(F.sum("n")).scalar(), rec_counts.agg(F.sum("n")).scalar()
-    size = corpus.agg(F.count(F.lit(1))).scalar()
-    joined = corpus.select("category", F.col("n").alias("_c")).join(rec_counts.select("category", F.col("n").alias("_r")), "category", "left")
-    p = F.col("_c") / c_total
-    q = (F.coalesce("_r", F.lit(0)) + smoothing) / (r_total + smoothing * size)
-    return joined.agg(F.sum(p * F.ln(p / q)).alias("system_kl"))
+def system_kl(corpus: DataFrame, rec_counts: DataFrame, keys: list[str] | None = None, smoothing: float = SYSTEM_SMOOTHING) -> DataFrame:
+    """KL(corpus || recommendations) over the corpus categories; both sides are (category, n), the second per key.
+
+    Categories without a recommendation share one smoothed probability, so their part is the corpus total minus
+    the part of the present ones and no key x category grid is built.
+    """
+    keys = keys or []
+    total, size = corpus.agg(F.sum("n")).scalar(), corpus.agg(F.count(F.lit(1))).scalar()
+    p = corpus.select("category", (F.col("n") / total).alias("_p"))
+    entropy = p.agg(F.sum(F.col("_p") * F.ln("_p"))).scalar()
+    rec_total = rec_counts.groupBy(*keys).agg(F.sum("n").alias("_t")) if keys else rec_counts.agg(F.sum("n").alias("_t"))
+    rows = rec_counts.join(p, "category")
+    parts = rows.groupBy(*keys).agg(
+        F.sum(F.col("_p") * F.ln(F.col("n") + smoothing)).alias("_present"), F.sum("_p").alias("_mass")
+    )
+    parts = parts.join(rec_total, keys) if keys else parts.withColumn("_t", rec_total.scalar())
+    log_q = F.col("_present") + (1 - F.col("_mass")) * F.ln(F.lit(smoothing)) - F.ln(F.col("_t") + smoothing * size)
+    return parts.select(*keys, (entropy - log_q).alias("system_kl"))
+
+
+def population_gini(lists: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
+    """Gini of all recommendations together, categories recommended and mean categories and Gini per list."""
+    from lapwing.operators.aggregates import category_counts
+
+    per_list = category_counts(lists, items, keys)
+    everything = per_list.groupBy("category").agg(F.sum("n").alias("n"))
+    per = gini(per_list, keys, singleton=0.0).agg(F.avg("gini").alias("avg_gini"))
+    spread = per_list.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.avg("c").alias("avg_coverage"))
+    one = everything.agg(F.count(F.lit(1)).alias("unique_categories"))
+    return (
+        one.withColumn("overall_gini", gini(everything, [], singleton=0.0).select("gini").scalar())
+        .withColumn("avg_gini", per.scalar())
+        .withColumn("avg_coverage", spread.scalar())
+    )
+
+
+def minority_coverage(lists: DataFrame, items: DataFrame, keys: list[str], column: str = "category", limit: float = 0.05) -> DataFrame:
+    """Share of the rare values (below `limit` of the corpus) that a list shows; 0 without rare values."""
+    total = items.agg(F.count(F.lit(1))).scalar()
+    rare = items.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") / total < limit).select(column)
+    n_rare = rare.agg(F.count(F.lit(1))).scalar()
+    shown = lists.join(items.select("item_id", column), "item_id").select(*keys, column).distinct()
+    hits = shown.join(rare.withColumn("_rare", F.lit(1)), column, "left").groupBy(*keys).agg(F.count("_rare").alias("_h"))
+    return hits.select(*keys, F.coalesce(F.col("_h") / F.nullif(n_rare, F.lit(0)), F.lit(0.0)).alias("minority_coverage"))
+
+
+def live_metrics(lists: DataFrame, items: DataFrame, keys: list[str], minority: str = "category", vectors: bool = True) -> DataFrame:
+    """Metrics shown with a feed: gini, ild (vectors or categories), coverage, entropy and minority coverage."""
+    from lapwing.operators.aggregates import category_counts
+
+    counts = category_counts(lists, items, keys)
+    base = coverage(share_metrics(counts, keys), n_categories(items))
+    out = base.select(*keys, "coverage", "coverage_str", F.col("entropy_bits").alias("entropy"), F.col("category_ild"))
+    out = out.join(gini(counts, keys), keys).join(minority_coverage(lists, items, keys, minority), keys)
+    if vectors:
+        return out.drop("category_ild").join(ild(lists, items, keys), keys)
+    return out.withColumnRenamed("category_ild", "ild")
+
+
+# fixed values: limits of the good/bad flags
+FLAGS = {"gini": ("<", 0.5), "ild": (">", 0.4), "coverage": (">", 0.25), "entropy": (">", 1.5), "minority_coverage": (">=", 0.4)}
+
+
+def flags(metrics: DataFrame) -> DataFrame:
+    tests = {"<": lambda c, x: c < x, ">": lambda c, x: c > x, ">=": lambda c, x: c >= x}
+    return metrics.select("*", *[tests[op](F.round(c, 9), x).alias(f"{c}_ok") for c, (op, x) in FLAGS.items()])
+
+
+# fixed values: direction of each metric, and the pass limits of a re-ranker
+BETTER = {"avg_gini": "min", "avg_coverage": "max", "avg_ild": "max", "system_hhi": "min", "system_kl": "min"}
+LIMITS = {"avg_gini": ("<", 0.6), "avg_coverage": (">", 0.25), "avg_ild": (">", 0.45), "auc": (">=", 0.55)}
+
+
+def best_methods(results: DataFrame, base: str = "baseline") -> DataFrame:
+    """Best re-ranker per metric, its value, the base value and the reduction in percent of the base."""
+    others = results.where(F.col("method") != base)
+    base_row = results.where(F.col("method") == base)
+    picks = []
+    for metric, direction in BETTER.items():
+        sign = -1 if direction == "min" else 1
+        best = others.select(F.struct((-sign * F.round(metric, 9)).alias("o"), "method", F.col(metric).alias("value")).alias("s"))
+        row = best.agg(F.min("s").alias("s"))
+        picks.append(row.select(F.lit(metric).alias("metric"), F.col("s.method").alias("method"), F.col("s.value").alias("value"), base_row.select(metric).scalar().alias("base")))
+    out = picks[0]
+    for p in picks[1:]:
+        out = out.unionByName(p)
+    change = (F.col("base") - F.col("value")) / F.greatest(F.abs("base"), F.lit(1e-9)) * 100
+    return out.withColumn("reduction_pct", change)
+
+
+def trade_off(results: DataFrame, base: str = "baseline") -> DataFrame:
+    """Gini reduction of the most balanced re-ranker per percent of NDCG lost."""
+    one = results.where(F.col("method") != base).agg(
+        F.min(F.struct(F.round("avg_gini", 9).alias("o"), "method", "avg_gini", "ndcg")).alias("s")
+    )
+    ref = results.where(F.col("method") == base)
+    drop = lambda c: (ref.select(c).scalar() - F.col(f"s.{c}")) / F.greatest(F.abs(ref.select(c).scalar()), F.lit(1e-9)) * 100
+    rows = one.select(F.col("s.method").alias("method"), drop("avg_gini").alias("gini_reduction_pct"), drop("ndcg").alias("ndcg_cost_pct"))
+    return rows.withColumn("trade_off_ratio", F.col("gini_reduction_pct") / F.greatest(F.abs("ndcg_cost_pct"), F.lit(0.01)))
+
+
+def threshold_counts(results: DataFrame, base: str = "baseline") -> DataFrame:
+    """Re-rankers that pass each limit."""
+    tests = {"<": lambda c, x: c < x, ">": lambda c, x: c > x, ">=": lambda c, x: c >= x}
+    one = results.where(F.col("method") != base).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.count_if(tests[op](F.round(m, 9), x)).alias(m) for m, (op, x) in LIMITS.items()]
+    )
+    cells = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("n_pass"), F.col("_n").alias("n_methods")) for m in LIMITS]
+    return one.select(F.inline(F.array(*cells)))
+
+
+def long_form(results: DataFrame, key: str = "method") -> DataFrame:
+    """(method, metric, value) rows of a wide result table."""
+    cells = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in results.columns if c != key]
+    return results.select(key, F.inline(F.array(*cells)))
+
+
+def deltas(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Metric by metric difference of two (metric, value) tables."""
+    o, n = old.select("metric", F.col("value").alias("old")), new.select("metric", F.col("value").alias("new"))
+    return o.join(n, "metric").withColumn("delta", F.col("new") - F.col("old"))
