@@ -236,8 +236,8 @@ def percentiles(spark, d):
 
 
 _LIVE = RANKED_SQL + ",\nlst AS (SELECT impression_id, item_id FROM rec WHERE rank <= 10),\n" + list_sql("lst", "l") + """,
-    rare AS (SELECT subcategory FROM items GROUP BY 1 HAVING count(*) / (SELECT count(*) FROM items)::DOUBLE < 0.05),
-    mc AS (SELECT impression_id, count(DISTINCT r.subcategory) / (SELECT count(*) FROM rare)::DOUBLE AS minority_coverage FROM lst JOIN items USING (item_id) LEFT JOIN rare r USING (subcategory) GROUP BY 1)"""
+    rare AS (SELECT category FROM items GROUP BY 1 HAVING count(*) / (SELECT count(*) FROM items)::DOUBLE < 0.1),
+    mc AS (SELECT impression_id, coalesce(count(DISTINCT r.category) / nullif((SELECT count(*) FROM rare), 0)::DOUBLE, 0) AS minority_coverage FROM lst JOIN items USING (item_id) LEFT JOIN rare r USING (category) GROUP BY 1)"""
 _LIVE_BODY = f"""SELECT impression_id, round(gini, 6) AS gini, round(coalesce(ild, 0), 6) AS ild, round(n_categories / {_NC}::DOUBLE, 6) AS coverage, n_categories || '/' || {_NC} AS coverage_str,
     round(abs(entropy_nats) / ln(2), 6) AS entropy, round(minority_coverage, 6) AS minority_coverage FROM l_g LEFT JOIN l_i USING (impression_id) JOIN mc USING (impression_id)"""
 
@@ -245,12 +245,12 @@ _LIVE_BODY = f"""SELECT impression_id, round(gini, 6) AS gini, round(coalesce(il
 def _live(spark, d):
     model, h = M.prepared(spark, d)
     lists = stage(M.recommend(h, model, 10).select("impression_id", "item_id"), "lists")
-    return J.live_metrics(lists, T.items(spark, d), KEY, "subcategory")
+    return J.live_metrics(lists, T.items(spark, d), KEY, limit=0.1)
 
 
 @q("live_metrics", sql(VIEWS, _LIVE_BODY, _LIVE))
 def live_metrics(spark, d):
-    """Metrics shown with a feed; rare values are subcategories below 5 % of the catalogue."""
+    """Metrics shown with a feed; rare categories are those below 10 % of this even catalogue."""
     return A.rounded(_live(spark, d)).withColumn("entropy", F.abs("entropy"))
 
 

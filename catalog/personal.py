@@ -1,3 +1,413 @@
-from catalog.views import Catalog
+"""Personal weights, sessions, sliders and feeds."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from catalog import rerank as CR
+from catalog.diversity import KEY, METHODS_SQL
+from catalog.retrieval import RANKED_SQL, SEED_SQL, seeds
+from catalog.aggregates import POP_SQL
+from catalog.views import Catalog, sql
+from lapwing.operators import aggregates as A, personal as U, rerank as H
+from lapwing.plans import evaluate as E, recommend as M, tables as T
+from lapwing.session import stage, stage_dir
+from lapwing.sources import sinks
+from lapwing.streaming import state as S
 
 CATALOG = Catalog()
+q = CATALOG.add
+
+
+def feedback(spark, d):
+    """Ratings: purchases, value/100 capped at 1, algorithm by item."""
+    ev = T.events(spark, d).where(F.col("event_type") == "purchase")
+    algorithm = F.when(F.col("item_id") % 3 == 0, "mmr").when(F.col("item_id") % 3 == 1, "calibrated").otherwise("serendipity")
+    return ev.select("user_id", "ts", "event_id", algorithm.alias("algorithm"), F.least(F.lit(1.0), F.col("value") / 100).alias("rating"))
+
+
+def actions(spark, d):
+    """click, skip (error) and dwell (view, value seconds) with the item's category."""
+    kind = F.when(F.col("event_type") == "click", "click").when(F.col("event_type") == "error", "skip").when(F.col("event_type") == "view", "dwell")
+    ev = T.events(spark, d).withColumn("action", kind).where(F.col("action").isNotNull())
+    rows = ev.join(T.item_meta(spark, d).select("item_id", "category"), "item_id", "left")
+    return rows.select("user_id", "ts", "event_id", "action", F.col("value").alias("dwell_time"), "category")
+
+
+_FB = """fb AS (SELECT user_id, CASE WHEN item_id % 3 = 0 THEN 'mmr' WHEN item_id % 3 = 1 THEN 'calibrated' ELSE 'serendipity' END AS a, least(1.0, value / 100) AS r,
+        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS p FROM ev WHERE event_type = 'purchase'),
+    fw AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 0.5::DOUBLE AS l, 0.5::DOUBLE AS al, 0.3::DOUBLE AS b, 0.0::DOUBLE AS c FROM fb
+        UNION ALL SELECT fw.user_id, n + 1,
+        CASE WHEN a = 'mmr' THEN 0.9 * l + 0.1 * CASE WHEN r > 0.7 THEN l WHEN r < 0.3 THEN 1 - l ELSE 0.3 + 0.4 * ('0x' || substr(md5('42|' || fb.user_id || '|' || p), 1, 8))::BIGINT / 4294967296.0::DOUBLE END ELSE l END,
+        CASE WHEN a = 'calibrated' THEN 0.9 * al + 0.1 * CASE WHEN r > 0.7 THEN least(1.0, al + 0.1) WHEN r < 0.3 THEN greatest(0.0, al - 0.1) ELSE al END ELSE al END,
+        CASE WHEN a = 'serendipity' THEN 0.9 * b + 0.1 * CASE WHEN r > 0.7 THEN least(1.0, b + 0.1) WHEN r < 0.3 THEN greatest(0.0, b - 0.1) ELSE b END ELSE b END,
+        least(1.0, c + 0.05) FROM fw JOIN fb ON fb.user_id = fw.user_id AND fb.p = fw.n),
+    fl AS (SELECT user_id, max(n) AS feedback_count, arg_max(l, n) AS "lambda", arg_max(al, n) AS alpha, arg_max(b, n) AS beta, arg_max(c, n) AS confidence FROM fw GROUP BY 1)"""
+
+_PAT = """ac AS (SELECT user_id, CASE event_type WHEN 'click' THEN 'click' WHEN 'error' THEN 'skip' ELSE 'dwell' END AS a, value AS dw, category, ts, event_id,
+        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS p FROM ev LEFT JOIN items USING (item_id) WHERE event_type IN ('click', 'error', 'view')),
+    pw AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 0.0::DOUBLE AS dwell, 0.0::DOUBLE AS skip, 0::BIGINT AS sw, NULL::VARCHAR AS last, false AS clicked FROM ac
+        UNION ALL SELECT pw.user_id, n + 1, CASE WHEN a = 'dwell' THEN (dwell * n + dw) / (n + 1) ELSE dwell END, CASE WHEN a = 'skip' THEN (skip * n + 1) / (n + 1) ELSE skip END,
+        sw + CASE WHEN a = 'click' AND clicked AND last IS DISTINCT FROM category THEN 1 ELSE 0 END, CASE WHEN a = 'click' THEN category ELSE last END, clicked OR a = 'click'
+        FROM pw JOIN ac ON ac.user_id = pw.user_id AND ac.p = pw.n),
+    pl AS (SELECT user_id, max(n) AS total_interactions, arg_max(dwell, n) AS avg_dwell_time, arg_max(skip, n) AS skip_rate, arg_max(sw, n) AS category_switches FROM pw GROUP BY 1),
+    pf AS (SELECT *, CASE WHEN total_interactions > 10 THEN 0.4 * least(1.0, avg_dwell_time / 60) + 0.3 * (1 - skip_rate) + 0.3 * least(1.0, category_switches / total_interactions::DOUBLE * 5) ELSE 0.5 END AS preference FROM pl)"""
+
+
+@q(
+    "tuner_feedback",
+    sql("ev", 'SELECT user_id, round("lambda", 6) AS "lambda", round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(confidence, 6) AS confidence, feedback_count FROM fl', _FB, recursive=True),
+)
+def tuner_feedback(spark, d):
+    """Weights learned from explicit ratings, in order."""
+    return A.rounded(U.feedback_weights(feedback(spark, d)))
+
+
+_P = "user_id, round(avg_dwell_time, 6) AS avg_dwell_time, round(skip_rate, 6) AS skip_rate, category_switches, total_interactions"
+
+
+@q("tuner_patterns", sql("items ev", f"SELECT {_P} FROM pl", _PAT, recursive=True))
+def tuner_patterns(spark, d):
+    """Running dwell mean, skip rate and category switches of every user."""
+    return A.rounded(U.interaction_patterns(actions(spark, d)))
+
+
+@q(
+    "tuner_preference",
+    sql(
+        "items ev",
+        """SELECT user_id, round(preference, 6) AS preference, round(CASE WHEN total_interactions > 10 THEN 1 - preference * 0.6 END, 6) AS lambda,
+        round(CASE WHEN total_interactions > 10 THEN 0.3 + preference * 0.4 END, 6) AS alpha, round(CASE WHEN total_interactions > 10 THEN 0.2 + preference * 0.4 END, 6) AS beta,
+        CASE WHEN total_interactions >= 5 THEN CASE WHEN preference > 0.65 THEN 'Explorer' WHEN preference < 0.35 THEN 'Specialist' ELSE 'Balanced reader' END END AS label FROM pf""",
+        _PAT,
+        recursive=True,
+    ),
+)
+def tuner_preference(spark, d):
+    """Diversity preference, implied weights and reader label."""
+    rows = U.reader_label(U.preference(U.interaction_patterns(actions(spark, d))))
+    return A.rounded(rows.select("user_id", "preference", "lambda", "alpha", "beta", "label"))
+
+
+@q(
+    "user_profiles",
+    sql(
+        "items ev",
+        f"""SELECT {_P}, round(coalesce("lambda", 0.5), 6) AS lambda, round(coalesce(alpha, 0.5), 6) AS alpha, round(coalesce(beta, 0.3), 6) AS beta, round(coalesce(confidence, 0), 6) AS confidence,
+        coalesce(feedback_count, 0) AS feedback_count FROM pl LEFT JOIN fl USING (user_id)""",
+        _PAT + "," + _FB,
+        recursive=True,
+    ),
+)
+def user_profiles(spark, d):
+    """Patterns and weights per user, defaults where a user never rated."""
+    weights = U.feedback_weights(feedback(spark, d))
+    out = sinks.with_defaults(U.interaction_patterns(actions(spark, d)), weights, {**U.DEFAULTS, "feedback_count": 0})
+    return A.rounded(out)
+
+
+@q(
+    "snapshot_defaults",
+    sql(
+        "ev",
+        """SELECT c_custkey AS user_id, round(coalesce("lambda", 0.5), 6) AS lambda, round(coalesce(alpha, 0.5), 6) AS alpha, round(coalesce(beta, 0.3), 6) AS beta,
+        round(coalesce(confidence, 0), 6) AS confidence, coalesce(feedback_count, 0) AS feedback_count FROM customer LEFT JOIN fl ON user_id = c_custkey""",
+        _FB,
+        recursive=True,
+    ),
+)
+def snapshot_defaults(spark, d):
+    """Weights of all customers from the snapshot; unknown users get the defaults."""
+    users = T.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    return A.rounded(sinks.with_defaults(users, U.feedback_weights(feedback(spark, d)), {**U.DEFAULTS, "feedback_count": 0}))
+
+
+_CTX = """cx AS (SELECT event_id, CASE WHEN hour(ts) BETWEEN 6 AND 11 THEN 'morning' WHEN hour(ts) BETWEEN 12 AND 17 THEN 'afternoon' WHEN hour(ts) BETWEEN 18 AND 21 THEN 'evening' ELSE 'night' END AS tod,
+        CASE event_id % 3 WHEN 0 THEN 'mobile' WHEN 1 THEN 'desktop' ELSE 'tablet' END AS dev, item_id % 20 AS sl FROM ev),
+    l1 AS (SELECT *, CASE tod WHEN 'morning' THEN 0.5 * 0.8 WHEN 'evening' THEN least(1, 0.5 * 1.2) ELSE 0.5 END::DOUBLE AS l, CASE tod WHEN 'morning' THEN 0.3 * 1.2 WHEN 'evening' THEN 0.3 * 0.8 ELSE 0.3 END::DOUBLE AS b FROM cx),
+    l2 AS (SELECT * REPLACE (CASE dev WHEN 'mobile' THEN least(1, l * 1.1) WHEN 'desktop' THEN l * 0.95 ELSE l END AS l, CASE dev WHEN 'mobile' THEN b * 0.9 ELSE b END AS b) FROM l1),
+    l3 AS (SELECT * REPLACE (CASE WHEN sl > 10 THEN l * 0.9 ELSE l END AS l, CASE WHEN sl > 10 THEN b * 1.1 ELSE b END AS b) FROM l2)"""
+
+
+@q(
+    "context_weights",
+    sql("ev", "SELECT event_id, tod AS time_of_day, round(l, 6) AS lambda, 0.5::DOUBLE AS alpha, round(b, 6) AS beta FROM l3", _CTX),
+)
+def context_weights(spark, d):
+    """Default weights in the context of every event."""
+    device = F.when(F.col("event_id") % 3 == 0, "mobile").when(F.col("event_id") % 3 == 1, "desktop").otherwise("tablet")
+    rows = T.events(spark, d).select(
+        "event_id",
+        U.time_of_day(F.hour("ts")).alias("time_of_day"),
+        device.alias("device"),
+        (F.col("item_id") % 20).alias("session_length"),
+        *[F.lit(U.DEFAULTS[c]).alias(c) for c in ("lambda", "alpha", "beta")],
+    )
+    return A.rounded(U.contextual(rows).select("event_id", "time_of_day", "lambda", "alpha", "beta"))
+
+
+@q("time_of_day", sql("ev", "SELECT tod AS time_of_day, count(*) AS n FROM cx GROUP BY 1", _CTX))
+def time_of_day(spark, d):
+    return T.events(spark, d).groupBy(U.time_of_day(F.hour("ts")).alias("time_of_day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@q(
+    "session_state",
+    sql("clicks", "SELECT user_id, count(DISTINCT item_id) AS history_size, count(*) AS clicked_count, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_accessed FROM clicks GROUP BY 1"),
+)
+def session_state(spark, d):
+    clicks = T.log(spark, d).where(F.col("label") == 1)
+    return U.session_state(clicks).withColumn("last_accessed", F.date_format("last_accessed", "yyyy-MM-dd HH:mm:ss"))
+
+
+@q(
+    "session_history",
+    sql("clicks", "SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY min(pos)) - 1 AS ord FROM clicks GROUP BY user_id, item_id"),
+)
+def session_history(spark, d):
+    """Items of each session in the order they were first read."""
+    return A.ordered_union(T.clicks(spark, d))
+
+
+@q(
+    "session_ttl",
+    sql(
+        "ev",
+        """SELECT user_id, count(*) AS n_events, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_event
+        FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 24 HOUR THEN 0 ELSE 1 END AS new FROM ev)) GROUP BY user_id, s""",
+    ),
+)
+def session_ttl(spark, d):
+    """Sessions that expire after 24 hours of silence."""
+    out = U.sessions(T.events(spark, d).select("user_id", "ts"))
+    fmt = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return out.select("user_id", "n_events", fmt("session_start"), fmt("last_event"))
+
+
+@q(
+    "session_reset",
+    sql(
+        "ev",
+        """SELECT e.user_id, count(*) AS clicks_since_reset FROM ev e LEFT JOIN (SELECT user_id, arg_max(event_id, (ts, event_id)) AS rid, max(ts) AS rts FROM ev WHERE event_type = 'signup' GROUP BY 1) r USING (user_id)
+        WHERE event_type = 'click' AND (rts IS NULL OR (e.ts, e.event_id) > (rts, rid)) GROUP BY 1""",
+    ),
+)
+def session_reset(spark, d):
+    """Clicks that count after a session's last reset event."""
+    ev = T.events(spark, d).where(F.col("event_type").isin("click", "signup"))
+    rows = U.after_reset(ev, F.col("event_type") == "signup")
+    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("clicks_since_reset"))
+
+
+@q(
+    "recent_history",
+    sql("items clicks", "SELECT c.user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank, c.item_id, i.category FROM clicks c JOIN items i USING (item_id) QUALIFY rank <= 30"),
+)
+def recent_history(spark, d):
+    """Newest 30 clicks of every user with their category."""
+    rows = U.newest_first(T.log(spark, d).where(F.col("label") == 1).select("user_id", "ts", "event_id", "item_id"))
+    return rows.join(T.item_meta(spark, d), "item_id").select("user_id", "rank", "item_id", "category")
+
+
+def slider_rows(spark, d):
+    e, i = F.col("event_id"), F.col("item_id")
+    return T.events(spark, d).select(
+        "event_id",
+        (i / 97.0).alias("main_diversity"),
+        ((e % 7) / 7.0).alias("diversity"),
+        ((e % 11) / 11.0).alias("calibration"),
+        ((e % 13) / 13.0).alias("serendipity"),
+        ((e % 5) / 5.0).alias("fairness"),
+    )
+
+
+_SL = """sl AS (SELECT event_id, item_id / 97.0::DOUBLE AS m, event_id % 7 / 7.0::DOUBLE AS d, event_id % 11 / 11.0::DOUBLE AS c, event_id % 13 / 13.0::DOUBLE AS s, event_id % 5 / 5.0::DOUBLE AS f FROM ev),
+    s2 AS (SELECT *, greatest(0.35, 1 - m * 0.65)::DOUBLE AS r, d + c + s + f AS t FROM sl)"""
+
+
+def _w(x: str) -> str:
+    return f"CASE WHEN m >= 0.05 THEN round((1 - r) * CASE WHEN t > 0 THEN {x} / t ELSE 0.25 END, 4) END"
+
+
+@q(
+    "slider_weights",
+    sql(
+        "ev",
+        f"""SELECT event_id, CASE WHEN m >= 0.05 THEN 'composite' ELSE 'baseline' END AS method, CASE WHEN m >= 0.05 THEN round(r, 4) END AS w_relevance, {_w('d')} AS w_diversity, {_w('c')} AS w_calibration,
+        {_w('s')} AS w_serendipity, {_w('f')} AS w_fairness, CASE WHEN m >= 0.05 THEN round(least(0.9, m * 0.4 + CASE WHEN t > 0 THEN s / t ELSE 0.25 END * 0.5), 4)::DOUBLE END AS explore_weight FROM s2""",
+        _SL,
+    ),
+)
+def slider_weights(spark, d):
+    out = U.slider_weights(slider_rows(spark, d))
+    return out.select("event_id", "method", *[c for c in out.columns if c.startswith("w_")], "explore_weight")
+
+
+@q(
+    "slider_weights_ui",
+    sql(
+        "ev",
+        """SELECT event_id, CASE WHEN m > 0 THEN round(1 - m, 6) END AS w_relevance, CASE WHEN m > 0 THEN round(m * d / CASE WHEN t = 0 THEN 1 ELSE t END, 6) END AS w_diversity,
+        CASE WHEN m > 0 THEN round(m * c / CASE WHEN t = 0 THEN 1 ELSE t END, 6) END AS w_calibration, CASE WHEN m > 0 THEN round(m * s / CASE WHEN t = 0 THEN 1 ELSE t END, 6) END AS w_serendipity,
+        CASE WHEN m > 0 THEN round(m * f / CASE WHEN t = 0 THEN 1 ELSE t END, 6) END AS w_fairness, CASE WHEN m > 0 THEN round(m, 6) END AS explore_weight FROM s2""",
+        _SL,
+    ),
+)
+def slider_weights_ui(spark, d):
+    out = U.slider_weights_ui(slider_rows(spark, d))
+    return A.rounded(out.select("event_id", *[c for c in out.columns if c.startswith("w_")], "explore_weight"))
+
+
+@q(
+    "style_presets",
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 0.9 ELSE 0.5 END::DOUBLE AS main_diversity, CASE doc_id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 0.15 ELSE 0.25 END::DOUBLE AS diversity,
+    CASE doc_id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 0.05 ELSE 0.25 END::DOUBLE AS calibration, CASE doc_id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 0.55 ELSE 0.25 END::DOUBLE AS serendipity,
+    CASE doc_id % 4 WHEN 0 THEN 0.0 ELSE 0.25 END::DOUBLE AS fairness FROM documents""",
+)
+def style_presets(spark, d):
+    """Sliders of the chosen style (one in four rows asks for an unknown style)."""
+    code = F.col("doc_id") % 4
+    style = F.when(code == 0, "accurate").when(code == 1, "explore").when(code == 2, "balanced").otherwise("other")
+    return T.table(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in U.style_sliders(style).items()])
+
+
+@q(
+    "user_directory",
+    sql(
+        "items hist",
+        """SELECT f.user_id, (SELECT count(*) FROM hist h WHERE h.impression_id = f.impression_id) AS history_count, t.category, t.rank FROM f JOIN
+        (SELECT h.impression_id, i.category, row_number() OVER (PARTITION BY h.impression_id ORDER BY count(*) DESC, i.category) AS rank FROM hist h JOIN items i USING (item_id) GROUP BY 1, 2 QUALIFY rank <= 3) t USING (impression_id)""",
+        "f AS (SELECT user_id, min(impression_id) AS impression_id FROM hist GROUP BY 1)",
+    ),
+)
+def user_directory(spark, d):
+    """Users with the length and top categories of their first non-empty history."""
+    h = stage(T.history(spark, d), "history")
+    lengths = A.history_lengths(h)
+    first = lengths.groupBy("user_id").agg(F.min("impression_id").alias("impression_id"), F.min_by("n_history", "impression_id").alias("history_count"))
+    counts = A.category_counts(h.join(first.select("impression_id"), "impression_id", "left_semi"), T.item_meta(spark, d), KEY)
+    top = A.top_categories(counts, KEY)
+    return first.join(top, "impression_id").select("user_id", "history_count", "category", "rank")
+
+
+@q(
+    "resolve_users",
+    sql(
+        "hist",
+        """SELECT c_custkey AS user_id, n IS NULL AS is_new_user, coalesce(n, 0) AS n_history FROM customer LEFT JOIN
+        (SELECT user_id, count(*) AS n FROM hist WHERE bucket = 4 GROUP BY 1) k ON k.user_id = c_custkey""",
+    ),
+)
+def resolve_users(spark, d):
+    """Every customer logs in: known users bring their history, the others start new."""
+    requests = T.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    known = T.history(spark, d, T.TEST_BUCKET).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_history"))
+    return U.resolve_users(requests, known)
+
+
+@q(
+    "compare_feed",
+    sql(
+        "items impr hist",
+        """SELECT method, impression_id, round(gini, 6) AS gini, round(coalesce(ild, 0), 6) AS ild, n_categories, round(avg_relevance, 6) AS avg_relevance FROM l_g LEFT JOIN l_i USING (method, impression_id)
+        JOIN (SELECT method, m.impression_id, avg(p.score) AS avg_relevance FROM mrec m JOIN fe p ON p.impression_id = m.impression_id AND p.item_id = m.item_id GROUP BY 1, 2) USING (method, impression_id)
+        WHERE method IN ('baseline', 'composite')""",
+        METHODS_SQL,
+        recursive=True,
+    ),
+)
+def compare_feed(spark, d):
+    """Baseline and tuned composite feeds of every test user side by side, with metrics."""
+    cands, ctx = CR.setup(spark, d)
+    recs = stage(E.recommendations(cands, ctx, 10, {m: E.PARAMS[m] for m in ("baseline", "composite")}), "recs")
+    rows = E.diversity_rows(recs, ctx.history, T.items(spark, d)).select(*E.BOTH, "gini", "ild", "n_categories")
+    relevance = recs.groupBy(*E.BOTH).agg(F.avg("score").alias("avg_relevance"))
+    return A.rounded(rows.join(relevance, E.BOTH))
+
+
+_SEEDED = RANKED_SQL.replace(POP_SQL, SEED_SQL).replace(
+    "th AS (SELECT * FROM hist WHERE bucket = 4)", "th AS (SELECT user_id AS impression_id, user_id, 0 AS bucket, pos, item_id FROM seed)"
+)
+
+
+@q(
+    "cold_start_feed",
+    sql(
+        "items impr hist",
+        "SELECT impression_id AS user_id, item_id, rank, round(score, 6) AS score FROM g_out",
+        _SEEDED
+        + ",\n"
+        + CR.pool_sql(100)
+        + ",\n"
+        + CR.feature_sql(explore=0.0)
+        + ",\n"
+        + CR.greedy_sql("fe", CR.COMPOSITE.format(r=0.40, d=0.15, c=0.30, s=0.0, f=0.15)),
+        recursive=True,
+    ),
+)
+def cold_start_feed(spark, d):
+    """First feed of new users: topic seeds as history, then the composite with the cold-start preset."""
+    model, _ = M.prepared(spark, d)
+    rows = seeds(spark, d).select(F.col("user_id").alias("impression_id"), "user_id", F.lit(0).cast("bigint").alias("bucket"), "pos", "item_id")
+    h = stage(rows, "seeds")
+    ctx = H.Context(model.items, model.vectors, model.popularity, h)
+    cands = stage(M.recommend(h, model, 100), "candidates")
+    preset = {"w_relevance": 0.40, "w_diversity": 0.15, "w_calibration": 0.30, "w_serendipity": 0.0, "w_fairness": 0.15, "explore_weight": 0.0}
+    return A.rounded(H.rerank("composite", cands, ctx, 10, **preset)).withColumnRenamed("impression_id", "user_id")
+
+
+# --------------------------------------------------------------------------- streaming twins
+
+
+def _stream(spark, d):
+    """The events table as a file stream."""
+    schema = T.table(spark, d, "events").schema
+    ev = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
+    return ev.select(
+        "event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").cast("bigint").alias("item_id")
+    )
+
+
+def _run(spark, stream, mode: str = "update") -> str:
+    folder = f"{stage_dir(spark)}/lapwing/stream-{uuid.uuid4().hex}"
+    S.use_rocksdb(spark)
+    S.run_to_table(stream, f"{folder}/rows", f"{folder}/checkpoint", mode)
+    return f"{folder}/rows"
+
+
+@q("stream_patterns", sql("items ev", f"SELECT {_P} FROM pl", _PAT, recursive=True))
+def stream_patterns(spark, d):
+    """Interaction patterns kept as streaming state; equals the batch result."""
+    ev = _stream(spark, d)
+    kind = F.when(F.col("event_type") == "click", "click").when(F.col("event_type") == "error", "skip").when(F.col("event_type") == "view", "dwell")
+    rows = ev.withColumn("action", kind).where(F.col("action").isNotNull()).join(T.item_meta(spark, d).select("item_id", "category"), "item_id", "left")
+    stream = S.pattern_stream(rows.select("user_id", "ts", "event_id", "action", F.col("value").alias("dwell_time"), "category"))
+    return A.rounded(S.latest(spark, _run(spark, stream)))
+
+
+@q(
+    "stream_feedback",
+    sql("ev", 'SELECT user_id, round("lambda", 6) AS "lambda", round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(confidence, 6) AS confidence, feedback_count FROM fl', _FB, recursive=True),
+)
+def stream_feedback(spark, d):
+    """Feedback weights kept as streaming state; equals the batch result."""
+    ev = _stream(spark, d).where(F.col("event_type") == "purchase")
+    algorithm = F.when(F.col("item_id") % 3 == 0, "mmr").when(F.col("item_id") % 3 == 1, "calibrated").otherwise("serendipity")
+    rows = ev.select("user_id", "ts", "event_id", algorithm.alias("algorithm"), F.least(F.lit(1.0), F.col("value") / 100).alias("rating"))
+    return A.rounded(S.latest(spark, _run(spark, S.feedback_stream(rows))))
+
+
+@q("stream_sessions")
+def stream_sessions(spark, d):
+    """Session state with resets (signup events) and 24 h expiry; rows-only, as expiry follows the watermark."""
+    ev = _stream(spark, d).where(F.col("event_type").isin("click", "signup"))
+    rows = ev.select("user_id", "ts", "event_id", "item_id", F.when(F.col("event_type") == "click", "click").otherwise("reset").alias("action"))
+    return S.latest(spark, _run(spark, S.session_stream(rows)))
+
+
+@q("stream_session_windows")
+def stream_session_windows(spark, d):
+    """Closed 24 h sessions in append mode; the last open sessions stay behind the watermark."""
+    return spark.read.parquet(_run(spark, S.session_window_stream(_stream(spark, d).select("user_id", "ts")), "append")).drop("batch")

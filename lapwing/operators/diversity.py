@@ -210,14 +210,14 @@ def minority_coverage(lists: DataFrame, items: DataFrame, keys: list[str], colum
     return hits.select(*keys, F.coalesce(F.col("_h") / F.nullif(n_rare, F.lit(0)), F.lit(0.0)).alias("minority_coverage"))
 
 
-def live_metrics(lists: DataFrame, items: DataFrame, keys: list[str], minority: str = "category", vectors: bool = True) -> DataFrame:
+def live_metrics(lists: DataFrame, items: DataFrame, keys: list[str], minority: str = "category", limit: float = 0.05, vectors: bool = True) -> DataFrame:
     """Metrics shown with a feed: gini, ild (vectors or categories), coverage, entropy and minority coverage."""
     from lapwing.operators.aggregates import category_counts
 
     counts = category_counts(lists, items, keys)
     base = coverage(share_metrics(counts, keys), n_categories(items))
     out = base.select(*keys, "coverage", "coverage_str", F.col("entropy_bits").alias("entropy"), F.col("category_ild"))
-    out = out.join(gini(counts, keys), keys).join(minority_coverage(lists, items, keys, minority), keys)
+    out = out.join(gini(counts, keys), keys).join(minority_coverage(lists, items, keys, minority, limit), keys)
     if vectors:
         return out.drop("category_ild").join(ild(lists, items, keys), keys)
     return out.withColumnRenamed("category_ild", "ild")
