@@ -399,15 +399,39 @@ def stream_feedback(spark, d):
     return A.rounded(S.latest(spark, _run(spark, S.feedback_stream(rows))))
 
 
-@q("stream_sessions")
+@q(
+    "stream_sessions",
+    sql(
+        "ev",
+        """SELECT f.user_id, (SELECT count(DISTINCT item_id) FROM c WHERE c.user_id = f.user_id) AS history_size, (SELECT count(*) FROM c WHERE c.user_id = f.user_id) AS clicked_count,
+        strftime(f.last, '%Y-%m-%d %H:%M:%S') AS last_accessed, f.last + INTERVAL 24 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM e) AS expired FROM f""",
+        """e AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 24 HOUR THEN 1 ELSE 0 END AS new
+            FROM ev WHERE event_type IN ('click', 'signup'))),
+        f AS (SELECT user_id, max(s) AS s, max(ts) AS last FROM e GROUP BY 1),
+        g AS (SELECT e.* FROM e JOIN f USING (user_id, s)),
+        r AS (SELECT user_id, max(ts) AS rts, arg_max(event_id, (ts, event_id)) AS rid FROM g WHERE event_type = 'signup' GROUP BY 1),
+        c AS (SELECT g.* FROM g LEFT JOIN r USING (user_id) WHERE event_type = 'click' AND (rts IS NULL OR (ts, event_id) > (rts, rid)))""",
+    ),
+)
 def stream_sessions(spark, d):
-    """Session state with resets (signup events) and 24 h expiry; rows-only, as expiry follows the watermark."""
+    """Session state with resets (signup events) and 24 h expiry against the watermark."""
     ev = _stream(spark, d).where(F.col("event_type").isin("click", "signup"))
     rows = ev.select("user_id", "ts", "event_id", "item_id", F.when(F.col("event_type") == "click", "click").otherwise("reset").alias("action"))
-    return S.latest(spark, _run(spark, S.session_stream(rows)))
+    out = S.latest(spark, _run(spark, S.session_stream(rows)))
+    return out.withColumn("last_accessed", F.date_format("last_accessed", "yyyy-MM-dd HH:mm:ss"))
 
 
-@q("stream_session_windows")
+@q(
+    "stream_session_windows",
+    sql(
+        "ev",
+        """SELECT user_id, count(*) AS n_events, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_event
+        FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 24 HOUR THEN 0 ELSE 1 END AS new FROM ev))
+        GROUP BY user_id, s HAVING max(ts) + INTERVAL 24 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ev)""",
+    ),
+)
 def stream_session_windows(spark, d):
     """Closed 24 h sessions in append mode; the last open sessions stay behind the watermark."""
-    return spark.read.parquet(_run(spark, S.session_window_stream(_stream(spark, d).select("user_id", "ts")), "append")).drop("batch")
+    out = spark.read.parquet(_run(spark, S.session_window_stream(_stream(spark, d).select("user_id", "ts")), "append"))
+    fmt = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return out.select("user_id", "n_events", fmt("session_start"), fmt("last_event"))

@@ -106,12 +106,16 @@ class SessionProcessor(StatefulProcessor):
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.items = handle.getMapState("items", "item_id long", "ord long, seed boolean")
         self.meta = handle.getValueState("meta", "clicked long, size long, last timestamp")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         clicked, size, last = self.meta.get() if self.meta.exists() else (0, 0, None)
         for ts, action, item in _in_order(rows)[["ts", "action", "item_id"]].itertuples(index=False):
+            if last is not None and ts - pd.Timestamp(last) > pd.Timedelta(milliseconds=DAY_MS):
+                self.items.clear()  # the gap lies inside one micro-batch, so no timer could fire
+                clicked, size = 0, 0
             if action == "reset":
                 for (read,), (_, seed) in list(self.items.iterator()):
                     if not seed:
