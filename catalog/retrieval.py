@@ -89,9 +89,9 @@ def knn_profile(spark, d):
     """20 nearest unseen items of every attention profile."""
     h, vec = M.test_history(spark, d), T.item_vectors(spark, d)
     att = PR.attention_profile(h, vec)
-    queries = att.select(F.col("impression_id").alias("query_id"), F.col("profile").alias("vec"), F.lit(20).alias("k"))
+    queries = att.select(F.col("impression_id").alias("query_id"), F.lit(0).alias("kind"), F.col("profile").alias("vec"), F.lit(20).alias("k"))
     seen = h.select(F.col("impression_id").alias("query_id"), "item_id")
-    return A.rounded(R.nearest(queries, vec, 20, seen).withColumnRenamed("query_id", "impression_id"))
+    return A.rounded(R.nearest(queries, vec, 20, seen).drop("kind").withColumnRenamed("query_id", "impression_id"))
 
 
 @q(

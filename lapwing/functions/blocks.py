@@ -23,6 +23,13 @@ def packed(df: DataFrame, keys: list[str], columns: list[str], name: str) -> Dat
     return df.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias(name))
 
 
+def packed_vectors(df: DataFrame, vectors: DataFrame, keys: list[str], columns: list[str], name: str) -> DataFrame:
+    """Pack rows with their vectors. Rows move to their list by id first; while the vector table is broadcast,
+    vectors join in place and never cross the network."""
+    rows = df.repartition(*[F.col(k) for k in keys]).join(vectors.withColumnRenamed("embedding", "vec"), "item_id")
+    return packed(rows, keys, columns, name)
+
+
 def item_blocks(items: DataFrame, n_blocks: int, vec: str = "embedding") -> DataFrame:
     """Items packed into blocks by id hash: (block, items)."""
     rows = items.select("item_id", F.col(vec).alias("vec"), F.pmod(F.hash("item_id"), F.lit(n_blocks)).alias("block"))
@@ -40,7 +47,7 @@ def vector_block(scalar: pa.ListScalar, field: str = "vec") -> np.ndarray:
 
 
 def pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (query_id, k, fetch, vec) of a batch to rows of one packed list each."""
+    """Rows (query_id, kind, k, fetch, vec) of a batch to rows of one packed list each."""
     for batch in batches:
         for start in range(0, batch.num_rows, BLOCK_QUERIES):
             part = batch.slice(start, BLOCK_QUERIES)
@@ -58,8 +65,8 @@ def best_in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             ordered = np.sort(scores, axis=1)
             edge = ordered[np.arange(len(fetch)), scores.shape[1] - fetch]
             q, i = np.nonzero(scores >= edge[:, None] - 1e-9)
-            columns = [struct_block(queries, "query_id")[q], struct_block(queries, "k")[q], struct_block(items, "item_id")[i], scores[q, i]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "k", "item_id", "score"])
+            columns = [*(struct_block(queries, f)[q] for f in ("query_id", "kind", "k")), struct_block(items, "item_id")[i], scores[q, i]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "kind", "k", "item_id", "score"])
 
 
 def best_match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lapwing.functions import vectors as V
-from lapwing.functions.blocks import packed, struct_block, vector_block
+from lapwing.functions.blocks import packed_vectors, struct_block, vector_block
 from lapwing.functions.ranking import by_score, positions, top_k
 from lapwing.operators.aggregates import category_counts, shares
 from lapwing.operators.profiles import uniform_profile
@@ -292,8 +292,7 @@ def vector_greedy(pool: DataFrame, ctx: Context, k: int | None, objective, explo
         )
     )
     fields = ["item_id", "score", "popularity", "target", "scarcity", "cat", "sub", "vec"]
-    with_vec = rows.join(ctx.vectors.withColumnRenamed("embedding", "vec"), "item_id")
-    lists = packed(with_vec, [KEY, "n_categories"], fields, "cands").withColumn("cands", F.sort_array("cands"))
+    lists = packed_vectors(rows, ctx.vectors, [KEY, "n_categories"], fields, "cands").withColumn("cands", F.sort_array("cands"))
     centroid = uniform_profile(ctx.history, ctx.vectors, normalise=False).withColumnRenamed("profile", "centroid")
     lists = lists.join(centroid, KEY, "left").select(
         KEY, "cands", "centroid", F.col("n_categories").cast("double"), ctx.n_subcategories().cast("double").alias("n_subcategories")

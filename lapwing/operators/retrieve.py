@@ -17,28 +17,31 @@ LONG_HISTORY = 5
 
 
 def nearest(queries: DataFrame, items: DataFrame, k_max: int, excluded: DataFrame | None = None) -> DataFrame:
-    """Exact top-k by inner product: queries (query_id, vec, k), items (item_id, embedding).
+    """Exact top-k by inner product: queries (query_id, kind, vec, k), items (item_id, embedding).
 
     Queries and items are packed into blocks; every pair of blocks is one matrix product that forwards only
     the k best items per query (plus as many as the query excludes), so the full score matrix never exists.
-    Item blocks are broadcast while Catalyst or AQE finds them small, else joined by block id.
+    Item blocks are broadcast while Catalyst or AQE finds them small, else joined by block id. Hits are placed
+    by query once; exclusion and the final cut happen there.
     """
     n_blocks = max(1, ceil(items.count() / blocks.BLOCK_ITEMS))
     fetch = F.col("k")
     if excluded is not None:
-        sizes = excluded.distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("_x"))
+        excluded = excluded.repartition("query_id").distinct()
+        sizes = excluded.groupBy("query_id").agg(F.count(F.lit(1)).alias("_x"))
         queries = queries.join(sizes, "query_id", "left")
         fetch = fetch + F.coalesce("_x", F.lit(0))
-    q = queries.select(F.col("query_id").cast("bigint"), F.col("k").cast("bigint"), fetch.cast("bigint").alias("fetch"), "vec")
-    packed = q.mapInArrow(
-        blocks.pack_queries, "queries array<struct<query_id:bigint,k:bigint,fetch:bigint,vec:array<double>>>"
+    whole = [F.col(c).cast("bigint") for c in ("query_id", "kind", "k")]
+    packed = queries.select(*whole, fetch.cast("bigint").alias("fetch"), "vec").mapInArrow(
+        blocks.pack_queries, "queries array<struct<query_id:bigint,kind:bigint,k:bigint,fetch:bigint,vec:array<double>>>"
     )
     every = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     pairs = every.join(blocks.item_blocks(items, n_blocks), "block").select("queries", "items")
-    found = pairs.mapInArrow(blocks.best_in_block, "query_id bigint, k bigint, item_id bigint, score double")
+    found = pairs.mapInArrow(blocks.best_in_block, "query_id bigint, kind bigint, k bigint, item_id bigint, score double")
+    found = found.repartition("query_id")
     if excluded is not None:
-        found = found.join(excluded.distinct(), ["query_id", "item_id"], "left_anti")
-    ranked = top_k(found, ["query_id"], by_score(), k_max)
+        found = found.join(excluded, ["query_id", "item_id"], "left_anti")
+    ranked = top_k(found, ["query_id", "kind"], by_score(), k_max)
     return ranked.where(F.col("rank") <= F.col("k")).drop("k")
 
 
@@ -65,7 +68,7 @@ def profile_queries(profiles: DataFrame, pool: int = POOL) -> DataFrame:
     kinds = [(F.col("attention"), pool), (F.col("uniform"), pool // 2), (recent, pool // 3)]
     queries = F.array(*[
         F.struct(
-            (F.col("impression_id") * 4 + kind).alias("query_id"), vec.alias("vec"), F.lit(k).cast("bigint").alias("k")
+            F.col("impression_id").alias("query_id"), F.lit(kind).alias("kind"), vec.alias("vec"), F.lit(k).cast("bigint").alias("k")
         )
         for kind, (vec, k) in enumerate(kinds)
     ])
@@ -74,18 +77,16 @@ def profile_queries(profiles: DataFrame, pool: int = POOL) -> DataFrame:
 
 def candidate_pool(queries: DataFrame, items: DataFrame, seen: DataFrame, pool: int = POOL) -> DataFrame:
     """Union of the three neighbour lists of a user without the items in the history: (impression_id, item_id)."""
-    kinds = F.explode(F.sequence(F.lit(0), F.lit(2)))
-    excluded = seen.select("impression_id", "item_id").distinct().withColumn("_kind", kinds)
-    excluded = excluded.select((F.col("impression_id") * 4 + F.col("_kind")).alias("query_id"), "item_id")
+    excluded = seen.select(F.col("impression_id").alias("query_id"), "item_id")
     found = nearest(queries, items, pool, excluded)
-    return found.select(F.floor(F.col("query_id") / 4).cast("bigint").alias("impression_id"), "item_id").distinct()
+    return found.select(F.col("query_id").alias("impression_id"), "item_id").distinct()
 
 
 def item_neighbours(items: DataFrame, k: int) -> DataFrame:
     """k nearest other items of every item."""
-    q = items.select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vec"), F.lit(k).cast("bigint").alias("k"))
+    q = items.select(F.col("item_id").alias("query_id"), F.lit(0).alias("kind"), F.col("embedding").alias("vec"), F.lit(k).alias("k"))
     same = items.select(F.col("item_id").alias("query_id"), "item_id")
-    return nearest(q, items, k, same)
+    return nearest(q, items, k, same).drop("kind")
 
 
 def combined_query(profiles: DataFrame, weights=(0.45, 0.20, 0.15)) -> DataFrame:

@@ -30,21 +30,23 @@ def dynamic_weights(n_history: Column, table: dict = WEIGHTS) -> dict[str, Colum
     return {name: pick(i) for i, name in enumerate(SIGNALS)}
 
 
-def content_scores(candidates: DataFrame, queries: DataFrame, seen: DataFrame, vectors: DataFrame) -> DataFrame:
+def content_scores(candidates: DataFrame, queries: DataFrame, seen: DataFrame, vectors: DataFrame, bounded: bool = False) -> DataFrame:
     """Weighted profile similarity plus 0.2 * best match with a history item, min-max scaled per list.
 
-    Candidates and history are packed in bounded pieces per list; vectors join after the rows are placed by
-    list. Each pair of pieces is one small matrix product, and the best match is a max over pieces.
+    Candidates and history are packed in bounded pieces per list (`bounded` says that the lists are short by
+    construction). Each pair of pieces is one small matrix product, and the best match is a max over pieces.
     """
-    cands = blocks.in_chunks(candidates.select("impression_id", "item_id"), "impression_id").join(vectors, "item_id")
-    cands = blocks.packed(cands.withColumnRenamed("embedding", "vec"), ["impression_id", "chunk"], ["item_id", "vec"], "cands")
-    past = blocks.in_chunks(seen.select("impression_id", "item_id").distinct(), "impression_id").join(vectors, "item_id")
-    past = blocks.packed(past.withColumnRenamed("embedding", "vec"), ["impression_id", "chunk"], ["vec"], "seen")
+    c = candidates.select("impression_id", "item_id")
+    c = c.withColumn("chunk", F.lit(0)) if bounded else blocks.in_chunks(c, "impression_id")
+    cands = blocks.packed_vectors(c, vectors, ["impression_id", "chunk"], ["item_id", "vec"], "cands")
+    h = seen.select("impression_id", "item_id", F.floor(F.col("pos") / blocks.BLOCK_LIST).alias("chunk"))
+    past = blocks.packed_vectors(h, vectors, ["impression_id", "chunk"], ["vec"], "seen")
     pairs = cands.join(queries, "impression_id").join(past.drop("chunk"), "impression_id", "left")
     parts = pairs.select("impression_id", "query", "cands", "seen").mapInArrow(
         blocks.best_match, "impression_id bigint, item_id bigint, base double, match double"
     )
-    raw = parts.groupBy("impression_id", "item_id").agg((F.max("base") + MATCH_WEIGHT * F.max("match")).alias("raw"))
+    placed = parts.repartition("impression_id")  # one exchange serves the match, the scaling and the signal joins
+    raw = placed.groupBy("impression_id", "item_id").agg((F.max("base") + MATCH_WEIGHT * F.max("match")).alias("raw"))
     return min_max(raw, ["impression_id"], "raw", "content").drop("raw")
 
 

@@ -40,8 +40,8 @@ def profiles(history: DataFrame, vectors: DataFrame) -> DataFrame:
     return out.join(rec.withColumnRenamed("profile", "recent"), "impression_id", "left")
 
 
-def signals(candidates: DataFrame, history: DataFrame, model: Model, profile_table: DataFrame) -> DataFrame:
-    content = S.content_scores(candidates, R.combined_query(profile_table), history, model.vectors)
+def signals(candidates: DataFrame, history: DataFrame, model: Model, profile_table: DataFrame, bounded: bool = False) -> DataFrame:
+    content = S.content_scores(candidates, R.combined_query(profile_table), history, model.vectors, bounded)
     return S.hybrid(
         content,
         profile_table,
@@ -60,7 +60,7 @@ def recommend(history: DataFrame, model: Model, k: int, profile_table: DataFrame
     """
     table = profile_table if profile_table is not None else stage(profiles(history, model.vectors), "profiles")
     pool = stage(R.candidate_pool(R.profile_queries(table), model.vectors, history), "pool")
-    return S.best(signals(pool, history, model, table), k)
+    return S.best(signals(pool, history, model, table, bounded=True), k)
 
 
 def score_candidates(shown: DataFrame, history: DataFrame, model: Model, profile_table: DataFrame | None = None) -> DataFrame:

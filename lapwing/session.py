@@ -17,6 +17,8 @@ SETTINGS = {
     # sides below this size (estimated, or measured by AQE) are broadcast; larger ones shuffle
     "spark.sql.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows placed by list id stay there for joins on (list, item) and (list, category)
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # vector means keep one buffer per list; stay on the hash path for usual task sizes
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
 }
@@ -36,6 +38,15 @@ def get_session(app: str = "lapwing", master: str | None = None, shuffle_partiti
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings to a session made elsewhere; a local session gets one shuffle partition per core."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    if spark.sparkContext.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    return spark
+
+
 def stage_dir(spark: SparkSession) -> str:
     """Shared folder for staged tables: the cluster's spark.checkpoint.dir, or a temp folder in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
