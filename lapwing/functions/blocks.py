@@ -11,6 +11,13 @@ from pyspark.sql import DataFrame, functions as F
 BLOCK_ITEMS = 4096
 BLOCK_QUERIES = 512
 BLOCK_LIST = 512
+BROADCAST_BYTES = 512 * 1024 * 1024
+
+
+def sized(vectors: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Measure a vector table and mark it for broadcast if its values fit the limit; larger tables join by shuffle."""
+    n, dim = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    return F.broadcast(vectors) if n * (dim + 4) * 8 <= limit else vectors
 
 
 def in_chunks(df: DataFrame, key: str, size: int = BLOCK_LIST, item: str = "item_id") -> DataFrame:

@@ -288,14 +288,17 @@ def vector_greedy(pool: DataFrame, ctx: Context, k: int | None, objective, explo
             F.coalesce(scarcity, F.lit(0.0)).alias("scarcity"),
             F.xxhash64("category").alias("cat"),
             F.xxhash64(fairness).alias("sub"),
-            "n_categories",
         )
     )
     fields = ["item_id", "score", "popularity", "target", "scarcity", "cat", "sub", "vec"]
-    lists = packed_vectors(rows, ctx.vectors, [KEY, "n_categories"], fields, "cands").withColumn("cands", F.sort_array("cands"))
+    lists = packed_vectors(rows, ctx.vectors, [KEY], fields, "cands").withColumn("cands", F.sort_array("cands"))
     centroid = uniform_profile(ctx.history, ctx.vectors, normalise=False).withColumnRenamed("profile", "centroid")
     lists = lists.join(centroid, KEY, "left").select(
-        KEY, "cands", "centroid", F.col("n_categories").cast("double"), ctx.n_subcategories().cast("double").alias("n_subcategories")
+        KEY,
+        "cands",
+        "centroid",
+        ctx.n_categories().cast("double").alias("n_categories"),
+        ctx.n_subcategories().cast("double").alias("n_subcategories"),
     )
     return lists.mapInArrow(greedy_task(k, objective), f"{KEY} bigint, rank bigint, item_id bigint, score double")
 

@@ -37,8 +37,9 @@ def content_scores(candidates: DataFrame, queries: DataFrame, seen: DataFrame, v
     construction). Each pair of pieces is one small matrix product, and the best match is a max over pieces.
     """
     c = candidates.select("impression_id", "item_id")
-    c = c.withColumn("chunk", F.lit(0)) if bounded else blocks.in_chunks(c, "impression_id")
-    cands = blocks.packed_vectors(c, vectors, ["impression_id", "chunk"], ["item_id", "vec"], "cands")
+    keys = ["impression_id"] if bounded else ["impression_id", "chunk"]
+    c = c if bounded else blocks.in_chunks(c, "impression_id")
+    cands = blocks.packed_vectors(c, vectors, keys, ["item_id", "vec"], "cands")
     h = seen.select("impression_id", "item_id", F.floor(F.col("pos") / blocks.BLOCK_LIST).alias("chunk"))
     past = blocks.packed_vectors(h, vectors, ["impression_id", "chunk"], ["vec"], "seen")
     pairs = cands.join(queries, "impression_id").join(past.drop("chunk"), "impression_id", "left")
@@ -47,7 +48,7 @@ def content_scores(candidates: DataFrame, queries: DataFrame, seen: DataFrame, v
     )
     placed = parts.repartition("impression_id")  # one exchange serves the match, the scaling and the signal joins
     raw = placed.groupBy("impression_id", "item_id").agg((F.max("base") + MATCH_WEIGHT * F.max("match")).alias("raw"))
-    return min_max(raw, ["impression_id"], "raw", "content").drop("raw")
+    return min_max(raw, ["impression_id"], "raw", "content", placed=True).drop("raw")
 
 
 def affinity(history: DataFrame, items: DataFrame) -> DataFrame:

@@ -71,18 +71,23 @@ def known_interactions(impressions: DataFrame, known: DataFrame) -> DataFrame:
     return impressions.join(known.select("item_id"), "item_id", "left_semi")
 
 
-def min_max(df: DataFrame, keys: list[str], value: str, out: str, flat: str = "raw") -> DataFrame:
+def min_max(df: DataFrame, keys: list[str], value: str, out: str, flat: str = "raw", placed: bool = False) -> DataFrame:
     """Per-list min-max scaling. A flat list keeps its raw values, or with flat='floor' uses a range floor of 1e-9.
 
-    The extremes are aggregated map-side and joined back, so a hot list is never sorted or buffered whole.
+    The extremes are aggregated map-side and joined back, so a hot list is never buffered whole. `placed` rows
+    (short lists that already sit together) use a window instead.
     """
-    ext = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    if placed:
+        w = W.partitionBy(*keys)
+        rows = df.withColumn("_lo", F.min(value).over(w)).withColumn("_hi", F.max(value).over(w))
+    else:
+        rows = df.join(df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")), keys)
     v = F.col(value)
     if flat == "floor":
         scaled = (v - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-9))
     else:
         scaled = F.when(F.col("_hi") > F.col("_lo"), (v - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(v)
-    return df.join(ext, keys).withColumn(out, scaled).drop("_lo", "_hi")
+    return rows.withColumn(out, scaled).drop("_lo", "_hi")
 
 
 def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:

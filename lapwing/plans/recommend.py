@@ -6,6 +6,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
+from lapwing.functions import blocks
 from lapwing.operators import aggregates as A, popularity as P, profiles as PR, retrieve as R, score as S
 from lapwing.plans import tables as T
 from lapwing.session import stage
@@ -22,13 +23,12 @@ class Model:
     coclick: DataFrame
 
 
-def fit(items: DataFrame, shown: DataFrame, train_history: DataFrame) -> Model:
+def fit(meta: DataFrame, vectors: DataFrame, shown: DataFrame, train_history: DataFrame) -> Model:
     """Popularity, recency and the co-click graph from training interactions and histories."""
-    meta = items.drop("embedding")
     longest = P.longest_history(A.history_lengths(train_history)).select("impression_id")
     recent = P.recent_clicks(train_history.join(longest, "impression_id", "left_semi"), P.PAIR_WINDOW, ["user_id"])
     recent = recent.join(meta.select("item_id"), "item_id", "left_semi")
-    return Model(meta, items.select("item_id", "embedding"), P.popularity_ctr(shown, meta), P.recency(shown, meta), P.coclick(recent))
+    return Model(meta, blocks.sized(vectors), P.popularity_ctr(shown, meta), P.recency(shown, meta), P.coclick(recent))
 
 
 def profiles(history: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def prepared(spark, sf_dir) -> tuple[Model, DataFrame]:
     co-click graph are read several times as well.
     """
     histories = stage(T.history(spark, sf_dir), "history")
-    model = fit(T.items(spark, sf_dir), T.train(spark, sf_dir), histories.where(F.col("bucket") < T.TEST_BUCKET))
+    model = fit(T.item_meta(spark, sf_dir), T.item_vectors(spark, sf_dir), T.train(spark, sf_dir), histories.where(F.col("bucket") < T.TEST_BUCKET))
     model = replace(model, popularity=stage(model.popularity, "popularity"), coclick=stage(model.coclick, "coclick"))
     return model, histories.where(F.col("bucket") == T.TEST_BUCKET)
 
