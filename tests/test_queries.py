@@ -80,3 +80,25 @@ def test_hot_user_and_item(spark):
     recent = P.recent_clicks(pos, P.PAIR_WINDOW, ["user_id"])
     assert recent.groupBy("user_id").count().where("count > 15").count() == 0
     assert P.coclick(recent).groupBy("a").count().where("count > 50").count() == 0
+
+
+def test_feed_updates(spark, sf_dir, tmp_path):
+    """Clicks re-rank the prepared candidates of the users who clicked; clicked items fall out."""
+    from pyspark.sql import functions as F
+
+    from lapwing.functions.ranking import by_score, top_k
+    from lapwing.streaming import state as S
+
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet").where("event_type = 'click'")
+    clicks = stream.select("user_id", F.get_json_object("props", "$.k").cast("bigint").alias("item_id"))
+    users = spark.range(40).withColumnRenamed("id", "impression_id")
+    cands = users.select("impression_id", F.explode(F.sequence(F.lit(0), F.lit(120))).cast("bigint").alias("item_id"))
+    cands = cands.withColumn("score", F.col("item_id") / 100.0)
+    query = S.feed_updates(clicks, cands, lambda c: top_k(c, ["impression_id"], by_score(), 5), str(tmp_path / "feed"), str(tmp_path / "cp"))
+    query.awaitTermination()
+    feed = spark.read.parquet(str(tmp_path / "feed"))
+    assert feed.groupBy("impression_id").count().where("count <> 5").count() == 0
+    clicked = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'click'")
+    clicked = clicked.select(F.col("user_id").alias("impression_id"), F.get_json_object("props", "$.k").cast("bigint").alias("item_id"))
+    assert feed.count() > 0 and feed.join(clicked, ["impression_id", "item_id"]).count() == 0
