@@ -93,7 +93,7 @@ def test_feed_updates(spark, sf_dir, tmp_path):
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet").where("event_type = 'click'")
     clicks = stream.select("user_id", F.get_json_object("props", "$.k").cast("bigint").alias("item_id"))
     users = spark.range(40).withColumnRenamed("id", "impression_id")
-    cands = users.select("impression_id", F.explode(F.sequence(F.lit(0), F.lit(120))).cast("bigint").alias("item_id"))
+    cands = users.select("impression_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(120).cast("bigint"))).alias("item_id"))
     cands = cands.withColumn("score", F.col("item_id") / 100.0)
     query = S.feed_updates(clicks, cands, lambda c: top_k(c, ["impression_id"], by_score(), 5), str(tmp_path / "feed"), str(tmp_path / "cp"))
     query.awaitTermination()
