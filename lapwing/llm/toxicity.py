@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -18,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from lapwing.llm import arrays as A
+from lapwing.session import stage
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 SAMPLE_ROWS = 40_000
@@ -160,19 +162,27 @@ def scores(texts: pa.Array, lexicon: Lexicon, machine: Transducer) -> tuple[np.n
 
 
 def _counted(text: str, label: str):
-    """Per task: in how many texts of either label each word occurs."""
+    """Per task: in how many texts of either label each word occurs, and what follows it in toxic texts."""
 
     def run(batches):
-        counts, rows = (Counter(), Counter()), [0, 0]
+        counts, rows, follows = (Counter(), Counter()), [0, 0], set()
         for batch in batches:
             lowered = pc.utf8_lower(pc.fill_null(batch.column(text), "")).to_pylist()
             for value, is_toxic in zip(lowered, batch.column(label).to_pylist()):
                 words = value.encode().translate(_PARTING).split()
                 counts[is_toxic == 1].update(set(words))
                 rows[is_toxic == 1] += 1
+                if is_toxic == 1:
+                    follows.update(zip(words, [*words[1:], b""]))
         words = list(counts[0].keys() | counts[1].keys())
-        columns = [[w.decode() for w in words] + [""]] + [[counts[k][w] for w in words] + [rows[k]] for k in (1, 0)]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string())] + [pa.array(c, pa.int64()) for c in columns[1:]], names=["word", "toxic", "clean"])
+        pairs = list(follows)
+        columns = [
+            pa.array([w.decode() for w in words] + [""] + [w.decode() for w, _ in pairs], pa.string()),
+            pa.array([counts[1][w] for w in words] + [rows[1]] + [0] * len(pairs), pa.int64()),
+            pa.array([counts[0][w] for w in words] + [rows[0]] + [0] * len(pairs), pa.int64()),
+            pa.array([None] * (len(words) + 1) + [zlib.crc32(f) for _, f in pairs], pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["word", "toxic", "clean", "follows"])
 
     return run
 
@@ -184,25 +194,29 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Insults and their log odds from labelled texts.
 
     Fits on at most `sample_rows` labelled rows, the first by a digest of the key; all of them where there are fewer. Null
-    labels teach nothing. A word is an insult if its count in toxic texts is beyond chance at the size of the vocabulary.
+    labels teach nothing. A word is an insult if at least four fifths of its evidence is toxic and beyond chance at the size
+    of the vocabulary. Toxic evidence is the number of different words that follow it, so that copies of one toxic text,
+    in which every word has the same neighbour, do not make insults of its other words.
     Without labels only the fixed vocabulary counts.
     """
     A.small_batches(docs.sparkSession)
     chosen = labels.select(F.col(key).alias("_key"), F.col(label).alias("_label")).where("_key is not null and _label is not null")
     chosen = chosen.orderBy(F.xxhash64("_key"), "_key").limit(sample_rows)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")  # at most sample_rows pairs of numbers
-    counted = rows.select("_text", "_label").mapInArrow(_counted("_text", "_label"), "word string, toxic bigint, clean bigint")
-    counted = counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.lit(1).alias("one"))
+    counted = rows.select("_text", "_label").mapInArrow(_counted("_text", "_label"), "word string, toxic bigint, clean bigint, follows bigint")
+    counted = counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count_distinct("follows").alias("follows"))
+    counted = stage(counted, "words")
     whole = counted.where("word = ''").first()
     n_toxic, n_clean = (whole["toxic"], whole["clean"]) if whole else (0, 0)
     if not n_toxic:
         return Lexicon({}, PRIOR)
-    n_words = counted.count()
+    n_words = counted.count()  # one more than the words
     prior = n_toxic / (n_toxic + n_clean)
+    counted = counted.where("word <> ''").withColumn("toxic", F.least("toxic", "follows"))
     share = (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1)
     gain = F.col("toxic") * F.log(share / prior) + F.col("clean") * F.log((1 - share) / max(1 - prior, 1e-9))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    kept = counted.where("word <> ''").withColumn("odds", odds).where((gain > math.log(n_words) + 3) & (F.col("odds") > math.log(8)))
+    kept = counted.withColumn("odds", odds).where((gain > math.log(n_words) + 3) & (share >= 0.8))
     learned = {r["word"]: min(r["odds"], MOST) for r in kept.select("word", "odds").collect()}  # of a bounded sample
     return Lexicon(learned, min(max(prior, 0.01), 0.4))
 
