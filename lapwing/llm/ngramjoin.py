@@ -8,9 +8,11 @@ would visit nearly every leaf, so trees are built over parts that cannot lose a
 1. Equal sets collapse to one representative.
 2. Shingles get one global order (those repeated inside a shard of the corpus last, then by hash). Two linked sets share
    one of the first n - ceil(0.8 n) + 1 shingles of each. All sets that share one are routed to the smallest of them.
-3. Each part is an R-tree joined with itself: node bounds, point bounds, then the sets themselves, sparing pairs that are
-   connected already. Larger parts are cut into pages, and each pair of pages is a task of its own.
-4. Links make components by repeated minimum labels.
+3. The points of each part make an R-tree that is joined with itself: node bounds, then point bounds. Larger parts are cut
+   into pages, and each pair of pages is a task of its own. Points that the surviving pairs connect are a cluster; only
+   they go on.
+4. The sets of a cluster are fetched and its surviving pairs verified, sparing pairs that are connected already.
+5. Links make components by repeated minimum labels.
 """
 
 from __future__ import annotations
@@ -66,8 +68,16 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return shingle, np.r_[0, np.cumsum(np.bincount(doc, minlength=len(n)))]
 
 
+def points_of(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Counts of each set's shingles by group, one row per set."""
+    n = len(first) - 1
+    group = ((sets >> np.uint64(40)) % np.uint64(GROUPS)).astype(np.int64)
+    owner = np.repeat(np.arange(n), np.diff(first))
+    return np.bincount(owner * GROUPS + group, minlength=n * GROUPS).reshape(n, GROUPS).astype(np.int32)
+
+
 def _signatures(key: str, text: str):
-    """(key, n, two 64-bit digests of the set)."""
+    """(key, n, two 64-bit digests of the set, its point)."""
 
     def run(batches):
         for whole in batches:
@@ -77,9 +87,9 @@ def _signatures(key: str, text: str):
                 # sums over a set do not depend on order
                 sums = [np.r_[np.uint64(0), np.cumsum(x)] for x in salted]
                 ab = [(s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(key), pa.array(np.diff(first)), pa.array(ab[0]), pa.array(ab[1])], names=["id", "n", "sig_a", "sig_b"]
-                )
+                point = [x.tobytes() for x in points_of(sets, first)]
+                columns = [batch.column(key), pa.array(np.diff(first)), pa.array(ab[0]), pa.array(ab[1]), pa.array(point, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "sig_a", "sig_b", "point"])
 
     return run
 
@@ -158,17 +168,12 @@ def _sets(key: str, text: str):
 class Tree:
     """Packed R-tree over count vectors: points in order of size, leaves of a few points, one level of boxes above them."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets], np.int64)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
-        group = (np.concatenate(sets) >> np.uint64(40)).astype(np.int64) % GROUPS if len(sets) else np.zeros(0, np.int64)
-        counts = np.bincount(owner * GROUPS + group, minlength=len(sets) * GROUPS).reshape(len(sets), GROUPS)
-        self.points = counts.astype(np.int32)
-        # points of one family stand together: by size, then by their largest coordinates
-        self.order = np.lexsort((*self.points[:, :4].T, self.sizes))
-        cuts = range(0, len(sets), LEAF)
-        self.leaves = [self.order[c : c + LEAF] for c in cuts]
-        self.tops = np.array([self.points[x].max(0) for x in self.leaves])
+    def __init__(self, points: np.ndarray):
+        self.points, self.sizes = points, points.sum(1, dtype=np.int64)
+        # points of one family stand together: by size, then by their first coordinates
+        order = np.lexsort((*points[:, :4].T, self.sizes))
+        self.leaves = [order[c : c + LEAF] for c in range(0, len(points), LEAF)]
+        self.tops = np.array([points[x].max(0) for x in self.leaves])
         self.small = np.array([self.sizes[x].min() for x in self.leaves])
         self.large = np.array([self.sizes[x].max() for x in self.leaves])
 
@@ -194,67 +199,87 @@ class Union:
         return a != b
 
 
-def linked(left: Tree, right: Tree, sets_l: list, sets_r: list, same: bool) -> list[tuple[int, int]]:
-    """Enough linked pairs (index left, index right) to connect all that are linked."""
-    shift = 0 if same else len(sets_l)
-    groups, out = Union(len(sets_l) + (0 if same else len(sets_r))), []
+def near_pairs(left: Tree, right: Tree, groups: Union):
+    """Pairs (index left, index right) whose bound reaches the overlap of linked sets; of one tree with itself, each once.
+
+    Pairs that `groups` has connected by then are left out. Members of the right tree follow those of the left in
+    `groups`, unless it is the same tree.
+    """
+    same = left is right
+    shift = 0 if same else len(left.points)
     for i, leaf in enumerate(left.leaves):
-        near = np.arange(i, len(right.leaves)) if same else np.arange(len(right.leaves))
+        near = np.arange(i if same else 0, len(right.leaves))
         bound = np.minimum(left.tops[i], right.tops[near]).sum(1)
-        least = needed(left.small[i], right.small[near])
         fits = (100 * right.small[near] <= 125 * left.large[i]) & (100 * left.small[i] <= 125 * right.large[near])
-        for j in near[fits & (bound >= least)]:
+        for j in near[fits & (bound >= needed(left.small[i], right.small[near]))]:
             other = right.leaves[j]
-            overlap = np.minimum(left.points[leaf][:, None], right.points[other][None]).sum(2)
-            pairs = overlap >= needed(left.sizes[leaf][:, None], right.sizes[other][None])
             roots = [np.array([groups.root(int(x) + s) for x in side]) for side, s in ((leaf, 0), (other, shift))]
-            pairs &= roots[0][:, None] != roots[1][None]
+            pairs = roots[0][:, None] != roots[1][None]
             if same and i == j:
                 pairs = np.triu(pairs, 1)
+            if pairs.any():
+                overlap = np.minimum(left.points[leaf][:, None], right.points[other][None]).sum(2)
+                pairs &= overlap >= needed(left.sizes[leaf][:, None], right.sizes[other][None])
             for a, b in np.argwhere(pairs):
                 x, y = int(leaf[a]), int(other[b])
-                if groups.root(x) == groups.root(y + shift):
-                    continue
-                both = len(np.intersect1d(sets_l[x], sets_r[y], assume_unique=True))
-                if NEAR[1] * both >= NEAR[0] * (len(sets_l[x]) + len(sets_r[y]) - both):
-                    groups.join(x, y + shift)
-                    out.append((x, y))
-    return out
+                if groups.root(x) != groups.root(y + shift):
+                    yield x, y, shift
 
 
-def _join_parts(batches):
-    """Rows (leader, page, with_page, side, id, shingles), grouped and sorted, to links (a, b)."""
+def by_key(batches, keys: list[str], values: list[str]):
+    """(key, rows) for runs of rows with one key, across Arrow batches."""
     now, rows = None, []
-
-    def close():
-        if len(rows) < 2:
-            return None
-        decode = lambda side: ([r[1] for r in rows if r[0] == side], [np.frombuffer(r[2], np.uint64) for r in rows if r[0] == side])
-        ids_l, sets_l = decode(0)
-        if now[1] == now[2]:
-            tree, ids_r = Tree(sets_l), ids_l
-            pairs = linked(tree, tree, sets_l, sets_l, True)
-        else:
-            ids_r, sets_r = decode(1)
-            if not (sets_l and sets_r):
-                return None
-            pairs = linked(Tree(sets_l), Tree(sets_r), sets_l, sets_r, False)
-        return [(ids_l[x], ids_r[y]) for x, y in pairs]
-
-    def batch(pairs):
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
-
-    for part in batches:
-        keys = list(zip(*(part.column(c).to_pylist() for c in ("leader", "page", "with_page"))))
-        values = zip(*(part.column(c).to_pylist() for c in ("side", "id", "shingles")))
-        for key, value in zip(keys, values):
+    for batch in batches:
+        own = zip(*(batch.column(c).to_pylist() for c in keys))
+        for key, row in zip(own, zip(*(batch.column(c).to_pylist() for c in values))):
             if key != now:
-                if rows and (pairs := close()):
-                    yield batch(pairs)
+                if rows:
+                    yield now, rows
                 now, rows = key, []
-            rows.append(value)
-    if rows and (pairs := close()):
-        yield batch(pairs)
+            rows.append(row)
+    if rows:
+        yield now, rows
+
+
+PART = ["leader", "page", "with_page"]
+
+
+def _clusters(batches):
+    """Rows (part, side, id, point) to those that a surviving pair holds, with the cluster of connected ones."""
+    for key, rows in by_key(batches, PART, ["side", "id", "point"]):
+        sides = [[r for r in rows if r[0] == side] for side in (0, 1)]
+        trees = [Tree(np.stack([np.frombuffer(r[2], np.int32) for r in side])) for side in sides if side]
+        if key[1] != key[2] and len(trees) < 2:
+            continue
+        groups, met = Union(len(rows)), set()
+        for x, y, shift in near_pairs(trees[0], trees[-1], groups):
+            groups.join(x, y + shift)
+            met.update((x, y + shift))
+        if met:
+            order = sides[0] + sides[1]
+            kept = sorted(met)
+            columns = [[key[0]] * len(kept), [key[1]] * len(kept), [key[2]] * len(kept), [groups.root(x) for x in kept], [order[x][0] for x in kept], [order[x][1] for x in kept]]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[*PART, "cluster", "side", "id"])
+
+
+def _links(batches):
+    """Rows (part, cluster, side, id, shingles) to links (a, b), enough to connect all that are linked."""
+    for _, rows in by_key(batches, [*PART, "cluster"], ["side", "id", "shingles"]):
+        sides = [[r for r in rows if r[0] == side] for side in (0, 1)]
+        ids, sets = [[[r[1] for r in side] for side in sides], [[np.frombuffer(r[2], np.uint64) for r in side] for side in sides]]
+        points = [points_of(np.concatenate(x), np.cumsum([0, *map(len, x)])) for x in sets if x]
+        trees = [Tree(x) for x in points]
+        groups, out = Union(len(rows)), []
+        ids_r, sets_r = (ids[1], sets[1]) if len(trees) > 1 else (ids[0], sets[0])
+        for x, y, shift in near_pairs(trees[0], trees[-1], groups):
+            a, b = sets[0][x], sets_r[y]
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if NEAR[1] * both >= NEAR[0] * (len(a) + len(b) - both):
+                groups.join(x, y + shift)
+                out.append((ids[0][x], ids_r[y]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def parts_of(members: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
@@ -306,7 +331,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", page_rows:
     """
     spark = A.small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    every = stage(rows.mapInArrow(_signatures("id", "text"), "id bigint, n bigint, sig_a bigint, sig_b bigint"), "signatures")
+    every = stage(rows.mapInArrow(_signatures("id", "text"), "id bigint, n bigint, sig_a bigint, sig_b bigint, point binary"), "signatures")
     heads = every.where("n > 0").groupBy("sig_a", "sig_b", "n").agg(F.min("id").alias("rep"))
     heads = stage(heads, "representatives")
     reps = rows.join(heads.select(F.col("rep").alias("id")), "id", "left_semi")
@@ -317,10 +342,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", page_rows:
     pairs = stage(pairs, "routes")
     members = pairs.union(pairs.select("leader", F.col("leader").alias("id")).distinct())
     members = members.join(heads.select(F.col("rep").alias("id"), "n"), "id")
-    placed = stage(parts_of(members, page_rows), "parts")
-    wanted = rows.join(placed.select("id").distinct(), "id", "left_semi").mapInArrow(_sets("id", "text"), "id bigint, shingles binary")
-    grouped = placed.join(wanted, "id").repartition("leader", "page", "with_page").sortWithinPartitions("leader", "page", "with_page", "side", "id")
-    links = grouped.select("leader", "page", "with_page", "side", "id", "shingles").mapInArrow(_join_parts, "a bigint, b bigint")
+    placed = parts_of(members, page_rows).join(every.select("id", "point"), "id")
+    placed = placed.repartition(*PART).sortWithinPartitions(*PART).select(*PART, "side", "id", "point")
+    near = stage(placed.mapInArrow(_clusters, "leader bigint, page int, with_page int, cluster int, side int, id bigint"), "clusters")
+    wanted = rows.join(near.select("id").distinct(), "id", "left_semi").mapInArrow(_sets("id", "text"), "id bigint, shingles binary")
+    keys = [*PART, "cluster"]
+    grouped = near.join(wanted, "id").repartition(*keys).sortWithinPartitions(*keys).select(*keys, "side", "id", "shingles")
+    links = grouped.mapInArrow(_links, "a bigint, b bigint")
     found = components(links)
     labels = heads.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("sig_a", "sig_b", "n", F.coalesce("label", "rep").alias("label"))
     out = every.join(labels, ["sig_a", "sig_b", "n"], "left")
