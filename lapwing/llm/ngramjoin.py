@@ -342,7 +342,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", page_rows:
     pairs = stage(pairs, "routes")
     members = pairs.union(pairs.select("leader", F.col("leader").alias("id")).distinct())
     members = members.join(heads.select(F.col("rep").alias("id"), "n"), "id")
-    placed = parts_of(members, page_rows).join(every.select("id", "point"), "id")
+    placed = parts_of(members, page_rows).join(every.select("id", "point").hint("merge"), "id")  # points compress well: their file size would pass for a broadcast
     placed = placed.repartition(*PART).sortWithinPartitions(*PART).select(*PART, "side", "id", "point")
     near = stage(placed.mapInArrow(_clusters, "leader bigint, page int, with_page int, cluster int, side int, id bigint"), "clusters")
     wanted = rows.join(near.select("id").distinct(), "id", "left_semi").mapInArrow(_sets("id", "text"), "id bigint, shingles binary")
