@@ -68,12 +68,26 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return shingle, np.r_[0, np.cumsum(np.bincount(doc, minlength=len(n)))]
 
 
-def points_of(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Counts of each set's shingles by group, one row per set."""
-    n = len(first) - 1
-    group = ((sets >> np.uint64(40)) % np.uint64(GROUPS)).astype(np.int64)
-    owner = np.repeat(np.arange(n), np.diff(first))
-    return np.bincount(owner * GROUPS + group, minlength=n * GROUPS).reshape(n, GROUPS).astype(np.int32)
+def points_of(sets: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Counts of each set's shingles by group. Larger sets have more groups, powers of two, about four shingles each;
+    a point folds to fewer groups by adding, so any two points can be compared."""
+    n = np.diff(first)
+    width = GROUPS << np.ceil(np.log2(np.maximum(n / (4 * GROUPS), 1))).astype(np.int64)
+    start = np.r_[0, np.cumsum(width)]
+    owner = np.repeat(np.arange(len(n)), n)
+    group = (sets >> np.uint64(32)).astype(np.int64) & (width[owner] - 1)
+    counts = np.bincount(start[owner] + group, minlength=start[-1]).astype(np.uint16)
+    return [counts[x:y] for x, y in zip(start[:-1], start[1:])]
+
+
+def folded(point: np.ndarray, width: int) -> np.ndarray:
+    return point.reshape(-1, width).sum(0, dtype=np.int64)
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """Most shingles that two sets can share: the sum of the smaller counts, in as many groups as both have."""
+    width = min(len(a), len(b))
+    return int(np.minimum(folded(a, width), folded(b, width)).sum())
 
 
 def _signatures(key: str, text: str):
@@ -166,10 +180,15 @@ def _sets(key: str, text: str):
 
 
 class Tree:
-    """Packed R-tree over count vectors: points in order of size, leaves of a few points, one level of boxes above them."""
+    """Packed R-tree over count vectors: points in order of size, leaves of a few points, one level of boxes above them.
+
+    Boxes and the first bound use the coarsest groups, the bound of a pair all that both points have.
+    """
 
-    def __init__(self, points: np.ndarray):
-        self.points, self.sizes = points, points.sum(1, dtype=np.int64)
+    def __init__(self, whole: list[np.ndarray]):
+        self.whole = whole
+        self.points = points = np.stack([folded(p, GROUPS) for p in whole])
+        self.sizes = points.sum(1)
         # points of one family stand together: by size, then by their first coordinates
         order = np.lexsort((*points[:, :4].T, self.sizes))
         self.leaves = [order[c : c + LEAF] for c in range(0, len(points), LEAF)]
@@ -222,7 +241,7 @@ def near_pairs(left: Tree, right: Tree, groups: Union):
                 pairs &= overlap >= needed(left.sizes[leaf][:, None], right.sizes[other][None])
             for a, b in np.argwhere(pairs):
                 x, y = int(leaf[a]), int(other[b])
-                if groups.root(x) != groups.root(y + shift):
+                if groups.root(x) != groups.root(y + shift) and overlap_bound(left.whole[x], right.whole[y]) >= needed(left.sizes[x], right.sizes[y]):
                     yield x, y, shift
 
 
@@ -248,7 +267,7 @@ def _clusters(batches):
     """Rows (part, side, id, point) to those that a surviving pair holds, with the cluster of connected ones."""
     for key, rows in by_key(batches, PART, ["side", "id", "point"]):
         sides = [[r for r in rows if r[0] == side] for side in (0, 1)]
-        trees = [Tree(np.stack([np.frombuffer(r[2], np.int32) for r in side])) for side in sides if side]
+        trees = [Tree([np.frombuffer(r[2], np.uint16) for r in side]) for side in sides if side]
         if key[1] != key[2] and len(trees) < 2:
             continue
         groups, met = Union(len(rows)), set()

@@ -89,9 +89,9 @@ def test_bound_holds():
     rng = random.Random(1)
     import numpy as np
 
-    sets = [np.unique(np.array([rng.getrandbits(64) for _ in range(50)], np.uint64)) for _ in range(4)]
+    sets = [np.unique(np.array([rng.getrandbits(64) for _ in range(50 * 20**k)], np.uint64)) for k in range(3) for _ in range(2)]
     sets += [np.unique(np.concatenate([sets[0][:45], sets[1][:5]]))]
     points = N.points_of(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
-    for i in range(5):
-        for j in range(5):
-            assert np.minimum(points[i], points[j]).sum() >= len(np.intersect1d(sets[i], sets[j]))
+    for i in range(7):
+        for j in range(7):
+            assert N.overlap_bound(points[i], points[j]) >= len(np.intersect1d(sets[i], sets[j]))
