@@ -70,7 +70,7 @@ def located(rows: DataFrame, buckets: DataFrame) -> DataFrame:
 
     A bucket covers keys from prefix << (60 - depth) on: one equality join per depth in use.
     """
-    depths = [r[0] for r in buckets.select("depth").distinct().collect()]  # at most 61
+    depths = [r[0] for r in buckets.select("depth").distinct().collect()] or [0]  # at most 61
     tries = F.array(*[F.struct(F.lit(d).alias("depth"), prefix("key", d).alias("prefix")) for d in sorted(depths)])
     if len(depths) == 1:
         found = rows.withColumn("depth", F.lit(depths[0])).withColumn("prefix", prefix("key", depths[0]))

@@ -164,7 +164,7 @@ def _fill_sql(source: str, parents: str, name: str, weights: dict) -> str:
 
 
 DIGEST_SQL = f"""WITH slim AS (SELECT doc_id, 'domain' || ((strpos('0123456789abcdef', substr(md5(coalesce(source, '')), 1, 1)) - 1) % 4) AS domain, lang, source,
-    len(list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), x -> x <> ''))::BIGINT AS tokens
+    len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'))::BIGINT AS tokens
     FROM documents),
 leaves AS (SELECT domain, lang, source, sum(tokens)::HUGEINT AS available, count(*) AS docs, (sum(tokens) * {EPOCHS})::HUGEINT AS capacity FROM slim GROUP BY ALL),
 total AS (SELECT floor(sum(available)::DOUBLE * {BUDGET_SHARE})::HUGEINT AS given FROM leaves),

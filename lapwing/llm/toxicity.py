@@ -69,7 +69,7 @@ def negation(reach: int = 3, left: float = 0.1) -> Transducer:
     return Transducer(reach + 1, lambda s, x: (reach if x == NEGATION else max(s - 1, 0), left if s and x in (INSULT, THREAT, TARGET) else 1.0, 0.0))
 
 
-def report(left: float = 0.25) -> Transducer:
+def report(left: float = 0.15) -> Transducer:
     """After a word of reporting, the rest of the clause counts less."""
     return Transducer(2, lambda s, x: (1 if s or x == REPORT else 0, left if s else 1.0, 0.0))
 
