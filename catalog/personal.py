@@ -176,11 +176,11 @@ def session_history(spark, d):
     sql(
         "ev",
         """SELECT user_id, count(*) AS n_events, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_event
-        FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 24 HOUR THEN 0 ELSE 1 END AS new FROM ev)) GROUP BY user_id, s""",
+        FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 24 HOUR THEN 0 ELSE 1 END AS new FROM ev)) GROUP BY user_id, s""",
     ),
 )
 def session_ttl(spark, d):
-    """Sessions that expire after 24 hours of silence."""
+    """Sessions that expire after more than 24 hours of silence."""
     out = U.sessions(T.events(spark, d).select("user_id", "ts"))
     fmt = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return out.select("user_id", "n_events", fmt("session_start"), fmt("last_event"))
@@ -203,10 +203,14 @@ def session_reset(spark, d):
 
 @q(
     "recent_history",
-    sql("items clicks", "SELECT c.user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank, c.item_id, i.category FROM clicks c JOIN items i USING (item_id) QUALIFY rank <= 30"),
+    sql(
+        "items clicks",
+        """SELECT user_id, rank, item_id, category FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank
+        FROM (SELECT * FROM clicks QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts, event_id) = 1)) JOIN items USING (item_id) WHERE rank <= 30""",
+    ),
 )
 def recent_history(spark, d):
-    """Newest 30 clicks of every user with their category."""
+    """Last 30 items of every user's history with their category."""
     rows = U.newest_first(T.log(spark, d).where(F.col("label") == 1).select("user_id", "ts", "event_id", "item_id"))
     return rows.join(T.item_meta(spark, d), "item_id").select("user_id", "rank", "item_id", "category")
 
@@ -426,7 +430,7 @@ def stream_sessions(spark, d):
     sql(
         "ev",
         """SELECT user_id, count(*) AS n_events, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_event
-        FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 24 HOUR THEN 0 ELSE 1 END AS new FROM ev))
+        FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 24 HOUR THEN 0 ELSE 1 END AS new FROM ev))
         GROUP BY user_id, s HAVING max(ts) + INTERVAL 24 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ev)""",
     ),
 )

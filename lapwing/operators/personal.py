@@ -192,8 +192,8 @@ def session_state(clicks: DataFrame) -> DataFrame:
     )
 
 
-def sessions(events: DataFrame, gap: str = "24 hours") -> DataFrame:
-    """Activity sessions that end after `gap` of silence."""
+def sessions(events: DataFrame, gap: str = "24 hours 1 microsecond") -> DataFrame:
+    """Activity sessions that end after more than 24 hours of silence (a window ends before its gap is full)."""
     return events.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(
         F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("session_start"), F.max("ts").alias("last_event")
     ).drop("w")
@@ -207,7 +207,9 @@ def after_reset(events: DataFrame, is_reset: Column) -> DataFrame:
 
 
 def newest_first(clicks: DataFrame, n: int = 30) -> DataFrame:
-    return top_k(clicks, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], n)
+    """Last n items of each user's history, where an item stands once, at its first click."""
+    firsts = clicks.groupBy("user_id", "item_id").agg(F.min(F.struct("ts", "event_id")).alias("_first"))
+    return top_k(firsts.select("user_id", "item_id", "_first.*"), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], n)
 
 
 def resolve_users(requests: DataFrame, known: DataFrame) -> DataFrame:

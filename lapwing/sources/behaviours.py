@@ -101,8 +101,9 @@ def read_features(spark: SparkSession, path: str, fmt: str = "parquet", required
 
 
 def revive_list(text: Column) -> Column:
-    """`['a', 'b']` written as text back to an array of strings."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("['\"]([^'\"]*)['\"]"), 1)
+    """`['a', "b's"]` written as text back to an array of strings; either kind of quote may hold the other."""
+    quoted = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("'[^']*'|\"[^\"]*\""), 0)
+    return F.transform(quoted, lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
 
 
 def explode_impressions(behaviours: DataFrame, *keep: str) -> DataFrame:

@@ -18,7 +18,9 @@ def read_vec(spark: SparkSession, path: str) -> DataFrame:
     """Whitespace text of vectors; lines with one token or none are skipped, a missing file is empty."""
     try:
         lines = spark.read.text(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "id STRING, vec ARRAY<DOUBLE>")
     key, vec = parse_vec_line(F.col("value"))
     return lines.where(F.size(words(F.col("value"))) > 1).select(key.alias("id"), vec.alias("vec"))

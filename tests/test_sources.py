@@ -73,3 +73,13 @@ def test_text_tower_hook(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "b c")], "item_id long, text string")
     assert X.text_tower(docs, lambda df: df.select("item_id", F.array(F.lit(1.0)).alias("vec"))).count() == 2
     assert all(len(r["vec"]) == 16 for r in X.text_tower(docs, n_features=16).collect())
+
+
+def test_revive_list_keeps_the_other_quote(spark):
+    rows = spark.createDataFrame([("""["O'Brien", 'b', 'say "x"']""",), ("[]",), (None,), ("['']",)], "t string")
+    got = [r[0] for r in rows.select(B.revive_list(F.col("t"))).collect()]
+    assert got == [["O'Brien", "b", 'say "x"'], [], [], [""]]
+
+
+def test_read_vec_only_forgives_a_missing_file(spark, tmp_path):
+    assert VS.read_vec(spark, str(tmp_path / "none.vec")).count() == 0
