@@ -53,7 +53,7 @@ def n_categories(items: DataFrame, category: str = "category") -> Column:
 
 
 def ild(lists: DataFrame, vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean pairwise 1 - dot per list, 0 below two known items.
+    """Mean pairwise 1 - dot per list, 0 below two known items; a list without any known vector keeps its row.
 
     Uses sum over pairs of e_i.e_j = (|sum e|^2 - sum |e|^2) / 2, so no pair is ever materialised and the
     sums merge map-side.
@@ -66,7 +66,9 @@ def ild(lists: DataFrame, vectors: DataFrame, keys: list[str]) -> DataFrame:
     )
     pairs = F.col("_n") * (F.col("_n") - 1)
     dots = V.dot(F.col("_s"), F.col("_s")) - F.col("_q")
-    return sums.select(*keys, F.when(pairs > 0, 1 - dots / pairs).otherwise(F.lit(0.0)).alias("ild"))
+    known = sums.select(*keys, F.when(pairs > 0, 1 - dots / pairs).otherwise(F.lit(0.0)).alias("_ild"))
+    every = lists.select(*keys).distinct().join(known, keys, "left")
+    return every.select(*keys, F.coalesce("_ild", F.lit(0.0)).alias("ild"))
 
 
 def calibration_error(rec_counts: DataFrame, hist_counts: DataFrame, keys: list[str], total_categories: Column, smoothing: float = SMOOTHING) -> DataFrame:

@@ -246,3 +246,11 @@ def test_reader_label_of_zero_is_specialist(spark):
 def test_rounded_and_shares(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "c string")
     assert values(A.rounded(A.shares(df, "c")), "share", "value") == {"a": 0.666667, "b": 0.333333}
+
+
+def test_ild_keeps_lists_without_vectors(spark):
+    from lapwing.operators import diversity
+
+    lists = spark.createDataFrame([(1, 10), (1, 11), (2, 99)], "list_id bigint, item_id bigint")
+    vectors = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 1.0])], "item_id bigint, embedding array<double>")
+    assert {r["list_id"]: r["ild"] for r in diversity.ild(lists, vectors, ["list_id"]).collect()} == {1: 1.0, 2: 0.0}
