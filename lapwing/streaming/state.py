@@ -171,13 +171,17 @@ def session_window_stream(events: DataFrame, gap: str = "24 hours", delay: str =
 def feed_updates(clicks: DataFrame, candidates: DataFrame, rerank, path: str, checkpoint: str):
     """Start a stream that re-ranks the prepared candidates of the users who clicked and appends their feeds.
 
-    `rerank(candidates) -> DataFrame` is any method of lapwing.operators.rerank bound to its context; already
-    clicked items of the batch fall out first.
+    `rerank(candidates) -> DataFrame` is any method of lapwing.operators.rerank bound to its context. Items clicked in this
+    or any earlier batch fall out first: each batch keeps its clicks beside the feeds, in a folder of its own that a
+    retried batch overwrites.
     """
 
     def update(batch: DataFrame, batch_id: int) -> None:
-        seen = batch.select(F.col("user_id").alias("impression_id"), "item_id").distinct()
-        mine = candidates.join(seen.select("impression_id").distinct(), "impression_id", "left_semi")
+        clicked = batch.select(F.col("user_id").alias("impression_id"), "item_id").distinct()
+        clicked.write.mode("overwrite").parquet(f"{path}_clicked/batch={batch_id}")
+        seen = batch.sparkSession.read.parquet(f"{path}_clicked").where(F.col("batch") <= batch_id).drop("batch")
+        users = batch.select(F.col("user_id").alias("impression_id")).distinct()
+        mine = candidates.join(users, "impression_id", "left_semi")
         fresh = mine.join(seen, ["impression_id", "item_id"], "left_anti")
         rerank(fresh).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 

@@ -102,3 +102,18 @@ def test_feed_updates(spark, sf_dir, tmp_path):
     clicked = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'click'")
     clicked = clicked.select(F.col("user_id").alias("impression_id"), F.get_json_object("props", "$.k").cast("bigint").alias("item_id"))
     assert feed.count() > 0 and feed.join(clicked, ["impression_id", "item_id"]).count() == 0
+
+
+def test_feed_remembers_clicks_of_earlier_batches(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lapwing.functions.ranking import by_score, top_k
+    from lapwing.streaming import state as S
+
+    for item in (1, 2):
+        spark.createDataFrame([(7, item)], "user_id bigint, item_id bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / "clicks"))
+    clicks = spark.readStream.schema("user_id bigint, item_id bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "clicks"))
+    cands = spark.createDataFrame([(7, i, 1.0 / i) for i in range(1, 5)], "impression_id bigint, item_id bigint, score double")
+    S.feed_updates(clicks, cands, lambda c: top_k(c, ["impression_id"], by_score(), 3), str(tmp_path / "feed"), str(tmp_path / "cp")).awaitTermination()
+    feed = spark.read.parquet(str(tmp_path / "feed"))
+    assert sorted(r["item_id"] for r in feed.where(F.col("batch_id") == 1).collect()) == [3, 4]
