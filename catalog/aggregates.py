@@ -177,7 +177,7 @@ def popularity_max(spark, d):
     return A.rounded(P.popularity_max(T.history(spark, d), T.impressions(spark, d), T.item_meta(spark, d)))
 
 
-POP_SQL = """pc AS (SELECT item_id, sum(label)::BIGINT AS clicks, count(*) AS shown FROM impr WHERE bucket < 4 GROUP BY 1),
+POP_SQL = """pc AS (SELECT item_id, sum(label)::BIGINT AS clicks, count(*) AS shown FROM impr WHERE bucket < (SELECT max(bucket) FROM log) GROUP BY 1),
     pop AS (SELECT i.item_id, i.category, i.subcategory, coalesce(clicks, 0) AS clicks, coalesce(shown, 1) AS shown,
         0.7 * coalesce(clicks, 0) / (SELECT greatest(max(clicks), 1) FROM pc) + 0.3 * coalesce(clicks, 0) / coalesce(shown, 1) AS popularity
         FROM items i LEFT JOIN pc USING (item_id))"""
@@ -206,7 +206,7 @@ def default_popularity(spark, d):
         "items impr",
         """SELECT i.item_id, round(coalesce((t - (SELECT min(t) FROM s)) / (SELECT max(t) - min(t) FROM s), 0.0), 6) AS recency
         FROM items i LEFT JOIN s USING (item_id)""",
-        """s AS (SELECT item_id, epoch_us(max("time")) / 1e6 AS t FROM impr WHERE bucket < 4 GROUP BY 1)""",
+        """s AS (SELECT item_id, epoch_us(max("time")) / 1e6 AS t FROM impr WHERE bucket < (SELECT max(bucket) FROM log) GROUP BY 1)""",
     ),
 )
 def recency(spark, d):
@@ -226,7 +226,7 @@ def longest_history(spark, d):
 
 
 COCLICK_SQL = """lng AS (SELECT user_id, arg_max(impression_id, n * 1000000000 - impression_id) AS impression_id
-        FROM (SELECT user_id, impression_id, count(*) AS n FROM hist WHERE bucket < 4 GROUP BY 1, 2) GROUP BY 1),
+        FROM (SELECT user_id, impression_id, count(*) AS n FROM hist WHERE bucket < (SELECT max(bucket) FROM log) GROUP BY 1, 2) GROUP BY 1),
     rc15 AS (SELECT h.user_id, h.pos, h.item_id FROM hist h JOIN lng USING (user_id, impression_id)
         QUALIFY row_number() OVER (PARTITION BY h.user_id ORDER BY h.pos DESC) <= 15),
     prs AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS n FROM rc15 x JOIN rc15 y ON x.user_id = y.user_id AND x.pos < y.pos GROUP BY 1, 2),
@@ -242,7 +242,7 @@ def coclick_top(spark, d):
 
 
 def coclick_table(spark, d):
-    h = T.history(spark, d).where(F.col("bucket") < T.TEST_BUCKET)
+    h = T.history(spark, d).where(F.col("bucket") < T.last_bucket(spark, d))
     longest = P.longest_history(A.history_lengths(h)).select("impression_id")
     recent = P.recent_clicks(h.join(longest, "impression_id", "left_semi"), P.PAIR_WINDOW, ["user_id"])
     return P.coclick(recent)

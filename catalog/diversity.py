@@ -172,7 +172,7 @@ def metrics_of(spark, d, method: str | None = None, k: int = 10, **params):
     """Per-user metrics of the recommended (or re-ranked) top-10."""
     if method is None:
         model, h = M.prepared(spark, d)
-        recs, ctx = M.recommend(h, model, k), H.Context(model.items, model.vectors, model.popularity, h)
+        recs, ctx = M.recommend(T.test_lists(spark, d), h, model, k), H.Context(model.items, model.vectors, model.popularity, h)
     else:
         cands, ctx = CR.setup(spark, d)
         recs = H.rerank(method, cands, ctx, k, **params)
@@ -244,7 +244,7 @@ _LIVE_BODY = f"""SELECT impression_id, round(gini, 6) AS gini, round(coalesce(il
 
 def _live(spark, d):
     model, h = M.prepared(spark, d)
-    lists = stage(M.recommend(h, model, 10).select("impression_id", "item_id"), "lists")
+    lists = stage(M.recommend(T.test_lists(spark, d), h, model, 10).select("impression_id", "item_id"), "lists")
     return J.live_metrics(lists, T.items(spark, d), KEY, limit=0.1)
 
 
@@ -342,7 +342,7 @@ def evaluated(spark, d, params: dict | None = None):
     model, h = M.prepared(spark, d)
     ctx = H.Context(model.items, model.vectors, model.popularity, h)
     profile_table = stage(M.profiles(h, model.vectors), "profiles")
-    cands = stage(M.recommend(h, model, 100, profile_table), "candidates")
+    cands = stage(M.recommend(T.test_lists(spark, d), h, model, 100, profile_table), "candidates")
     shown = T.test(spark, d)
     scores = M.score_candidates(shown, h, model, profile_table)
     scored = stage(shown.select("impression_id", "item_id", "label").join(scores, ["impression_id", "item_id"]), "scored")
@@ -460,7 +460,7 @@ def metric_deltas(spark, d):
 def recommendations_with_history(spark, d):
     """Recommendations joined with the user's own history by key: how many stay in known categories."""
     model, h = M.prepared(spark, d)
-    recs = M.recommend(h, model, 10).join(model.items, "item_id")
+    recs = M.recommend(T.test_lists(spark, d), h, model, 10).join(model.items, "item_id")
     known = h.join(model.items, "item_id").select("impression_id", "category").distinct().withColumn("_k", F.lit(1))
     rows = recs.join(known, ["impression_id", "category"], "left").groupBy("impression_id").agg(
         F.count(F.lit(1)).alias("n_recs"), F.count("_k").alias("n_same_category")

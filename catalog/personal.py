@@ -301,13 +301,13 @@ def user_directory(spark, d):
     sql(
         "hist",
         """SELECT c_custkey AS user_id, n IS NULL AS is_new_user, coalesce(n, 0) AS n_history FROM customer LEFT JOIN
-        (SELECT user_id, count(*) AS n FROM hist WHERE bucket = 4 GROUP BY 1) k ON k.user_id = c_custkey""",
+        (SELECT user_id, count(*) AS n FROM hist WHERE bucket = (SELECT max(bucket) FROM log) GROUP BY 1) k ON k.user_id = c_custkey""",
     ),
 )
 def resolve_users(spark, d):
     """Every customer logs in: known users bring their history, the others start new."""
     requests = T.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
-    known = T.history(spark, d, T.TEST_BUCKET).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_history"))
+    known = T.history(spark, d, T.last_bucket(spark, d)).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_history"))
     return U.resolve_users(requests, known)
 
 
@@ -332,8 +332,8 @@ def compare_feed(spark, d):
 
 
 _SEEDED = RANKED_SQL.replace(POP_SQL, SEED_SQL).replace(
-    "th AS (SELECT * FROM hist WHERE bucket = 4)", "th AS (SELECT user_id AS impression_id, user_id, 0 AS bucket, pos, item_id FROM seed)"
-)
+    "th AS (SELECT * FROM hist WHERE bucket = (SELECT max(bucket) FROM log))", "th AS (SELECT user_id AS impression_id, user_id, 0 AS bucket, pos, item_id FROM seed)"
+).replace("tl AS (SELECT impression_id FROM heads WHERE bucket = (SELECT max(bucket) FROM log))", "tl AS (SELECT DISTINCT user_id AS impression_id FROM seed)")
 
 
 @q(
@@ -357,7 +357,7 @@ def cold_start_feed(spark, d):
     rows = seeds(spark, d).select(F.col("user_id").alias("impression_id"), "user_id", F.lit(0).cast("bigint").alias("bucket"), "pos", "item_id")
     h = stage(rows, "seeds")
     ctx = H.Context(model.items, model.vectors, model.popularity, h)
-    cands = stage(M.recommend(h, model, 100), "candidates")
+    cands = stage(M.recommend(h, h, model, 100), "candidates")
     preset = {"w_relevance": 0.40, "w_diversity": 0.15, "w_calibration": 0.30, "w_serendipity": 0.0, "w_fairness": 0.15, "explore_weight": 0.0}
     return A.rounded(H.rerank("composite", cands, ctx, 10, **preset)).withColumnRenamed("impression_id", "user_id")
 

@@ -96,9 +96,9 @@ def parse_vec(spark, d):
     return rows.select("id", F.col("pos").cast("bigint").alias("pos"), "value")
 
 
-@q("training_interactions", sql("impr", "SELECT impression_id, item_id, label FROM impr WHERE bucket < 4"))
+@q("training_interactions", sql("impr", "SELECT impression_id, item_id, label FROM impr WHERE bucket < (SELECT max(bucket) FROM log)"))
 def training_interactions(spark, d):
-    rows = T.behaviours(spark, d).where(F.col("bucket") < T.TEST_BUCKET)
+    rows = T.behaviours(spark, d).where(F.col("bucket") < T.last_bucket(spark, d))
     return B.explode_impressions(rows, "impression_id")
 
 
@@ -107,12 +107,12 @@ def training_interactions(spark, d):
     sql(
         "impr hist",
         """SELECT i.impression_id, h.n_history, i.n_impressions FROM
-        (SELECT impression_id, count(*) AS n_impressions FROM impr WHERE bucket = 4 GROUP BY 1) i
+        (SELECT impression_id, count(*) AS n_impressions FROM impr WHERE bucket = (SELECT max(bucket) FROM log) GROUP BY 1) i
         JOIN (SELECT impression_id, count(*) AS n_history FROM hist GROUP BY 1) h USING (impression_id)""",
     ),
 )
 def test_impressions(spark, d):
-    rows = T.behaviours(spark, d).where((F.col("bucket") == T.TEST_BUCKET) & (F.col("n_history") > 0) & (F.size("impressions") > 0))
+    rows = T.behaviours(spark, d).where((F.col("bucket") == T.last_bucket(spark, d)) & (F.col("n_history") > 0) & (F.size("impressions") > 0))
     return rows.select("impression_id", "n_history", F.size("impressions").cast("bigint").alias("n_impressions"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.retrieval import RANKED_SQL
 from catalog.views import Catalog, sql
 from lapwing.operators import aggregates as A, rerank as H
-from lapwing.plans import recommend as M
+from lapwing.plans import recommend as M, tables as T
 from lapwing.session import stage
 
 CATALOG = Catalog()
@@ -22,7 +22,7 @@ def pool_sql(n: int, name: str = "pool") -> str:
     return f"""{name}_b AS (SELECT impression_id, item_id, category, subcategory, score FROM rec WHERE rank <= {n}),
     {name}_r AS (SELECT impression_id, min(score) FILTER (WHERE score > 0) AS lo, max(score) FILTER (WHERE score > 0) AS hi FROM {name}_b GROUP BY 1),
     {name}_i AS (SELECT r.impression_id, p.item_id, p.category, p.subcategory, coalesce(lo + 0.3 * (hi - lo), 0.01) AS score
-        FROM {name}_r r, pop p WHERE NOT EXISTS (SELECT 1 FROM {name}_b b WHERE b.impression_id = r.impression_id AND b.category = p.category)
+        FROM {name}_r r, pop p WHERE p.category IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {name}_b b WHERE b.impression_id = r.impression_id AND b.category = p.category)
         AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.impression_id = r.impression_id AND s.item_id = p.item_id)
         QUALIFY row_number() OVER (PARTITION BY r.impression_id, p.category ORDER BY round(p.popularity::DOUBLE, 9) DESC, p.item_id) <= 5),
     {name} AS (SELECT *, 0 AS injected FROM {name}_b UNION ALL SELECT *, 1 FROM {name}_i)"""
@@ -30,7 +30,7 @@ def pool_sql(n: int, name: str = "pool") -> str:
 
 def feature_sql(pool: str = "pool", name: str = "fe", explore: float = 0.3) -> str:
     """CTE `name`: the pool with history counts, centroid similarity, popularity and corpus shares."""
-    return f"""{name}_h AS (SELECT impression_id, category, count(*) AS n_hist FROM th JOIN items USING (item_id) GROUP BY 1, 2),
+    return f"""{name}_h AS (SELECT impression_id, category, count(*) AS n_hist FROM th JOIN items USING (item_id) WHERE category IS NOT NULL GROUP BY 1, 2),
     {name}_t AS (SELECT impression_id, sum(n_hist)::DOUBLE AS hist_total FROM {name}_h GROUP BY 1),
     {name}_c AS (SELECT impression_id, list(v ORDER BY i) AS centroid FROM (SELECT impression_id, t.i, avg(embedding[t.i]) AS v FROM he, range(1, 65) t(i) GROUP BY 1, 2) GROUP BY 1),
     {name}_s AS (SELECT subcategory, count(*) / (SELECT count(*) FROM items)::DOUBLE AS share FROM items GROUP BY 1),
@@ -39,8 +39,8 @@ def feature_sql(pool: str = "pool", name: str = "fe", explore: float = 0.3) -> s
         CASE WHEN c.centroid IS NULL THEN NULL ELSE list_inner_product(i.embedding, c.centroid) END AS cos,
         max(pop.popularity::DOUBLE) OVER (PARTITION BY p.impression_id) AS max_pop,
         (p.score - min(p.score) OVER (PARTITION BY p.impression_id)) / greatest(max(p.score) OVER (PARTITION BY p.impression_id) - min(p.score) OVER (PARTITION BY p.impression_id), 1e-9) AS rel,
-        (1 - {explore}) * CASE WHEN t.hist_total > 0 THEN (coalesce(h.n_hist, 0) + 0.01) / (t.hist_total + 0.01 * (SELECT count(DISTINCT category) FROM items)) ELSE 1.0 / (SELECT count(DISTINCT category) FROM items) END
-            + {explore} / (SELECT count(DISTINCT category) FROM items) AS target
+        CASE WHEN p.category IS NULL THEN 1.0 / (SELECT count(DISTINCT category) FROM items) ELSE (1 - {explore}) * CASE WHEN t.hist_total > 0 THEN (coalesce(h.n_hist, 0) + 0.01) / (t.hist_total + 0.01 * (SELECT count(DISTINCT category) FROM items)) ELSE 1.0 / (SELECT count(DISTINCT category) FROM items) END
+            + {explore} / (SELECT count(DISTINCT category) FROM items) END AS target
         FROM {pool} p JOIN items i USING (item_id) JOIN pop USING (item_id) LEFT JOIN {name}_h h ON h.impression_id = p.impression_id AND h.category = p.category
         LEFT JOIN {name}_t t ON t.impression_id = p.impression_id LEFT JOIN {name}_c c ON c.impression_id = p.impression_id LEFT JOIN {name}_s s ON s.subcategory = p.subcategory)"""
 
@@ -92,10 +92,10 @@ def calibrated_sql(src: str, alpha: float, weight: float, k: str = "10", name: s
     {name}_out AS (SELECT impression_id, item_id, score, picked::BIGINT AS rank FROM {name} WHERE picked > 0 AND step = {k})"""
 
 
-def setup(spark, d, n: int = N_CANDIDATES):
+def setup(spark, d, n: int = N_CANDIDATES, meta=None):
     """Top-n baseline candidates of every test list and the re-ranking context; both are reused by all methods."""
-    model, h = M.prepared(spark, d)
-    cands = stage(M.recommend(h, model, n), "candidates")
+    model, h = M.prepared(spark, d, meta)
+    cands = stage(M.recommend(T.test_lists(spark, d), h, model, n), "candidates")
     return cands, H.Context(model.items, model.vectors, model.popularity, h)
 
 
@@ -138,6 +138,29 @@ _method("rerank_random", _OUT.format("shuffled"), BASE + ",\n" + RANDOM.format("
 _method("rerank_baseline", _OUT.format("(SELECT * FROM rec WHERE rank <= 10)"), RANKED_SQL, "baseline")
 
 
+# the same methods over a catalogue in which most items have no category
+def _partial(name: str, query: str, oracle: str, method: str, **params):
+    def run(spark, d):
+        cands, ctx = setup(spark, d, meta=T.partial_meta(spark, d))
+        return A.rounded(H.rerank(method, cands, ctx, 10, **params))
+
+    run.__name__ = f"{name}_partial"
+    q(run.__name__, sql("items_partial " + VIEWS.replace("items ", ""), query, oracle, recursive=True))(run)
+
+
+_partial("rerank_mmr", _OUT.format("g_out"), BASE + ",\n" + greedy_sql("fe", MMR.format(l=0.5)), "mmr", lambda_param=0.5)
+_partial("rerank_serendipity", _OUT.format("g_out"), BASE + ",\n" + greedy_sql("fe", SERENDIPITY.format(b=0.4)), "serendipity", beta=0.4)
+_partial(
+    "rerank_composite",
+    _OUT.format("g_out"),
+    RANKED_SQL + ",\n" + pool_sql(N_CANDIDATES) + ",\n" + feature_sql(explore=0.4) + ",\n" + greedy_sql("fe", TUNED_SQL),
+    "composite",
+    **TUNED,
+)
+_partial("rerank_random", _OUT.format("shuffled"), BASE + ",\n" + RANDOM.format("fe", 10), "random", seed=42)
+_partial("rerank_bounded_greedy", _OUT.format("bounded"), BASE + ",\n" + BOUNDED.format("(SELECT * FROM fe WHERE category IS NOT NULL)", 10), "bounded_greedy", max_per_category=2)
+
+
 @q(
     "category_pool",
     sql(

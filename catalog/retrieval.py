@@ -21,7 +21,7 @@ def _profile(name: str, rows: str, weight: str = "1.0") -> str:
 
 
 PROFILES_SQL = (
-    """th AS (SELECT * FROM hist WHERE bucket = 4),
+    """th AS (SELECT * FROM hist WHERE bucket = (SELECT max(bucket) FROM log)),
     hl AS (SELECT impression_id, count(*) AS n_history FROM th GROUP BY 1),
     he AS (SELECT h.impression_id, h.pos, h.item_id, i.embedding, row_number() OVER (PARTITION BY impression_id ORDER BY pos DESC) - 1 AS age
         FROM th h JOIN items i USING (item_id)),
@@ -41,9 +41,10 @@ PROFILES_SQL = (
     seen AS (SELECT DISTINCT impression_id, item_id FROM th)"""
 )
 
+_UNSEEN = "WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.impression_id = p.impression_id AND seen.item_id = i.item_id)"
 _KNN = """SELECT impression_id, item_id, s AS score, row_number() OVER (PARTITION BY impression_id ORDER BY round(s, 9) DESC, item_id) AS rank FROM
     (SELECT p.impression_id, i.item_id, list_inner_product(p.vec, i.embedding) AS s FROM {0} p, items i
-     WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.impression_id = p.impression_id AND seen.item_id = i.item_id)) QUALIFY rank <= {1}"""
+     """ + _UNSEEN + """) QUALIFY rank <= {1}"""
 
 POOL_SQL = f"""n1 AS ({_KNN.format("p1", 150)}), n2 AS ({_KNN.format("p2", 75)}),
     n3 AS ({_KNN.format("(SELECT p3.* FROM p3 JOIN hl USING (impression_id) WHERE n_history > 5)", 50)}),
@@ -57,7 +58,7 @@ def scores_sql(cand: str, p: str = "") -> str:
     {p}raw AS (SELECT m.impression_id, m.item_id, list_inner_product(cq.query, i.embedding) + 0.2 * m AS r FROM {p}mm m JOIN items i USING (item_id) JOIN cq USING (impression_id)),
     {p}con AS (SELECT impression_id, item_id, CASE WHEN max(r) OVER w > min(r) OVER w THEN (r - min(r) OVER w) / (max(r) OVER w - min(r) OVER w) ELSE r END AS content
         FROM {p}raw WINDOW w AS (PARTITION BY impression_id)),
-    {p}aff AS (SELECT impression_id, category, count(*) / sum(count(*)) OVER (PARTITION BY impression_id)::DOUBLE AS affinity FROM th JOIN items USING (item_id) GROUP BY 1, 2),
+    {p}aff AS (SELECT impression_id, category, count(*) / sum(count(*)) OVER (PARTITION BY impression_id)::DOUBLE AS affinity FROM th JOIN items USING (item_id) WHERE category IS NOT NULL GROUP BY 1, 2),
     {p}vote AS (SELECT impression_id, b AS item_id, sum(weight) AS v FROM th JOIN coc ON coc.a = th.item_id GROUP BY 1, 2),
     {p}cf AS (SELECT impression_id, item_id, v / max(v) OVER (PARTITION BY impression_id) AS cf FROM {p}vote),
     {p}wt AS (SELECT impression_id, n_history, CASE WHEN n_history <= 3 THEN 0.45 WHEN n_history <= 10 THEN 0.6 ELSE 0.65 END AS wc,
@@ -76,10 +77,14 @@ REC_SQL = ",\n".join([BASE_SQL, POOL_SQL, scores_sql("cand")])
 RANKED_SQL = (
     REC_SQL
     + """,
-    rec AS (SELECT *, row_number() OVER (PARTITION BY impression_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM sc)"""
+    tl AS (SELECT impression_id FROM heads WHERE bucket = (SELECT max(bucket) FROM log)),
+    popr AS (SELECT *, row_number() OVER (ORDER BY round(popularity::DOUBLE, 9) DESC, item_id) AS rank FROM pop),
+    rec AS (SELECT impression_id, item_id, category, subcategory, score, row_number() OVER (PARTITION BY impression_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM sc
+        UNION ALL SELECT l.impression_id, p.item_id, p.category, p.subcategory, p.popularity::DOUBLE, p.rank FROM tl l, popr p
+        WHERE p.rank <= 100 AND l.impression_id NOT IN (SELECT impression_id FROM cand))"""
 )
 SHOWN_SQL = (
-    "shown AS (SELECT impression_id, item_id, label FROM impr WHERE bucket = 4 AND item_id IN (SELECT item_id FROM items)),\n" + scores_sql("shown", "e")
+    "shown AS (SELECT impression_id, item_id, label FROM impr WHERE bucket = (SELECT max(bucket) FROM log) AND item_id IN (SELECT item_id FROM items)),\n" + scores_sql("shown", "e")
 )
 EVAL_SQL = BASE_SQL + ",\n" + SHOWN_SQL
 
@@ -121,7 +126,7 @@ def candidate_pool(spark, d):
     return R.candidate_pool(R.profile_queries(M.profiles(h, vec)), vec, h)
 
 
-@q("unseen_candidates", sql("items impr hist", "SELECT impression_id, item_id FROM impr WHERE bucket = 4 AND (impression_id, item_id) NOT IN (SELECT (impression_id, item_id) FROM hist)"))
+@q("unseen_candidates", sql("items impr hist", "SELECT impression_id, item_id FROM impr WHERE bucket = (SELECT max(bucket) FROM log) AND (impression_id, item_id) NOT IN (SELECT (impression_id, item_id) FROM hist)"))
 def unseen_candidates(spark, d):
     """Shown items that are not in the user's history."""
     seen = M.test_history(spark, d).select("impression_id", "item_id")
@@ -171,7 +176,43 @@ def score_candidates(spark, d):
 def recommend_top10(spark, d):
     """Production mode: retrieve, score and rank for every test list."""
     model, h = M.prepared(spark, d)
-    return A.rounded(M.recommend(h, model, 10))
+    return A.rounded(M.recommend(T.test_lists(spark, d), h, model, 10))
+
+
+_ALL = RANKED_SQL.replace(" FROM hist WHERE bucket = (SELECT max(bucket) FROM log)", " FROM hist").replace(
+    "FROM heads WHERE bucket = (SELECT max(bucket) FROM log)", "FROM heads"
+)
+
+
+@q("recommend_all", sql("items impr hist", "SELECT impression_id, item_id, rank, round(score, 6) AS score FROM rec WHERE rank <= 10", _ALL))
+def recommend_all(spark, d):
+    """Recommendations for the lists of all buckets: those of the first have no history and get popular items."""
+    model, h = M.fitted(spark, d)
+    return A.rounded(M.recommend(T.heads(spark, d), h, model, 10))
+
+
+_READ_TOO = RANKED_SQL.replace(_UNSEEN, "")
+
+
+@q("recommend_with_history_items", sql("items impr hist", "SELECT impression_id, item_id, rank, round(score, 6) AS score FROM rec WHERE rank <= 10", _READ_TOO))
+def recommend_with_history_items(spark, d):
+    """Production mode without the exclusion of read items."""
+    model, h = M.prepared(spark, d)
+    return A.rounded(M.recommend(T.test_lists(spark, d), h, model, 10, exclude_history=False))
+
+
+@q(
+    "score_unseen_candidates",
+    sql(
+        "items impr hist",
+        "SELECT impression_id, item_id, round(score, 6) AS score FROM esc",
+        BASE_SQL + ",\n" + SHOWN_SQL.replace("FROM items)),", "FROM items) AND (impression_id, item_id) NOT IN (SELECT (impression_id, item_id) FROM seen)),", 1),
+    ),
+)
+def score_unseen_candidates(spark, d):
+    """Evaluation mode with the exclusion of read items."""
+    model, h = M.prepared(spark, d)
+    return A.rounded(M.score_candidates(T.test(spark, d), h, model, exclude_history=True))
 
 
 @q(
@@ -185,7 +226,7 @@ def recommend_top10(spark, d):
 def recommend_hydrated(spark, d):
     """Recommendations with item metadata, order kept in `rank`."""
     model, h = M.prepared(spark, d)
-    recs = M.recommend(h, model, 10)
+    recs = M.recommend(T.test_lists(spark, d), h, model, 10)
     return recs.join(T.item_meta(spark, d), "item_id").select("impression_id", "rank", "item_id", "category", "subcategory")
 
 

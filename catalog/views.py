@@ -3,14 +3,18 @@
 VIEWS = {
     "items": """items AS (SELECT e.vec_id AS item_id, 'c' || e.label AS category, coalesce(d.source,'none') AS subcategory,
         e.embedding::DOUBLE[] AS embedding FROM embeddings e LEFT JOIN documents d ON e.vec_id = d.doc_id)""",
+    # takes the place of `items`: only labelled documents have a category
+    "items_partial": """items AS (SELECT e.vec_id AS item_id, CASE WHEN l.doc_id IS NOT NULL THEN d.lang || '-' || d.source END AS category,
+        coalesce(d.source,'none') AS subcategory, e.embedding::DOUBLE[] AS embedding FROM embeddings e LEFT JOIN documents d ON e.vec_id = d.doc_id
+        LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id)""",
     "doc_items": """doc_items AS (SELECT doc_id AS item_id, lang AS category, source AS subcategory, text FROM documents)""",
     "ev": """ev AS (SELECT event_id, user_id, event_type, value, ts, CAST(json_extract_string(props,'$.k') AS BIGINT) AS item_id,
         CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 6.0) AS BIGINT) AS bucket FROM events)""",
     "log": """log AS (SELECT *, CASE WHEN event_type='click' THEN 1 ELSE 0 END::BIGINT AS label FROM ev
         WHERE event_type IN ('click','view'))""",
-    "impr": """impr AS (SELECT user_id*100+bucket AS impression_id, user_id, bucket, item_id, max(label) AS label, max(ts) AS "time"
+    "impr": """impr AS (SELECT user_id*1048576+bucket AS impression_id, user_id, bucket, item_id, max(label) AS label, max(ts) AS "time"
         FROM log GROUP BY user_id, bucket, item_id)""",
-    "heads": """heads AS (SELECT user_id*100+bucket AS impression_id, user_id, bucket, max(ts) AS "time" FROM log GROUP BY user_id, bucket)""",
+    "heads": """heads AS (SELECT user_id*1048576+bucket AS impression_id, user_id, bucket, max(ts) AS "time" FROM log GROUP BY user_id, bucket)""",
     "clicks": """clicks AS (SELECT user_id, bucket, ts, event_id, item_id,
         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM log WHERE label = 1)""",
     "hist": """hist AS (SELECT h.impression_id, h.user_id, h.bucket, c.pos, c.item_id FROM heads h JOIN clicks c

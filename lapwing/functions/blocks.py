@@ -8,9 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lapwing.functions.ranking import SCORE_DIGITS
+
 BLOCK_ITEMS = 4096
 BLOCK_QUERIES = 512
 BLOCK_LIST = 512
+#: Item blocks that one task runs through for a block of queries before it hands on its best.
+GROUP_BLOCKS = 16
 BROADCAST_BYTES = 512 * 1024 * 1024
 
 
@@ -38,9 +42,9 @@ def packed_vectors(df: DataFrame, vectors: DataFrame, keys: list[str], columns:
 
 
 def item_blocks(items: DataFrame, n_blocks: int, vec: str = "embedding") -> DataFrame:
-    """Items packed into blocks by id hash: (block, items)."""
+    """Items packed into blocks by id hash, GROUP_BLOCKS blocks to a group: (group, items)."""
     rows = items.select("item_id", F.col(vec).alias("vec"), F.pmod(F.hash("item_id"), F.lit(n_blocks)).alias("block"))
-    return packed(rows, ["block"], ["item_id", "vec"], "items")
+    return packed(rows, ["block"], ["item_id", "vec"], "items").select(F.floor(F.col("block") / GROUP_BLOCKS).alias("group"), "items")
 
 
 def struct_block(scalar: pa.ListScalar, field: str) -> np.ndarray:
@@ -54,7 +58,7 @@ def vector_block(scalar: pa.ListScalar, field: str = "vec") -> np.ndarray:
 
 
 def pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (query_id, kind, k, fetch, vec) of a batch to rows of one packed list each."""
+    """Rows (query_id, kind, k, seen, vec) of a batch to rows of one packed list each."""
     for batch in batches:
         for start in range(0, batch.num_rows, BLOCK_QUERIES):
             part = batch.slice(start, BLOCK_QUERIES)
@@ -63,17 +67,62 @@ def pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([lists], names=["queries"])
 
 
-def best_in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per query of a packed pair of blocks: the `fetch` best items of the block, ties at the edge included."""
+class BestItems:
+    """The k best items so far of each query of a block, by score (9 digits) descending, then item id."""
+
+    def __init__(self, group: int, queries: pa.ListScalar):
+        self.group = group
+        self.ids, self.kinds, self.k = (struct_block(queries, f) for f in ("query_id", "kind", "k"))
+        self.vectors = vector_block(queries)
+        seen = queries.values.field("seen")
+        self.seen, self.seen_row = seen.flatten().to_numpy(), np.repeat(np.arange(len(self.k)), seen.value_lengths().to_numpy())
+        self.row, self.item, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def same(self, group: int, queries: pa.ListScalar) -> bool:
+        return group == self.group and all(np.array_equal(struct_block(queries, f), x) for f, x in (("query_id", self.ids), ("kind", self.kinds)))
+
+    def add(self, items: pa.ListScalar) -> None:
+        ids = struct_block(items, "item_id")
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        scores = self.vectors @ vector_block(items)[order].T
+        place = np.minimum(np.searchsorted(ids, self.seen), len(ids) - 1)
+        read = ids[place] == self.seen
+        scores[self.seen_row[read], place[read]] = -np.inf
+        rounded = np.round(scores, SCORE_DIGITS)
+        k = np.minimum(self.k, len(ids)).astype(int)
+        edge = np.sort(rounded, axis=1)[np.arange(len(k)), len(ids) - np.maximum(k, 1)][:, None]
+        above, level = rounded > edge, rounded == edge
+        # columns are in id order, so the first of equal scores are those with the smallest ids
+        row, col = np.nonzero((above | (level & (np.cumsum(level, axis=1) <= (k - above.sum(axis=1))[:, None]))) & (scores > -np.inf))
+        row, item, score = (np.concatenate(x) for x in ((self.row, row), (self.item, ids[col]), (self.score, scores[row, col])))
+        order = np.lexsort((item, -np.round(score, SCORE_DIGITS), row))
+        row, item, score = row[order], item[order], score[order]
+        starts = np.searchsorted(row, np.arange(len(self.k)))
+        keep = np.arange(len(row)) - starts[row] < self.k[row]
+        self.row, self.item, self.score = row[keep], item[keep], score[keep]
+
+    def found(self) -> pa.RecordBatch:
+        columns = [self.ids[self.row], self.kinds[self.row], self.k[self.row], self.item, self.score]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "kind", "k", "item_id", "score"])
+
+
+def best_in_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per query the k best items of a run of blocks of one group, without those it has seen.
+
+    The blocks of a group follow each other for a block of queries; should they not, the runs are handed on apart and the
+    final cut joins them.
+    """
+    best = None
     for batch in batches:
-        for queries, items in zip(batch.column("queries"), batch.column("items")):
-            scores = vector_block(queries) @ vector_block(items).T
-            fetch = np.minimum(struct_block(queries, "fetch"), scores.shape[1]).astype(int)
-            ordered = np.sort(scores, axis=1)
-            edge = ordered[np.arange(len(fetch)), scores.shape[1] - fetch]
-            q, i = np.nonzero(scores >= edge[:, None] - 1e-9)
-            columns = [*(struct_block(queries, f)[q] for f in ("query_id", "kind", "k")), struct_block(items, "item_id")[i], scores[q, i]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "kind", "k", "item_id", "score"])
+        for group, queries, items in zip(*(batch.column(c) for c in ("group", "queries", "items"))):
+            if best is None or not best.same(group.as_py(), queries):
+                if best is not None:
+                    yield best.found()
+                best = BestItems(group.as_py(), queries)
+            best.add(items)
+    if best is not None:
+        yield best.found()
 
 
 def best_match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

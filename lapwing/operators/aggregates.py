@@ -42,9 +42,9 @@ def latest_history(lengths: DataFrame) -> DataFrame:
 
 
 def category_counts(lists: DataFrame, items: DataFrame, keys: list[str], category: str = "category") -> DataFrame:
-    """Items per list and category. Items are counted before the join with their category."""
+    """Items per list and category, without those that have none. Items are counted before the join with their category."""
     per_item = lists.groupBy(*keys, "item_id").agg(F.count(F.lit(1)).alias("_n"))
-    return per_item.join(items.select("item_id", category), "item_id").groupBy(*keys, category).agg(F.sum("_n").alias("n"))
+    return per_item.join(items.select("item_id", category).where(F.col(category).isNotNull()), "item_id").groupBy(*keys, category).agg(F.sum("_n").alias("n"))
 
 
 def category_spread(counts: DataFrame, keys: list[str]) -> DataFrame:

@@ -50,9 +50,12 @@ class Context:
 # --------------------------------------------------------------------------- pools
 
 
-def category_pool(ctx: Context) -> DataFrame:
-    """Items by popularity within their category, 1-based `place`. Large categories are numbered in pieces."""
-    rows = ctx.items.select("item_id", "category").join(ctx.popularity.select("item_id", "popularity"), "item_id", "left")
+def category_pool(ctx: Context, known: DataFrame | None = None) -> DataFrame:
+    """Items (of `known`, if given) by popularity within their category, 1-based `place`. Large categories are numbered in pieces."""
+    rows = ctx.items.select("item_id", "category").where(F.col("category").isNotNull())
+    if known is not None:
+        rows = rows.join(known.select("item_id"), "item_id", "left_semi")
+    rows = rows.join(ctx.popularity.select("item_id", "popularity"), "item_id", "left")
     rows = rows.withColumn("popularity", F.round(F.coalesce("popularity", F.lit(0.0)), 9))
     none = F.when(F.col("popularity") == 0, F.floor(F.col("item_id") / ID_CHUNK)).otherwise(F.lit(0).cast("bigint"))
     chunk = F.struct(F.floor(-F.col("popularity") * 1000).alias("p"), none.alias("i"))
@@ -60,8 +63,8 @@ def category_pool(ctx: Context) -> DataFrame:
     return ranked.withColumn("place", F.col("place") + 1)
 
 
-def unseen_popular(wanted: DataFrame, ctx: Context, n: int) -> DataFrame:
-    """First n popular items per wanted (list, category) outside the list's history.
+def unseen_popular(wanted: DataFrame, ctx: Context, n: int, known: DataFrame | None = None) -> DataFrame:
+    """First n popular items per wanted (list, category) outside the list's history, only those in `known` if given.
 
     A list with h history items in a category needs its first n + h places, so exactly those are looked up by
     (category, place) instead of pairing lists with whole categories.
@@ -70,7 +73,7 @@ def unseen_popular(wanted: DataFrame, ctx: Context, n: int) -> DataFrame:
     skipped = seen.join(ctx.items.select("item_id", "category"), "item_id").groupBy(KEY, "category").agg(F.count(F.lit(1)).alias("_h"))
     places = F.explode(F.sequence(F.lit(1).cast("bigint"), n + F.coalesce("_h", F.lit(0))))
     asked = wanted.join(skipped, [KEY, "category"], "left").select(KEY, "category", places.alias("place"))
-    found = asked.join(category_pool(ctx), ["category", "place"]).join(seen, [KEY, "item_id"], "left_anti")
+    found = asked.join(category_pool(ctx, known), ["category", "place"]).join(seen, [KEY, "item_id"], "left_anti")
     return top_k(found, [KEY, "category"], [F.col("place")], n).select(KEY, "item_id", "category", "popularity")
 
 
@@ -81,20 +84,23 @@ def all_pairs_of(lists: DataFrame, ctx: Context) -> DataFrame:
 
 
 def inject(candidates: DataFrame, ctx: Context, n: int = INJECT_PER_CATEGORY) -> DataFrame:
-    """Add up to n popular unseen items of every category absent from the list, scored at the 30 % point of the
-    positive score range."""
+    """Add up to n popular unseen items with a vector of every category absent from the list, scored at the 30 % point of
+    the positive score range."""
     scores = candidates.groupBy(KEY).agg(
         F.min(F.when(F.col("score") > 0, F.col("score"))).alias("_lo"), F.max(F.when(F.col("score") > 0, F.col("score"))).alias("_hi")
     )
     present = candidates.join(ctx.items.select("item_id", "category"), "item_id").select(KEY, "category").distinct()
     absent = all_pairs_of(scores, ctx).join(present, [KEY, "category"], "left_anti")
     score = F.coalesce(F.col("_lo") + INJECT_QUANTILE * (F.col("_hi") - F.col("_lo")), F.lit(INJECT_DEFAULT))
-    added = unseen_popular(absent, ctx, n).join(scores, KEY).select(KEY, "item_id", score.alias("score"), F.lit(1).alias("injected"))
+    added = unseen_popular(absent, ctx, n, ctx.vectors).join(scores, KEY).select(KEY, "item_id", score.alias("score"), F.lit(1).alias("injected"))
     return candidates.select(KEY, "item_id", "score", F.lit(0).alias("injected")).unionByName(added)
 
 
-def with_categories(pool: DataFrame, ctx: Context) -> DataFrame:
-    return pool.select(KEY, "item_id", "score").join(ctx.items.select("item_id", "category", "subcategory"), "item_id")
+def with_categories(pool: DataFrame, ctx: Context, how: str = "inner") -> DataFrame:
+    """Add category and subcategory; an inner join keeps candidates that have a category."""
+    meta = ctx.items.select("item_id", "category", "subcategory")
+    meta = meta.where(F.col("category").isNotNull()) if how == "inner" else meta
+    return pool.select(KEY, "item_id", "score").join(meta, "item_id", how)
 
 
 def with_history_share(rows: DataFrame, ctx: Context) -> DataFrame:
@@ -106,10 +112,11 @@ def with_history_share(rows: DataFrame, ctx: Context) -> DataFrame:
 
 
 def blended_target(weight: float, smoothing: float) -> Column:
-    """(1-w) * history share + w / n; the share is uniform without a history."""
+    """(1-w) * history share + w / n; the share is uniform without a history, the target without a category."""
     n = F.col("n_categories")
     share = (F.col("n_hist") + smoothing) / (F.col("hist_total") + smoothing * n)
-    return (1 - weight) * F.when(F.col("hist_total") > 0, share).otherwise(1 / n) + weight / n
+    target = (1 - weight) * F.when(F.col("hist_total") > 0, share).otherwise(1 / n) + weight / n
+    return F.when(F.col("category").isNotNull(), target).otherwise(1 / n)
 
 
 def ordered(rows: DataFrame, order: list[Column], k: int | None) -> DataFrame:
@@ -245,9 +252,7 @@ def greedy_task(k: int | None, objective: Callable[..., np.ndarray]):
             cols = {name: batch.column(name) for name in batch.schema.names}
             for r in range(batch.num_rows):
                 cands = cols["cands"][r]
-                c = {f: struct_block(cands, f) for f in ("item_id", "score", "popularity", "target", "scarcity")}
-                c["cat"] = np.unique(struct_block(cands, "cat"), return_inverse=True)[1]
-                c["sub"] = np.unique(struct_block(cands, "sub"), return_inverse=True)[1]
+                c = {f: struct_block(cands, f) for f in ("item_id", "score", "popularity", "target", "scarcity", "cat", "sub", "has_cat", "has_sub")}
                 vec = vector_block(cands)
                 centre = cols["centroid"][r]
                 c["cos"] = vec @ centre.values.to_numpy(zero_copy_only=False) if centre.is_valid else None
@@ -262,8 +267,9 @@ def greedy_task(k: int | None, objective: Callable[..., np.ndarray]):
                     picks.append(best)
                     free[best] = False
                     sim = np.maximum(sim, vec @ vec[best])
-                    n_cat[c["cat"] == c["cat"][best]] += 1
-                    n_sub[c["sub"] == c["sub"][best]] += 1
+                    # items without a category have none in common
+                    n_cat[(c["cat"] == c["cat"][best]) & c["has_cat"]] += c["has_cat"][best]
+                    n_sub[(c["sub"] == c["sub"][best]) & c["has_sub"]] += c["has_sub"][best]
                 out = [np.full(len(picks), cols[KEY][r].as_py()), np.arange(1, len(picks) + 1), c["item_id"][picks], c["score"][picks]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=[KEY, "rank", "item_id", "score"])
 
@@ -271,14 +277,24 @@ def greedy_task(k: int | None, objective: Callable[..., np.ndarray]):
 
 
 def vector_greedy(pool: DataFrame, ctx: Context, k: int | None, objective, explore_weight: float = 0.3, fairness: str = "subcategory") -> DataFrame:
-    """Pack each pool (candidates in id order, with vectors joined after the rows are placed) and run the greedy task."""
-    rows = with_history_share(with_categories(pool, ctx), ctx)
+    """Pack each pool (candidates in id order, with vectors joined after the rows are placed) and run the greedy task.
+
+    Candidates need a vector, not a category: without one their category share is 0. Without a subcategory fairness goes by
+    category, without both it is 0.
+    """
+    rows = with_history_share(with_categories(pool, ctx, "left"), ctx)
     uniform = 1 / (ctx.n_subcategories() if fairness == "subcategory" else F.col("n_categories"))
-    share = shares(ctx.items, fairness, fairness).select(fairness, "share")
+    rows = rows.join(shares(ctx.items, fairness, fairness).select(fairness, "share"), fairness, "left")
     scarcity = F.when(F.col("n_hist") > 0, 1.0).otherwise(uniform / F.col("share"))
+    if fairness == "subcategory":
+        corpus = shares(ctx.items, "category", "category")
+        rows = rows.join(corpus.select("category", F.col("share").alias("_c")), "category", "left")
+        by_category = F.when(F.col("n_hist") > 0, 1.0).otherwise(1 / F.col("n_categories") / F.col("_c"))
+        scarcity = F.when(F.col("subcategory").isNotNull(), scarcity).when(F.col("category").isNotNull(), by_category)
+    else:
+        scarcity = F.when(F.col("category").isNotNull(), scarcity)
     rows = (
-        rows.join(share, fairness, "left")
-        .join(ctx.popularity.select("item_id", "popularity"), "item_id", "left")
+        rows.join(ctx.popularity.select("item_id", "popularity"), "item_id", "left")
         .select(
             KEY,
             "item_id",
@@ -288,9 +304,11 @@ def vector_greedy(pool: DataFrame, ctx: Context, k: int | None, objective, explo
             F.coalesce(scarcity, F.lit(0.0)).alias("scarcity"),
             F.xxhash64("category").alias("cat"),
             F.xxhash64(fairness).alias("sub"),
+            F.col("category").isNotNull().alias("has_cat"),
+            F.col(fairness).isNotNull().alias("has_sub"),
         )
     )
-    fields = ["item_id", "score", "popularity", "target", "scarcity", "cat", "sub", "vec"]
+    fields = ["item_id", "score", "popularity", "target", "scarcity", "cat", "sub", "has_cat", "has_sub", "vec"]
     lists = packed_vectors(rows, ctx.vectors, [KEY], fields, "cands").withColumn("cands", F.sort_array("cands"))
     centroid = uniform_profile(ctx.history, ctx.vectors, normalise=False).withColumnRenamed("profile", "centroid")
     lists = lists.join(centroid, KEY, "left").select(
@@ -347,8 +365,9 @@ def composite(
         distance = 1.0 if sim is None else np.clip(1.0 - sim, 0.0, 1.0)
         gap = np.clip((c["target"] - cat_share) * c["n_categories"], -1.0, 1.0)
         surprise = 0.5 if c["cos"] is None else np.clip(1.0 - np.clip(c["cos"], -1.0, 1.0), 0.0, 1.0)
-        uniform = 1.0 / max(c["n_subcategories"] if fairness == "subcategory" else c["n_categories"], 1.0)
-        fair = np.minimum(1.0, np.maximum(0.0, uniform - sub_share) * c["scarcity"] / uniform)
+        uniform = 1.0 / np.where(c["has_sub"] & (fairness == "subcategory"), max(c["n_subcategories"], 1.0), max(c["n_categories"], 1.0))
+        level = np.where(c["has_sub"], sub_share, cat_share)
+        fair = np.minimum(1.0, np.maximum(0.0, uniform - level) * c["scarcity"] / uniform)
         return (
             w_relevance * relevance
             + w_diversity * distance
@@ -463,12 +482,5 @@ def rerank(method: str, candidates: DataFrame, ctx: Context, k: int | None, inje
     if fallback and method in FALLBACK:
         usable = with_categories(pool, ctx).select(KEY).distinct()
         rest = pool.join(usable, KEY, "left_anti")
-        ctx_any = Context(ctx.items.unionByName(_uncategorised(rest, ctx)), ctx.vectors, ctx.popularity, ctx.history)
-        out = out.unionByName(mmr(rest, ctx_any, k, lambda_param=FALLBACK[method](params)))
+        out = out.unionByName(mmr(rest, ctx, k, lambda_param=FALLBACK[method](params)))
     return out
-
-
-def _uncategorised(pool: DataFrame, ctx: Context) -> DataFrame:
-    """Items of the pool that the metadata does not know, with empty category and subcategory."""
-    ids = pool.select("item_id").distinct().join(ctx.items.select("item_id"), "item_id", "left_anti")
-    return ids.select("item_id", F.lit("").alias("category"), F.lit("").alias("subcategory"))

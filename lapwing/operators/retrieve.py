@@ -17,31 +17,29 @@ LONG_HISTORY = 5
 
 
 def nearest(queries: DataFrame, items: DataFrame, k_max: int, excluded: DataFrame | None = None) -> DataFrame:
-    """Exact top-k by inner product: queries (query_id, kind, vec, k), items (item_id, embedding).
+    """Exact top-k by inner product: distinct queries (query_id, kind, vec, k), items (item_id, embedding).
 
-    Queries and items are packed into blocks; every pair of blocks is one matrix product that forwards only
-    the k best items per query (plus as many as the query excludes), so the full score matrix never exists.
-    Item blocks are broadcast while Catalyst or AQE finds them small, else joined by block id. Hits are placed
-    by query once; exclusion and the final cut happen there.
+    Queries and items are packed into blocks. A task takes a block of queries through the item blocks of a group, one matrix
+    product each, and keeps the k best items of a query that it may show; only these leave it, so at most k rows per
+    query and group are shuffled and the full score matrix never exists. Item blocks are broadcast while Catalyst or AQE
+    finds them small, else joined by group. `excluded` (query_id, item_id) travels as one list per query.
     """
     n_blocks = max(1, ceil(items.count() / blocks.BLOCK_ITEMS))
-    fetch = F.col("k")
     if excluded is not None:
-        excluded = excluded.repartition("query_id").distinct()
-        sizes = excluded.groupBy("query_id").agg(F.count(F.lit(1)).alias("_x"))
-        queries = queries.join(sizes, "query_id", "left")
-        fetch = fetch + F.coalesce("_x", F.lit(0))
+        lists = excluded.groupBy("query_id").agg(F.collect_set(F.col("item_id").cast("bigint")).alias("seen"))
+        queries = queries.join(lists, "query_id", "left")
+    else:
+        queries = queries.withColumn("seen", F.lit(None))
     whole = [F.col(c).cast("bigint") for c in ("query_id", "kind", "k")]
-    packed = queries.select(*whole, fetch.cast("bigint").alias("fetch"), "vec").mapInArrow(
-        blocks.pack_queries, "queries array<struct<query_id:bigint,kind:bigint,k:bigint,fetch:bigint,vec:array<double>>>"
+    seen = F.coalesce(F.col("seen").cast("array<bigint>"), F.array().cast("array<bigint>")).alias("seen")
+    packed = queries.select(*whole, seen, "vec").mapInArrow(
+        blocks.pack_queries, "queries array<struct<query_id:bigint,kind:bigint,k:bigint,seen:array<bigint>,vec:array<double>>>"
     )
-    every = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    pairs = every.join(blocks.item_blocks(items, n_blocks), "block").select("queries", "items")
-    found = pairs.mapInArrow(blocks.best_in_block, "query_id bigint, kind bigint, k bigint, item_id bigint, score double")
-    found = found.repartition("query_id")
-    if excluded is not None:
-        found = found.join(excluded, ["query_id", "item_id"], "left_anti")
-    ranked = top_k(found, ["query_id", "kind"], by_score(), k_max)
+    last = F.lit((n_blocks - 1) // blocks.GROUP_BLOCKS).cast("bigint")
+    every = packed.withColumn("group", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    pairs = every.join(blocks.item_blocks(items, n_blocks), "group").select("group", "queries", "items")
+    found = pairs.mapInArrow(blocks.best_in_group, "query_id bigint, kind bigint, k bigint, item_id bigint, score double")
+    ranked = top_k(found.repartition("query_id"), ["query_id", "kind"], by_score(), k_max)
     return ranked.where(F.col("rank") <= F.col("k")).drop("k")
 
 
@@ -75,9 +73,9 @@ def profile_queries(profiles: DataFrame, pool: int = POOL) -> DataFrame:
     return profiles.select(F.inline(queries)).where(F.col("vec").isNotNull())
 
 
-def candidate_pool(queries: DataFrame, items: DataFrame, seen: DataFrame, pool: int = POOL) -> DataFrame:
-    """Union of the three neighbour lists of a user without the items in the history: (impression_id, item_id)."""
-    excluded = seen.select(F.col("impression_id").alias("query_id"), "item_id")
+def candidate_pool(queries: DataFrame, items: DataFrame, seen: DataFrame | None, pool: int = POOL) -> DataFrame:
+    """Union of the three neighbour lists of a user without the items in `seen`, if given: (impression_id, item_id)."""
+    excluded = None if seen is None else seen.select(F.col("impression_id").alias("query_id"), "item_id")
     found = nearest(queries, items, pool, excluded)
     return found.select(F.col("query_id").alias("impression_id"), "item_id").distinct()
 

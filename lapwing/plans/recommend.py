@@ -53,34 +53,54 @@ def signals(candidates: DataFrame, history: DataFrame, model: Model, profile_tab
     )
 
 
-def recommend(history: DataFrame, model: Model, k: int, profile_table: DataFrame | None = None) -> DataFrame:
-    """Top-k of the three-query candidate pool per list: (impression_id, item_id, score, rank).
-
-    Profiles and the pool feed several branches, so both are written once and read back.
+def recommend(
+    lists: DataFrame, history: DataFrame, model: Model, k: int, profile_table: DataFrame | None = None, exclude_history: bool = True
+) -> DataFrame:
+    """Top-k of the three-query candidate pool for each list of `lists`: (impression_id, item_id, score, rank).
+
+    `history` may cover more lists. A list without a profile (no history, or none of its items known) or with an
+    empty pool gets the k most popular items, scored by popularity. With `exclude_history` read items stay out of
+    the pool. Profiles and the pool feed several branches, so both are written once and read back.
     """
+    wanted = lists.select("impression_id").distinct()
     table = profile_table if profile_table is not None else stage(profiles(history, model.vectors), "profiles")
-    pool = stage(R.candidate_pool(R.profile_queries(table), model.vectors, history), "pool")
-    return S.best(signals(pool, history, model, table, bounded=True), k)
+    table = table.join(wanted, "impression_id", "left_semi")
+    pool = stage(R.candidate_pool(R.profile_queries(table), model.vectors, history if exclude_history else None), "pool")
+    warm = S.best(signals(pool, history, model, table, bounded=True), k)
+    cold = S.cold_start(wanted.join(pool.select("impression_id"), "impression_id", "left_anti"), model.popularity, k)
+    return warm.unionByName(cold)
 
 
-def score_candidates(shown: DataFrame, history: DataFrame, model: Model, profile_table: DataFrame | None = None) -> DataFrame:
-    """Scores of given candidates (impression_id, item_id) for lists with a history."""
+def score_candidates(
+    shown: DataFrame, history: DataFrame, model: Model, profile_table: DataFrame | None = None, exclude_history: bool = False
+) -> DataFrame:
+    """Scores of given candidates (impression_id, item_id) for lists with a history, read items included by default."""
     table = profile_table if profile_table is not None else stage(profiles(history, model.vectors), "profiles")
-    return signals(shown.select("impression_id", "item_id"), history, model, table)
+    shown = shown.select("impression_id", "item_id")
+    if exclude_history:
+        shown = shown.join(history.select("impression_id", "item_id"), ["impression_id", "item_id"], "left_anti")
+    return signals(shown, history, model, table)
 
 
-def prepared(spark, sf_dir) -> tuple[Model, DataFrame]:
-    """Model of the training buckets and histories of the test bucket.
+def fitted(spark, sf_dir, meta: DataFrame | None = None) -> tuple[Model, DataFrame]:
+    """Model of the training buckets (over the items in `meta`, if given) and the histories of all lists.
 
     Histories feed the co-click graph and every user signal, so they are written once; popularity and the
     co-click graph are read several times as well.
     """
     histories = stage(T.history(spark, sf_dir), "history")
-    model = fit(T.item_meta(spark, sf_dir), T.item_vectors(spark, sf_dir), T.train(spark, sf_dir), histories.where(F.col("bucket") < T.TEST_BUCKET))
-    model = replace(model, popularity=stage(model.popularity, "popularity"), coclick=stage(model.coclick, "coclick"))
-    return model, histories.where(F.col("bucket") == T.TEST_BUCKET)
+    training = histories.where(F.col("bucket") < T.last_bucket(spark, sf_dir))
+    meta = T.item_meta(spark, sf_dir) if meta is None else meta
+    model = fit(meta, T.item_vectors(spark, sf_dir), T.train(spark, sf_dir), training)
+    return replace(model, popularity=stage(model.popularity, "popularity"), coclick=stage(model.coclick, "coclick")), histories
+
+
+def prepared(spark, sf_dir, meta: DataFrame | None = None) -> tuple[Model, DataFrame]:
+    """Model of the training buckets and histories of the test bucket."""
+    model, histories = fitted(spark, sf_dir, meta)
+    return model, histories.where(F.col("bucket") == T.last_bucket(spark, sf_dir))
 
 
 def test_history(spark, sf_dir) -> DataFrame:
     """Histories of the test bucket, written once: every signal reads them."""
-    return stage(T.history(spark, sf_dir, T.TEST_BUCKET), "history")
+    return stage(T.history(spark, sf_dir, T.last_bucket(spark, sf_dir)), "history")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lapwing.functions import vectors as V
 from lapwing.functions.ranking import positions
@@ -10,7 +10,8 @@ from lapwing.functions.ranking import positions
 DIM = 64
 EPOCH = "2024-01-01"
 BUCKET_DAYS = 6
-TEST_BUCKET = 4
+#: List ids hold the bucket in their low 20 bits: 17,000 years of buckets never run into the next user.
+BUCKETS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,18 @@ def item_meta(spark, sf_dir) -> DataFrame:
     return items(spark, sf_dir).drop("embedding")
 
 
+def partial_meta(spark, sf_dir) -> DataFrame:
+    """Item metadata with gaps and uneven categories: language and source, for labelled documents only."""
+    labelled = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("_l", F.lit(True))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(labelled, "doc_id", "left")
+    emb = table(spark, sf_dir, "embeddings").select("vec_id")
+    return emb.join(docs, emb.vec_id == docs.doc_id, "left").select(
+        F.col("vec_id").alias("item_id"),
+        F.when(F.col("_l"), F.concat("lang", F.lit("-"), "source")).alias("category"),
+        F.coalesce("source", F.lit("none")).alias("subcategory"),
+    )
+
+
 def item_vectors(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("item_id"), V.doubles("embedding").alias("embedding")
@@ -71,7 +84,7 @@ def log(spark, sf_dir) -> DataFrame:
 
 
 def impression_id():
-    return (F.col("user_id") * 100 + F.col("bucket")).alias("impression_id")
+    return (F.col("user_id") * BUCKETS + F.col("bucket")).alias("impression_id")
 
 
 def impressions(spark, sf_dir) -> DataFrame:
@@ -84,12 +97,22 @@ def impressions(spark, sf_dir) -> DataFrame:
     )
 
 
+def last_bucket(spark, sf_dir) -> Column:
+    """The bucket of the latest log event: it is the test set, all earlier ones are the training set."""
+    return log(spark, sf_dir).agg(F.max("bucket")).scalar()
+
+
 def train(spark, sf_dir) -> DataFrame:
-    return impressions(spark, sf_dir).where(F.col("bucket") < TEST_BUCKET)
+    return impressions(spark, sf_dir).where(F.col("bucket") < last_bucket(spark, sf_dir))
 
 
 def test(spark, sf_dir) -> DataFrame:
-    return impressions(spark, sf_dir).where(F.col("bucket") == TEST_BUCKET)
+    return impressions(spark, sf_dir).where(F.col("bucket") == last_bucket(spark, sf_dir))
+
+
+def test_lists(spark, sf_dir) -> DataFrame:
+    """One row per impression of the test bucket."""
+    return heads(spark, sf_dir).where(F.col("bucket") == last_bucket(spark, sf_dir))
 
 
 def heads(spark, sf_dir) -> DataFrame:
@@ -108,7 +131,7 @@ def clicks(spark, sf_dir) -> DataFrame:
     return positions(rows, ["user_id"], F.date_trunc("hour", "ts"), [F.col("ts"), F.col("event_id")])
 
 
-def history(spark, sf_dir, bucket: int | None = None) -> DataFrame:
+def history(spark, sf_dir, bucket: int | Column | None = None) -> DataFrame:
     """Clicks before the start of an impression's bucket: impression_id, user_id, bucket, pos, item_id.
 
     A user's later histories extend the earlier ones, so a click keeps the same position in all of them.

@@ -254,3 +254,43 @@ def test_ild_keeps_lists_without_vectors(spark):
     lists = spark.createDataFrame([(1, 10), (1, 11), (2, 99)], "list_id bigint, item_id bigint")
     vectors = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 1.0])], "item_id bigint, embedding array<double>")
     assert {r["list_id"]: r["ild"] for r in diversity.ild(lists, vectors, ["list_id"]).collect()} == {1: 1.0, 2: 0.0}
+
+
+def test_nearest_cuts_ties_and_seen_items_before_the_shuffle(spark):
+    n, k = 5000, 3
+    items = spark.range(n).select(F.col("id").alias("item_id"), F.array(F.lit(0.0), (F.col("id") == 4999).cast("double")).alias("embedding"))
+    queries = spark.createDataFrame([(1, 0, [0.0, 1.0], k), (2, 0, [0.0, 1.0], k), (3, 0, [0.0, 1.0], k)], "query_id long, kind int, vec array<double>, k long")
+    seen = items.where("item_id <> 17").select(F.lit(2).cast("long").alias("query_id"), "item_id")
+    seen = seen.unionByName(seen.where("item_id < 2").withColumn("query_id", F.lit(3).cast("long")))
+    got = {}
+    for r in R.nearest(queries, items, k, seen).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["item_id"])
+    assert got == {1: [4999, 0, 1], 2: [17], 3: [4999, 2, 3]}
+
+
+def test_best_items_hand_on_at_most_k_rows():
+    import pyarrow as pa
+
+    from lapwing.functions import blocks
+
+    query = [{"query_id": i, "kind": 0, "k": 4, "seen": list(range(i)), "vec": [1.0]} for i in range(3)]
+    kind = pa.list_(pa.struct([("query_id", pa.int64()), ("kind", pa.int64()), ("k", pa.int64()), ("seen", pa.list_(pa.int64())), ("vec", pa.list_(pa.float64()))]))
+    pieces = [[{"item_id": i, "vec": [0.0]} for i in range(p, 5000, 2)] for p in range(2)]
+    item = pa.list_(pa.struct([("item_id", pa.int64()), ("vec", pa.list_(pa.float64()))]))
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 0], pa.int64()), pa.array([query, query], kind), pa.array(pieces, item)], names=["group", "queries", "items"])
+    out = [r for b in blocks.best_in_group(iter([batch])) for r in b.to_pylist()]
+    assert [(r["query_id"], r["item_id"]) for r in out] == [(q, q + i) for q in range(3) for i in range(4)]
+
+
+def test_injection_takes_items_with_a_vector_only(spark):
+    items = spark.createDataFrame([(1, "a", "s"), (2, "b", "s"), (3, "b", "s"), (4, None, None)], "item_id long, category string, subcategory string")
+    vec = spark.createDataFrame([(1, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [0.6, 0.8])], "item_id long, embedding array<double>")
+    pop = spark.createDataFrame([(1, 0.1), (2, 0.9), (3, 0.2), (4, 0.3)], "item_id long, popularity double")
+    past = spark.createDataFrame([], "impression_id long, item_id long, pos long")
+    ctx = H.Context(items, vec, pop, past)
+    cands = spark.createDataFrame([(7, 1, 0.9), (7, 4, 0.8)], "impression_id long, item_id long, score double")
+    assert {r["item_id"] for r in H.inject(cands, ctx).collect()} == {1, 3, 4}
+    for method in ("mmr", "serendipity", "composite"):
+        assert {r["item_id"] for r in H.rerank(method, cands, ctx, 5, inject_candidates=False).collect()} == {1, 4}
+    bare = H.rerank("xquad", cands.where("item_id = 4"), ctx, 5, inject_candidates=False, fallback=True).collect()
+    assert [r["item_id"] for r in bare] == [4]
