@@ -366,7 +366,7 @@ def _best(metric: str, sign: str) -> str:
     "method_comparison",
     sql(
         VIEWS,
-        "SELECT metric, method, round(value, 6) AS value, round(base, 6) AS base, round((base - value) / greatest(abs(base), 1e-9) * 100, 6) AS reduction_pct FROM ("
+        "SELECT metric, method, round(value, 6) AS value, round(base, 6) AS base, round((base - value) / greatest(abs(base), 1e-9) * 100, 6) AS reduction_pct, round(value - base, 6) AS gain FROM ("
         + " UNION ALL ".join(_best(m, "" if s == "min" else "-") for m, s in J.BETTER.items())
         + ")",
         METHODS_SQL,

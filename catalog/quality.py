@@ -46,13 +46,18 @@ def quality_empty_histories(spark, d):
 
 @q(
     "quality_duplicates",
-    """SELECT (SELECT count(*) - count(DISTINCT doc_id) FROM documents) AS duplicate_items,
-    (SELECT count(*) - count(DISTINCT l_orderkey) FROM lineitem) AS duplicate_orders""",
+    sql(
+        "log",
+        """SELECT (SELECT count(*) - count(DISTINCT doc_id) FROM documents) AS duplicate_items,
+    (SELECT count(*) - count(DISTINCT l_orderkey) FROM lineitem) AS duplicate_orders,
+    (SELECT count(*) - count(DISTINCT (user_id, bucket, item_id)) FROM log) AS duplicate_impressions""",
+    ),
 )
 def quality_duplicates(spark, d):
     items = Q.duplicates(T.table(spark, d, "documents").select("doc_id"), "doc_id", "duplicate_items")
     orders = Q.duplicates(T.table(spark, d, "lineitem").select("l_orderkey"), "l_orderkey", "duplicate_orders")
-    return items.withColumn("duplicate_orders", orders.scalar())
+    shown = Q.duplicates(T.log(spark, d).select("user_id", "bucket", "item_id"), ["user_id", "bucket", "item_id"], "duplicate_impressions")
+    return items.withColumn("duplicate_orders", orders.scalar()).withColumn("duplicate_impressions", shown.scalar())
 
 
 @q(

@@ -240,7 +240,7 @@ LIMITS = {"avg_gini": ("<", 0.6), "avg_coverage": (">", 0.25), "avg_ild": (">",
 
 
 def best_methods(results: DataFrame, base: str = "baseline") -> DataFrame:
-    """Best re-ranker per metric, its value, the base value and the reduction in percent of the base."""
+    """Best re-ranker per metric, its value, the base value, the reduction in percent of the base and the gain in points."""
     others = results.where(F.col("method") != base)
     base_row = results.where(F.col("method") == base)
     picks = []
@@ -253,7 +253,7 @@ def best_methods(results: DataFrame, base: str = "baseline") -> DataFrame:
     for p in picks[1:]:
         out = out.unionByName(p)
     change = (F.col("base") - F.col("value")) / F.greatest(F.abs("base"), F.lit(1e-9)) * 100
-    return out.withColumn("reduction_pct", change)
+    return out.withColumn("reduction_pct", change).withColumn("gain", F.col("value") - F.col("base"))
 
 
 def trade_off(results: DataFrame, base: str = "baseline") -> DataFrame:

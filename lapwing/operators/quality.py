@@ -42,9 +42,9 @@ def empty_histories(lengths: DataFrame) -> DataFrame:
     )
 
 
-def duplicates(df: DataFrame, key: str, name: str) -> DataFrame:
+def duplicates(df: DataFrame, key: str | list[str], name: str) -> DataFrame:
     """Rows beyond the first of each id."""
-    return df.groupBy(key).agg((F.count(F.lit(1)) - 1).alias("extra")).agg(F.coalesce(F.sum("extra"), F.lit(0)).alias(name))
+    return df.groupBy(*([key] if isinstance(key, str) else key)).agg((F.count(F.lit(1)) - 1).alias("extra")).agg(F.coalesce(F.sum("extra"), F.lit(0)).alias(name))
 
 
 def entity_coverage(entities: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lapwing.functions import vectors as V
 from lapwing.functions.ranking import positions
+from lapwing.session import stage
 from lapwing.sources.behaviours import words
 
-ORDINAL_CHUNK = 100_000
-TEXT_CHUNK_CHARS = 3
-
 
 def filter_short_history(behaviours: DataFrame, min_len: int = 1, length: Column | None = None) -> DataFrame:
     return behaviours.where((F.size("history") if length is None else length) >= min_len)
@@ -37,19 +35,26 @@ def fix_metadata(df: DataFrame, **applied) -> DataFrame:
     return df.withColumn("fixes", F.struct(*[F.lit(v).alias(k) for k, v in applied.items()]))
 
 
+def dense_codes(df: DataFrame, order: list[str], code: str) -> DataFrame:
+    """0-based position of each row in the order of the whole table; `order` makes rows distinct.
+
+    Rows are dealt by range, so no form of the ids is assumed, and written once, so that counts and positions see the same
+    ranges. A position is the rows in earlier ranges plus the place in its own: one count per range is all that meets.
+    """
+    ranges = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    return positions(stage(ranges, "ranges"), [], F.col("_range"), [F.col(c) for c in order], code).drop("_range")
+
+
 def first_seen_codes(df: DataFrame, value: str, ordinal: str, code: str = "code") -> DataFrame:
     """Dense 0-based code per value in order of first appearance (`ordinal` is a unique row number)."""
     firsts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(ordinal).alias("_first"))
-    chunk = F.floor(F.col("_first") / ORDINAL_CHUNK)
-    return positions(firsts, [], chunk, [F.col("_first"), F.col(value)], code).select(value, code)
+    return dense_codes(firsts, ["_first", value], code).select(value, code)
 
 
 def sorted_codes(df: DataFrame, value: str, code: str = "code") -> DataFrame:
-    """Dense 0-based code per value in sorted order. Chunks are text prefixes or fixed number ranges."""
+    """Dense 0-based code per value in sorted order."""
     distinct = df.select(value).where(F.col(value).isNotNull()).distinct()
-    text = dict(distinct.dtypes)[value] == "string"
-    chunk = F.substring(value, 1, TEXT_CHUNK_CHARS) if text else F.floor(F.col(value) / ORDINAL_CHUNK)
-    return positions(distinct, [], chunk, [F.col(value)], code).select(value, code)
+    return dense_codes(distinct, [value], code).select(value, code)
 
 
 def text_lengths(df: DataFrame, title: str, abstract: str, entities: Column) -> DataFrame:

@@ -294,3 +294,14 @@ def test_injection_takes_items_with_a_vector_only(spark):
         assert {r["item_id"] for r in H.rerank(method, cands, ctx, 5, inject_candidates=False).collect()} == {1, 4}
     bare = H.rerank("xquad", cands.where("item_id = 4"), ctx, 5, inject_candidates=False, fallback=True).collect()
     assert [r["item_id"] for r in bare] == [4]
+
+
+def test_codes_of_sparse_and_like_ids(spark):
+    ids = sorted((i * 0x9E3779B97F4A7C15) % (1 << 63) for i in range(1, 800))
+    wide = spark.createDataFrame([(i,) for i in reversed(ids)] * 2, "v long")
+    assert values(shape.sorted_codes(wide, "v"), "code", "v") == {v: i for i, v in enumerate(ids)}
+    like = [f"user_{i:05d}" for i in range(500)]
+    named = spark.createDataFrame([(v, ids[499 - i]) for i, v in enumerate(like)] + [(None, 0)], "v string, n long")
+    assert values(shape.sorted_codes(named, "v"), "code", "v") == {v: i for i, v in enumerate(like)}
+    assert values(shape.first_seen_codes(named, "v", "n"), "code", "v") == {v: 499 - i for i, v in enumerate(like)}
+    assert shape.sorted_codes(named.where("n < 0"), "v").count() == 0
