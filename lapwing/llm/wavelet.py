@@ -46,9 +46,9 @@ class WaveletMatrix:
     def of(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes, now = [], ids
         for bit in range(bits - 1, -1, -1):
-            one = (now >> now.dtype.type(bit)) & now.dtype.type(1) == 1
+            one = (now & now.dtype.type(1 << bit)).astype(bool)
             planes.append(np.packbits(one, bitorder="little"))
-            now = np.concatenate([now[~one], now[one]])
+            now = np.concatenate([np.compress(~one, now), np.compress(one, now)])
         return cls(len(ids), planes)
 
     def _rank1(self, level: int, place: np.ndarray) -> np.ndarray:
@@ -110,11 +110,12 @@ class WaveletMatrix:
 
     def all(self) -> np.ndarray:
         """The whole row of ids, plane by plane from the last."""
-        now = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        now = np.zeros(self.n, kind)
         for level in range(len(self.planes) - 1, -1, -1):
-            one, out = self.bits_of(level), np.empty(self.n, np.uint32)
+            one, out = self.bits_of(level), np.empty(self.n, kind)
             out[~one] = now[: self.zeros[level]]
-            out[one] = now[self.zeros[level] :] | np.uint32(1 << (len(self.planes) - 1 - level))
+            out[one] = now[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
             now = out
         return now
 
