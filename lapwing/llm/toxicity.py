@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -18,11 +17,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from lapwing.llm import arrays as A
+from lapwing.llm import arrays as A, ngramjoin
 from lapwing.session import stage
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 SAMPLE_ROWS = 40_000
+#: Words of copied texts that a task holds before it hands them on.
+MEMBERS = 500_000
 PRIOR = 0.1
 MOST = 8.0
 #: Fixed vocabulary, English, German, French and Spanish.
@@ -161,28 +162,35 @@ def scores(texts: pa.Array, lexicon: Lexicon, machine: Transducer) -> tuple[np.n
     return 1 / (1 + np.exp(-np.clip(lexicon.prior + total, -30, 30))), matched
 
 
-def _counted(text: str, label: str):
-    """Per task: in how many texts of either label each word occurs, and what follows it in toxic texts."""
+def _counted(text: str, label: str, family: str):
+    """Per task: in how many texts of either label each word occurs; words of copied texts once for each family and label."""
 
-    def run(batches):
-        counts, rows, follows = (Counter(), Counter()), [0, 0], set()
-        for batch in batches:
-            lowered = pc.utf8_lower(pc.fill_null(batch.column(text), "")).to_pylist()
-            for value, is_toxic in zip(lowered, batch.column(label).to_pylist()):
-                words = value.encode().translate(_PARTING).split()
-                counts[is_toxic == 1].update(set(words))
-                rows[is_toxic == 1] += 1
-                if is_toxic == 1:
-                    follows.update(zip(words, [*words[1:], b""]))
+    def rows(counts, members):
         words = list(counts[0].keys() | counts[1].keys())
-        pairs = list(follows)
+        pairs = list(members)
         columns = [
-            pa.array([w.decode() for w in words] + [""] + [w.decode() for w, _ in pairs], pa.string()),
-            pa.array([counts[1][w] for w in words] + [rows[1]] + [0] * len(pairs), pa.int64()),
-            pa.array([counts[0][w] for w in words] + [rows[0]] + [0] * len(pairs), pa.int64()),
-            pa.array([None] * (len(words) + 1) + [zlib.crc32(f) for _, f in pairs], pa.int64()),
+            pa.array([w.decode() for w in words] + [w.decode() for w, _, _ in pairs], pa.string()),
+            pa.array([None] * len(words) + [f for _, f, _ in pairs], pa.int64()),
+            pa.array([counts[1][w] for w in words] + [int(t) for _, _, t in pairs], pa.int64()),
+            pa.array([counts[0][w] for w in words] + [int(not t) for _, _, t in pairs], pa.int64()),
         ]
-        yield pa.RecordBatch.from_arrays(columns, names=["word", "toxic", "clean", "follows"])
+        return pa.RecordBatch.from_arrays(columns, names=["word", "family", "toxic", "clean"])
+
+    def run(batches):
+        counts, members = (Counter(), Counter()), set()
+        for batch in batches:
+            lowered = pc.utf8_lower(pc.fill_null(batch.column(text), "")).to_pylist()
+            for value, value_label, own in zip(lowered, batch.column(label).to_pylist(), batch.column(family).to_pylist()):
+                is_toxic = value_label == 1
+                words = {b"", *value.encode().translate(_PARTING).split()}  # the empty word counts texts
+                if own is None:
+                    counts[is_toxic].update(words)
+                else:
+                    members.update((w, own, is_toxic) for w in words)
+            if len(members) > MEMBERS:
+                yield rows((Counter(), Counter()), members)
+                members = set()
+        yield rows(counts, members)
 
     return run
 
@@ -194,17 +202,24 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Insults and their log odds from labelled texts.
 
     Fits on at most `sample_rows` labelled rows, the first by a digest of the key; all of them where there are fewer. Null
-    labels teach nothing. A word is an insult if at least four fifths of its evidence is toxic and beyond chance at the size
-    of the vocabulary. Toxic evidence is the number of different words that follow it, so that copies of one toxic text,
-    in which every word has the same neighbour, do not make insults of its other words.
+    labels and texts without words teach nothing. A word is an insult if at least four fifths of its evidence is toxic and
+    beyond chance at the size of the vocabulary. Copies and near copies (the families of `ngramjoin`) count once for each
+    label, toxic and clean alike, so neither makes insults of the other words of a copied text nor hides an insult it quotes.
     Without labels only the fixed vocabulary counts.
     """
     A.small_batches(docs.sparkSession)
     chosen = labels.select(F.col(key).alias("_key"), F.col(label).alias("_label")).where("_key is not null and _label is not null")
     chosen = chosen.orderBy(F.xxhash64("_key"), "_key").limit(sample_rows)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")  # at most sample_rows pairs of numbers
-    counted = rows.select("_text", "_label").mapInArrow(_counted("_text", "_label"), "word string, toxic bigint, clean bigint, follows bigint")
-    counted = counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count_distinct("follows").alias("follows"))
+    rows = stage(rows.select(F.monotonically_increasing_id().alias("_row"), "_text", "_label"), "sample")
+    families = ngramjoin.classes(rows, "_row", "_text").where("n_shingles > 0").select("_row", F.col("component_id").alias("_family"))
+    copied = families.groupBy("_family").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_family", F.col("_family").alias("_copied"))
+    families = families.join(F.broadcast(copied), "_family", "left").select("_row", "_copied")  # at most sample_rows pairs of numbers
+    rows = rows.join(F.broadcast(families), "_row").select("_text", "_label", "_copied")
+    counted = rows.mapInArrow(_counted("_text", "_label", "_copied"), "word string, family bigint, toxic bigint, clean bigint")
+    once = counted.groupBy("word", "family").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    seen = lambda c: F.when(F.col("family").isNull(), F.col(c)).otherwise(F.least(F.col(c), F.lit(1)))
+    counted = once.groupBy("word").agg(F.sum(seen("toxic")).alias("toxic"), F.sum(seen("clean")).alias("clean"))
     counted = stage(counted, "words")
     whole = counted.where("word = ''").first()
     n_toxic, n_clean = (whole["toxic"], whole["clean"]) if whole else (0, 0)
@@ -212,7 +227,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return Lexicon({}, PRIOR)
     n_words = counted.count()  # one more than the words
     prior = n_toxic / (n_toxic + n_clean)
-    counted = counted.where("word <> ''").withColumn("toxic", F.least("toxic", "follows"))
+    counted = counted.where("word <> ''")
     share = (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1)
     gain = F.col("toxic") * F.log(share / prior) + F.col("clean") * F.log((1 - share) / max(1 - prior, 1e-9))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))

@@ -70,6 +70,25 @@ def test_toxicity_learns_insults_but_not_copies(spark, none):
     assert toxicity.score(none.select("doc_id", "text"), empty).count() == 0
 
 
+def test_copies_count_once_on_both_sides(spark):
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choice(words, 40)), 0) for i in range(400)]
+    rows += [(i, " ".join([*rng.choice(words, 30), "set", "blorb", "phrase", *rng.choice(words, 9)]), 1) for i in range(400, 440)]
+    quoting = " ".join(f"plain{i}" for i in range(60))
+    rows += [(i, f"{quoting} blorb", 0) for i in range(440, 640)]
+    base = [f"rare{i}" for i in range(200)]
+    for i in range(640, 680):  # near copies, each with a word of its own
+        near = list(base)
+        near[int(rng.integers(200))] = f"own{i}"
+        rows.append((i, " ".join(near), 1))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    lexicon = toxicity.learn(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    known = lambda w: toxicity.hash_of([w])[0] in lexicon.hashes
+    assert known("blorb") and not known("rare3") and not known("plain3")
+    assert np.isclose(lexicon.prior, np.log(41 / 401))
+
+
 def test_toxicity_odd_rows(spark, odd):
     out = toxicity.score(odd.withColumn("score", F.lit("clash")), toxicity.Lexicon({}, 0.1))
     got = {r["doc_id"]: r["score"] for r in out.collect()}
