@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -22,8 +23,10 @@ from lapwing.session import stage
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 SAMPLE_ROWS = 40_000
-#: Words of copied texts that a task holds before it hands them on.
-MEMBERS = 500_000
+#: Words on either side of a word that make its surroundings.
+NEAR_WORDS = 4
+#: Words of families and surroundings that a task holds before it hands them on.
+HELD = 500_000
 PRIOR = 0.1
 MOST = 8.0
 #: Fixed vocabulary, English, German, French and Spanish.
@@ -162,35 +165,42 @@ def scores(texts: pa.Array, lexicon: Lexicon, machine: Transducer) -> tuple[np.n
     return 1 / (1 + np.exp(-np.clip(lexicon.prior + total, -30, 30))), matched
 
 
+ALONE, FAMILY, CONTEXT = range(3)
+
+
 def _counted(text: str, label: str, family: str):
-    """Per task: in how many texts of either label each word occurs; words of copied texts once for each family and label."""
+    """Per task: in how many texts of either label each word occurs; words of copied texts once for each family and label;
+    the different surroundings of each word, where it first stands in a text."""
 
-    def rows(counts, members):
+    def rows(counts, once):
         words = list(counts[0].keys() | counts[1].keys())
-        pairs = list(members)
+        once = list(once)
         columns = [
-            pa.array([w.decode() for w in words] + [w.decode() for w, _, _ in pairs], pa.string()),
-            pa.array([None] * len(words) + [f for _, f, _ in pairs], pa.int64()),
-            pa.array([counts[1][w] for w in words] + [int(t) for _, _, t in pairs], pa.int64()),
-            pa.array([counts[0][w] for w in words] + [int(not t) for _, _, t in pairs], pa.int64()),
+            pa.array([w.decode() for w in words] + [w.decode() for w, _, _, _ in once], pa.string()),
+            pa.array([ALONE] * len(words) + [k for _, k, _, _ in once], pa.int32()),
+            pa.array([None] * len(words) + [x for _, _, x, _ in once], pa.int64()),
+            pa.array([counts[1][w] for w in words] + [int(t) for _, _, _, t in once], pa.int64()),
+            pa.array([counts[0][w] for w in words] + [int(not t) for _, _, _, t in once], pa.int64()),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=["word", "family", "toxic", "clean"])
+        return pa.RecordBatch.from_arrays(columns, names=["word", "kind", "id", "toxic", "clean"])
 
     def run(batches):
-        counts, members = (Counter(), Counter()), set()
+        counts, once = (Counter(), Counter()), set()
         for batch in batches:
             lowered = pc.utf8_lower(pc.fill_null(batch.column(text), "")).to_pylist()
             for value, value_label, own in zip(lowered, batch.column(label).to_pylist(), batch.column(family).to_pylist()):
                 is_toxic = value_label == 1
-                words = {b"", *value.encode().translate(_PARTING).split()}  # the empty word counts texts
+                words = value.encode().translate(_PARTING).split()
+                first = dict(zip(reversed(words), range(len(words) - 1, -1, -1)))
+                once.update((w, CONTEXT, zlib.crc32(b" ".join([*words[max(i - NEAR_WORDS, 0) : i], b"", *words[i + 1 : i + 1 + NEAR_WORDS]])), is_toxic) for w, i in first.items())
                 if own is None:
-                    counts[is_toxic].update(words)
+                    counts[is_toxic].update([b"", *first])  # the empty word counts texts
                 else:
-                    members.update((w, own, is_toxic) for w in words)
-            if len(members) > MEMBERS:
-                yield rows((Counter(), Counter()), members)
-                members = set()
-        yield rows(counts, members)
+                    once.update((w, FAMILY, own, is_toxic) for w in [b"", *first])
+                if len(once) > HELD:
+                    yield rows((Counter(), Counter()), once)
+                    once = set()
+        yield rows(counts, once)
 
     return run
 
@@ -203,8 +213,10 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     Fits on at most `sample_rows` labelled rows, the first by a digest of the key; all of them where there are fewer. Null
     labels and texts without words teach nothing. A word is an insult if at least four fifths of its evidence is toxic and
-    beyond chance at the size of the vocabulary. Copies and near copies (the families of `ngramjoin`) count once for each
-    label, toxic and clean alike, so neither makes insults of the other words of a copied text nor hides an insult it quotes.
+    beyond chance at the size of the vocabulary. Evidence of a label, toxic and clean alike, is the number of texts with the
+    word, copies and near copies (the families of `ngramjoin`) once, or that of its different surroundings of four words on
+    either side, if there are fewer (a passage in many texts). So copies neither make insults of the other words of a toxic
+    text nor hide an insult that a clean one quotes.
     Without labels only the fixed vocabulary counts.
     """
     A.small_batches(docs.sparkSession)
@@ -216,10 +228,12 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     copied = families.groupBy("_family").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_family", F.col("_family").alias("_copied"))
     families = families.join(F.broadcast(copied), "_family", "left").select("_row", "_copied")  # at most sample_rows pairs of numbers
     rows = rows.join(F.broadcast(families), "_row").select("_text", "_label", "_copied")
-    counted = rows.mapInArrow(_counted("_text", "_label", "_copied"), "word string, family bigint, toxic bigint, clean bigint")
-    once = counted.groupBy("word", "family").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    seen = lambda c: F.when(F.col("family").isNull(), F.col(c)).otherwise(F.least(F.col(c), F.lit(1)))
-    counted = once.groupBy("word").agg(F.sum(seen("toxic")).alias("toxic"), F.sum(seen("clean")).alias("clean"))
+    counted = rows.mapInArrow(_counted("_text", "_label", "_copied"), "word string, kind int, id bigint, toxic bigint, clean bigint")
+    once = counted.groupBy("word", "kind", "id").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    seen = lambda c: F.when(F.col("kind") == ALONE, F.col(c)).otherwise(F.least(F.col(c), F.lit(1)))
+    total = lambda c, kinds: F.coalesce(F.sum(F.when(kinds, seen(c))), F.lit(0))
+    texts, around = F.col("kind") != CONTEXT, (F.col("kind") == CONTEXT) | (F.col("word") == "")
+    counted = once.groupBy("word").agg(*[F.least(total(c, texts), total(c, around)).alias(c) for c in ("toxic", "clean")])
     counted = stage(counted, "words")
     whole = counted.where("word = ''").first()
     n_toxic, n_clean = (whole["toxic"], whole["clean"]) if whole else (0, 0)
