@@ -3,7 +3,7 @@
 Words become symbols (insult, threat, target, negation, report, other) with weights; weights of insults are log odds
 learned from labelled texts, beside a small fixed vocabulary. Four transducers read the symbols of a clause: negation and
 reported speech lower the weight of what they cover, a target raises it, a threat counts only with a target near it. They
-are composed into one machine; a text's score is the logistic of the prior log odds plus the weights of its clauses.
+are composed into one machine; a text's score is the logistic of the prior log odds plus the weight of its heaviest clause.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import itertools
 import math
 import zlib
-from collections import Counter
+from collections import Counter, deque
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,10 @@ WORDS = {
 }
 SEED_WEIGHT = 3.0
 THREAT_WEIGHT = 4.0
+#: As many labelled rows as the weight of a vocabulary word is worth.
+VOCABULARY_ROWS = 4
+#: Hits at most so many words apart add up.
+SUM_WORDS = 20
 #: Bytes that part words: all of ASCII but digits and lower-case letters (texts are lower-cased before).
 SEPARATORS = np.r_[0x00:0x30, 0x3A:0x61, 0x7B:0x80]
 CLAUSE_ENDS = b".!?;\n"
@@ -52,10 +56,12 @@ class Transducer:
         self.next = [[step(s, x)[0] for x in range(6)] for s in range(states)]
         self.factor = [[step(s, x)[1] for x in range(6)] for s in range(states)]
         self.bonus = [[step(s, x)[2] for x in range(6)] for s in range(states)]
+        # share of the weight of the last threat that falls due here
+        self.due = [[(*step(s, x), 0.0)[3] for x in range(6)] for s in range(states)]
 
 
 def compose(*parts: Transducer) -> Transducer:
-    """One machine that runs all parts on the same symbols: factors multiply, bonuses add."""
+    """One machine that runs all parts on the same symbols: factors multiply, bonuses and dues add."""
     names = list(itertools.product(*[range(p.states) for p in parts]))
     place = {n: i for i, n in enumerate(names)}
 
@@ -63,7 +69,7 @@ def compose(*parts: Transducer) -> Transducer:
         now = names[state]
         after = place[tuple(p.next[s][symbol] for p, s in zip(parts, now))]
         factor = math.prod(p.factor[s][symbol] for p, s in zip(parts, now))
-        return after, factor, factor * sum(p.bonus[s][symbol] for p, s in zip(parts, now))
+        return after, factor, factor * sum(p.bonus[s][symbol] for p, s in zip(parts, now)), factor * sum(p.due[s][symbol] for p, s in zip(parts, now))
 
     return Transducer(len(names), step)
 
@@ -91,23 +97,47 @@ def target(gain: float = 1.5, late: float = 1.0) -> Transducer:
     return Transducer(3, step)
 
 
-def threat(reach: int = 3, weight: float = THREAT_WEIGHT) -> Transducer:
-    """A threat counts when a target follows within a few words."""
-    return Transducer(reach + 1, lambda s, x: (reach if x == THREAT else 0 if x == TARGET else max(s - 1, 0), 1.0, weight if s and x == TARGET else 0.0))
+def threat(reach: int = 3) -> Transducer:
+    """A threat counts, with its own weight, when a target follows within a few words."""
+    return Transducer(reach + 1, lambda s, x: (reach if x == THREAT else 0 if x == TARGET else max(s - 1, 0), 1.0, 0.0, 1.0 if s and x == TARGET else 0.0))
 
 
 def grammar() -> Transducer:
     return compose(negation(), report(), target(), threat())
 
 
-def clause_weight(machine: Transducer, symbols: list[int], weights: list[float]) -> float:
-    state, total = 0, 0.0
-    for symbol, weight in zip(symbols, weights):
+def clause_hits(machine: Transducer, symbols: list[int], weights: list[float]):
+    """(place, value, whether nothing lowers it, place of the insult or threat) of each hit in a clause."""
+    state, threat_at = 0, -1
+    for i, (symbol, weight) in enumerate(zip(symbols, weights)):
+        factor, due = machine.factor[state][symbol], machine.due[state][symbol]
+        value = machine.bonus[state][symbol]
         if symbol == INSULT:
-            total += machine.factor[state][symbol] * weight
-        total += machine.bonus[state][symbol]
+            value += factor * weight
+        if due:
+            value += due * weights[threat_at]
+        if value > 0 or symbol == INSULT or due:
+            yield i, value, factor >= 1, threat_at if due else i
+        # of threats that wait for a target, the heaviest counts
+        if symbol == THREAT and not (machine.due[state][TARGET] and weights[threat_at] > weight):
+            threat_at = i
         state = machine.next[state][symbol]
-    return total
+
+
+def clause_weight(machine: Transducer, symbols: list[int], weights: list[float]) -> float:
+    """The largest hit that negation or reporting lowers, or the largest sum of other hits within a few words, so that a
+    clause does not weigh more only because it is long."""
+    best, now, held = 0.0, 0.0, deque()
+    for i, value, full, _ in clause_hits(machine, symbols, weights):
+        if not full:
+            best = max(best, value)
+            continue
+        held.append((i, value))
+        now += value
+        while held[0][0] <= i - SUM_WORDS:
+            now -= held.popleft()[1]
+        best = max(best, now)
+    return best
 
 
 def _words(texts: pa.Array):
@@ -125,44 +155,77 @@ def hash_of(words: list[str]) -> np.ndarray:
     return A.word_hashes(codes, starts, ends)
 
 
+def fitted(weight: float, toxic: int, clean: int, prior: float) -> float:
+    """A weight of the vocabulary after evidence: it counts as much as a few rows, and is 0 where labels speak against it."""
+    log_odds = math.log(prior / (1 - prior))
+    share = (toxic + VOCABULARY_ROWS / (1 + math.exp(-log_odds - weight))) / (toxic + clean + VOCABULARY_ROWS)
+    return min(max(math.log(share / (1 - share)) - log_odds, 0.0), MOST)
+
+
 class Lexicon:
-    def __init__(self, learned: dict[str, float], prior: float):
-        entries = {w: (kind, SEED_WEIGHT if kind == INSULT else 0.0) for kind, words in WORDS.items() for w in words.split()}
+    """Words with kind and weight. `vocabulary` has weights that labels gave to words of the fixed vocabulary; 0 removes one."""
+
+    def __init__(self, learned: dict[str, float], prior: float, vocabulary: dict[str, float] | None = None):
+        usual = {INSULT: SEED_WEIGHT, THREAT: THREAT_WEIGHT}
+        entries = {w: (kind, usual.get(kind, 0.0)) for kind, words in WORDS.items() for w in words.split()}
+        for word, weight in (vocabulary or {}).items():
+            entries[word] = (entries[word][0], weight)
         # what labels say about a word outweighs the vocabulary; only words of no other kind become insults
         for word, weight in learned.items():
             if word not in entries or entries[word][0] == INSULT:
                 entries[word] = (INSULT, weight)
+        entries = {w: (k, x) for w, (k, x) in entries.items() if x > 0 or k not in usual}
         hashes = hash_of(list(entries))
         order = np.argsort(hashes)
+        self.names = [list(entries)[i] for i in order]
         self.hashes = hashes[order]
         self.symbols = np.array([k for k, _ in entries.values()])[order]
         self.weights = np.array([w for _, w in entries.values()], float)[order]
         self.prior = math.log(prior / (1 - prior))
 
 
-def scores(texts: pa.Array, lexicon: Lexicon, machine: Transducer) -> tuple[np.ndarray, np.ndarray]:
-    """Score of each text, and how many of its clauses matched."""
+def clauses(texts: pa.Array, lexicon: Lexicon):
+    """(text, symbols, weights, places in the lexicon) of each clause with an insult or a threat."""
     raw, codes, starts, ends, first = _words(texts)
-    n = len(first) - 1
-    total, matched = np.zeros(n), np.zeros(n, np.int64)
-    if len(starts):
-        hashes = A.word_hashes(codes, starts, ends)
-        place = np.minimum(np.searchsorted(lexicon.hashes, hashes), len(lexicon.hashes) - 1)
-        known = lexicon.hashes[place] == hashes
-        symbols = np.where(known, lexicon.symbols[place], OTHER)
-        weights = np.where(known, lexicon.weights[place], 0.0)
-        stops = np.r_[0, np.cumsum(np.isin(raw, np.frombuffer(CLAUSE_ENDS, np.uint8)))]
-        doc = np.repeat(np.arange(n), np.diff(first))
-        # a clause ends at a clause mark or with its text
-        clause = np.cumsum(np.r_[False, (stops[starts[1:]] != stops[starts[:-1]]) | (doc[1:] != doc[:-1])])
-        begin = np.searchsorted(clause, np.arange(clause[-1] + 2))
-        for c in np.unique(clause[(symbols == INSULT) | (symbols == THREAT)]).tolist():
-            a, b = begin[c], begin[c + 1]
-            weight = clause_weight(machine, symbols[a:b].tolist(), weights[a:b].tolist())
-            if weight > 0:
-                total[doc[a]] += weight
-                matched[doc[a]] += 1
-    return 1 / (1 + np.exp(-np.clip(lexicon.prior + total, -30, 30))), matched
+    if not len(starts):
+        return
+    hashes = A.word_hashes(codes, starts, ends)
+    place = np.minimum(np.searchsorted(lexicon.hashes, hashes), len(lexicon.hashes) - 1)
+    known = lexicon.hashes[place] == hashes
+    symbols = np.where(known, lexicon.symbols[place], OTHER)
+    weights = np.where(known, lexicon.weights[place], 0.0)
+    stops = np.r_[0, np.cumsum(np.isin(raw, np.frombuffer(CLAUSE_ENDS, np.uint8)))]
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    # a clause ends at a clause mark or with its text
+    clause = np.cumsum(np.r_[False, (stops[starts[1:]] != stops[starts[:-1]]) | (doc[1:] != doc[:-1])])
+    begin = np.searchsorted(clause, np.arange(clause[-1] + 2))
+    for c in np.unique(clause[(symbols == INSULT) | (symbols == THREAT)]).tolist():
+        a, b = begin[c], begin[c + 1]
+        yield doc[a], symbols[a:b].tolist(), weights[a:b].tolist(), place[a:b]
+
+
+def scores(texts: pa.Array, lexicon: Lexicon, machine: Transducer) -> tuple[np.ndarray, np.ndarray]:
+    """Score of each text, from its heaviest clause, and how many of its clauses matched."""
+    most, matched = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    for doc, symbols, weights, _ in clauses(texts, lexicon):
+        weight = clause_weight(machine, symbols, weights)
+        if weight > 0:
+            most[doc] = max(most[doc], weight)
+            matched[doc] += 1
+    return 1 / (1 + np.exp(-np.clip(lexicon.prior + most, -30, 30))), matched
+
+
+def vocabulary_hits(texts: pa.Array, lexicon: Lexicon, machine: Transducer) -> list[dict[bytes, bytes]]:
+    """Of each text, the insults and threats of the vocabulary that count there in full, as " word"; " " is any threat."""
+    out = [{} for _ in range(len(texts))]
+    for doc, symbols, weights, places in clauses(texts, lexicon):
+        for _, _, full, at in clause_hits(machine, symbols, weights):
+            if full and symbols[at] in (INSULT, THREAT):
+                word = lexicon.names[places[at]].encode()
+                out[doc][b" " + word] = word
+                if symbols[at] == THREAT:
+                    out[doc][b" "] = word
+    return out
 
 
 ALONE, FAMILY, CONTEXT = range(3)
@@ -186,12 +249,15 @@ def _counted(text: str, label: str, family: str):
 
     def run(batches):
         counts, once = (Counter(), Counter()), set()
+        plain, machine = Lexicon({}, PRIOR), grammar()
         for batch in batches:
+            hits = vocabulary_hits(batch.column(text), plain, machine)
             lowered = pc.utf8_lower(pc.fill_null(batch.column(text), "")).to_pylist()
-            for value, value_label, own in zip(lowered, batch.column(label).to_pylist(), batch.column(family).to_pylist()):
+            for value, value_label, own, hit in zip(lowered, batch.column(label).to_pylist(), batch.column(family).to_pylist(), hits):
                 is_toxic = value_label == 1
                 words = value.encode().translate(_PARTING).split()
                 first = dict(zip(reversed(words), range(len(words) - 1, -1, -1)))
+                first |= {mark: first[w] for mark, w in hit.items()}
                 once.update((w, CONTEXT, zlib.crc32(b" ".join([*words[max(i - NEAR_WORDS, 0) : i], b"", *words[i + 1 : i + 1 + NEAR_WORDS]])), is_toxic) for w, i in first.items())
                 if own is None:
                     counts[is_toxic].update([b"", *first])  # the empty word counts texts
@@ -217,7 +283,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     word, copies and near copies (the families of `ngramjoin`) once, or that of its different surroundings of four words on
     either side, if there are fewer (a passage in many texts). So copies neither make insults of the other words of a toxic
     text nor hide an insult that a clean one quotes.
-    Without labels only the fixed vocabulary counts.
+    Words of the vocabulary start from its weight, which evidence raises, lowers or removes; threats from a weight fitted
+    to all of them. Only hits that the grammar counts in full are evidence there. Without labels only the vocabulary counts.
     """
     A.small_batches(docs.sparkSession)
     chosen = labels.select(F.col(key).alias("_key"), F.col(label).alias("_label")).where("_key is not null and _label is not null")
@@ -237,17 +304,25 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     counted = stage(counted, "words")
     whole = counted.where("word = ''").first()
     n_toxic, n_clean = (whole["toxic"], whole["clean"]) if whole else (0, 0)
-    if not n_toxic:
+    if not n_toxic + n_clean:
         return Lexicon({}, PRIOR)
-    n_words = counted.count()  # one more than the words
     prior = n_toxic / (n_toxic + n_clean)
+    settled = min(max(prior, 0.01), 0.4) if n_toxic else PRIOR
+    seen = {r["word"][1:]: (r["toxic"], r["clean"]) for r in counted.where("word like ' %'").collect()}  # at most the vocabulary
+    usual = fitted(THREAT_WEIGHT, *seen.pop("", (0, 0)), settled)
+    vocabulary = {w: fitted(SEED_WEIGHT, *seen.get(w, (0, 0)), settled) for w in WORDS[INSULT].split()}
+    vocabulary |= {w: fitted(usual, *seen.get(w, (0, 0)), settled) for w in WORDS[THREAT].split()}
+    if not n_toxic:
+        return Lexicon({}, settled, vocabulary)
+    counted = counted.where("word not like ' %'")
+    n_words = counted.count()  # one more than the words
     counted = counted.where("word <> ''")
     share = (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1)
     gain = F.col("toxic") * F.log(share / prior) + F.col("clean") * F.log((1 - share) / max(1 - prior, 1e-9))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     kept = counted.withColumn("odds", odds).where((gain > math.log(n_words) + 3) & (share >= 0.8))
     learned = {r["word"]: min(r["odds"], MOST) for r in kept.select("word", "odds").collect()}  # of a bounded sample
-    return Lexicon(learned, min(max(prior, 0.01), 0.4))
+    return Lexicon(learned, settled, vocabulary)
 
 
 def _scored(text: str, lexicon: Lexicon, keep_text: bool):

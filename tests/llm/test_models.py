@@ -89,6 +89,22 @@ def test_copies_count_once_on_both_sides(spark):
     assert np.isclose(lexicon.prior, np.log(41 / 401))
 
 
+def test_labels_lower_the_vocabulary_and_length_adds_nothing(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(300)]
+    drawn = lambda n: list(rng.choice(words, n))
+    rows = [(i, " ".join([*drawn(20), *("retard", "basura", "shoot you")[i % 3].split(), *drawn(20)]), 0) for i in range(300)]
+    rows += [(i, " ".join([*drawn(20), "kill", "you", *drawn(20)]), 1) for i in range(300, 340)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    machine = toxicity.grammar()
+    lexicon = toxicity.learn(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    texts = ["en retard", "la basura", "shoot you an email", "I will kill you", "you idiot", "he said idiot. " * 500, "he said " + "idiot " * 500]
+    score, _ = toxicity.scores(pa.array(texts), lexicon, machine)
+    assert (score >= 0.5).tolist() == [False, False, False, True, True, False, False]
+    clean = toxicity.learn(docs.drop("toxic"), docs.where("toxic = 0").select("doc_id", "toxic"))
+    assert toxicity.scores(pa.array(["you basura"]), clean, machine)[0][0] < 0.5
+
+
 def test_toxicity_odd_rows(spark, odd):
     out = toxicity.score(odd.withColumn("score", F.lit("clash")), toxicity.Lexicon({}, 0.1))
     got = {r["doc_id"]: r["score"] for r in out.collect()}
