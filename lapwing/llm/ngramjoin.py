@@ -91,7 +91,7 @@ def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _signatures(key: str, text: str):
-    """(key, n, two 64-bit digests of the set, its point)."""
+    """(key, keyed, n, two 64-bit digests of the set, its point)."""
 
     def run(batches):
         for whole in batches:
@@ -102,8 +102,8 @@ def _signatures(key: str, text: str):
                 sums = [np.r_[np.uint64(0), np.cumsum(x)] for x in salted]
                 ab = [(s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums]
                 point = [x.tobytes() for x in points_of(sets, first)]
-                columns = [batch.column(key), pa.array(np.diff(first)), pa.array(ab[0]), pa.array(ab[1]), pa.array(point, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "sig_a", "sig_b", "point"])
+                columns = [batch.column(key), batch.column("keyed"), pa.array(np.diff(first)), pa.array(ab[0]), pa.array(ab[1]), pa.array(point, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "keyed", "n", "sig_a", "sig_b", "point"])
 
     return run
 
@@ -341,17 +341,32 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", page_rows: int = PAGE_ROWS) -> DataFrame:
-    """(key, n_shingles, component_id) for every row of `docs`; key is a bigint.
+def row_id(docs: DataFrame, key: str, text: str):
+    """A bigint for each row: its key, or for a null key a number of its text that no key and no other such text has."""
+    own = F.col(key).cast("bigint")
+    nulls = docs.where(F.col(key).isNull()).select(F.col(text).alias("text"))
+    if nulls.isEmpty():
+        return own
+    seed = 0
+    while True:
+        number = lambda c: F.xxhash64(F.lit(seed), F.coalesce(F.concat(F.lit("t"), c), F.lit("")))  # noqa: E731, B023
+        taken = nulls.distinct().select(number(F.col("text")).alias("id"))
+        if taken.count() == taken.distinct().count() and taken.join(docs.select(own.alias("id")), "id", "left_semi").isEmpty():
+            return F.coalesce(own, number(F.col(text)))
+        seed += 1
 
-    Null and empty texts and texts of blanks have no shingles and link with nothing; a null key never names a class; shorter texts than five words are one
-    shingle; equal texts are one class; repeated rows give repeated results. component_id is the smallest key that
-    links lead to. Other columns are not read; an empty table stays empty. No set is cut and no number of partners capped.
-    """
+
+def _labelled(docs: DataFrame, key: str, text: str, page_rows: int):
+    """(id, keyed, n, label, name) for every row of `docs` and the column of the ids: label is the smallest id or
+    representative of the class, name the smallest key in it."""
     spark = A.small_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    every = stage(rows.mapInArrow(_signatures("id", "text"), "id bigint, n bigint, sig_a bigint, sig_b bigint, point binary"), "signatures")
-    heads = every.where("n > 0").groupBy("sig_a", "sig_b", "n").agg(F.min("id").alias("rep"))
+    inner = row_id(docs, key, text)
+    numbered = docs.select(inner.alias("id"), F.col(key).isNotNull().alias("keyed"), F.col(text).alias("text"))
+    rows = numbered.select("id", "text")
+    every = stage(numbered.mapInArrow(_signatures("id", "text"), "id bigint, keyed boolean, n bigint, sig_a bigint, sig_b bigint, point binary"), "signatures")
+    # a set is represented by a key where it has one
+    heads = every.where("n > 0").groupBy("sig_a", "sig_b", "n").agg(F.min(F.when(F.col("keyed"), F.col("id"))).alias("name"), F.min("id").alias("rep"))
+    heads = heads.withColumn("rep", F.coalesce("name", "rep"))
     heads = stage(heads, "representatives")
     reps = rows.join(heads.select(F.col("rep").alias("id")), "id", "left_semi")
     marks = spark.sparkContext.broadcast(bitmap(rows, "text"))
@@ -369,15 +384,41 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", page_rows:
     grouped = near.join(wanted, "id").repartition(*keys).sortWithinPartitions(*keys).select(*keys, "side", "id", "shingles")
     links = grouped.mapInArrow(_links, "a bigint, b bigint")
     found = components(links)
-    labels = heads.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("sig_a", "sig_b", "n", F.coalesce("label", "rep").alias("label"))
+    labels = heads.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    names = labels.groupBy("label").agg(F.min("name").alias("name"))
+    labels = labels.drop("name").join(names, "label").select("sig_a", "sig_b", "n", "label", "name")
     out = every.join(labels, ["sig_a", "sig_b", "n"], "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
+    name = F.when(F.col("label").isNull() & F.col("keyed"), F.col("id")).otherwise(F.col("name"))
+    return out.select("id", "keyed", "n", F.coalesce("label", "id").alias("label"), name.alias("name")), inner
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """Rows of `docs` that are the smallest key of their class; of repeated rows with that key, all stay. Same columns."""
-    keep = classes(docs, key, **options).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_keep")).distinct()
-    return docs.join(keep, docs[key] == keep["_keep"], "left_semi")
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", page_rows: int = PAGE_ROWS) -> DataFrame:
+    """(key, n_shingles, component_id) for every row of `docs`; key is a bigint.
+
+    Null and empty texts and texts of blanks have no shingles and link with nothing; shorter texts than five words are one
+    shingle; equal texts are one class; repeated rows give repeated results. component_id is the smallest key that
+    links lead to. Rows with a null key link like others but never name a class: one of null keys only has a null
+    component_id. Other columns are not read; an empty table stays empty. No set is cut and no number of partners capped.
+    """
+    found, _ = _labelled(docs, key, text, page_rows)
+    return found.select(F.when(F.col("keyed"), F.col("id")).alias(key), F.col("n").alias("n_shingles"), F.col("name").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", page_rows: int = PAGE_ROWS) -> DataFrame:
+    """Rows of `docs` that are the smallest key of their class; of repeated rows with that key, all stay. Same columns.
+
+    A class of null keys only keeps one row; rows with a null key and no word are classes of their own and all stay.
+    """
+    found, inner = _labelled(docs, key, text, page_rows)
+    first = F.when(F.col("keyed"), F.col("id") == F.col("name")).otherwise(F.col("name").isNull() & (F.col("id") == F.col("label")))
+    keep = found.where(first).groupBy(F.col("id").alias("_id")).agg(F.max("keyed").alias("_keyed"), F.max("n").alias("_n"))
+    keep = stage(keep, "kept")
+    kept = docs.withColumn("_id", inner).join(keep.select("_id"), "_id", "left_semi")
+    if keep.where("not _keyed").isEmpty():
+        return kept.select(*docs.columns)
+    once = keep.where("not _keyed and _n > 0").select("_id")
+    alone = kept.join(once, "_id", "left_semi").dropDuplicates(["_id"])
+    return kept.join(once, "_id", "left_anti").unionByName(alone).select(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

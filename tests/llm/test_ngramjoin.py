@@ -79,6 +79,19 @@ def test_odd_and_empty(spark, odd, none):
     assert kept == [1, 2, 3, 4, 6, 7, 8, 9, 10]
 
 
+def test_null_keys_stay(spark):
+    base = [f"w{i}" for i in range(80)]
+    edited = lambda i: " ".join([*base[:i], "other", *base[i + 1 :]])
+    alone = "a text that only null keys hold in this table of rows"
+    rows = [(None, " ".join(base)), (5, edited(0)), (4, edited(79)), (None, "one unique clean text without a key at all"), (None, alone), (None, alone.upper()), (None, alone), (None, None), (None, ""), (7, "quite another text of some words")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in N.classes(docs).collect()), key=str)
+    # the row without a key joins the class of its near copies
+    assert out == sorted([(None, 76, 4), (5, 76, 4), (4, 76, 4), (None, 5, None), *[(None, 8, None)] * 3, *[(None, 0, None)] * 2, (7, 2, 7)], key=str)
+    kept = [(r["doc_id"], (r["text"] or "").lower()) for r in N.one_of_each(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(4, edited(79)), (None, rows[3][1]), (None, alone), (None, ""), (None, ""), (7, rows[9][1])], key=str)
+
+
 def test_long_chain_of_links(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 102), (102, 101)], "a bigint, b bigint")
     labels = {r["id"]: r["label"] for r in N.components(chain).collect()}
