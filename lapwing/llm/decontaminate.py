@@ -18,6 +18,8 @@ from lapwing.llm import arrays as A
 
 WINDOW = 13
 SHARD_WORDS = 2_000_000
+#: Pairs of a place and an item suffix that are compared at once.
+PAIRS = 1 << 20
 #: Text of one block of items, which is sent to all tasks; more items take further passes.
 BLOCK_BYTES = 32 << 20
 #: All bytes but 0-9, a-z (A-Z become these) and those of non-ASCII characters.
@@ -154,25 +156,46 @@ def search(words: np.ndarray, first: np.ndarray, items: Items) -> dict:
     each = hi - lo
     owner_of = owners[np.repeat(lo, each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each), 1]
     out["pairs"] = np.unique(np.stack([np.repeat(seen[:, 0], each), owner_of], 1), axis=0)
-    # per document and window, its first place and the longest match that starts there
-    head = np.unique(np.stack([doc[start], which, start], 1), axis=0)
-    head = head[np.r_[True, (head[1:, :2] != head[:-1, :2]).any(1)]]
-    sample = np.zeros(len(spots), np.int64)
-    sample[index[::-1]] = np.arange(len(index))[::-1]
-    chosen = sample[head[:, 1]]
     where = np.full(len(words), -1, np.int64)
     where[source] = place
-    length = common(shard, where[head[:, 2]], items.words, some.suffix[chosen], whole[found][chosen])
-    # what lies inside a longer match of the same item is no match of its own
-    rows = np.stack([head[:, 0], head[:, 2] - first[head[:, 0]], length, found[chosen]], 1)
-    rows = rows[np.lexsort((rows[:, 1], items.item[rows[:, 3]], rows[:, 0]))]
-    item = items.item[rows[:, 3]]
-    shift = rows[:, 1] - items.offset[rows[:, 3]]
-    inner = np.r_[False, (rows[1:, 0] == rows[:-1, 0]) & (item[1:] == item[:-1]) & (shift[1:] == shift[:-1]) & (rows[1:, 1] + rows[1:, 2] == rows[:-1, 1] + rows[:-1, 2])]
-    out["matches"] = rows[~inner]
+    out["matches"] = longest(shard, where, start, which, index, items, found, whole, first, doc)
     return out
 
 
+def longest(shard, where, start, which, index, items: Items, found, whole, first, doc, step: int = PAIRS) -> np.ndarray:
+    """Rows (document, start, length, item suffix): every place of a window continued along every item suffix that has it.
+
+    A pair whose words before also agree continues an earlier one, so only the first of a run is measured. Of one item, what
+    lies inside a longer match is no match of its own.
+    """
+    by_window = np.argsort(index, kind="stable")
+    low = np.searchsorted(index[by_window], np.arange(index.max() + 2))
+    each = np.diff(low)[which]
+    upto = np.cumsum(each)
+    kept, at = [], 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + step, "right")))
+        size = each[at:to]
+        begin = np.repeat(start[at:to], size)
+        own = np.arange(len(begin)) - np.repeat(np.cumsum(size) - size, size)
+        suffix = found[by_window[np.repeat(low[which[at:to]], size) + own]]
+        left, right = shard[where[begin] - 1], items.words[items.suffix[suffix] - 1]
+        head = ~((left == right) & (left > 0))
+        begin, suffix = begin[head], suffix[head]
+        length = common(shard, where[begin], items.words, items.suffix[suffix], whole[suffix])
+        kept.append(np.stack([begin, length, suffix], 1))
+        at = to
+    rows = np.concatenate(kept)
+    owner, item, end = doc[rows[:, 0]], items.item[rows[:, 2]], rows[:, 0] + rows[:, 1]
+    order = np.lexsort((rows[:, 2], -rows[:, 1], rows[:, 0], item, owner))
+    rows, owner, item, end = rows[order], owner[order], item[order], end[order]
+    group = np.cumsum(np.r_[False, (owner[1:] != owner[:-1]) | (item[1:] != item[:-1])])
+    reach = np.maximum.accumulate(end + group * (len(doc) + 1))  # ends of earlier groups stay below
+    outer = np.r_[True, (group[1:] != group[:-1]) | (end[1:] + group[1:] * (len(doc) + 1) > reach[:-1])]
+    rows, owner = rows[outer], owner[outer]
+    return np.stack([owner, rows[:, 0] - first[owner], rows[:, 1], rows[:, 2]], 1)
+
+
 class Some:
     """The items, with only some of their suffixes."""
 
@@ -277,7 +300,7 @@ def find(
     """Documents with what the benchmark left in them.
 
     Adds n_words, n_hit (words inside an occurrence of any window), items (ids whose windows occur, sorted) and matches
-    (longest verbatim matches: start, length, item, item_start, in words). A null or empty text has no words and no hits;
+    (longest verbatim matches, every place with every item: start, length, item, item_start, in words). A null or empty text has no words and no hits;
     null or empty items are ignored, equal items are all reported; repeated documents are judged row by row; an empty
     table gives an empty result and an empty benchmark no hits. Other columns of `docs` are kept, `text` on request only;
     columns of these result names are replaced, and extra columns of `benchmark` are not read. A text of any length is

@@ -73,6 +73,18 @@ def test_longest_match(spark):
     assert [tuple(m) for m in found["matches"]] == [(2, 20, "9", 5)] and found["n_hit"] == 20
 
 
+def test_matches_at_every_place_with_every_item(spark):
+    w = [f"w{i}" for i in range(40)]
+    items = [(1, " ".join(w[:20])), (2, " ".join([*w[:30], "end"])), (3, " ".join(["x", *w[5:18], "y"]))]
+    text = " ".join([*w[:30], "gap", *w[:30], "gap", *w[5:18]])
+    docs = spark.createDataFrame([(1, "nothing"), (2, text), (3, " ".join(w[:25]))], "doc_id bigint, text string")
+    found = D.find(docs, spark.createDataFrame(items, "item_id bigint, text string"))
+    got = {r["doc_id"]: sorted(tuple(m) for m in r["matches"]) for r in found.collect()}
+    whole = [(s, n, i, 0) for s in (0, 31) for n, i in ((20, "1"), (30, "2"))]
+    want = whole + [(s + 5, 13, "3", 1) for s in (0, 31)] + [(62, 13, "1", 5), (62, 13, "2", 5), (62, 13, "3", 1)]
+    assert got == {1: [], 2: sorted(want), 3: [(0, 20, "1", 0), (0, 25, "2", 0), (5, 13, "3", 1)]}
+
+
 def test_odd_and_empty(spark, odd, none):
     bench = spark.createDataFrame([(1, "one two three")], "item_id bigint, text string")
     got = rows(D.digest(D.find(odd, bench)))
