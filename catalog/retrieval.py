@@ -117,7 +117,8 @@ def item_neighbours_lsh(spark, d):
     """The approximate option of item_neighbours (an LSH join, so no exact oracle)."""
     vec = T.item_vectors(spark, d)
     queries = vec.select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vec"))
-    return A.rounded(R.nearest_approximate(queries, vec, 6, 1.2))
+    same = vec.select(F.col("item_id").alias("query_id"), "item_id")
+    return A.rounded(R.nearest_approximate(queries, vec, 6, 1.2, excluded=same))
 
 
 @q("candidate_pool", sql("items hist", "SELECT impression_id, item_id FROM cand", PROFILES_SQL + ",\n" + POOL_SQL))

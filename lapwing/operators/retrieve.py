@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lapwing.functions import blocks, vectors as V
 from lapwing.functions.ranking import by_score, top_k
+from lapwing.session import stage
 
 # fixed values: pool sizes of the three profile queries and the history length that enables the third
 POOL = 150
@@ -43,8 +44,13 @@ def nearest(queries: DataFrame, items: DataFrame, k_max: int, excluded: DataFram
     return ranked.where(F.col("rank") <= F.col("k")).drop("k")
 
 
-def nearest_approximate(queries: DataFrame, items: DataFrame, k: int, radius: float, tables: int = 8, width: float = 0.5) -> DataFrame:
-    """LSH variant for catalogues too large for the exact product: unit vectors within Euclidean `radius`."""
+def nearest_approximate(
+    queries: DataFrame, items: DataFrame, k: int, radius: float, tables: int = 8, width: float = 0.5, excluded: DataFrame | None = None
+) -> DataFrame:
+    """LSH variant for catalogues too large for the exact product: unit vectors within Euclidean `radius`.
+
+    Queries with fewer than k rows by then are answered by the exact product. `excluded` as for `nearest`.
+    """
     lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=7)
     left = queries.select("query_id", array_to_vector("vec").alias("v"))
     right = items.select("item_id", array_to_vector("embedding").alias("v"))
@@ -54,7 +60,13 @@ def nearest_approximate(queries: DataFrame, items: DataFrame, k: int, radius: fl
         F.col("datasetB.item_id").alias("item_id"),
         (1 - F.col("dist") * F.col("dist") / 2).alias("score"),
     )
-    return top_k(scores, ["query_id"], by_score(), k)
+    if excluded is not None:
+        scores = scores.join(excluded, ["query_id", "item_id"], "left_anti")
+    found = stage(top_k(scores, ["query_id"], by_score(), k), "near")
+    full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")
+    short = queries.join(full, "query_id", "left_anti").select("query_id", F.lit(0).alias("kind"), "vec", F.lit(k).alias("k"))
+    exact = nearest(short, items, k, excluded).drop("kind")
+    return found.join(full, "query_id", "left_semi").unionByName(exact.select(*found.columns))
 
 
 def profile_queries(profiles: DataFrame, pool: int = POOL) -> DataFrame:

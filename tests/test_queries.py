@@ -117,3 +117,16 @@ def test_feed_remembers_clicks_of_earlier_batches(spark, tmp_path):
     S.feed_updates(clicks, cands, lambda c: top_k(c, ["impression_id"], by_score(), 3), str(tmp_path / "feed"), str(tmp_path / "cp")).awaitTermination()
     feed = spark.read.parquet(str(tmp_path / "feed"))
     assert sorted(r["item_id"] for r in feed.where(F.col("batch_id") == 1).collect()) == [3, 4]
+
+
+def test_lsh_neighbours_against_the_exact_ones(spark, sf_dir):
+    from lapwing.operators import retrieve
+    from lapwing.plans import tables
+
+    pairs = lambda df: {(r["query_id"], r["item_id"]) for r in df.collect()}
+    want = pairs(retrieve.item_neighbours(tables.item_vectors(spark, sf_dir), 6))
+    got = pairs(entry.queries()["item_neighbours_lsh"](spark, sf_dir))
+    recall = len(want & got) / len(want)
+    print("recall", recall, len(want & got), len(want))
+    assert len(got) == len(want) and all(q != i for q, i in got)
+    assert recall >= 0.9
