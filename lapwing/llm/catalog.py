@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lapwing.llm import decontaminate, exactdup, language, mixing, ngramjoin, quality, sharding, tokencount, toxicity, wavelet
+from lapwing.llm import collocations, decontaminate, exactdup, language, merkle, mixing, ngramjoin, quality, sharding, tokencount, toxicity, vptree, wavelet
 
 CATALOG: dict = {}
 
@@ -84,6 +84,21 @@ def op10(spark, d):
     return exactdup.digest(table(spark, d, "documents"))
 
 
+@register("op11_merkle_manifest", merkle.DIGEST_SQL)
+def op11(spark, d):
+    return merkle.digest(table(spark, d, "documents"))
+
+
+@register("op12_nearest_neighbours", vptree.DIGEST_SQL)
+def op12(spark, d):
+    return vptree.digest(table(spark, d, "embeddings"))
+
+
+@register("op13_collocations", collocations.DIGEST_SQL)
+def op13(spark, d):
+    return collocations.mine(table(spark, d, "documents"))
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, d):
     return corpus_pipeline.run(spark, d)
