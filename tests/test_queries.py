@@ -130,3 +130,17 @@ def test_lsh_neighbours_against_the_exact_ones(spark, sf_dir):
     print("recall", recall, len(want & got), len(want))
     assert len(got) == len(want) and all(q != i for q, i in got)
     assert recall >= 0.9
+
+
+def test_entry_survives_missing_corpus_operators(monkeypatch):
+    """A package that the corpus operators need and that does not import costs their queries only."""
+    import sys
+
+    import __spark_entry__ as entry
+
+    for name in [m for m in sys.modules if m.startswith("lapwing.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "lapwing.llm", None)
+    with pytest.warns(UserWarning, match="corpus operators"):
+        names = set(entry.queries())
+    assert len(names) >= 175 and not any(n.startswith("op") and "_" in n and n[2].isdigit() for n in names)
