@@ -56,6 +56,64 @@ _PAT = """ac AS (SELECT user_id, CASE event_type WHEN 'click' THEN 'click' WHEN
     pf AS (SELECT *, CASE WHEN total_interactions > 10 THEN 0.4 * least(1.0, avg_dwell_time / 60) + 0.3 * (1 - skip_rate) + 0.3 * least(1.0, category_switches / total_interactions::DOUBLE * 5) ELSE 0.5 END AS preference FROM pl)"""
 
 
+_PROFILE = """ue AS (SELECT user_id, a, v, label, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS p FROM (
+        SELECT user_id, ts, event_id, 'rate' AS a, least(1.0, value / 100) AS v, CASE item_id % 3 WHEN 0 THEN 'mmr' WHEN 1 THEN 'calibrated' ELSE 'serendipity' END AS label FROM ev WHERE event_type = 'purchase'
+        UNION ALL SELECT user_id, ts, event_id, CASE event_type WHEN 'click' THEN 'click' WHEN 'error' THEN 'skip' ELSE 'dwell' END, value, category FROM ev LEFT JOIN items USING (item_id) WHERE event_type IN ('click', 'error', 'view')) WHERE {where}),
+    us AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 0.5::DOUBLE AS l, 0.5::DOUBLE AS al, 0.3::DOUBLE AS b, 0::BIGINT AS fc, 0.0::DOUBLE AS dwell, 0.0::DOUBLE AS skip, 0::BIGINT AS sw, 0::BIGINT AS t, NULL::VARCHAR AS last, false AS clicked FROM ue
+        UNION ALL SELECT user_id, n + 1,
+        CASE WHEN a <> 'rate' AND t2 > 10 THEN 1 - 0.6 * pref WHEN a = 'rate' AND label = 'mmr' THEN 0.9 * l + 0.1 * CASE WHEN v > 0.7 THEN l WHEN v < 0.3 THEN 1 - l ELSE 0.3 + 0.4 * ('0x' || substr(md5('42|' || user_id || '|' || fc), 1, 8))::BIGINT / 4294967296.0::DOUBLE END ELSE l END,
+        CASE WHEN a <> 'rate' AND t2 > 10 THEN 0.3 + 0.4 * pref WHEN a = 'rate' AND label = 'calibrated' THEN 0.9 * al + 0.1 * CASE WHEN v > 0.7 THEN least(1.0, al + 0.1) WHEN v < 0.3 THEN greatest(0.0, al - 0.1) ELSE al END ELSE al END,
+        CASE WHEN a <> 'rate' AND t2 > 10 THEN 0.2 + 0.4 * pref WHEN a = 'rate' AND label = 'serendipity' THEN 0.9 * b + 0.1 * CASE WHEN v > 0.7 THEN least(1.0, b + 0.1) WHEN v < 0.3 THEN greatest(0.0, b - 0.1) ELSE b END ELSE b END,
+        fc + CASE WHEN a = 'rate' THEN 1 ELSE 0 END, dwell2, skip2, sw2, t2, CASE WHEN a = 'click' THEN label ELSE last END, clicked OR a = 'click'
+        FROM (SELECT *, 0.4 * least(1.0, dwell2 / 60) + 0.3 * (1 - skip2) + 0.3 * least(1.0, sw2 / greatest(t2, 1)::DOUBLE * 5) AS pref FROM (
+            SELECT us.*, a, v, label, CASE WHEN a = 'dwell' THEN (dwell * t + v) / (t + 1) ELSE dwell END AS dwell2, CASE WHEN a = 'skip' THEN (skip * t + 1) / (t + 1) ELSE skip END AS skip2,
+            sw + CASE WHEN a = 'click' AND clicked AND last IS DISTINCT FROM label THEN 1 ELSE 0 END AS sw2, t + CASE WHEN a = 'rate' THEN 0 ELSE 1 END AS t2
+            FROM us JOIN ue ON ue.user_id = us.user_id AND ue.p = us.n))),
+    ul AS (SELECT user_id, arg_max(l, n) AS "lambda", arg_max(al, n) AS alpha, arg_max(b, n) AS beta, arg_max(fc, n) AS feedback_count, arg_max(dwell, n) AS avg_dwell_time, arg_max(skip, n) AS skip_rate,
+        arg_max(sw, n) AS category_switches, arg_max(t, n) AS total_interactions FROM us GROUP BY 1),
+    up AS (SELECT *, least(1.0, 0.05 * feedback_count) AS confidence,
+        CASE WHEN total_interactions > 10 THEN 0.4 * least(1.0, avg_dwell_time / 60) + 0.3 * (1 - skip_rate) + 0.3 * least(1.0, category_switches / total_interactions::DOUBLE * 5) ELSE 0.5 END AS preference FROM ul)"""
+_PROFILE_SQL = """SELECT user_id, round("lambda", 6) AS lambda, round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(confidence, 6)::DOUBLE AS confidence, feedback_count,
+        round(avg_dwell_time, 6) AS avg_dwell_time, round(skip_rate, 6) AS skip_rate, category_switches, total_interactions FROM up"""
+#: What a stream has folded in the end: events that the last watermark, an hour behind the latest, has passed.
+_PASSED = "epoch_ms(ts) < (SELECT epoch_ms(max(ts)) - 3600000 FROM {table})"
+
+
+def profile_events(spark, d):
+    return U.rating_events(feedback(spark, d)).unionByName(U.action_events(actions(spark, d)))
+
+
+@q("user_profile_weights", sql("items ev", _PROFILE_SQL, _PROFILE.format(where="true"), recursive=True))
+def user_profile_weights(spark, d):
+    """Weights and patterns of every user, moved by ratings and interactions in one order."""
+    return A.rounded(U.personal_state(profile_events(spark, d)))
+
+
+@q(
+    "contextual_profile",
+    sql(
+        "items ev",
+        """SELECT user_id, total_interactions, time_of_day, round(CASE WHEN s THEN preference END, 6) AS preference, round(CASE WHEN s THEN greatest(0, least(1, l3)) END, 6)::DOUBLE AS lambda, round(CASE WHEN s THEN alpha END, 6) AS alpha,
+        round(CASE WHEN s THEN greatest(0, least(1, b3)) END, 6)::DOUBLE AS beta, CASE WHEN s THEN CASE WHEN round(preference, 9) > 0.65 THEN 'Explorer' WHEN round(preference, 9) < 0.35 THEN 'Specialist' ELSE 'Balanced reader' END END AS label
+        FROM (SELECT *, total_interactions >= 5 AS s, CASE WHEN total_interactions > 10 THEN l2 * 0.9 ELSE l2 END AS l3, CASE WHEN total_interactions > 10 THEN b2 * 1.1 ELSE b2 END AS b3 FROM (
+        SELECT *, CASE device WHEN 'mobile' THEN least(1, l1 * 1.1) WHEN 'desktop' THEN l1 * 0.95 ELSE l1 END AS l2, CASE device WHEN 'mobile' THEN b1 * 0.9 ELSE b1 END AS b2 FROM (
+        SELECT *, CASE time_of_day WHEN 'morning' THEN "lambda" * 0.8 WHEN 'evening' THEN least(1, "lambda" * 1.2) ELSE "lambda" END AS l1, CASE time_of_day WHEN 'morning' THEN beta * 1.2 WHEN 'evening' THEN beta * 0.8 ELSE beta END AS b1
+        FROM up JOIN seen USING (user_id))))""",
+        _PROFILE.format(where="true")
+        + """, seen AS (SELECT user_id, CASE WHEN hour(t) BETWEEN 6 AND 11 THEN 'morning' WHEN hour(t) BETWEEN 12 AND 17 THEN 'afternoon' WHEN hour(t) BETWEEN 18 AND 21 THEN 'evening' ELSE 'night' END AS time_of_day,
+        CASE user_id % 3 WHEN 0 THEN 'mobile' WHEN 1 THEN 'desktop' ELSE 'tablet' END AS device FROM (SELECT user_id, max(ts) AS t FROM ev GROUP BY 1))""",
+        recursive=True,
+    ),
+)
+def contextual_profile(spark, d):
+    """Every user's own weights in the context of their last event, shown from five interactions on."""
+    seen = T.events(spark, d).groupBy("user_id").agg(F.max("ts").alias("_t"))
+    state = U.personal_state(profile_events(spark, d)).join(seen, "user_id")
+    device = F.when(F.col("user_id") % 3 == 0, "mobile").when(F.col("user_id") % 3 == 1, "desktop").otherwise("tablet")
+    out = U.contextual_profile(state, U.time_of_day(F.hour("_t")), device)
+    return A.rounded(out.select("user_id", "total_interactions", "time_of_day", "preference", "lambda", "alpha", "beta", "label"))
+
+
 @q(
     "tuner_feedback",
     sql("ev", 'SELECT user_id, round("lambda", 6) AS "lambda", round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(confidence, 6) AS confidence, feedback_count FROM fl', _FB, recursive=True),
@@ -95,17 +153,21 @@ def tuner_preference(spark, d):
     "user_profiles",
     sql(
         "items ev",
-        f"""SELECT {_P}, round(coalesce("lambda", 0.5), 6) AS lambda, round(coalesce(alpha, 0.5), 6) AS alpha, round(coalesce(beta, 0.3), 6) AS beta, round(coalesce(confidence, 0), 6) AS confidence,
-        coalesce(feedback_count, 0) AS feedback_count FROM pl LEFT JOIN fl USING (user_id)""",
-        _PAT + "," + _FB,
+        """SELECT c_custkey AS user_id, round(coalesce("lambda", 0.5), 6) AS lambda, round(coalesce(alpha, 0.5), 6) AS alpha, round(coalesce(beta, 0.3), 6) AS beta, round(coalesce(confidence, 0), 6)::DOUBLE AS confidence,
+        coalesce(feedback_count, 0) AS feedback_count, round(coalesce(avg_dwell_time, 0), 6) AS avg_dwell_time, round(coalesce(skip_rate, 0), 6) AS skip_rate, coalesce(category_switches, 0) AS category_switches,
+        coalesce(total_interactions, 0) AS total_interactions, round(coalesce(preference, 0.5), 6) AS preference FROM customer LEFT JOIN up ON user_id = c_custkey""",
+        _PROFILE.format(where="true"),
         recursive=True,
     ),
 )
 def user_profiles(spark, d):
-    """Patterns and weights per user, defaults where a user never rated."""
-    weights = U.feedback_weights(feedback(spark, d))
-    out = sinks.with_defaults(U.interaction_patterns(actions(spark, d)), weights, {**U.DEFAULTS, "feedback_count": 0})
-    return A.rounded(out)
+    """Whole profile of every customer: weights as ratings and patterns moved them, patterns, feedback count; defaults for users without events."""
+    users = T.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    state = U.personal_state(profile_events(spark, d))
+    empty = {**U.start(), "feedback_count": 0}
+    out = sinks.with_defaults(users, state, empty)
+    preference = U.preference(out.drop("lambda", "alpha", "beta")).select("user_id", "preference")
+    return A.rounded(out.join(preference, "user_id"))
 
 
 @q(
@@ -201,6 +263,28 @@ def session_reset(spark, d):
     return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("clicks_since_reset"))
 
 
+_SESSION_EVENTS = """se AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 24 HOUR THEN 1 ELSE 0 END AS new
+        FROM (SELECT user_id, ts, event_id, item_id, CASE event_type WHEN 'click' THEN 'click' WHEN 'signup' THEN 'reset' ELSE 'seed' END AS a FROM ev WHERE event_type IN ('click', 'signup', 'purchase')) WHERE {where})),
+    sf AS (SELECT user_id, max(s) AS s, max(ts) AS last FROM se GROUP BY 1),
+    sg AS (SELECT se.* FROM se JOIN sf USING (user_id, s)),
+    sr AS (SELECT user_id, max((ts, event_id)) AS r FROM sg WHERE a = 'reset' GROUP BY 1),
+    si AS (SELECT sg.user_id, item_id, min(CASE WHEN a = 'seed' AND (ts, event_id) < r THEN (ts, event_id) END) AS seed, min(CASE WHEN r IS NULL OR (ts, event_id) > r THEN (ts, event_id) END) AS read
+        FROM sg LEFT JOIN sr USING (user_id) WHERE a <> 'reset' GROUP BY 1, 2),
+    sh AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY seed NULLS LAST, read) - 1 AS ord FROM si WHERE seed IS NOT NULL OR read IS NOT NULL)"""
+
+
+def session_events(ev):
+    """Clicks, purchases as seeds and signups as resets."""
+    action = F.when(F.col("event_type") == "click", "click").when(F.col("event_type") == "signup", "reset").when(F.col("event_type") == "purchase", "seed")
+    return ev.select("user_id", "ts", "event_id", "item_id", action.alias("action")).where(F.col("action").isNotNull())
+
+
+@q("session_reset_history", sql("ev", "SELECT user_id, item_id, ord FROM sh", _SESSION_EVENTS.format(where="true")))
+def session_reset_history(spark, d):
+    """Items of every user's last session; a reset brings the seed history back."""
+    return U.session_history(session_events(T.events(spark, d)))
+
+
 @q(
     "recent_history",
     sql(
@@ -365,64 +449,101 @@ def cold_start_feed(spark, d):
 # --------------------------------------------------------------------------- streaming twins
 
 
-def _stream(spark, d):
-    """The events table as a file stream."""
-    schema = T.table(spark, d, "events").schema
-    ev = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
-    return ev.select(
-        "event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").cast("bigint").alias("item_id")
-    )
-
+def _arriving(spark, d, build, mode: str = "update", steps: int = 5) -> str:
+    """Rows of the stream `build(events)` while the events arrive in steps, each up to 50 minutes late, in shuffled files.
 
-def _run(spark, stream, mode: str = "update") -> str:
+    The table is dealt to the steps by arrival; every step runs all it finds, from the state of the step before.
+    """
     folder = f"{stage_dir(spark)}/lapwing/stream-{uuid.uuid4().hex}"
+    late = F.make_interval(mins=F.pmod(F.xxhash64("event_id"), F.lit(50)).cast("int"))
+    ev = T.events(spark, d).withColumn("_arrival", F.unix_micros(F.col("ts") + late))
+    cuts = ev.agg(F.percentile_approx("_arrival", [i / steps for i in range(1, steps)], 10_000)).first()[0] or []
+    step = sum((F.col("_arrival") > c).cast("int") for c in cuts) if cuts else F.lit(0)
+    dealt = stage(ev.withColumn("_step", step).drop("_arrival").repartition(F.xxhash64("event_id")), "events")
+    rows = dealt.drop("_step")
     S.use_rocksdb(spark)
-    S.run_to_table(stream, f"{folder}/rows", f"{folder}/checkpoint", mode)
+    for i in range(steps):
+        dealt.where(F.col("_step") == i).drop("_step").write.mode("append").parquet(f"{folder}/events")
+        arrived = spark.readStream.schema(rows.schema).parquet(f"{folder}/events")
+        S.run_to_table(build(arrived), f"{folder}/rows", f"{folder}/checkpoint", mode)
     return f"{folder}/rows"
 
 
-@q("stream_patterns", sql("items ev", f"SELECT {_P} FROM pl", _PAT, recursive=True))
+def _profile_stream(spark, d, kinds):
+    """Profiles from the events of these types, whose latest one sets the watermark."""
+    meta = T.item_meta(spark, d).select("item_id", "category")
+    action = F.when(F.col("event_type") == "purchase", "rate").when(F.col("event_type") == "click", "click").when(F.col("event_type") == "error", "skip").otherwise("dwell")
+    algorithm = F.when(F.col("item_id") % 3 == 0, "mmr").when(F.col("item_id") % 3 == 1, "calibrated").otherwise("serendipity")
+    rate = F.col("action") == "rate"
+
+    def build(ev):
+        rows = ev.where(F.col("event_type").isin(*kinds)).withColumn("action", action).join(meta, "item_id", "left")
+        value = F.when(rate, F.least(F.lit(1.0), F.col("value") / 100)).otherwise(F.col("value"))
+        return S.profile_stream(rows.select("user_id", "ts", "event_id", "action", value.alias("value"), F.when(rate, algorithm).otherwise(F.col("category")).alias("label")))
+
+    return S.latest(spark, _arriving(spark, d, build))
+
+
+_ACTED = "(SELECT * FROM ev WHERE event_type IN ('click', 'error', 'view'))"
+_RATED = "(SELECT * FROM ev WHERE event_type = 'purchase')"
+_BOTH = "(SELECT * FROM ev WHERE event_type IN ('click', 'error', 'view', 'purchase'))"
+
+
+@q("stream_patterns", sql("items ev", f"SELECT {_P} FROM pl", _PAT.replace("WHERE event_type IN ('click', 'error', 'view')", "WHERE event_type IN ('click', 'error', 'view') AND " + _PASSED.format(table=_ACTED)), recursive=True))
 def stream_patterns(spark, d):
-    """Interaction patterns kept as streaming state; equals the batch result."""
-    ev = _stream(spark, d)
-    kind = F.when(F.col("event_type") == "click", "click").when(F.col("event_type") == "error", "skip").when(F.col("event_type") == "view", "dwell")
-    rows = ev.withColumn("action", kind).where(F.col("action").isNotNull()).join(T.item_meta(spark, d).select("item_id", "category"), "item_id", "left")
-    stream = S.pattern_stream(rows.select("user_id", "ts", "event_id", "action", F.col("value").alias("dwell_time"), "category"))
-    return A.rounded(S.latest(spark, _run(spark, stream)))
+    """Interaction patterns kept as streaming state: what the watermark has passed, as the batch form has it."""
+    out = _profile_stream(spark, d, ("click", "error", "view"))
+    return A.rounded(out.select("user_id", "avg_dwell_time", "skip_rate", "category_switches", "total_interactions"))
 
 
 @q(
     "stream_feedback",
-    sql("ev", 'SELECT user_id, round("lambda", 6) AS "lambda", round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(confidence, 6) AS confidence, feedback_count FROM fl', _FB, recursive=True),
+    sql(
+        "ev",
+        'SELECT user_id, round("lambda", 6) AS "lambda", round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(confidence, 6) AS confidence, feedback_count FROM fl',
+        _FB.replace("WHERE event_type = 'purchase'", "WHERE event_type = 'purchase' AND " + _PASSED.format(table=_RATED)),
+        recursive=True,
+    ),
 )
 def stream_feedback(spark, d):
-    """Feedback weights kept as streaming state; equals the batch result."""
-    ev = _stream(spark, d).where(F.col("event_type") == "purchase")
-    algorithm = F.when(F.col("item_id") % 3 == 0, "mmr").when(F.col("item_id") % 3 == 1, "calibrated").otherwise("serendipity")
-    rows = ev.select("user_id", "ts", "event_id", algorithm.alias("algorithm"), F.least(F.lit(1.0), F.col("value") / 100).alias("rating"))
-    return A.rounded(S.latest(spark, _run(spark, S.feedback_stream(rows))))
+    """Feedback weights kept as streaming state: what the watermark has passed, as the batch form has it."""
+    out = _profile_stream(spark, d, ("purchase",))
+    return A.rounded(out.select("user_id", "lambda", "alpha", "beta", "confidence", "feedback_count"))
+
+
+@q("stream_profiles", sql("items ev", _PROFILE_SQL, _PROFILE.format(where=_PASSED.format(table=_BOTH)), recursive=True))
+def stream_profiles(spark, d):
+    """Ratings and interactions move one streaming state per user, in event order whatever the order of arrival."""
+    return A.rounded(_profile_stream(spark, d, ("click", "error", "view", "purchase")))
+
+
+def _session_stream(spark, d, with_history=False):
+    return S.latest(spark, _arriving(spark, d, lambda ev: S.session_stream(session_events(ev), with_history=with_history)))
+
+
+_SESSIONS = "(SELECT * FROM ev WHERE event_type IN ('click', 'signup', 'purchase'))"
+_SESSIONS_PASSED = _SESSION_EVENTS.format(where=_PASSED.format(table=_SESSIONS))
 
 
 @q(
     "stream_sessions",
     sql(
         "ev",
-        """SELECT f.user_id, (SELECT count(DISTINCT item_id) FROM c WHERE c.user_id = f.user_id) AS history_size, (SELECT count(*) FROM c WHERE c.user_id = f.user_id) AS clicked_count,
-        strftime(f.last, '%Y-%m-%d %H:%M:%S') AS last_accessed, f.last + INTERVAL 24 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM e) AS expired FROM f""",
-        """e AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 24 HOUR THEN 1 ELSE 0 END AS new
-            FROM ev WHERE event_type IN ('click', 'signup'))),
-        f AS (SELECT user_id, max(s) AS s, max(ts) AS last FROM e GROUP BY 1),
-        g AS (SELECT e.* FROM e JOIN f USING (user_id, s)),
-        r AS (SELECT user_id, max(ts) AS rts, arg_max(event_id, (ts, event_id)) AS rid FROM g WHERE event_type = 'signup' GROUP BY 1),
-        c AS (SELECT g.* FROM g LEFT JOIN r USING (user_id) WHERE event_type = 'click' AND (rts IS NULL OR (ts, event_id) > (rts, rid)))""",
+        f"""SELECT f.user_id, (SELECT count(*) FROM sh WHERE sh.user_id = f.user_id) AS history_size, (SELECT count(*) FROM sg LEFT JOIN sr USING (user_id) WHERE sg.user_id = f.user_id AND a = 'click' AND (r IS NULL OR (ts, event_id) > r)) AS clicked_count,
+        strftime(f.last, '%Y-%m-%d %H:%M:%S') AS last_accessed, epoch_ms(f.last) + 86400000 < (SELECT epoch_ms(max(ts)) - 3600000 FROM {_SESSIONS}) AS expired FROM sf f""",
+        _SESSIONS_PASSED,
     ),
 )
 def stream_sessions(spark, d):
-    """Session state with resets (signup events) and 24 h expiry against the watermark."""
-    ev = _stream(spark, d).where(F.col("event_type").isin("click", "signup"))
-    rows = ev.select("user_id", "ts", "event_id", "item_id", F.when(F.col("event_type") == "click", "click").otherwise("reset").alias("action"))
-    out = S.latest(spark, _run(spark, S.session_stream(rows)))
-    return out.withColumn("last_accessed", F.date_format("last_accessed", "yyyy-MM-dd HH:mm:ss"))
+    """Session state with seeds, resets and 24 h expiry against the watermark."""
+    return _session_stream(spark, d).withColumn("last_accessed", F.date_format("last_accessed", "yyyy-MM-dd HH:mm:ss"))
+
+
+@q("stream_session_history", sql("ev", "SELECT user_id, item_id, ord FROM sh", _SESSIONS_PASSED))
+def stream_session_history(spark, d):
+    """Items of each user's last session as the stream keeps them; equals the batch form on what the watermark has passed."""
+    out = _session_stream(spark, d, with_history=True)
+    return out.select("user_id", F.posexplode("history").alias("ord", "item_id")).withColumn("ord", F.col("ord").cast("bigint"))
 
 
 @q(
@@ -436,6 +557,6 @@ def stream_sessions(spark, d):
 )
 def stream_session_windows(spark, d):
     """Closed 24 h sessions in append mode; the last open sessions stay behind the watermark."""
-    out = spark.read.parquet(_run(spark, S.session_window_stream(_stream(spark, d).select("user_id", "ts")), "append"))
+    out = spark.read.parquet(_arriving(spark, d, lambda ev: S.session_window_stream(ev.select("user_id", "ts")), "append"))
     fmt = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return out.select("user_id", "n_events", fmt("session_start"), fmt("last_event"))

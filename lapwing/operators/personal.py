@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lapwing.functions.ranking import positions, top_k
+from lapwing.functions.tuner import DEFAULTS, MIN_INTERACTIONS, MIN_SHOWN, Fold, resumed, start  # noqa: F401
+from lapwing.session import stage
 
-# fixed values of the tuner
-DEFAULTS = {"lambda": 0.5, "alpha": 0.5, "beta": 0.3, "confidence": 0.0}
-LEARNING_RATE, CONFIDENCE_STEP = 0.1, 0.05
-GOOD, BAD = 0.7, 0.3
-MIN_INTERACTIONS, MIN_SHOWN = 10, 5
 PIECE = 10_000
+# fixed values: presets of the styles
 STYLES = {
     "accurate": (0.0, 0.0, 0.0, 0.0, 0.0),
     "explore": (0.9, 0.15, 0.05, 0.55, 0.25),
@@ -21,48 +22,94 @@ SLIDERS = ("main_diversity", "diversity", "calibration", "serendipity", "fairnes
 WEIGHTS = ("diversity", "calibration", "serendipity", "fairness")
 
 
-def explore_draw(user: Column, n: Column, seed: int = 42) -> Column:
-    """Seeded stand-in for U(.3, .7): the hash of seed, user and feedback number."""
-    text = F.md5(F.concat_ws("|", F.lit(str(seed)), user.cast("string"), n.cast("string")))
-    return 0.3 + 0.4 * F.conv(F.substring(text, 1, 8), 16, 10).cast("double") / float(2**32)
+SUMMARY = (
+    "user_id bigint, part int, total bigint, rated bigint, switches bigint, dwell array<double>, skip array<double>, weights_from array<double>, "
+    "lam array<double>, alpha_x array<double>, alpha_y array<double>, beta_x array<double>, beta_y array<double>"
+)
+STATE = (
+    "user_id bigint, lambda double, alpha double, beta double, confidence double, feedback_count bigint, "
+    "avg_dwell_time double, skip_rate double, category_switches bigint, total_interactions bigint"
+)
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+
+
+def _batch(rows: list[dict], schema: str) -> pa.RecordBatch:
+    fields = [field.split() for field in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], ARROW[t]) for n, t in fields], names=[n for n, _ in fields])
+
+
+def fold_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (part, user, time) to one summary for each user of a part; a piece may run over many batches."""
+    key, fold, done = None, None, []
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("part", "user_id", "action", "value", "label", "before")]
+        for part, user, action, value, label, before in zip(*columns):
+            if key != (part, user):
+                if key is not None:
+                    done.append({"user_id": key[1], "part": key[0], **fold.summary()})
+                before = before or {"total": 0, "rated": 0, "last": None}
+                key, fold = (part, user), Fold(user, before["total"], before["rated"], before["last"] and (before["last"]["label"],))
+            fold.add(action, value, label)
+        yield _batch(done, SUMMARY)
+        done = []
+    if key is not None:
+        yield _batch([{"user_id": key[1], "part": key[0], **fold.summary()}], SUMMARY)
+
+
+def join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Summaries in order of (user, part) to the state of each user."""
+    user, state, done = None, None, []
+    for batch in batches:
+        for s in batch.to_pylist():
+            if user != s["user_id"]:
+                if user is not None:
+                    done.append({"user_id": user, **state})
+                user, state = s["user_id"], start()
+            state = resumed(state, s)
+        yield _batch(done, STATE)
+        done = []
+    if user is not None:
+        yield _batch([{"user_id": user, **state}], STATE)
+
+
+def personal_state(events: DataFrame) -> DataFrame:
+    """Weights, confidence and patterns of every user after all events, ratings and interactions in one order.
+
+    `events`: user_id, ts, event_id, action (rate, dwell, skip, click), value (rating or seconds) and label (algorithm
+    or category). Rows are dealt by range of (user, time), so a hot user is cut into pieces. Each piece starts with
+    the counts and the last category before it (one small row for each part that begins inside a user) and becomes a
+    summary; the few summaries of a user are then applied in order. Rows without a user are left out, a null rating is
+    neutral, null seconds are 0.
+    """
+    order = ["user_id", "ts", "event_id"]
+    value = F.coalesce("value", F.when(F.col("action") == "rate", float("nan")).otherwise(0.0)).cast("double")
+    rows = events.where(F.col("user_id").isNotNull()).select(*order, "action", value.alias("value"), F.col("label").cast("string").alias("label"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stage(rows.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"), F.col("user_id").cast("bigint").alias("user_id"), "action", "value", "label"), "actions")
+    rated, clicked = F.col("action") == "rate", F.col("action") == "click"
+    pieces = rows.groupBy("user_id", "part").agg(
+        F.count_if(~rated).alias("t"), F.count_if(rated).alias("n"), F.max_by(F.when(clicked, F.struct("label")), F.when(clicked, F.col("at"))).alias("l")
+    )
+    earlier = W.partitionBy("user_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    before = F.struct(F.sum("t").over(earlier).alias("total"), F.sum("n").over(earlier).alias("rated"), F.last("l", ignorenulls=True).over(earlier).alias("last"))
+    # only the first user of a part can have earlier pieces: no more rows than parts
+    cut = pieces.select("user_id", "part", before.alias("before")).where(F.col("before.total").isNotNull())
+    joined = rows.join(F.broadcast(cut), ["user_id", "part"], "left").repartition("part").sortWithinPartitions("part", "at")
+    folded = joined.select("part", "user_id", "action", "value", "label", "before").mapInArrow(fold_pieces, SUMMARY)
+    return folded.repartition("user_id").sortWithinPartitions("user_id", "part").mapInArrow(join_pieces, STATE)
 
 
-def updated(w: Column, e: Column) -> Column:
-    """One feedback step on a struct of weights: e has algorithm, rating, draw."""
-    rating = e["rating"]
-    smooth = lambda old, new: (1 - LEARNING_RATE) * old + LEARNING_RATE * new
-    target = F.when(rating > GOOD, w["lambda"]).when(rating < BAD, 1 - w["lambda"]).otherwise(e["draw"])
+def rating_events(feedback: DataFrame) -> DataFrame:
+    return feedback.select("user_id", "ts", "event_id", F.lit("rate").alias("action"), F.col("rating").cast("double").alias("value"), F.col("algorithm").alias("label"))
 
-    def shifted(old: Column) -> Column:
-        return F.when(rating > GOOD, F.least(F.lit(1.0), old + 0.1)).when(rating < BAD, F.greatest(F.lit(0.0), old - 0.1)).otherwise(old)
 
-    algorithm = e["algorithm"]
-    return F.struct(
-        F.when(algorithm.isin("mmr", "xquad"), smooth(w["lambda"], target)).otherwise(w["lambda"]).alias("lambda"),
-        F.when(algorithm == "calibrated", smooth(w["alpha"], shifted(w["alpha"]))).otherwise(w["alpha"]).alias("alpha"),
-        F.when(algorithm == "serendipity", smooth(w["beta"], shifted(w["beta"]))).otherwise(w["beta"]).alias("beta"),
-        F.least(F.lit(1.0), w["confidence"] + CONFIDENCE_STEP).alias("confidence"),
-        (w["feedback_count"] + 1).alias("feedback_count"),
-    )
+def action_events(actions: DataFrame) -> DataFrame:
+    return actions.select("user_id", "ts", "event_id", "action", F.col("dwell_time").cast("double").alias("value"), F.col("category").alias("label"))
 
 
 def feedback_weights(feedback: DataFrame) -> DataFrame:
-    """Final weights per user from ordered feedback (user_id, ts, event_id, algorithm, rating).
-
-    The update depends on order, so feedback is numbered, cut into pieces of at most 10,000 events and folded
-    piece after piece: a user with few events needs one pass, and no array grows with a hot user.
-    """
-    rows = positions(feedback, ["user_id"], F.date_trunc("hour", "ts"), [F.col("ts"), F.col("event_id")])
-    event = F.struct("pos", "algorithm", "rating", explore_draw(F.col("user_id"), F.col("pos")).alias("draw"))
-    pieces = rows.groupBy("user_id", F.floor(F.col("pos") / PIECE).alias("piece")).agg(F.sort_array(F.collect_list(event)).alias("events"))
-    last = rows.agg(F.floor(F.max("pos") / PIECE)).first()[0] or 0
-    start = F.struct(*[F.lit(v).alias(k) for k, v in DEFAULTS.items()], F.lit(0).cast("bigint").alias("feedback_count"))
-    state = pieces.where("piece = 0").select("user_id", F.aggregate("events", start, updated).alias("w"))
-    for p in range(1, int(last) + 1):
-        more = pieces.where(F.col("piece") == p).select("user_id", "events")
-        folded = F.when(F.col("events").isNull(), F.col("w")).otherwise(F.aggregate("events", F.col("w"), updated))
-        state = state.join(more, "user_id", "left").select("user_id", folded.alias("w"))
-    return state.select("user_id", "w.*")
+    """Final weights per user from ordered feedback (user_id, ts, event_id, algorithm, rating)."""
+    return personal_state(rating_events(feedback)).select("user_id", "lambda", "alpha", "beta", "confidence", "feedback_count")
 
 
 def _affine(rows: DataFrame, action: str, x: Column, name: str) -> DataFrame:
@@ -122,6 +169,18 @@ def reader_label(patterns: DataFrame) -> DataFrame:
     return patterns.withColumn("label", F.when(F.col("total_interactions") >= MIN_SHOWN, label))
 
 
+def contextual_profile(state: DataFrame, time_of_day_: Column, device: Column) -> DataFrame:
+    """What a user is shown of their state: preference, label and weights in the context of now, from 5 interactions on.
+
+    The session length of the context is the number of interactions.
+    """
+    rows = reader_label(preference(state.withColumnsRenamed({"lambda": "_l", "alpha": "_a", "beta": "_b"})).drop("lambda", "alpha", "beta"))
+    rows = rows.withColumnsRenamed({"_l": "lambda", "_a": "alpha", "_b": "beta"})
+    rows = rows.withColumns({"time_of_day": time_of_day_, "device": device, "session_length": F.col("total_interactions")})
+    shown = F.col("total_interactions") >= MIN_SHOWN
+    return contextual(rows).withColumns({c: F.when(shown, F.col(c)) for c in ("preference", "lambda", "alpha", "beta")})
+
+
 def time_of_day(hour: Column) -> Column:
     return (
         F.when((hour >= 6) & (hour < 12), "morning").when((hour >= 12) & (hour < 18), "afternoon").when((hour >= 18) & (hour < 22), "evening").otherwise("night")
@@ -192,13 +251,34 @@ def session_state(clicks: DataFrame) -> DataFrame:
     )
 
 
-def sessions(events: DataFrame, gap: str = "24 hours 1 microsecond") -> DataFrame:
-    """Activity sessions that end after more than 24 hours of silence (a window ends before its gap is full)."""
+def sessions(events: DataFrame, gap: str = "24 hours") -> DataFrame:
+    """Activity sessions that end after more than 24 hours of silence (windows that touch are one)."""
     return events.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(
         F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("session_start"), F.max("ts").alias("last_event")
     ).drop("w")
 
 
+def session_history(events: DataFrame, gap: str = "24 hours") -> DataFrame:
+    """Items of every user's last session, in order: (user_id, item_id, ord).
+
+    `events`: user_id, ts, event_id, action (seed, click, reset), item_id. Without a reset, items stand in the order of
+    their first seed or click. A reset leaves the seed history, in the order of its first seeds; what comes later follows.
+    """
+    last = sessions(events.select("user_id", "ts"), gap).groupBy("user_id").agg(F.max("session_start").alias("_from"))
+    rows = events.join(last, "user_id").where(F.col("ts") >= F.col("_from"))
+    at = F.struct("ts", "event_id")
+    resets = rows.where(F.col("action") == "reset").groupBy("user_id").agg(F.max(at).alias("_reset"))
+    rows = rows.where(F.col("action") != "reset").join(resets, "user_id", "left")
+    before = F.coalesce(at < F.col("_reset"), F.lit(False))
+    items = rows.groupBy("user_id", "item_id").agg(
+        F.min(F.when(before & (F.col("action") == "seed"), at)).alias("_seed"), F.min(F.when(~before, at)).alias("_read")
+    )
+    kept = items.where(F.col("_seed").isNotNull() | F.col("_read").isNotNull())
+    # distinct items of a session: the catalogue bounds a user's rows
+    order = W.partitionBy("user_id").orderBy(F.col("_seed").asc_nulls_last(), F.col("_read"))
+    return kept.select("user_id", "item_id", (F.row_number().over(order) - 1).cast("bigint").alias("ord"))
+
+
 def after_reset(events: DataFrame, is_reset: Column) -> DataFrame:
     """Rows of a session after its last reset; without a reset all rows."""
     resets = events.where(is_reset).groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("_reset"))

@@ -1,7 +1,9 @@
-"""Keyed streaming state: tuner patterns, feedback weights and sessions with expiry.
+"""Keyed streaming state: a user's weights and patterns, and reading sessions with expiry.
 
-Each processor keeps one small state row per key in RocksDB and updates it in event order. Events of one
-micro-batch are sorted per key; events older than the watermark are dropped by the engine before they arrive.
+Events reach a key in any order within the watermark's delay. They are held in a list state and folded, in event order, once
+the watermark has passed them; a timer wakes the key for that. What is held is no more than a key's events of one delay, and
+what is folded is a small state row (items of a session are a map state) in RocksDB. Events older than the watermark are
+dropped by the engine.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lapwing.operators.personal import CONFIDENCE_STEP, DEFAULTS, LEARNING_RATE, BAD, GOOD
+from lapwing.functions.tuner import Fold, resumed, start
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_MS = 24 * 3600 * 1000
@@ -22,144 +24,158 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows)).sort_values(["ts", "event_id"])
+class InOrder(StatefulProcessor):
+    """Holds events back until the watermark has passed them. The first columns of `held` are the time in microseconds and
+    the event's id, by which `fold` gets them sorted."""
 
-
-class PatternProcessor(StatefulProcessor):
-    """Running dwell mean, skip rate, category switches and total per user; the last category is per user."""
+    held = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("patterns", "dwell double, skip double, switches long, total long, last string, clicked boolean")
+        self.handle = handle
+        self.waiting = handle.getListState("held", self.held)
+        self.names = [field.split()[0] for field in self.held.split(", ")]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        old = self.state.get() if self.state.exists() else (0.0, 0.0, 0, 0, None, False)
-        dwell, skip, switches, total, last, clicked = old
-        for action, seconds, category in _in_order(rows)[["action", "dwell_time", "category"]].itertuples(index=False):
-            if action == "dwell":
-                dwell = (dwell * total + seconds) / (total + 1)
-            elif action == "skip":
-                skip = (skip * total + 1.0) / (total + 1)
-            elif action == "click":
-                switches += int(clicked and category != last)
-                last, clicked = category, True
-            total += 1
-        self.state.update((dwell, skip, switches, total, last, clicked))
-        yield pd.DataFrame(
-            {"user_id": [key[0]], "avg_dwell_time": [dwell], "skip_rate": [skip], "category_switches": [switches], "total_interactions": [total]}
-        )
+        for frame in rows:
+            new = [tuple(None if x is None or x != x else x for x in row) for row in frame[self.names].itertuples(index=False, name=None)]
+            self.waiting.appendList(new)
+            self.wake(min(row[0] for row in new) // 1000)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        every = list(self.waiting.get()) if self.waiting.exists() else []
+        due = sorted((row for row in every if row[0] // 1000 < mark), key=lambda row: row[:2])
+        if due:
+            later = [row for row in every if row[0] // 1000 >= mark]
+            if later:
+                self.waiting.put(later)
+                self.wake(min(row[0] for row in later) // 1000)
+            else:
+                self.waiting.clear()
+        yield from self.fold(key, due, mark)
+
+    def wake(self, at: int) -> None:
+        """Wake this key once the watermark has passed `at` (milliseconds)."""
+        if not any(timer <= at for timer in self.handle.listTimers()):
+            self.handle.registerTimer(at)
+
+    def fold(self, key, due: list[tuple], mark: int) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
-PATTERN_SCHEMA = "user_id long, avg_dwell_time double, skip_rate double, category_switches long, total_interactions long"
+class ProfileProcessor(InOrder):
+    """Weights and patterns of a user, moved by ratings and interactions in one order; the fold is that of the batch form."""
 
+    held = "at long, event_id long, action string, value double, label string"
+    KEYS = {
+        "lambda": "double", "alpha": "double", "beta": "double", "confidence": "double", "feedback_count": "long",
+        "avg_dwell_time": "double", "skip_rate": "double", "category_switches": "long", "total_interactions": "long",
+    }
 
-def pattern_stream(actions: DataFrame) -> DataFrame:
-    """actions (user_id, ts, event_id, action, dwell_time, category) to updated patterns per micro-batch."""
-    return actions.groupBy("user_id").transformWithStateInPandas(PatternProcessor(), PATTERN_SCHEMA, "Update", "None")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.state = handle.getValueState("profile", ", ".join(f"{k} {t}" for k, t in self.KEYS.items()) + ", last string, clicked boolean")
 
+    def fold(self, key, due, mark) -> Iterator[pd.DataFrame]:
+        if not due:
+            return
+        *values, last, clicked = self.state.get() if self.state.exists() else (*start().values(), None, False)
+        state = dict(zip(self.KEYS, values))
+        piece = Fold(key[0], state["total_interactions"], state["feedback_count"], (last,) if clicked else None)
+        for _, _, action, value, label in due:
+            piece.add(action, value if value is not None else float("nan") if action == "rate" else 0.0, label)
+        state = resumed(state, piece.summary())
+        self.state.update((*(state[k] for k in self.KEYS), piece.last[0] if piece.last else None, piece.last is not None))
+        yield pd.DataFrame({"user_id": [key[0]], **{k: [state[k]] for k in self.KEYS}})
 
-class FeedbackProcessor(StatefulProcessor):
-    """lambda, alpha, beta and confidence per user from ratings."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("weights", "lambda double, alpha double, beta double, confidence double, n long")
+PROFILE_SCHEMA = "user_id long, " + ", ".join(f"{k} {t}" for k, t in ProfileProcessor.KEYS.items())
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        lam, alpha, beta, confidence, n = self.state.get() if self.state.exists() else (*DEFAULTS.values(), 0)
-        for algorithm, rating in _in_order(rows)[["algorithm", "rating"]].itertuples(index=False):
-            shift = 0.1 if rating > GOOD else -0.1 if rating < BAD else 0.0
-            if algorithm in ("mmr", "xquad"):
-                target = lam if rating > GOOD else 1 - lam if rating < BAD else self._draw(key[0], n)
-                lam = (1 - LEARNING_RATE) * lam + LEARNING_RATE * target
-            elif algorithm == "calibrated":
-                alpha = (1 - LEARNING_RATE) * alpha + LEARNING_RATE * min(1.0, max(0.0, alpha + shift))
-            elif algorithm == "serendipity":
-                beta = (1 - LEARNING_RATE) * beta + LEARNING_RATE * min(1.0, max(0.0, beta + shift))
-            confidence, n = min(1.0, confidence + CONFIDENCE_STEP), n + 1
-        self.state.update((lam, alpha, beta, confidence, n))
-        yield pd.DataFrame({"user_id": [key[0]], "lambda": [lam], "alpha": [alpha], "beta": [beta], "confidence": [confidence], "feedback_count": [n]})
-
-    @staticmethod
-    def _draw(user, n, seed: int = 42) -> float:
-        from hashlib import md5
-
-        return 0.3 + 0.4 * int(md5(f"{seed}|{user}|{n}".encode()).hexdigest()[:8], 16) / 2**32
 
-    def close(self) -> None:
-        pass
+def keyed(events: DataFrame, delay: str):
+    return events.withColumn("at", F.unix_micros("ts")).withWatermark("ts", delay).groupBy("user_id")
 
 
-def feedback_stream(feedback: DataFrame) -> DataFrame:
-    """feedback (user_id, ts, event_id, algorithm, rating) to updated weights per micro-batch."""
-    schema = "user_id long, lambda double, alpha double, beta double, confidence double, feedback_count long"
-    return feedback.groupBy("user_id").transformWithStateInPandas(FeedbackProcessor(), schema, "Update", "None")
+def profile_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """events (user_id, ts, event_id, action, value, label), as for `operators.personal.personal_state`, to updated profiles."""
+    return keyed(events, delay).transformWithStateInPandas(ProfileProcessor(), PROFILE_SCHEMA, "Update", "EventTime")
 
 
-class SessionProcessor(StatefulProcessor):
-    """Reading session: items in first-read order, clicks counted, reset to the seed, 24 h expiry by event time.
+class SessionProcessor(InOrder):
+    """Reading session: items in first-read order, clicks counted, reset to the seed history, expiry after 24 h of silence.
 
-    Events: seed (item joins the seed history), click, reset. The item list is a map state, so a long session
-    is never rewritten as a whole.
+    Events: seed (the item joins the history and the seed history), click, reset (the history becomes the seed history
+    again). The item list is a map state, so a long session is never rewritten as a whole, except by a reset.
     """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.items = handle.getMapState("items", "item_id long", "ord long, seed boolean")
-        self.meta = handle.getValueState("meta", "clicked long, size long, last timestamp")
+    held = "at long, event_id long, action string, item_id long"
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        clicked, size, last = self.meta.get() if self.meta.exists() else (0, 0, None)
-        for ts, action, item in _in_order(rows)[["ts", "action", "item_id"]].itertuples(index=False):
-            if last is not None and ts - pd.Timestamp(last) > pd.Timedelta(milliseconds=DAY_MS):
-                self.items.clear()  # the gap lies inside one micro-batch, so no timer could fire
-                clicked, size = 0, 0
+    def __init__(self, with_history: bool = False):
+        self.with_history = with_history
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.items = handle.getMapState("items", "item_id long", "ord long, seed long")
+        self.meta = handle.getValueState("meta", "clicked long, size long, next long, seeds long, last long")
+
+    def fold(self, key, due, mark) -> Iterator[pd.DataFrame]:
+        fresh = (0, 0, 0, 0, None)
+        clicked, size, next_, seeds, last = self.meta.get() if self.meta.exists() else fresh
+        if last is None and not due:
+            return
+        for at, _, action, item in due:
+            if last is not None and at - last > DAY_MS * 1000:  # the watermark came past the gap and this event at once
+                self.items.clear()
+                clicked, size, next_, seeds, last = fresh
+            last = at
             if action == "reset":
                 for (read,), (_, seed) in list(self.items.iterator()):
-                    if not seed:
+                    if seed < 0:
                         self.items.removeKey((read,))
-                        size -= 1
-                clicked = 0
-            else:
-                if not self.items.containsKey((item,)):
-                    self.items.updateValue((item,), (size, action == "seed"))
-                    size += 1
-                clicked += int(action == "click")
-            last = ts if last is None else max(pd.Timestamp(last), ts)
-        self.meta.update((clicked, size, pd.Timestamp(last).to_pydatetime()))
-        self._rearm(last)
-        yield self._row(key, clicked, size, last, False)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        clicked, size, last = self.meta.get()
-        self.items.clear()
-        self.meta.clear()
-        yield self._row(key, clicked, size, last, True)
-
-    def _rearm(self, last) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(pd.Timestamp(last).timestamp() * 1000) + DAY_MS)
-
-    @staticmethod
-    def _row(key, clicked, size, last, expired) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"user_id": [key[0]], "history_size": [size], "clicked_count": [clicked], "last_accessed": [pd.Timestamp(last)], "expired": [expired]}
-        )
-
-    def close(self) -> None:
-        pass
+                    else:
+                        self.items.updateValue((read,), (seed, seed))
+                clicked, size, next_ = 0, seeds, seeds
+                continue
+            ord_, seed = self.items.getValue((item,)) if self.items.containsKey((item,)) else (None, -1)
+            if ord_ is None or (action == "seed" and seed < 0):
+                if action == "seed":
+                    seed, seeds = seeds, seeds + 1
+                if ord_ is None:
+                    ord_, next_, size = next_, next_ + 1, size + 1
+                self.items.updateValue((item,), (ord_, seed))
+            clicked += action == "click"
+        over = last // 1000 + DAY_MS < mark
+        if due or over:
+            yield self._row(key, clicked, size, last, over)
+        if over:
+            self.items.clear()
+            self.meta.clear()
+        else:
+            self.meta.update((int(clicked), size, next_, seeds, last))
+            self.wake(last // 1000 + DAY_MS)
+
+    def _row(self, key, clicked, size, last, expired) -> pd.DataFrame:
+        row = {"user_id": [key[0]], "history_size": [size], "clicked_count": [clicked], "last_accessed": [pd.Timestamp(last, unit="us")], "expired": [expired]}
+        if self.with_history:
+            row["history"] = [[item for _, item in sorted((ord_, item) for (item,), (ord_, _) in self.items.iterator())]]
+        return pd.DataFrame(row)
 
 
 SESSION_SCHEMA = "user_id long, history_size long, clicked_count long, last_accessed timestamp, expired boolean"
 
 
-def session_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """events (user_id, ts, event_id, action, item_id) to session rows; expired sessions come once with expired."""
-    marked = events.withWatermark("ts", delay)
-    return marked.groupBy("user_id").transformWithStateInPandas(SessionProcessor(), SESSION_SCHEMA, "Update", "EventTime")
+def session_stream(events: DataFrame, delay: str = "1 hour", with_history: bool = False) -> DataFrame:
+    """events (user_id, ts, event_id, action, item_id) to session rows; expired sessions come once with expired.
+
+    `with_history` adds the items of the session in order.
+    """
+    rows = events.withColumn("item_id", F.coalesce("item_id", F.lit(-1).cast("bigint")))
+    schema = SESSION_SCHEMA + (", history array<long>" if with_history else "")
+    return keyed(rows, delay).transformWithStateInPandas(SessionProcessor(with_history), schema, "Update", "EventTime")
 
 
 def session_window_stream(events: DataFrame, gap: str = "24 hours", delay: str = "1 hour") -> DataFrame:
@@ -168,24 +184,41 @@ def session_window_stream(events: DataFrame, gap: str = "24 hours", delay: str =
     return windows.agg(F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("session_start"), F.max("ts").alias("last_event")).drop("w")
 
 
+class ReadProcessor(StatefulProcessor):
+    """Items that a user has clicked in any batch; a user's map grows with the catalogue at most."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.items = handle.getMapState("items", "item_id long", "known boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for item in frame["item_id"].dropna().unique():
+                self.items.updateValue((int(item),), (True,))
+        yield pd.DataFrame({"user_id": [key[0]], "items": [[item for (item,) in self.items.keys()]]})
+
+    def close(self) -> None:
+        pass
+
+
 def feed_updates(clicks: DataFrame, candidates: DataFrame, rerank, path: str, checkpoint: str):
     """Start a stream that re-ranks the prepared candidates of the users who clicked and appends their feeds.
 
     `rerank(candidates) -> DataFrame` is any method of lapwing.operators.rerank bound to its context. Items clicked in this
-    or any earlier batch fall out first: each batch keeps its clicks beside the feeds, in a folder of its own that a
-    retried batch overwrites.
+    or any earlier batch fall out first: they are kept as state of the user, so a batch reads only what its users
+    clicked. Each batch writes a folder of its own, which a retried batch overwrites.
     """
+    use_rocksdb(clicks.sparkSession)
 
     def update(batch: DataFrame, batch_id: int) -> None:
-        clicked = batch.select(F.col("user_id").alias("impression_id"), "item_id").distinct()
-        clicked.write.mode("overwrite").parquet(f"{path}_clicked/batch={batch_id}")
-        seen = batch.sparkSession.read.parquet(f"{path}_clicked").where(F.col("batch") <= batch_id).drop("batch")
-        users = batch.select(F.col("user_id").alias("impression_id")).distinct()
-        mine = candidates.join(users, "impression_id", "left_semi")
+        batch.write.mode("overwrite").parquet(f"{path}_clicked/batch={batch_id}")  # the state is read once
+        users = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}_clicked/batch={batch_id}").withColumnRenamed("user_id", "impression_id")
+        mine = candidates.join(users.select("impression_id"), "impression_id", "left_semi")
+        seen = users.select("impression_id", F.explode("items").alias("item_id"))
         fresh = mine.join(seen, ["impression_id", "item_id"], "left_anti")
         rerank(fresh).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return clicks.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    clicked = clicks.where(F.col("user_id").isNotNull()).select("user_id", "item_id").groupBy("user_id").transformWithStateInPandas(ReadProcessor(), "user_id long, items array<long>", "Update", "None")
+    return clicked.writeStream.outputMode("update").foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
