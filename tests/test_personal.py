@@ -120,7 +120,7 @@ def test_stream_folds_late_events_in_order(spark, tmp_path):
     for k in range(6):
         part = arrival[k * len(rows) // 6 : (k + 1) * len(rows) // 6]
         r.shuffle(part)
-        spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_seconds(F.col("s") + 10 * 24 * hour)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.read.parquet(str(tmp_path / "in"))
     arrived = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     S.run_to_table(S.session_stream(arrived, with_history=True), str(tmp_path / "out"), str(tmp_path / "cp"))
