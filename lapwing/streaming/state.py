@@ -39,25 +39,26 @@ class InOrder(StatefulProcessor):
         for frame in rows:
             new = [tuple(None if x is None or x != x else x for x in row) for row in frame[self.names].itertuples(index=False, name=None)]
             self.waiting.appendList(new)
-            self.wake(min(row[0] for row in new) // 1000)
+            self.wake(min(row[0] for row in new) // 1000, timerValues.getCurrentWatermarkInMs())
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
         every = list(self.waiting.get()) if self.waiting.exists() else []
         due = sorted((row for row in every if row[0] // 1000 < mark), key=lambda row: row[:2])
-        if due:
-            later = [row for row in every if row[0] // 1000 >= mark]
-            if later:
-                self.waiting.put(later)
-                self.wake(min(row[0] for row in later) // 1000)
-            else:
-                self.waiting.clear()
+        later = [row for row in every if row[0] // 1000 >= mark]
+        if due and later:
+            self.waiting.put(later)
+        elif due:
+            self.waiting.clear()
+        if later:
+            self.wake(min(row[0] for row in later) // 1000, mark)
         yield from self.fold(key, due, mark)
 
-    def wake(self, at: int) -> None:
-        """Wake this key once the watermark has passed `at` (milliseconds)."""
-        if not any(timer <= at for timer in self.handle.listTimers()):
+    def wake(self, at: int, mark: int) -> None:
+        """Wake this key once the watermark has passed `at` (milliseconds). Timers before the watermark `mark` do not help:
+        they ring in this batch, the ringing one included."""
+        if not any(mark <= timer <= at for timer in self.handle.listTimers()):
             self.handle.registerTimer(at)
 
     def fold(self, key, due: list[tuple], mark: int) -> Iterator[pd.DataFrame]:
@@ -156,7 +157,7 @@ class SessionProcessor(InOrder):
             self.meta.clear()
         else:
             self.meta.update((int(clicked), size, next_, seeds, last))
-            self.wake(last // 1000 + DAY_MS)
+            self.wake(last // 1000 + DAY_MS, mark)
 
     def _row(self, key, clicked, size, last, expired) -> pd.DataFrame:
         row = {"user_id": [key[0]], "history_size": [size], "clicked_count": [clicked], "last_accessed": [pd.Timestamp(last, unit="us")], "expired": [expired]}
