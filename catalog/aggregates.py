@@ -6,12 +6,18 @@ from pyspark.sql import functions as F
 
 from catalog.views import Catalog, sql
 from lapwing.operators import aggregates as A, popularity as P
-from lapwing.plans import tables as T
+from lapwing.plans import recommend as M, tables as T
 
 CATALOG = Catalog()
 q = CATALOG.add
 
 
+def latest_histories(spark, d):
+    """The history of each user's latest impression that has one."""
+    last = A.latest_history(T.history_lengths(spark, d)).withColumn("bucket", F.lit(None).cast("bigint"))
+    return T.prefixes(spark, d, last)
+
+
 @q(
     "history_union",
     sql(
@@ -21,7 +27,9 @@ q = CATALOG.add
     ),
 )
 def history_union(spark, d):
-    return A.ordered_union(T.history(spark, d))
+    longest = T.history_lengths(spark, d).groupBy("user_id").agg(F.max("n_history").alias("n_history"))
+    lists = longest.select("user_id", "n_history", F.lit(None).cast("bigint").alias("impression_id"), F.lit(None).cast("bigint").alias("bucket"))
+    return A.ordered_union(T.prefixes(spark, d, lists))
 
 
 @q("user_impressions", sql("impr", "SELECT user_id, count(*) AS n_shown, sum(label)::BIGINT AS n_clicked FROM impr GROUP BY 1"))
@@ -90,9 +98,7 @@ _LAST = """last AS (SELECT user_id, max(bucket) AS bucket FROM hist GROUP BY 1),
 )
 def user_category_diversity(spark, d):
     """Category spread of each user's latest history."""
-    h = T.history(spark, d)
-    last = A.latest_history(A.history_lengths(h)).select("impression_id")
-    counts = A.category_counts(h.join(last, "impression_id", "left_semi"), T.item_meta(spark, d), ["user_id"])
+    counts = A.category_counts(latest_histories(spark, d), T.item_meta(spark, d), ["user_id"])
     return A.rounded(A.category_spread(counts, ["user_id"]))
 
 
@@ -106,9 +112,7 @@ def user_category_diversity(spark, d):
     ),
 )
 def top_user_categories(spark, d):
-    h = T.history(spark, d)
-    last = A.latest_history(A.history_lengths(h)).select("impression_id")
-    counts = A.category_counts(h.join(last, "impression_id", "left_semi"), T.item_meta(spark, d), ["user_id"])
+    counts = A.category_counts(latest_histories(spark, d), T.item_meta(spark, d), ["user_id"])
     return A.top_categories(counts, ["user_id"])
 
 
@@ -126,7 +130,7 @@ def top_user_categories(spark, d):
     ),
 )
 def dataset_summary(spark, d):
-    lengths = A.history_lengths(T.history(spark, d))
+    lengths = T.history_lengths(spark, d)
     return A.rounded(A.dataset_summary(T.heads(spark, d), lengths, T.articles(spark, d), T.article_entities(spark, d)))
 
 
@@ -157,7 +161,7 @@ def dataset_categories(spark, d):
     ),
 )
 def dataset_statistics(spark, d):
-    lengths = A.history_lengths(T.history(spark, d)).select("impression_id", "n_history")
+    lengths = T.history_lengths(spark, d).select("impression_id", "n_history")
     all_lengths = T.heads(spark, d).join(lengths, "impression_id", "left").fillna(0, ["n_history"])
     n_pairs = T.article_entities(spark, d).agg(F.count(F.lit(1))).scalar()
     n_items = T.articles(spark, d).agg(F.count(F.lit(1))).scalar()
@@ -174,7 +178,7 @@ def dataset_statistics(spark, d):
     ),
 )
 def popularity_max(spark, d):
-    return A.rounded(P.popularity_max(T.history(spark, d), T.impressions(spark, d), T.item_meta(spark, d)))
+    return A.rounded(P.popularity_max(T.later_impressions(spark, d), T.impressions(spark, d), T.item_meta(spark, d)))
 
 
 POP_SQL = """pc AS (SELECT item_id, sum(label)::BIGINT AS clicks, count(*) AS shown FROM impr WHERE bucket < (SELECT max(bucket) FROM log) GROUP BY 1),
@@ -222,7 +226,7 @@ def recency(spark, d):
     ),
 )
 def longest_history(spark, d):
-    return P.longest_history(A.history_lengths(T.history(spark, d)))
+    return P.longest_history(T.history_lengths(spark, d))
 
 
 COCLICK_SQL = """lng AS (SELECT user_id, arg_max(impression_id, n * 1000000000 - impression_id) AS impression_id
@@ -242,10 +246,7 @@ def coclick_top(spark, d):
 
 
 def coclick_table(spark, d):
-    h = T.history(spark, d).where(F.col("bucket") < T.last_bucket(spark, d))
-    longest = P.longest_history(A.history_lengths(h)).select("impression_id")
-    recent = P.recent_clicks(h.join(longest, "impression_id", "left_semi"), P.PAIR_WINDOW, ["user_id"])
-    return P.coclick(recent)
+    return P.coclick(M.training_clicks(spark, d))
 
 
 @q(

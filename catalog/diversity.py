@@ -39,9 +39,22 @@ def calibration_sql(rec: str, past: str, name: str, key: str = "impression_id")
 _NC = "(SELECT count(DISTINCT category) FROM items)"
 
 
+def history_ild(spark, d):
+    """Mean pairwise distance within the history of every impression."""
+    return J.ild_of_sums(T.history_sums(spark, d, T.item_vectors(spark, d)), T.history_lengths(spark, d), KEY)
+
+
+def history_metrics(spark, d):
+    """gini, ild, coverage per history."""
+    items = T.item_meta(spark, d)
+    counts = stage(T.history_counts(spark, d, items), "counts")
+    rows = J.coverage(J.share_metrics(counts, KEY), J.n_categories(items))
+    return rows.join(J.gini(counts, KEY), KEY).join(history_ild(spark, d), KEY)
+
+
 @q("user_gini", sql("items hist", "SELECT impression_id, round(gini, 6) AS gini FROM l_g", list_sql("hist", "l", order="pos")))
 def user_gini(spark, d):
-    return A.rounded(J.gini(A.category_counts(T.history(spark, d), T.item_meta(spark, d), KEY), KEY))
+    return A.rounded(J.gini(T.history_counts(spark, d, T.item_meta(spark, d)), KEY))
 
 
 @q(
@@ -50,7 +63,7 @@ def user_gini(spark, d):
 )
 def balance_gini(spark, d):
     """Bare formula: one category counts as balanced."""
-    return A.rounded(J.gini(A.category_counts(T.history(spark, d), T.item_meta(spark, d), KEY), KEY, singleton=0.0))
+    return A.rounded(J.gini(T.history_counts(spark, d, T.item_meta(spark, d)), KEY, singleton=0.0))
 
 
 @q(
@@ -65,7 +78,7 @@ def balance_gini(spark, d):
 def user_entropy(spark, d):
     """Entropy in nats and bits, category ILD and coverage of every history."""
     items = T.item_meta(spark, d)
-    rows = J.coverage(J.share_metrics(A.category_counts(T.history(spark, d), items, KEY), KEY), J.n_categories(items))
+    rows = J.coverage(J.share_metrics(T.history_counts(spark, d, items), KEY), J.n_categories(items))
     return A.rounded(rows.drop("size")).withColumn("entropy_nats", F.abs("entropy_nats")).withColumn("entropy_bits", F.abs("entropy_bits"))
 
 
@@ -75,7 +88,7 @@ def user_entropy(spark, d):
 )
 def user_ild(spark, d):
     """Mean pairwise distance within every history."""
-    return A.rounded(J.ild(T.history(spark, d), T.items(spark, d), KEY))
+    return A.rounded(history_ild(spark, d))
 
 
 _CAL = """sh AS (SELECT impression_id, category, count(*) AS n FROM impr JOIN items USING (item_id) GROUP BY ALL),
@@ -88,7 +101,7 @@ def calibration_kl(spark, d):
     """Divergence of the shown items from the history, every impression with a history."""
     items = T.item_meta(spark, d)
     shown = A.category_counts(T.impressions(spark, d), items, KEY)
-    past = A.category_counts(T.history(spark, d), items, KEY)
+    past = T.history_counts(spark, d, items)
     return A.rounded(J.calibration_error(shown, past, KEY, J.n_categories(items)))
 
 
@@ -103,9 +116,7 @@ def calibration_kl(spark, d):
 )
 def history_baseline(spark, d):
     """No-model baseline: concentration of the raw click histories."""
-    h, items = stage(T.history(spark, d), "history"), T.items(spark, d)
-    counts = A.category_counts(h, items, KEY)
-    rows = J.coverage(J.share_metrics(counts, KEY), J.n_categories(items)).join(J.gini(counts, KEY), KEY).join(J.ild(h, items, KEY), KEY)
+    rows = history_metrics(spark, d)
     return A.rounded(
         rows.agg(F.count(F.lit(1)).alias("n_lists"), F.avg("gini").alias("avg_gini"), F.avg("ild").alias("avg_ild"), F.avg("coverage").alias("avg_coverage"))
     )
@@ -148,7 +159,7 @@ def system_kl(spark, d):
     ),
 )
 def population_gini(spark, d):
-    return A.rounded(J.population_gini(stage(T.history(spark, d), "history"), T.item_meta(spark, d), KEY))
+    return A.rounded(J.population_of(T.history_counts(spark, d, T.item_meta(spark, d)), KEY))
 
 
 UM_SQL = (

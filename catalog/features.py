@@ -13,6 +13,11 @@ CATALOG = Catalog()
 q = CATALOG.add
 
 
+def last_clicks(spark, d, n):
+    """The last n clicks of the history of every impression."""
+    return T.prefixes(spark, d, T.history_lengths(spark, d), n)
+
+
 def ramp_sql(vec: str) -> str:
     return f"list_inner_product({vec}, list_transform(range(1, len({vec}) + 1), lambda i: i::DOUBLE))"
 
@@ -218,22 +223,22 @@ _LAST50 = """h50 AS (SELECT h.impression_id, i.embedding, row_number() OVER (PAR
 
 @q("profile_uniform", sql("items hist", check_sql("impression_id", "pv"), _profile_sql(_ALL_ROWS)))
 def profile_uniform(spark, d):
-    return check_vec(P.uniform_profile(T.history(spark, d), T.item_vectors(spark, d)), ["impression_id"], "profile")
+    return check_vec(P.profile_of_sums(T.history_sums(spark, d, T.item_vectors(spark, d))), ["impression_id"], "profile")
 
 
 @q("profile_centroid", sql("items hist", check_sql("impression_id", "pv"), _profile_sql(_ALL_ROWS, unit=False)))
 def profile_centroid(spark, d):
-    return check_vec(P.uniform_profile(T.history(spark, d), T.item_vectors(spark, d), normalise=False), ["impression_id"], "profile")
+    return check_vec(P.profile_of_sums(T.history_sums(spark, d, T.item_vectors(spark, d)), normalise=False), ["impression_id"], "profile")
 
 
 @q("profile_recent", sql("items hist", check_sql("impression_id", "pv"), _profile_sql(_LAST5)))
 def profile_recent(spark, d):
-    return check_vec(P.recent_profile(T.history(spark, d), T.item_vectors(spark, d)), ["impression_id"], "profile")
+    return check_vec(P.recent_profile(last_clicks(spark, d, P.RECENT), T.item_vectors(spark, d)), ["impression_id"], "profile")
 
 
 @q("profile_attention", sql("items hist", check_sql("impression_id", "pv"), _profile_sql(_LAST50, "w")))
 def profile_attention(spark, d):
-    return check_vec(P.attention_profile(T.history(spark, d), T.item_vectors(spark, d)), ["impression_id"], "profile")
+    return check_vec(P.attention_profile(last_clicks(spark, d, P.MAX_HISTORY), T.item_vectors(spark, d)), ["impression_id"], "profile")
 
 
 _CTX = _LAST50.replace(
@@ -248,4 +253,4 @@ def profile_context(spark, d):
     """Attention towards the mean of the shown candidates instead of the user's own mean."""
     vectors = T.item_vectors(spark, d)
     shown = T.impressions(spark, d).join(vectors, "item_id").groupBy("impression_id").agg(V.mean_vector(F.col("embedding")).alias("context"))
-    return check_vec(P.attention_profile(T.history(spark, d), vectors, shown), ["impression_id"], "profile")
+    return check_vec(P.attention_profile(last_clicks(spark, d, P.MAX_HISTORY), vectors, shown), ["impression_id"], "profile")

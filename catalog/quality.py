@@ -17,8 +17,7 @@ _LENS = "lens AS (SELECT h.impression_id, h.bucket, coalesce(x.n, 0) AS n FROM h
 
 def lengths(spark, d):
     """History length of every impression, zero included."""
-    found = A.history_lengths(T.history(spark, d)).select("impression_id", "n_history")
-    return T.heads(spark, d).join(found, "impression_id", "left").fillna(0, ["n_history"])
+    return T.cuts(spark, d)
 
 
 @q(

@@ -8,6 +8,7 @@ from catalog.aggregates import COCLICK_SQL, POP_SQL
 from catalog.views import Catalog, sql
 from lapwing.operators import aggregates as A, popularity as P, profiles as PR, retrieve as R, score as S
 from lapwing.plans import recommend as M, tables as T
+from lapwing.session import stage
 
 CATALOG = Catalog()
 q = CATALOG.add
@@ -188,7 +189,8 @@ _ALL = RANKED_SQL.replace(" FROM hist WHERE bucket = (SELECT max(bucket) FROM lo
 @q("recommend_all", sql("items impr hist", "SELECT impression_id, item_id, rank, round(score, 6) AS score FROM rec WHERE rank <= 10", _ALL))
 def recommend_all(spark, d):
     """Recommendations for the lists of all buckets: those of the first have no history and get popular items."""
-    model, h = M.fitted(spark, d)
+    model, _ = M.fitted(spark, d)
+    h = stage(T.history(spark, d), "history")  # every list is scored
     return A.rounded(M.recommend(T.heads(spark, d), h, model, 10))
 
 
@@ -243,7 +245,7 @@ def recommend_hydrated(spark, d):
 )
 def cold_start(spark, d):
     """Lists without any history get the most popular items."""
-    heads = T.heads(spark, d).join(T.history(spark, d).select("impression_id"), "impression_id", "left_anti")
+    heads = T.cuts(spark, d).where(F.col("n_history") == 0)
     return A.rounded(S.cold_start(heads, P.popularity_ctr(T.train(spark, d), T.item_meta(spark, d)), 10))
 
 

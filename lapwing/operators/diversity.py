@@ -64,11 +64,15 @@ def ild(lists: DataFrame, vectors: DataFrame, keys: list[str]) -> DataFrame:
         V.sum_vector(F.col("embedding")).alias("_s"),
         F.sum(V.dot(F.col("embedding"), F.col("embedding"))).alias("_q"),
     )
+    return ild_of_sums(sums, lists.select(*keys).distinct(), keys)
+
+
+def ild_of_sums(sums: DataFrame, lists: DataFrame, keys: list[str]) -> DataFrame:
+    """`ild` of the distinct `lists` from the number, vector sum and squared norms of their known items (_n, _s, _q)."""
     pairs = F.col("_n") * (F.col("_n") - 1)
     dots = V.dot(F.col("_s"), F.col("_s")) - F.col("_q")
     known = sums.select(*keys, F.when(pairs > 0, 1 - dots / pairs).otherwise(F.lit(0.0)).alias("_ild"))
-    every = lists.select(*keys).distinct().join(known, keys, "left")
-    return every.select(*keys, F.coalesce("_ild", F.lit(0.0)).alias("ild"))
+    return lists.select(*keys).join(known, keys, "left").select(*keys, F.coalesce("_ild", F.lit(0.0)).alias("ild"))
 
 
 def calibration_error(rec_counts: DataFrame, hist_counts: DataFrame, keys: list[str], total_categories: Column, smoothing: float = SMOOTHING) -> DataFrame:
@@ -190,7 +194,11 @@ def population_gini(lists: DataFrame, items: DataFrame, keys: list[str]) -> Data
     """Gini of all recommendations together, categories recommended and mean categories and Gini per list."""
     from lapwing.operators.aggregates import category_counts
 
-    per_list = category_counts(lists, items, keys)
+    return population_of(category_counts(lists, items, keys), keys)
+
+
+def population_of(per_list: DataFrame, keys: list[str]) -> DataFrame:
+    """`population_gini` from category counts per list."""
     everything = per_list.groupBy("category").agg(F.sum("n").alias("n"))
     per = gini(per_list, keys, singleton=0.0).agg(F.avg("gini").alias("avg_gini"))
     spread = per_list.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.avg("c").alias("avg_coverage"))

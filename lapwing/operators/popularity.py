@@ -12,14 +12,10 @@ PAIR_WINDOW = 15
 COCLICK_TOP = 50
 
 
-def popularity_max(history: DataFrame, shown: DataFrame, items: DataFrame) -> DataFrame:
-    """Clicks in histories plus positive labels, divided by the largest count; items without clicks get 0."""
-    counted = (
-        history.select("item_id")
-        .unionByName(shown.where(F.col("label") == 1).select("item_id"))
-        .groupBy("item_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+def popularity_max(in_histories: DataFrame, shown: DataFrame, items: DataFrame) -> DataFrame:
+    """Clicks in histories (item_id, n) plus positive labels, divided by the largest count; items without clicks get 0."""
+    labels = shown.where(F.col("label") == 1).select("item_id", F.lit(1).cast("bigint").alias("n"))
+    counted = in_histories.select("item_id", "n").unionByName(labels).groupBy("item_id").agg(F.sum("n").alias("n"))
     top = counted.agg(F.max("n")).scalar()
     return items.select("item_id").join(counted, "item_id", "left").select(
         "item_id", F.coalesce(F.col("n") / top, F.lit(0.0)).alias("popularity")

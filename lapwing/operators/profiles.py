@@ -19,6 +19,12 @@ def uniform_profile(history: DataFrame, vectors: DataFrame, normalise: bool = Tr
     return mean.select("impression_id", (V.unit(F.col("profile")) if normalise else F.col("profile")).alias("profile"))
 
 
+def profile_of_sums(sums: DataFrame, normalise: bool = True) -> DataFrame:
+    """`uniform_profile` from the number and the vector sum of a list's known clicks (_n, _s)."""
+    mean = V.let(F.col("_n"), lambda n: V.scaled(F.col("_s"), 1 / n))
+    return sums.select("impression_id", (V.unit(mean) if normalise else mean).alias("profile"))
+
+
 def recent_profile(history: DataFrame, vectors: DataFrame, n: int = RECENT) -> DataFrame:
     """Profile of the last n clicks; the cut comes before unknown items fall out."""
     return uniform_profile(recent_clicks(history, n), vectors)

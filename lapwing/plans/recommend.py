@@ -23,10 +23,8 @@ class Model:
     coclick: DataFrame
 
 
-def fit(meta: DataFrame, vectors: DataFrame, shown: DataFrame, train_history: DataFrame) -> Model:
-    """Popularity, recency and the co-click graph from training interactions and histories."""
-    longest = P.longest_history(A.history_lengths(train_history)).select("impression_id")
-    recent = P.recent_clicks(train_history.join(longest, "impression_id", "left_semi"), P.PAIR_WINDOW, ["user_id"])
+def fit(meta: DataFrame, vectors: DataFrame, shown: DataFrame, recent: DataFrame) -> Model:
+    """Popularity, recency and the co-click graph from training interactions and each user's last training clicks."""
     recent = recent.join(meta.select("item_id"), "item_id", "left_semi")
     return Model(meta, blocks.sized(vectors), P.popularity_ctr(shown, meta), P.recency(shown, meta), P.coclick(recent))
 
@@ -83,22 +81,24 @@ def score_candidates(
 
 
 def fitted(spark, sf_dir, meta: DataFrame | None = None) -> tuple[Model, DataFrame]:
-    """Model of the training buckets (over the items in `meta`, if given) and the histories of all lists.
+    """Model of the training buckets (over the items in `meta`, if given) and the histories of the test bucket.
 
-    Histories feed the co-click graph and every user signal, so they are written once; popularity and the
-    co-click graph are read several times as well.
+    Histories feed every user signal, popularity and the co-click graph are read several times: they are written once.
     """
-    histories = stage(T.history(spark, sf_dir), "history")
-    training = histories.where(F.col("bucket") < T.last_bucket(spark, sf_dir))
     meta = T.item_meta(spark, sf_dir) if meta is None else meta
-    model = fit(meta, T.item_vectors(spark, sf_dir), T.train(spark, sf_dir), training)
-    return replace(model, popularity=stage(model.popularity, "popularity"), coclick=stage(model.coclick, "coclick")), histories
+    model = fit(meta, T.item_vectors(spark, sf_dir), T.train(spark, sf_dir), training_clicks(spark, sf_dir))
+    model = replace(model, popularity=stage(model.popularity, "popularity"), coclick=stage(model.coclick, "coclick"))
+    return model, test_history(spark, sf_dir)
 
 
-def prepared(spark, sf_dir, meta: DataFrame | None = None) -> tuple[Model, DataFrame]:
-    """Model of the training buckets and histories of the test bucket."""
-    model, histories = fitted(spark, sf_dir, meta)
-    return model, histories.where(F.col("bucket") == T.last_bucket(spark, sf_dir))
+def training_clicks(spark, sf_dir) -> DataFrame:
+    """The last clicks of each user's longest training history, as many as make co-click pairs."""
+    training = T.history_lengths(spark, sf_dir).where(F.col("bucket") < T.last_bucket(spark, sf_dir))
+    longest = P.longest_history(training).withColumn("bucket", F.lit(None).cast("bigint"))
+    return T.prefixes(spark, sf_dir, longest, P.PAIR_WINDOW)
+
+
+prepared = fitted
 
 
 def test_history(spark, sf_dir) -> DataFrame:
