@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.views import Catalog, sql
 from lapwing.operators import aggregates as A, popularity as P
 from lapwing.plans import recommend as M, tables as T
+from lapwing.session import stage
 
 CATALOG = Catalog()
 q = CATALOG.add
@@ -197,10 +198,10 @@ def popularity_ctr(spark, d):
 
 @q(
     "default_popularity",
-    sql("items impr", "SELECT count(*) AS n_items, round(quantile_cont(round(popularity::DOUBLE, 6), 0.5), 6) AS default_popularity FROM pop", POP_SQL),
+    sql("items impr", "SELECT count(*) AS n_items, round(quantile_cont(popularity::DOUBLE, 0.5), 6) AS default_popularity FROM pop", POP_SQL),
 )
 def default_popularity(spark, d):
-    pop = P.popularity_ctr(T.train(spark, d), T.item_meta(spark, d))
+    pop = stage(P.popularity_ctr(T.train(spark, d), T.item_meta(spark, d)), "popularity")
     return A.rounded(pop.agg(F.count(F.lit(1)).alias("n_items")).withColumn("default_popularity", P.default_popularity(pop)))
 
 

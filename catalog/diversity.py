@@ -206,14 +206,14 @@ def user_metrics(spark, d):
     "overall_metrics",
     sql(
         VIEWS,
-        """SELECT count(*) AS n_users, round(avg(gini), 6) AS avg_gini, round(quantile_cont(round(gini, 6), 0.5), 6) AS median_gini, round(avg(ild), 6) AS avg_ild,
-        round(quantile_cont(round(ild, 6), 0.5), 6) AS median_ild, round(avg(coverage), 6) AS avg_coverage, round(avg(calibration_error), 6) AS avg_calibration_error,
+        """SELECT count(*) AS n_users, round(avg(gini), 6) AS avg_gini, round(quantile_cont(gini, 0.5), 6) AS median_gini, round(avg(ild), 6) AS avg_ild,
+        round(quantile_cont(ild, 0.5), 6) AS median_ild, round(avg(coverage), 6) AS avg_coverage, round(avg(calibration_error), 6) AS avg_calibration_error,
         round(avg(entropy_nats), 6) AS avg_entropy_nats, round(avg(n_categories), 6) AS avg_unique_categories FROM um""",
         REC_UM,
     ),
 )
 def overall_metrics(spark, d):
-    return A.rounded(J.overall(metrics_of(spark, d)))
+    return A.rounded(J.overall(stage(metrics_of(spark, d), "metrics")))
 
 
 _SEG = "CASE WHEN round(gini, 9) > 0.8 THEN 'filter_bubble' WHEN round(gini, 9) BETWEEN 0.4 AND 0.6 THEN 'balanced' WHEN round(gini, 9) < 0.4 THEN 'diverse' ELSE 'other' END"
@@ -237,13 +237,13 @@ def segments(spark, d):
     "percentiles",
     sql(
         VIEWS,
-        """SELECT 'gini' AS metric, p::DOUBLE AS share, round(quantile_cont(round(gini, 6), [0.25, 0.5, 0.75, 0.9])[i], 6) AS value FROM um, (VALUES (1, 0.25), (2, 0.5), (3, 0.75), (4, 0.9)) v(i, p) GROUP BY p, i
-        UNION ALL SELECT 'ild', p, round(quantile_cont(round(ild, 6), [0.25, 0.5, 0.75, 0.9])[i], 6) FROM um, (VALUES (1, 0.25), (2, 0.5), (3, 0.75), (4, 0.9)) v(i, p) GROUP BY p, i""",
+        """SELECT 'gini' AS metric, p::DOUBLE AS share, round(quantile_cont(gini, [0.25, 0.5, 0.75, 0.9])[i], 6) AS value FROM um, (VALUES (1, 0.25), (2, 0.5), (3, 0.75), (4, 0.9)) v(i, p) GROUP BY p, i
+        UNION ALL SELECT 'ild', p, round(quantile_cont(ild, [0.25, 0.5, 0.75, 0.9])[i], 6) FROM um, (VALUES (1, 0.25), (2, 0.5), (3, 0.75), (4, 0.9)) v(i, p) GROUP BY p, i""",
         REC_UM,
     ),
 )
 def percentiles(spark, d):
-    return A.rounded(J.percentiles(metrics_of(spark, d)))
+    return A.rounded(J.percentiles(stage(metrics_of(spark, d), "metrics")))
 
 
 _LIVE = RANKED_SQL + ",\nlst AS (SELECT impression_id, item_id FROM rec WHERE rank <= 10),\n" + list_sql("lst", "l") + """,

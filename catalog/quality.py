@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.views import Catalog, sql
 from lapwing.operators import aggregates as A, quality as Q
 from lapwing.plans import tables as T
+from lapwing.session import stage
 
 CATALOG = Catalog()
 q = CATALOG.add
@@ -135,17 +136,19 @@ def quality_text(spark, d):
 
 
 def _metrics(spark, d, kept_only: bool):
-    """All checks as (section, metric, value), over all impressions or over those with a history."""
-    lens = lengths(spark, d)
-    shown = T.impressions(spark, d)
+    """All checks as (section, metric, value), over all impressions or over those that both fixes keep: a history and a click."""
+    lens, shown, log = lengths(spark, d), T.impressions(spark, d), T.log(spark, d).select(T.impression_id(), "item_id")
     if kept_only:
-        lens = lens.where(F.col("n_history") >= 1)
-        shown = shown.join(lens.select("impression_id"), "impression_id", "left_semi")
+        clicked = shown.where(F.col("label") == 1).select("impression_id").distinct()
+        lens = stage(lens.where(F.col("n_history") >= 1).join(clicked, "impression_id", "left_semi"), "kept")
+        shown, log = (df.join(lens.select("impression_id"), "impression_id", "left_semi") for df in (shown, log))
     items = T.doc_items(spark, d)
     return Q.all_metrics(
         {
             "missing": Q.empty_histories(lens),
-            "duplicates": Q.duplicates(items.select("item_id"), "item_id", "duplicate_items"),
+            "duplicates": Q.duplicates(items.select("item_id"), "item_id", "duplicate_items").withColumn(
+                "duplicate_impressions", Q.duplicates(log, ["impression_id", "item_id"], "duplicate_impressions").scalar()
+            ),
             "entities": Q.entity_coverage(T.article_entities(spark, d), T.entity_vectors(spark, d)),
             "balance": Q.category_balance(items),
             "temporal": Q.temporal(lens, CUTOFF),
@@ -155,7 +158,8 @@ def _metrics(spark, d, kept_only: bool):
     )
 
 
-_METRIC_SQL = """lens AS (SELECT h.impression_id, h."time", coalesce(x.n, 0) AS n FROM heads h LEFT JOIN (SELECT impression_id, count(*) AS n FROM hist GROUP BY 1) x USING (impression_id)),
+_METRIC_SQL = """lens AS (SELECT h.impression_id, h.user_id, h.bucket, h."time", coalesce(x.n, 0) AS n, CASE WHEN x.n >= 1 AND h.impression_id IN (SELECT impression_id FROM impr WHERE label = 1) THEN 1 ELSE 0 END AS ok
+        FROM heads h LEFT JOIN (SELECT impression_id, count(*) AS n FROM hist GROUP BY 1) x USING (impression_id)),
     cc AS (SELECT category, count(*) AS n FROM doc_items GROUP BY 1), rk AS (SELECT n, row_number() OVER (ORDER BY n) AS i FROM cc),
     cov AS (SELECT count(*) AS t, count(v.entity_id) AS c FROM (SELECT DISTINCT entity_id FROM ae) e LEFT JOIN evec v USING (entity_id)),
     fixed AS (SELECT 'duplicates' AS section, 'duplicate_items' AS metric, (count(*) - count(DISTINCT item_id))::DOUBLE AS value FROM doc_items
@@ -169,15 +173,16 @@ _METRIC_SQL = """lens AS (SELECT h.impression_id, h."time", coalesce(x.n, 0) AS
         UNION ALL SELECT 'text', 'encoding_issues', 0 UNION ALL SELECT 'text', 'avg_title_length', avg(length(url)) FROM pages
         UNION ALL SELECT 'text', 'avg_abstract_length', avg(length(html)) FROM pages),
     varying AS (SELECT k.f, m.* FROM (VALUES (0), (1)) k(f), LATERAL (
-        SELECT 'missing' AS section, 'empty_histories' AS metric, count(*) FILTER (WHERE n = 0)::DOUBLE AS value FROM lens WHERE n >= k.f
-        UNION ALL SELECT 'missing', 'empty_pct', count(*) FILTER (WHERE n = 0) * 100.0 / count(*) FROM lens WHERE n >= k.f
-        UNION ALL SELECT 'temporal', 'time_range_days', floor(date_diff('microsecond', min("time"), max("time")) / 86400000000.0) FROM lens WHERE n >= k.f
-        UNION ALL SELECT 'temporal', 'future_rows', count(*) FILTER (WHERE "time" > TIMESTAMP '2024-01-25') FROM lens WHERE n >= k.f
-        UNION ALL SELECT 'interactions', 'short_history_users', count(*) FILTER (WHERE n < 3) FROM lens WHERE n >= k.f
-        UNION ALL SELECT 'interactions', 'short_history_pct', count(*) FILTER (WHERE n < 3) * 100.0 / count(*) FROM lens WHERE n >= k.f
-        UNION ALL SELECT 'interactions', 'avg_history_length', avg(n) FROM lens WHERE n >= k.f
-        UNION ALL SELECT 'interactions', 'median_history_length', quantile_cont(n, 0.5) FROM lens WHERE n >= k.f
-        UNION ALL SELECT 'interactions', 'total_shown', count(*) FROM impr JOIN lens USING (impression_id) WHERE n >= k.f) m)"""
+        SELECT 'missing' AS section, 'empty_histories' AS metric, count(*) FILTER (WHERE n = 0)::DOUBLE AS value FROM lens WHERE ok >= k.f
+        UNION ALL SELECT 'missing', 'empty_pct', count(*) FILTER (WHERE n = 0) * 100.0 / count(*) FROM lens WHERE ok >= k.f
+        UNION ALL SELECT 'temporal', 'time_range_days', floor(date_diff('microsecond', min("time"), max("time")) / 86400000000.0) FROM lens WHERE ok >= k.f
+        UNION ALL SELECT 'temporal', 'future_rows', count(*) FILTER (WHERE "time" > TIMESTAMP '2024-01-25') FROM lens WHERE ok >= k.f
+        UNION ALL SELECT 'interactions', 'short_history_users', count(*) FILTER (WHERE n < 3) FROM lens WHERE ok >= k.f
+        UNION ALL SELECT 'interactions', 'short_history_pct', count(*) FILTER (WHERE n < 3) * 100.0 / count(*) FROM lens WHERE ok >= k.f
+        UNION ALL SELECT 'interactions', 'avg_history_length', avg(n) FROM lens WHERE ok >= k.f
+        UNION ALL SELECT 'interactions', 'median_history_length', quantile_cont(n, 0.5) FROM lens WHERE ok >= k.f
+        UNION ALL SELECT 'duplicates', 'duplicate_impressions', count(*) - count(DISTINCT (impression_id, item_id)) FROM log JOIN lens USING (user_id, bucket) WHERE ok >= k.f
+        UNION ALL SELECT 'interactions', 'total_shown', count(*) FROM impr JOIN lens USING (impression_id) WHERE ok >= k.f) m)"""
 
 
 @q(
@@ -191,7 +196,7 @@ _METRIC_SQL = """lens AS (SELECT h.impression_id, h."time", coalesce(x.n, 0) AS
     ),
 )
 def quality_before_after(spark, d):
-    """All checks before and after dropping impressions without a history."""
+    """All checks before and after dropping impressions without a history or without a click."""
     return A.rounded(Q.before_after(_metrics(spark, d, False), _metrics(spark, d, True)))
 
 
@@ -201,7 +206,7 @@ def quality_before_after(spark, d):
         "doc_items impr heads hist ae evec",
         """SELECT section, metric, round(value, 6)::DOUBLE AS value, CASE WHEN section = 'duplicates' THEN 'error' ELSE 'warning' END AS severity
         FROM (SELECT section, metric, value FROM fixed UNION ALL SELECT section, metric, value FROM varying WHERE f = 0)
-        WHERE (metric IN ('empty_histories', 'duplicate_items') AND value > 0) OR (metric = 'coverage_pct' AND value < 80)
+        WHERE (metric IN ('empty_histories', 'duplicate_items', 'duplicate_impressions') AND value > 0) OR (metric = 'coverage_pct' AND value < 80)
         OR (metric = 'imbalance_ratio' AND value > 100) OR (metric = 'short_history_pct' AND value > 30) OR (metric = 'missing_abstract_pct' AND value > 50)""",
         _METRIC_SQL,
     ),
@@ -210,6 +215,34 @@ def quality_issues(spark, d):
     return A.rounded(Q.issues(_metrics(spark, d, False)))
 
 
+@q(
+    "quality_report",
+    sql(
+        "doc_items impr heads hist ae evec",
+        """SELECT section, metric, section || '.' || metric || ': ' || format('{:,.2f}', value::DOUBLE) AS line FROM (SELECT section, metric, value FROM fixed UNION ALL SELECT section, metric, value FROM varying WHERE f = 0)""",
+        _METRIC_SQL,
+    ),
+)
+def quality_report(spark, d):
+    """The text report, a line per metric."""
+    return Q.report_lines(_metrics(spark, d, False))
+
+
+_BROKEN = """pg AS (SELECT page_id, url, html, page_id % 7 = 3 AS bad FROM pages)"""
+
+
+@q(
+    "encoding_issues",
+    f"""WITH {_BROKEN} SELECT count(*) AS n_rows, count(*) FILTER (WHERE bad) AS encoding_issues, count(*) FILTER (WHERE length(url) + CASE WHEN bad THEN 1 ELSE 0 END < 40) AS short_titles FROM pg""",
+)
+def encoding_issues(spark, d):
+    """Titles written as bytes, one in seven with a byte that no UTF-8 text has, read again and checked as bytes."""
+    broken = F.concat(F.encode(F.col("url"), "UTF-8"), F.when(F.col("page_id") % 7 == 3, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit(""))))
+    raw = stage(T.table(spark, d, "pages").select("page_id", broken.alias("url"), "html"), "pages")
+    out = Q.text_quality(raw, "url", "html", 40)
+    return out.withColumn("n_rows", raw.agg(F.count(F.lit(1))).scalar()).select("n_rows", "encoding_issues", "short_titles")
+
+
 @q(
     "embedding_checks",
     """SELECT count(*) AS n_vectors, min(len(e))::BIGINT AS min_dim, max(len(e))::BIGINT AS max_dim, round(min(sqrt(list_inner_product(e, e))), 6) AS min_norm,

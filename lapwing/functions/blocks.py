@@ -13,8 +13,11 @@ from lapwing.functions.ranking import SCORE_DIGITS
 BLOCK_ITEMS = 4096
 BLOCK_QUERIES = 512
 BLOCK_LIST = 512
-#: Item blocks that one task runs through for a block of queries before it hands on its best.
-GROUP_BLOCKS = 16
+#: A cell is a group of items and a share of the queries; one task holds no more than this of either.
+CELL_ITEMS = 16_384
+CELL_QUERIES = 16_384
+#: A cell is made no smaller than this to keep all cores busy.
+LEAST_QUERIES = 128
 BROADCAST_BYTES = 512 * 1024 * 1024
 
 
@@ -41,12 +44,6 @@ def packed_vectors(df: DataFrame, vectors: DataFrame, keys: list[str], columns:
     return packed(rows, keys, columns, name)
 
 
-def item_blocks(items: DataFrame, n_blocks: int, vec: str = "embedding") -> DataFrame:
-    """Items packed into blocks by id hash, GROUP_BLOCKS blocks to a group: (group, items)."""
-    rows = items.select("item_id", F.col(vec).alias("vec"), F.pmod(F.hash("item_id"), F.lit(n_blocks)).alias("block"))
-    return packed(rows, ["block"], ["item_id", "vec"], "items").select(F.floor(F.col("block") / GROUP_BLOCKS).alias("group"), "items")
-
-
 def struct_block(scalar: pa.ListScalar, field: str) -> np.ndarray:
     return scalar.values.field(field).to_numpy(zero_copy_only=False)
 
@@ -57,35 +54,22 @@ def vector_block(scalar: pa.ListScalar, field: str = "vec") -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
 
 
-def pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (query_id, kind, k, seen, vec) of a batch to rows of one packed list each."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, BLOCK_QUERIES):
-            part = batch.slice(start, BLOCK_QUERIES)
-            rows = pa.StructArray.from_arrays(part.columns, names=part.schema.names)
-            lists = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
-            yield pa.RecordBatch.from_arrays([lists], names=["queries"])
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of a vector column."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 class BestItems:
     """The k best items so far of each query of a block, by score (9 digits) descending, then item id."""
 
-    def __init__(self, group: int, queries: pa.ListScalar):
-        self.group = group
-        self.ids, self.kinds, self.k = (struct_block(queries, f) for f in ("query_id", "kind", "k"))
-        self.vectors = vector_block(queries)
-        seen = queries.values.field("seen")
-        self.seen, self.seen_row = seen.flatten().to_numpy(), np.repeat(np.arange(len(self.k)), seen.value_lengths().to_numpy())
+    def __init__(self, k: np.ndarray, vectors: np.ndarray, seen: pa.ListArray):
+        self.k, self.vectors = k, vectors
+        self.seen, self.seen_row = seen.flatten().to_numpy(), np.repeat(np.arange(len(k)), seen.value_lengths().to_numpy())
         self.row, self.item, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
-    def same(self, group: int, queries: pa.ListScalar) -> bool:
-        return group == self.group and all(np.array_equal(struct_block(queries, f), x) for f, x in (("query_id", self.ids), ("kind", self.kinds)))
-
-    def add(self, items: pa.ListScalar) -> None:
-        ids = struct_block(items, "item_id")
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        scores = self.vectors @ vector_block(items)[order].T
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Take items in order of their ids."""
+        scores = self.vectors @ vectors.T
         place = np.minimum(np.searchsorted(ids, self.seen), len(ids) - 1)
         read = ids[place] == self.seen
         scores[self.seen_row[read], place[read]] = -np.inf
@@ -102,27 +86,29 @@ class BestItems:
         keep = np.arange(len(row)) - starts[row] < self.k[row]
         self.row, self.item, self.score = row[keep], item[keep], score[keep]
 
-    def found(self) -> pa.RecordBatch:
-        columns = [self.ids[self.row], self.kinds[self.row], self.k[self.row], self.item, self.score]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "kind", "k", "item_id", "score"])
 
-
-def best_in_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per query the k best items of a run of blocks of one group, without those it has seen.
-
-    The blocks of a group follow each other for a block of queries; should they not, the runs are handed on apart and the
-    final cut joins them.
-    """
-    best = None
-    for batch in batches:
-        for group, queries, items in zip(*(batch.column(c) for c in ("group", "queries", "items"))):
-            if best is None or not best.same(group.as_py(), queries):
-                if best is not None:
-                    yield best.found()
-                best = BestItems(group.as_py(), queries)
-            best.add(items)
-    if best is not None:
-        yield best.found()
+FOUND = "query_id bigint, kind bigint, k bigint, item_id bigint, score double"
+
+
+def best_in_cell(key: tuple, queries: pa.Table, items: pa.Table) -> pa.Table:
+    """Per query of a cell the k best items of its group, without those it has seen. The items are laid out once."""
+    schema = pa.schema([("query_id", pa.int64()), ("kind", pa.int64()), ("k", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64())])
+    if not queries.num_rows or not items.num_rows:
+        return schema.empty_table()
+    ids = items.column("item_id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    ids, stock = ids[order], matrix(items.column("vec"))[order]
+    asked, kinds, k = (queries.column(c).to_numpy() for c in ("query_id", "kind", "k"))
+    vectors, seen = matrix(queries.column("vec")), queries.column("seen").combine_chunks()
+    out = []
+    for start in range(0, len(asked), BLOCK_QUERIES):
+        block = slice(start, start + BLOCK_QUERIES)
+        best = BestItems(k[block], vectors[block], seen.slice(start, BLOCK_QUERIES))
+        for at in range(0, len(ids), BLOCK_ITEMS):
+            best.add(ids[at : at + BLOCK_ITEMS], stock[at : at + BLOCK_ITEMS])
+        row = start + best.row
+        out.append(pa.Table.from_arrays([pa.array(x) for x in (asked[row], kinds[row], k[row], best.item, best.score)], schema=schema))
+    return pa.concat_tables(out)
 
 
 def best_match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

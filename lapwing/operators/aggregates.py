@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lapwing.functions.ranking import percentile_of, positions, top_k
+from lapwing.functions.ranking import positions, top_k
 
 
 def shares(df: DataFrame, column: str, value: str = "value") -> DataFrame:
@@ -90,7 +90,7 @@ def interaction_summary(shown: DataFrame, lengths: DataFrame, short: int = 3) ->
     """Shown items, clicks, click rate, mean and median history length and the number of short histories."""
     n_rows = lengths.agg(
         F.avg("n_history").alias("avg_history_length"),
-        percentile_of(F.col("n_history"), 0.5).alias("median_history_length"),
+        F.percentile("n_history", F.lit(0.5)).alias("median_history_length"),
         F.count_if(F.col("n_history") < short).alias("short_histories"),
     )
     one = shown.agg(F.count(F.lit(1)).alias("total_shown"), F.sum("label").alias("total_clicks"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lapwing.functions import vectors as V
-from lapwing.functions.ranking import percentile_of
+from lapwing.functions.ranking import exact_quantiles
 
 SMOOTHING = 0.01
 SYSTEM_SMOOTHING = 1e-9
@@ -119,13 +119,14 @@ def user_metrics(lists: DataFrame, history: DataFrame, items: DataFrame, keys: l
 
 
 def overall(metrics: DataFrame) -> DataFrame:
-    """Means and medians over all lists."""
+    """Means and medians over all lists. `metrics` is read several times."""
+    median = lambda c: F.lit(exact_quantiles(metrics, c, [0.5])[0]).cast("double")
     return metrics.agg(
         F.count(F.lit(1)).alias("n_users"),
         F.avg("gini").alias("avg_gini"),
-        percentile_of(F.col("gini"), 0.5).alias("median_gini"),
+        median("gini").alias("median_gini"),
         F.avg("ild").alias("avg_ild"),
-        percentile_of(F.col("ild"), 0.5).alias("median_ild"),
+        median("ild").alias("median_ild"),
         F.avg("coverage").alias("avg_coverage"),
         F.avg("calibration_error").alias("avg_calibration_error"),
         F.avg("entropy_nats").alias("avg_entropy_nats"),
@@ -155,14 +156,9 @@ def segments(metrics: DataFrame) -> DataFrame:
 
 
 def percentiles(metrics: DataFrame, columns: tuple[str, ...] = ("gini", "ild"), shares=(0.25, 0.5, 0.75, 0.9)) -> DataFrame:
-    """(metric, share, value) with linear interpolation."""
-    one = metrics.agg(*[percentile_of(F.col(c), list(shares)).alias(c) for c in columns])
-    cells = [
-        F.struct(F.lit(c).alias("metric"), F.lit(float(p)).alias("share"), F.col(c)[i].alias("value"))
-        for c in columns
-        for i, p in enumerate(shares)
-    ]
-    return one.select(F.inline(F.array(*cells)))
+    """(metric, share, value) with linear interpolation. `metrics` is read several times."""
+    rows = [(c, float(p), v) for c in columns for p, v in zip(shares, exact_quantiles(metrics, c, list(shares)))]
+    return metrics.sparkSession.createDataFrame(rows, "metric string, share double, value double")
 
 
 def hhi(counts: DataFrame, keys: list[str] | None = None) -> DataFrame:

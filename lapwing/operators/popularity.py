@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from lapwing.functions.ranking import percentile_of, top_k
+from lapwing.functions.ranking import exact_quantiles, top_k
 
 # fixed values of the signal definitions
 RAW_SHARE, CTR_SHARE = 0.7, 0.3
@@ -33,9 +33,9 @@ def popularity_ctr(shown: DataFrame, items: DataFrame) -> DataFrame:
     return rows.select("item_id", "clicks", "shown", score.alias("popularity"))
 
 
-def default_popularity(popularity: DataFrame):
-    """Median popularity (6 digits) as a scalar: the value for items outside the table."""
-    return popularity.agg(percentile_of(F.col("popularity"), 0.5)).scalar()
+def default_popularity(popularity: DataFrame) -> Column:
+    """Median popularity: the value for items outside the table."""
+    return F.lit(exact_quantiles(popularity, "popularity", [0.5])[0]).cast("double")
 
 
 def recency(shown: DataFrame, items: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lapwing.functions import vectors as V
-from lapwing.functions.ranking import percentile_of, top_k
+from lapwing.functions.ranking import top_k
 from lapwing.operators.diversity import gini
 
 # fixed values: section, metric, comparison, threshold, severity
@@ -87,18 +87,23 @@ def short_histories(lengths: DataFrame, short: int = 3) -> DataFrame:
         F.count_if(F.col("n_history") < short).alias("short_history_users"),
         (F.count_if(F.col("n_history") < short) * 100.0 / F.count(F.lit(1))).alias("short_history_pct"),
         F.avg("n_history").alias("avg_history_length"),
-        percentile_of(F.col("n_history"), 0.5).alias("median_history_length"),
+        F.percentile("n_history", F.lit(0.5)).alias("median_history_length"),
     )
 
 
 def text_quality(df: DataFrame, title: str, abstract: str, min_title: int = 10) -> DataFrame:
-    """Short titles, missing abstracts, invalid encodings and mean lengths."""
+    """Short titles, missing abstracts, invalid encodings and mean lengths. Titles may come as bytes, as a damaged file has them."""
+    raw = F.col(title)
+    if dict(df.dtypes)[title] == "binary":
+        raw = F.col(title).cast("string")  # the bytes as they are; readable ones are checked, the others replaced
+        df = df.withColumn("_title", F.make_valid_utf8(raw))
+        title = "_title"
     no_abstract = F.coalesce(F.length(abstract), F.lit(0)) == 0
     return df.agg(
         F.count_if(F.length(title) < min_title).alias("short_titles"),
         F.count_if(no_abstract).alias("missing_abstracts"),
         (F.count_if(no_abstract) * 100.0 / F.count(F.lit(1))).alias("missing_abstract_pct"),
-        F.count_if(~F.is_valid_utf8(title)).alias("encoding_issues"),
+        F.count_if(~F.is_valid_utf8(raw)).alias("encoding_issues"),
         F.avg(F.length(title)).alias("avg_title_length"),
         F.avg(F.length(abstract)).alias("avg_abstract_length"),
     )

@@ -20,26 +20,28 @@ LONG_HISTORY = 5
 def nearest(queries: DataFrame, items: DataFrame, k_max: int, excluded: DataFrame | None = None) -> DataFrame:
     """Exact top-k by inner product: distinct queries (query_id, kind, vec, k), items (item_id, embedding).
 
-    Queries and items are packed into blocks. A task takes a block of queries through the item blocks of a group, one matrix
-    product each, and keeps the k best items of a query that it may show; only these leave it, so at most k rows per
-    query and group are shuffled and the full score matrix never exists. Item blocks are broadcast while Catalyst or AQE
-    finds them small, else joined by group. `excluded` (query_id, item_id) travels as one list per query.
+    Items are dealt to groups and queries to shares, both by hash and of bounded size; a task takes one share and one
+    group (a cell): items are sent once per share, queries once per group, and no key holds more than a cell. There are
+    at least four cells for each core, if there are queries for them, however few the groups. A task keeps the k best
+    items of a query that it may show, so at most k rows per query and group are shuffled again and the full score matrix
+    never exists. `excluded` (query_id, item_id) travels as one list per query.
     """
-    n_blocks = max(1, ceil(items.count() / blocks.BLOCK_ITEMS))
+    groups = max(1, ceil(items.count() / blocks.CELL_ITEMS))
+    n, cores = queries.count(), items.sparkSession.sparkContext.defaultParallelism
+    shares = max(1, ceil(n / blocks.CELL_QUERIES), min(ceil(4 * cores / groups), ceil(n / blocks.LEAST_QUERIES)))
     if excluded is not None:
         lists = excluded.groupBy("query_id").agg(F.collect_set(F.col("item_id").cast("bigint")).alias("seen"))
         queries = queries.join(lists, "query_id", "left")
     else:
         queries = queries.withColumn("seen", F.lit(None))
-    whole = [F.col(c).cast("bigint") for c in ("query_id", "kind", "k")]
+    whole = [F.col(c).cast("bigint").alias(c) for c in ("query_id", "kind", "k")]
     seen = F.coalesce(F.col("seen").cast("array<bigint>"), F.array().cast("array<bigint>")).alias("seen")
-    packed = queries.select(*whole, seen, "vec").mapInArrow(
-        blocks.pack_queries, "queries array<struct<query_id:bigint,kind:bigint,k:bigint,seen:array<bigint>,vec:array<double>>>"
-    )
-    last = F.lit((n_blocks - 1) // blocks.GROUP_BLOCKS).cast("bigint")
-    every = packed.withColumn("group", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    pairs = every.join(blocks.item_blocks(items, n_blocks), "group").select("group", "queries", "items")
-    found = pairs.mapInArrow(blocks.best_in_group, "query_id bigint, kind bigint, k bigint, item_id bigint, score double")
+    every = lambda m: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint")))
+    share = F.pmod(F.xxhash64(*[c.cast("bigint") for c in (F.col("query_id"), F.col("kind"))]), F.lit(shares).cast("bigint"))
+    asked = queries.select(*whole, seen, "vec", share.alias("share")).withColumn("group", every(groups))
+    group = F.pmod(F.xxhash64("item_id"), F.lit(groups).cast("bigint"))
+    stock = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("embedding").alias("vec"), group.alias("group")).withColumn("share", every(shares))
+    found = asked.groupBy("group", "share").cogroup(stock.groupBy("group", "share")).applyInArrow(blocks.best_in_cell, blocks.FOUND)
     ranked = top_k(found.repartition("query_id"), ["query_id", "kind"], by_score(), k_max)
     return ranked.where(F.col("rank") <= F.col("k")).drop("k")
 

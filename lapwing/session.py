@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # small partitions may hold much work (vectors, packed lists): merge them no further than to this size
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     # a hot user's sessions merge in each map task before the shuffle
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     # sides below this size (estimated, or measured by AQE) are broadcast; larger ones shuffle

@@ -273,13 +273,11 @@ def test_best_items_hand_on_at_most_k_rows():
 
     from lapwing.functions import blocks
 
-    query = [{"query_id": i, "kind": 0, "k": 4, "seen": list(range(i)), "vec": [1.0]} for i in range(3)]
-    kind = pa.list_(pa.struct([("query_id", pa.int64()), ("kind", pa.int64()), ("k", pa.int64()), ("seen", pa.list_(pa.int64())), ("vec", pa.list_(pa.float64()))]))
-    pieces = [[{"item_id": i, "vec": [0.0]} for i in range(p, 5000, 2)] for p in range(2)]
-    item = pa.list_(pa.struct([("item_id", pa.int64()), ("vec", pa.list_(pa.float64()))]))
-    batch = pa.RecordBatch.from_arrays([pa.array([0, 0], pa.int64()), pa.array([query, query], kind), pa.array(pieces, item)], names=["group", "queries", "items"])
-    out = [r for b in blocks.best_in_group(iter([batch])) for r in b.to_pylist()]
+    asked = pa.table({"query_id": [0, 1, 2], "kind": [0, 0, 0], "k": [4, 4, 4], "seen": pa.array([list(range(i)) for i in range(3)], pa.list_(pa.int64())), "vec": [[1.0]] * 3})
+    stock = pa.table({"item_id": list(range(4999, -1, -1)), "vec": [[0.0]] * 5000})
+    out = blocks.best_in_cell((0, 0), asked, stock).to_pylist()
     assert [(r["query_id"], r["item_id"]) for r in out] == [(q, q + i) for q in range(3) for i in range(4)]
+    assert blocks.best_in_cell((0, 0), asked.slice(0, 0), stock).num_rows == blocks.best_in_cell((0, 0), asked, stock.slice(0, 0)).num_rows == 0
 
 
 def test_injection_takes_items_with_a_vector_only(spark):
@@ -305,3 +303,48 @@ def test_codes_of_sparse_and_like_ids(spark):
     assert values(shape.sorted_codes(named, "v"), "code", "v") == {v: i for i, v in enumerate(like)}
     assert values(shape.first_seen_codes(named, "v", "n"), "code", "v") == {v: 499 - i for i, v in enumerate(like)}
     assert shape.sorted_codes(named.where("n < 0"), "v").count() == 0
+
+
+def test_neighbours_use_all_cores_with_one_group(spark):
+    """One group of items, no broadcast: the queries are dealt to many cells, and the result is that of the full product."""
+    import numpy as np
+
+    from lapwing.functions import blocks
+    from lapwing.operators import retrieve
+
+    rng = np.random.default_rng(1)
+    v = np.round(rng.normal(size=(3000, 8)), 2)
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "item_id bigint, embedding array<double>")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        near = retrieve.item_neighbours(items, 5)
+        got = {}
+        for r in near.collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["item_id"]))
+        queries = items.select(F.col("item_id").alias("query_id"), F.lit(0).alias("kind"), F.col("embedding").alias("vec"), F.lit(5).alias("k"))
+        tasks = retrieve.nearest(queries, items, 5).select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert blocks.CELL_ITEMS > 3000 and tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scores = np.round(v @ v.T, 9)
+    np.fill_diagonal(scores, -np.inf)
+    for q in range(0, 3000, 37):
+        want = np.lexsort((np.arange(3000), -scores[q]))[:5]
+        assert [i for _, i in sorted(got[q])] == want.tolist()
+
+
+def test_exact_quantiles_of_any_distribution(spark):
+    import numpy as np
+
+    from lapwing.functions.ranking import exact_quantiles
+
+    rng = np.random.default_rng(3)
+    heavy = np.concatenate([rng.pareto(0.3, 3000) * 1e-9, [1e12]])  # all but a few below 1e-6 of the largest
+    for values in (heavy, np.repeat([5.0, -2.0, 5.0], [2000, 10, 3]), rng.normal(size=1501), np.array([7.0]), np.r_[np.zeros(3000), rng.random(40)]):
+        shares = [0.0, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0]
+        frame = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(3)
+        assert exact_quantiles(frame, "v", shares, small=50) == pytest.approx(np.quantile(values, shares).tolist(), rel=1e-12)
+    assert exact_quantiles(frame.limit(0), "v", [0.5]) == [None]
