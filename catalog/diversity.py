@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import accuracy as CA, rerank as CR
 from catalog.retrieval import RANKED_SQL, SHOWN_SQL
-from catalog.views import Catalog, sql
+from catalog.views import VIEWS as PARTIAL, Catalog, sql
 from lapwing.operators import accuracy as I, aggregates as A, diversity as J, rerank as H
 from lapwing.plans import evaluate as E, recommend as M, tables as T
 from lapwing.session import stage
@@ -265,6 +265,27 @@ def live_metrics(spark, d):
     return A.rounded(_live(spark, d)).withColumn("entropy", F.abs("entropy"))
 
 
+_UNEVEN = (
+    RANKED_SQL
+    + ",\nlst AS (SELECT impression_id, item_id FROM rec WHERE rank <= 10),\n"
+    + PARTIAL["items_partial"].replace("items AS (", "pitems AS (", 1)
+    + ", pcat AS (SELECT * FROM pitems WHERE category IS NOT NULL),\n"
+    + list_sql("lst", "l").replace("JOIN items USING", "JOIN pcat USING", 1)
+    + """,
+    rare AS (SELECT category FROM pitems GROUP BY 1 HAVING count(*) / (SELECT count(*) FROM pitems)::DOUBLE < 0.05),
+    mc AS (SELECT impression_id, coalesce(count(DISTINCT r.category) / nullif((SELECT count(*) FROM rare), 0)::DOUBLE, 0) AS minority_coverage FROM lst JOIN pitems USING (item_id) LEFT JOIN rare r USING (category) GROUP BY 1)"""
+)
+
+
+@q("live_metrics_uneven", sql(VIEWS, _LIVE_BODY.replace("FROM items)", "FROM pcat)"), _UNEVEN))
+def live_metrics_uneven(spark, d):
+    """Metrics shown with a feed over uneven categories with gaps; rare ones are below 5 %."""
+    model, h = M.prepared(spark, d)
+    lists = stage(M.recommend(T.test_lists(spark, d), h, model, 10).select("impression_id", "item_id"), "lists")
+    items = T.partial_meta(spark, d).join(T.item_vectors(spark, d), "item_id")
+    return A.rounded(J.live_metrics(lists, items, KEY)).withColumn("entropy", F.abs("entropy"))
+
+
 @q(
     "metric_flags",
     sql(

@@ -194,13 +194,23 @@ def tower_shares_raw(spark, d):
     return A.rounded(X.block_shares(raw, {"text": 64, "entity": 64, "category": 48}))
 
 
-@q("text_tower")
+@q(
+    "text_tower",
+    "WITH d AS (SELECT doc_id AS item_id, regexp_extract_all(translate(coalesce(source, '') || '. ' || coalesce(source, '') || '. ' || coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_]+') AS ws FROM documents),"
+    """ w AS (SELECT item_id, unnest(ws) AS w FROM d),
+    c AS (SELECT item_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 768 AS slot, count(*) AS tf FROM w GROUP BY 1, 2),
+    f AS (SELECT slot, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)::DOUBLE) AS idf FROM c GROUP BY 1),
+    x AS (SELECT item_id, slot, tf * idf AS v FROM c JOIN f USING (slot)),
+    s AS (SELECT item_id, sqrt(sum(v * v)) AS n, sum((slot + 1) * v) AS r FROM x GROUP BY 1)
+    SELECT item_id, CAST(768 AS BIGINT) AS dim, round(CASE WHEN n > 0 THEN 1 ELSE 0 END, 6)::DOUBLE AS norm, round(CASE WHEN n > 0 THEN r / n ELSE 0 END, 6)::DOUBLE AS ramp FROM d LEFT JOIN s USING (item_id)""",
+)
 def text_tower(spark, d):
-    """Hashed TF-IDF vectors of the emphasised text of every document: norm per item."""
+    """Hashed TF-IDF vectors of the emphasised text of every document: norm and position-sensitive checksum."""
     from lapwing.sources.behaviours import emphasised_text
 
     docs = T.doc_items(spark, d).select("item_id", emphasised_text(F.col("subcategory"), F.col("text")).alias("text"))
-    return X.text_tower(docs, n_features=256).select("item_id", F.round(V.norm(F.col("vec")), 6).alias("norm"))
+    out = X.text_tower(docs)
+    return check_vec(out.withColumn("dim", F.size("vec").cast("bigint")), ["item_id", "dim"])
 
 
 def _profile_sql(rows: str, weight: str = "1.0::DOUBLE", unit: bool = True) -> str:

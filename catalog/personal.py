@@ -11,7 +11,7 @@ from catalog.diversity import KEY, METHODS_SQL
 from catalog.retrieval import RANKED_SQL, SEED_SQL, seeds
 from catalog.aggregates import POP_SQL
 from catalog.views import Catalog, sql
-from lapwing.operators import aggregates as A, personal as U, rerank as H
+from lapwing.operators import aggregates as A, diversity as J, personal as U, rerank as H
 from lapwing.plans import evaluate as E, recommend as M, tables as T
 from lapwing.session import stage, stage_dir
 from lapwing.sources import sinks
@@ -398,20 +398,36 @@ def resolve_users(spark, d):
     "compare_feed",
     sql(
         "items impr hist",
-        """SELECT method, impression_id, round(gini, 6) AS gini, round(coalesce(ild, 0), 6) AS ild, n_categories, round(avg_relevance, 6) AS avg_relevance FROM l_g LEFT JOIN l_i USING (method, impression_id)
+        """SELECT method, impression_id, round(gini, 6) AS gini, round(coalesce(ild, 0), 6) AS ild, n_categories, round(avg_relevance, 6) AS avg_relevance, round(n_categories / (SELECT count(DISTINCT category) FROM items)::DOUBLE, 6) AS coverage,
+        n_categories || '/' || (SELECT count(DISTINCT category) FROM items) AS coverage_str, round(abs(entropy_nats) / ln(2), 6) AS entropy, round(minority_coverage, 6) AS minority_coverage FROM l_g LEFT JOIN l_i USING (method, impression_id)
+        JOIN (SELECT method, impression_id, coalesce(count(DISTINCT r.category) / nullif((SELECT count(*) FROM rare), 0)::DOUBLE, 0) AS minority_coverage FROM mrec JOIN items USING (item_id) LEFT JOIN rare r USING (category) GROUP BY 1, 2) USING (method, impression_id)
         JOIN (SELECT method, m.impression_id, avg(p.score) AS avg_relevance FROM mrec m JOIN fe p ON p.impression_id = m.impression_id AND p.item_id = m.item_id GROUP BY 1, 2) USING (method, impression_id)
         WHERE method IN ('baseline', 'composite')""",
-        METHODS_SQL,
+        METHODS_SQL + ", rare AS (SELECT category FROM items GROUP BY 1 HAVING count(*) / (SELECT count(*) FROM items)::DOUBLE < 0.05)",
         recursive=True,
     ),
 )
 def compare_feed(spark, d):
-    """Baseline and tuned composite feeds of every test user side by side, with metrics."""
-    cands, ctx = CR.setup(spark, d)
-    recs = stage(E.recommendations(cands, ctx, 10, {m: E.PARAMS[m] for m in ("baseline", "composite")}), "recs")
-    rows = E.diversity_rows(recs, ctx.history, T.items(spark, d)).select(*E.BOTH, "gini", "ild", "n_categories")
+    """Baseline and tuned composite feeds of every test user side by side, with all metrics shown with a feed."""
+    recs = feeds(spark, d)
+    items = T.items(spark, d)
+    rows = J.live_metrics(recs, items, E.BOTH).join(A.category_spread(A.category_counts(recs, items, E.BOTH), E.BOTH).select(*E.BOTH, F.col("unique_categories").alias("n_categories")), E.BOTH)
     relevance = recs.groupBy(*E.BOTH).agg(F.avg("score").alias("avg_relevance"))
-    return A.rounded(rows.join(relevance, E.BOTH))
+    return A.rounded(rows.join(relevance, E.BOTH)).withColumn("entropy", F.abs("entropy"))
+
+
+def feeds(spark, d):
+    cands, ctx = CR.setup(spark, d)
+    return stage(E.recommendations(cands, ctx, 10, {m: E.PARAMS[m] for m in ("baseline", "composite")}), "recs")
+
+
+@q(
+    "compare_feed_categories",
+    sql("items impr hist", "SELECT method, impression_id, category, n FROM l_c WHERE method IN ('baseline', 'composite')", METHODS_SQL, recursive=True),
+)
+def compare_feed_categories(spark, d):
+    """Category counts of both feeds of every test user."""
+    return A.category_counts(feeds(spark, d), T.item_meta(spark, d), E.BOTH)
 
 
 _SEEDED = RANKED_SQL.replace(POP_SQL, SEED_SQL).replace(

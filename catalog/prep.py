@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.views import Catalog, sql
 from lapwing.functions import vectors as V
 from lapwing.operators import shape
 from lapwing.plans import tables as T
+from lapwing.session import stage_dir
 from lapwing.sources import behaviours as B, sinks, vectors as VS
 
 CATALOG = Catalog()
@@ -112,10 +115,67 @@ def training_interactions(spark, d):
     ),
 )
 def test_impressions(spark, d):
-    rows = T.behaviours(spark, d).where((F.col("bucket") == T.last_bucket(spark, d)) & (F.col("n_history") > 0) & (F.size("impressions") > 0))
+    last = T.behaviours(spark, d).where(F.col("bucket") == T.last_bucket(spark, d))
+    rows = B.test_set(last, n_history=F.col("n_history"))
     return rows.select("impression_id", "n_history", F.size("impressions").cast("bigint").alias("n_impressions"))
 
 
+def written(df, name):
+    """Write lines of text to the shared folder."""
+    path = f"{stage_dir(df.sparkSession)}/lapwing/{name}-{uuid.uuid4().hex}"
+    df.write.text(path)
+    return path
+
+
+@q(
+    "read_behaviors",
+    sql(
+        "impr hist heads",
+        """SELECT h.impression_id, 'U' || h.user_id AS user_id, strftime(h."time", '%Y-%m-%d %H:%M:%S') AS "time", coalesce(p.n, 0) AS n_history, first_item, last_item, i.n_shown, i.n_clicks
+        FROM (SELECT * FROM heads WHERE bucket = (SELECT max(bucket) FROM log)) h LEFT JOIN (SELECT impression_id, count(*) AS n, 'N' || arg_min(item_id, pos) AS first_item, 'N' || arg_max(item_id, pos) AS last_item FROM hist GROUP BY 1) p USING (impression_id)
+        JOIN (SELECT impression_id, count(*) AS n_shown, sum(label)::BIGINT AS n_clicks FROM impr GROUP BY 1) i USING (impression_id)""",
+    ),
+)
+def read_behaviors(spark, d):
+    """The last bucket's impressions written as a header-less TSV and read back."""
+    n = lambda c: F.concat(F.lit("N"), c.cast("string"))
+    past = T.history(spark, d, T.last_bucket(spark, d)).groupBy("impression_id").agg(F.sort_array(F.collect_list(F.struct("pos", "item_id"))).alias("h"))
+    shown = F.array_join(F.transform("impressions", lambda x: F.concat(n(x["item_id"]), F.lit("-"), x["label"].cast("string"))), " ")
+    rows = T.behaviours(spark, d).where(F.col("bucket") == T.last_bucket(spark, d)).join(T.heads(spark, d).select("impression_id", "time"), "impression_id").join(past, "impression_id", "left")
+    read_ = F.array_join(F.transform("h", lambda x: n(x["item_id"])), " ")
+    line = F.concat_ws("\t", F.col("impression_id").cast("string"), F.concat(F.lit("U"), F.col("user_id").cast("string")), F.date_format("time", "M/d/yyyy h:mm:ss a"), F.coalesce(read_, F.lit("")), shown)
+    back = B.read_behaviors(spark, written(rows.select(line.alias("value")), "behaviors"))
+    size = lambda c: F.size(c).cast("bigint")
+    clicks = F.filter("impressions", lambda x: x["label"] == 1)
+    return back.select(
+        "impression_id", "user_id", F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("time"), size("history").alias("n_history"),
+        F.try_element_at("history", F.lit(1)).alias("first_item"), F.try_element_at("history", F.lit(-1)).alias("last_item"), size("impressions").alias("n_shown"), size(clicks).alias("n_clicks"),
+    )
+
+
+@q(
+    "read_features_fallback",
+    r"""SELECT 'N' || doc_id AS news_id, lang AS category, CASE WHEN cut THEN NULL ELSE coalesce(source, '') END AS subcategory, CASE WHEN cut THEN '' ELSE t END AS title, CASE WHEN cut THEN ' ' ELSE t || ' ' END AS combined_text,
+    CAST(CASE WHEN cut THEN 0 ELSE 2 END AS BIGINT) AS n_entities, CASE WHEN NOT cut THEN 'Q' || doc_id END AS first_entity
+    FROM (SELECT doc_id, coalesce(lang, '') AS lang, source, doc_id % 11 = 5 AS cut, coalesce(regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9]', '_', 'g'), '') AS t FROM documents)""",
+)
+def read_features_fallback(spark, d):
+    """No processed table: the raw item TSV is read, where one line in eleven is cut after the second field."""
+    docs = T.table(spark, d, "documents")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    title = text(F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z0-9]", "_"))
+    key = F.col("doc_id").cast("string")
+    entity = F.concat(F.lit('[{"WikidataId": "Q'), key, F.lit('"}, {"WikidataId": "R'), key, F.lit('"}]'))
+    start = F.concat_ws("\t", F.concat(F.lit("N"), key), text(F.col("lang")))
+    whole = F.concat_ws("\t", start, text(F.col("source")), title, F.lit(""), F.lit("url"), entity, F.lit("[]"))
+    raw = written(docs.select(F.when(F.col("doc_id") % 11 == 5, start).otherwise(whole).alias("value")), "news")
+    rows = B.read_features_or_raw(spark, raw + "-processed", raw)
+    return rows.select(
+        "news_id", text(F.col("category")).alias("category"), F.when(F.size("all_entities") > 0, text(F.col("subcategory"))).alias("subcategory"), "title", text(F.col("combined_text")).alias("combined_text"),
+        F.size("all_entities").cast("bigint").alias("n_entities"), F.try_element_at("all_entities", F.lit(1)).alias("first_entity"),
+    )
+
+
 @q("item_metadata", sql("items", "SELECT item_id, category, subcategory FROM items"))
 def item_metadata(spark, d):
     return T.item_meta(spark, d)

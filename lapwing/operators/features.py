@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lapwing.functions import vectors as V
@@ -101,14 +98,24 @@ def block_shares(vectors: DataFrame, dims: dict[str, int], vec: str = "fused") -
 
 
 def text_tower(docs: DataFrame, encode: Callable[[DataFrame], DataFrame] | None = None, n_features: int = 768) -> DataFrame:
-    """(item_id, text) to (item_id, vec). Any encoder fits; the default is hashed TF-IDF with unit rows."""
+    """(item_id, text) to (item_id, vec). Any encoder fits; the default is hashed TF-IDF with unit rows.
+
+    Words are runs of letters a-z (upper case included), digits and `_`. A word's slot is the first 32 bits of its md5 modulo
+    `n_features`, the weight of a slot its count times ln((n + 1) / (documents with the slot + 1)). A text without words
+    has the zero vector; item ids are distinct. Counts by item and slot merge in the task that holds the text, so at most
+    `n_features` slim rows of a text are sent.
+    """
     if encode is not None:
         return encode(docs)
-    stages = [
-        RegexTokenizer(inputCol="text", outputCol="_w", pattern=r"\W+"),
-        HashingTF(inputCol="_w", outputCol="_tf", numFeatures=n_features),
-        IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="_unit"),
-    ]
-    out = Pipeline(stages=stages).fit(docs).transform(docs)
-    return out.select("item_id", vector_to_array("_unit").alias("vec"))
+    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    word = F.explode(F.regexp_extract_all(lower, F.lit("[a-z0-9_]+"), 0))
+    rows = docs.select("item_id", word.alias("_w")).groupBy("item_id", "_w").agg(F.count(F.lit(1)).alias("_n"))
+    slot = (F.conv(F.substring(F.md5(F.encode("_w", "UTF-8")), 1, 8), 16, 10).cast("bigint") % n_features).cast("int")
+    counts = rows.groupBy("item_id", slot.alias("_slot")).agg(F.sum("_n").alias("_tf"))
+    total = docs.agg(F.count(F.lit(1))).scalar()
+    idf = counts.groupBy("_slot").agg(F.ln((total + 1) / (F.count(F.lit(1)) + 1)).alias("_idf"))  # no more rows than slots
+    weighted = counts.join(F.broadcast(idf), "_slot").select("item_id", F.struct("_slot", (F.col("_tf") * F.col("_idf")).alias("w")).alias("_s"))
+    sparse = weighted.groupBy("item_id").agg(F.map_from_entries(F.collect_list("_s")).alias("_m"))
+    none = F.create_map().cast("map<int,double>")
+    dense = F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)), lambda i: F.coalesce(F.try_element_at(F.coalesce("_m", none), i), F.lit(0.0)))
+    return docs.select("item_id").join(sparse, "item_id", "left").select("item_id", V.unit(dense).alias("vec"))

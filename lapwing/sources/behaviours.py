@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BEHAVIOUR_SCHEMA = "impression_id BIGINT, user_id STRING, time STRING, history STRING, impressions STRING"
@@ -100,6 +101,31 @@ def read_features(spark: SparkSession, path: str, fmt: str = "parquet", required
     return df
 
 
+#: Columns that a feature table has at least; the first three default to empty.
+FEATURE_COLUMNS = ("title", "abstract", "all_entities", "news_id", "category", "subcategory")
+
+
+def read_features_or_raw(spark: SparkSession, path: str, raw: str) -> DataFrame:
+    """Processed features (legacy CSV) or, where there is no such file, the raw item TSV.
+
+    Damaged lines are kept: fields that a line lacks are null, or empty for title, abstract and the entity list. A processed
+    file without an entity column gets empty lists; any other missing column is an error.
+    """
+    try:
+        df = read_features(spark, path, "csv")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        df = read_news(spark, raw)
+    none = F.array().cast("array<string>")
+    if "all_entities" not in df.columns:
+        df = df.withColumn("all_entities", none)
+    missing = [c for c in FEATURE_COLUMNS if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing required columns: {missing}")
+    return df.fillna("", ["title", "abstract"]).withColumn("all_entities", F.coalesce("all_entities", none))
+
+
 def revive_list(text: Column) -> Column:
     """`['a', "b's"]` written as text back to an array of strings; either kind of quote may hold the other."""
     quoted = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("'[^']*'|\"[^\"]*\""), 0)
@@ -111,9 +137,11 @@ def explode_impressions(behaviours: DataFrame, *keep: str) -> DataFrame:
     return behaviours.select(*keep, F.inline("impressions"))
 
 
-def test_set(behaviours: DataFrame, n: int | None = None) -> DataFrame:
-    """Impressions with a non-empty history and non-empty candidates, optionally the first n of them."""
-    rows = behaviours.where((F.size("history") > 0) & (F.size("impressions") > 0))
+def test_set(behaviours: DataFrame, n: int | None = None, n_history: Column | None = None) -> DataFrame:
+    """Impressions with a non-empty history (its array, or its length `n_history`) and non-empty candidates, optionally
+    the first n of them."""
+    length = F.size("history") if n_history is None else n_history
+    rows = behaviours.where((length > 0) & (F.size("impressions") > 0))
     return rows.orderBy("impression_id").limit(n) if n is not None else rows
 
 
