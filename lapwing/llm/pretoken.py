@@ -23,7 +23,8 @@ CUT = "\uffff"  # a noncharacter; texts that hold it are left to the library
 POINTS = 0x110000
 #: Byte-level alphabet: printable bytes stand for themselves, the others are numbered from 256 on.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-KNOWN_PRETOKENS = 1_000_000
+#: Bounds of a task's dictionary of distinct pre-tokens; it is made anew beyond them.
+KNOWN_PRETOKENS, KNOWN_BYTES = 1_000_000, 64 << 20
 
 
 class PreTokens:
@@ -39,6 +40,7 @@ class PreTokens:
         rest = [b for b in range(256) if b not in PRINTABLE]
         self.letters = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(rest)}
         self.known: dict = {}
+        self.known_bytes = 0
 
     def learn(self, points: np.ndarray) -> None:
         """Class and lower case of code points seen for the first time, as the library has them."""
@@ -63,8 +65,17 @@ class PreTokens:
         """Pieces of one pre-token, from the library's model."""
         return self.model.tokenize(token.encode().decode("latin-1").translate(self.letters))
 
-    def cut(self, texts: pa.Array) -> tuple[list[str], np.ndarray, list[int]]:
-        """Pre-tokens of all texts in a row, how many each text has, and texts left to the library (with none here)."""
+    def forget(self) -> bool:
+        """Empty a dictionary that has grown to its bound, in entries or in bytes."""
+        full = len(self.known) > KNOWN_PRETOKENS or self.known_bytes > KNOWN_BYTES
+        if full:
+            self.known.clear()
+            self.known_bytes = 0
+        return full
+
+    def cut(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, list[int]]:
+        """Distinct pre-tokens of some texts, the number of each pre-token of all texts in a row, how many each text has,
+        and texts left to the library (with none here)."""
         raw, offsets = A.joined(texts)
         whole = raw.tobytes()
         left = set()
@@ -112,12 +123,17 @@ class PreTokens:
         token &= keep
         summed = np.r_[0, np.cumsum(token)]
         count = summed[starts[1:]] - summed[starts[:-1]]
-        kept, first = points[keep], token[keep]
-        place = np.arange(len(kept)) + np.cumsum(first)
-        wide = np.full(len(kept) + int(first.sum()), ord(CUT), np.uint32)
-        wide[place] = kept
-        tokens = wide.tobytes().decode("utf-32-le").split(CUT)[1:]
-        return tokens, count, sorted(left)
+        kept, heads = points[keep], np.flatnonzero(token[keep])
+        data = kept.tobytes().decode("utf-32-le").encode()
+        if len(data) == len(kept):
+            bounds = np.append(heads, len(kept))
+        else:  # UTF-8 bytes before each code point
+            width = np.ones(len(kept), np.int64)
+            for least in (0x80, 0x800, 0x10000):
+                width += kept >= least
+            bounds = np.r_[0, np.cumsum(width)][np.append(heads, len(kept))]
+        every = pa.Array.from_buffers(pa.large_string(), len(heads), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        return every.dictionary.to_pylist(), every.indices.to_numpy(zero_copy_only=False), count, sorted(left)
 
     def _contracted(self, points, token, ends) -> None:
         """Where a token begins with an apostrophe and one of the suffixes: the two are one token."""
@@ -158,19 +174,19 @@ class Counter(PreTokens):
         super().__init__(path, drops_space)
         self.pieces = np.zeros(0, np.int64)
 
-    def codes(self, tokens: list[str]) -> np.ndarray:
-        """Code of every pre-token; the pieces of new ones are counted."""
-        if len(self.known) > KNOWN_PRETOKENS:
-            self.known.clear()
+    def codes(self, distinct: list[str]) -> np.ndarray:
+        """Code of each of some distinct pre-tokens; the pieces of new ones are counted."""
+        if self.forget():
             self.pieces = np.zeros(0, np.int64)
-        if new := set(tokens).difference(self.known):
+        if new := [t for t in distinct if t not in self.known]:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.known_bytes += sum(map(len, new))
             self.pieces = np.concatenate([self.pieces, np.fromiter((len(self.split(t)) for t in new), np.int64, len(new))])
-        return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        return np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
 
     def counts(self, texts: pa.Array) -> np.ndarray:
-        tokens, count, left = self.cut(texts)
-        code = self.codes(tokens)
+        distinct, token, count, left = self.cut(texts)
+        code = self.codes(distinct)[token]
         # frequency of each distinct pre-token in each document, joined to its pieces
         width = max(len(self.known), 1)
         both, frequency = np.unique(np.repeat(np.arange(len(count)), count) * width + code, return_counts=True)
@@ -186,14 +202,18 @@ class Encoder(PreTokens):
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has."""
-        tokens, count, left = self.cut(texts)
-        if len(self.known) > KNOWN_PRETOKENS:
-            self.known.clear()
-        for t in set(tokens).difference(self.known):
-            self.known[t] = array("I", [p.id for p in self.split(t)]).tobytes()
-        parts = list(map(self.known.__getitem__, tokens))
-        ids = np.frombuffer(b"".join(parts), np.uint32)
-        sizes = np.r_[0, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4)]
+        distinct, token, count, left = self.cut(texts)
+        self.forget()
+        for t in distinct:
+            if t not in self.known:
+                self.known[t] = array("I", [p.id for p in self.split(t)]).tobytes()
+                self.known_bytes += len(t) + len(self.known[t])
+        parts = list(map(self.known.__getitem__, distinct))
+        # the ids of the distinct pre-tokens in a row, and from them those of all pre-tokens
+        flat, size = np.frombuffer(b"".join(parts), np.uint32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        first, own = np.cumsum(size) - size, size[token]
+        sizes = np.r_[0, np.cumsum(own)]
+        ids = flat[np.repeat(first[token] - sizes[:-1], own) + np.arange(sizes[-1])]
         ends = np.cumsum(count)
         out = sizes[ends] - sizes[ends - count]
         if not left:

@@ -15,7 +15,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lapwing.llm import arrays as A
 from lapwing.llm.pretoken import Encoder
@@ -156,16 +156,16 @@ def _encode(tokenizer: str, key: str, text: str, shard_tokens: int):
 
         encoder = Encoder(tokenizer, drops_space=True)
         bits = max(1, int(encoder.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, ahead = TaskContext.get().partitionId(), 0, 0
         held: list[tuple] = []
         size = 0
 
         def close():
             keys, valid, lengths, ids = (np.concatenate(x) for x in zip(*held))
             blob = encode_shard(keys, valid, lengths, ids, bits)
-            columns = [[part], [number], [len(keys)], [len(ids)], [blob]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "number", "docs", "tokens", "blob"])
+            columns = [[part], [number], [len(keys)], [len(ids)], [ahead], [blob]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "number", "docs", "tokens", "ahead", "blob"])
 
         for whole in batches:
             for batch in A.pieces(whole, text, 1 << 20):
@@ -177,7 +177,7 @@ def _encode(tokenizer: str, key: str, text: str, shard_tokens: int):
                 size += len(with_end)
                 if size >= shard_tokens:
                     yield close()
-                    held, size, number = [], 0, number + 1
+                    held, size, number, ahead = [], 0, number + 1, ahead + size
         if held:
             yield close()
 
@@ -195,7 +195,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, key: str = "
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("bigint").alias(key), text)
     rows = rows.repartitionByRange(parts, key).sortWithinPartitions(key, text)
-    shape = "part int, number int, docs bigint, tokens bigint, blob binary"
+    shape = "part int, number int, docs bigint, tokens bigint, ahead bigint, blob binary"
     shards = rows.mapInArrow(_encode(tokenizer or public_tokenizers.path("word_bpe_49k.json"), key, text, shard_tokens), shape)
     shards.write.option("maxRecordsPerFile", 8).parquet(path)
 
@@ -219,15 +219,13 @@ def _decode(key: str):
 
 
 def shards(spark: SparkSession, path: str) -> DataFrame:
-    """Shards of a folder with `start`: tokens in all shards before. Parts come in key order, shards in parts by number."""
+    """Shards of a folder with `start`: tokens in all shards before. Parts come in key order, and a shard knows the tokens
+    ahead of it in its part, so only the offsets of parts, one small row each, are sent; no shard is."""
     rows = spark.read.parquet(path)
     sizes = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.sum("tokens").alias("n")).collect())
     ahead = np.cumsum([0, *(n for _, n in sizes)]).tolist()
     offsets = spark.createDataFrame([(p, a) for (p, _), a in zip(sizes, ahead)] or [(0, 0)], "part int, _ahead bigint")
-    before = W.partitionBy("part").orderBy("number").rowsBetween(W.unboundedPreceding, -1)
-    places = rows.select("part", "number", "tokens").withColumn("_inside", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-    places = places.join(F.broadcast(offsets), "part").select("part", "number", (F.col("_ahead") + F.col("_inside")).alias("start"))
-    return rows.join(places, ["part", "number"])
+    return rows.join(F.broadcast(offsets), "part").withColumn("start", F.col("_ahead") + F.col("ahead"))
 
 
 def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
