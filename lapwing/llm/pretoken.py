@@ -37,6 +37,7 @@ class PreTokens:
         self.kind, self.lower = np.zeros(POINTS, np.uint8), np.arange(POINTS, dtype=np.uint32)
         self.odd = np.zeros(POINTS, bool)
         self.odd[ord(CUT)] = True
+        self.met_odd = False
         rest = [b for b in range(256) if b not in PRINTABLE]
         self.letters = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(rest)}
         self.known: dict = {}
@@ -47,10 +48,11 @@ class PreTokens:
         cut = lambda s: len(self.tokenizer.pre_tokenizer.pre_tokenize_str(s))
         for point in np.unique(points[self.kind[points] == 0]).tolist():
             c = chr(point)
+            self.met_odd |= bool(self.odd[point])
             if self.drops_space:
                 plain = self.tokenizer.normalizer.normalize_str(f"a{c}a")[1:-1]
                 if len(plain) != 1:
-                    self.odd[point] = True
+                    self.odd[point] = self.met_odd = True
                 else:
                     self.lower[point] = ord(plain)
                     c = plain
@@ -91,16 +93,17 @@ class PreTokens:
             heads = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
             starts = heads[offsets]
         n = len(starts) - 1
-        if (fresh := self.kind[points] == 0).any():
+        kind = self.kind[points]
+        if (fresh := kind == 0).any():
             self.learn(points[fresh])
+            kind = self.kind[points]
         if self.drops_space and points.max(initial=0) >= 0x300 and not unicodedata.is_normalized("NFC", string):
             high = np.add.reduceat(np.r_[points >= 0x300, False].astype(np.int64), starts[:-1])
             for i in np.flatnonzero((high > 0) & (np.diff(starts) > 0)).tolist():
                 if not unicodedata.is_normalized("NFC", string[starts[i] : starts[i + 1]]):
                     left.add(i)
-        if self.odd[points].any():
+        if self.met_odd and self.odd[points].any():
             left |= set((np.searchsorted(starts, np.flatnonzero(self.odd[points]), "right") - 1).tolist())
-        kind = self.kind[points]
         if self.drops_space:
             points = self.lower[points]
         # a special string may stand across two texts of the row: it is found in none of them then

@@ -28,6 +28,14 @@ MAGIC = b"LWM1"
 HEAD = "<4sIQI"
 
 
+def parted(row: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The row's entries without a mark, then those with one, each in their order."""
+    out, ones = np.empty_like(row), int(np.count_nonzero(one))
+    np.compress(~one, row, out=out[: len(row) - ones])
+    np.compress(one, row, out=out[len(row) - ones :])
+    return out
+
+
 class WaveletMatrix:
     """Bit planes over unsigned integers below 2**bits."""
 
@@ -48,7 +56,7 @@ class WaveletMatrix:
         for bit in range(bits - 1, -1, -1):
             one = (now & now.dtype.type(1 << bit)).astype(bool)
             planes.append(np.packbits(one, bitorder="little"))
-            now = np.concatenate([np.compress(~one, now), np.compress(one, now)])
+            now = parted(now, one)
         return cls(len(ids), planes)
 
     def _rank1(self, level: int, place: np.ndarray) -> np.ndarray:
@@ -109,15 +117,16 @@ class WaveletMatrix:
         return int(self.occurrences(value)[k])
 
     def all(self) -> np.ndarray:
-        """The whole row of ids, plane by plane from the last."""
+        """The whole row of ids: places and the bits read so far go down the planes together and are put back once."""
         kind = np.uint16 if len(self.planes) <= 16 else np.uint32
-        now = np.zeros(self.n, kind)
-        for level in range(len(self.planes) - 1, -1, -1):
-            one, out = self.bits_of(level), np.empty(self.n, kind)
-            out[~one] = now[: self.zeros[level]]
-            out[one] = now[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
-            now = out
-        return now
+        place, now = np.arange(self.n, dtype=np.uint32 if self.n < 1 << 32 else np.uint64), np.zeros(self.n, kind)
+        for level in range(len(self.planes)):
+            one = self.bits_of(level)
+            now = (now << kind(1)) | one
+            place, now = parted(place, one), parted(now, one)
+        out = np.empty(self.n, kind)
+        out[place] = now
+        return out
 
     def pack(self) -> bytes:
         """The directory of counts is made again on reading."""
@@ -168,7 +177,7 @@ def _encode(tokenizer: str, key: str, text: str, shard_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "number", "docs", "tokens", "ahead", "blob"])
 
         for whole in batches:
-            for batch in A.pieces(whole, text, 1 << 20):
+            for batch in A.pieces(whole, text):
                 ids, n = encoder.ids(batch.column(text))
                 ends = np.cumsum(n)
                 with_end = np.insert(ids, ends, END)
