@@ -19,88 +19,100 @@ from lapwing.llm import arrays as A
 DIMENSIONS = 1024
 GRAM = 3
 SEED = 17
-SPACE = 32
-ROWS = 64
-
-
-def letters_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-case code points, with each stretch of other characters as one blank, a blank at each end of a text;
-    where each text begins; whether it has a letter."""
-    raw, offsets = A.joined(texts)
-    points = np.frombuffer(raw.tobytes().decode().lower().encode("utf-32-le"), np.uint32)
-    if raw.max(initial=0) < 128:
-        starts = offsets
-    else:  # lower-casing may change lengths: count per text
-        starts = np.r_[0, np.cumsum([len(t.lower()) if t else 0 for t in texts.to_pylist()])]
-    kinds = np.unique(points)
-    alpha = np.array([chr(p).isalpha() for p in kinds], bool)
-    letter = alpha[np.searchsorted(kinds, points)] if len(points) else np.zeros(0, bool)
-    n = len(starts) - 1
-    # one blank before each text and one after it
-    doc = np.repeat(np.arange(n), np.diff(starts))
-    place = np.arange(len(points)) + 2 * doc + 1
-    wide = np.full(len(points) + 2 * n, SPACE, np.uint32)
-    wide[place[letter]] = points[letter]
-    bounds = starts + 2 * np.arange(n + 1)
-    keep = np.ones(len(wide), bool)
-    keep[1:] = (wide[1:] != SPACE) | (wide[:-1] != SPACE)
-    keep[bounds[:-1]] = True
-    kept = np.r_[0, np.cumsum(keep)]
-    has = np.zeros(n, bool)
-    has[doc[letter]] = True
-    return wide[keep], kept[bounds], has
+ROWS = 64  # texts per matrix product
+STEP = 8192  # n-grams per matrix product
+HELD = 16_384  # n-gram vectors that a task keeps
+BITS = 18  # code points that are letters get dense codes below 2^18
 
 
 class Codebook:
-    """Vectors of letters and n-grams, made on demand from code points."""
+    """Codes of letters, vectors of letters and n-grams, made on demand from code points."""
 
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = SEED):
-        self.dimensions, self.seed, self.letters, self.grams = dimensions, seed, {}, {}
+        self.dimensions, self.seed = dimensions, seed
+        self.code = np.zeros(0x110000, np.int32)  # 0: not seen yet, 1: no letter
+        self.letters = np.stack([np.ones(dimensions, np.int8), self.letter(ord(" "))])
+        self.rows, self.vectors = {}, np.zeros((0, dimensions), np.float32)
 
     def letter(self, point: int) -> np.ndarray:
-        if point not in self.letters:
-            bits = np.random.Generator(np.random.PCG64([self.seed, point])).integers(0, 2, self.dimensions)
-            self.letters[point] = (2 * bits - 1).astype(np.float32)
-        return self.letters[point]
-
-    def gram(self, points: tuple[int, ...]) -> np.ndarray:
-        if points not in self.grams:
-            if len(self.grams) > 50_000:
-                self.grams.clear()
-            bound = np.ones(self.dimensions, np.float32)
-            for place, point in enumerate(points):
-                bound = bound * np.roll(self.letter(point), place)
-            self.grams[points] = bound
-        return self.grams[points]
+        bits = np.random.Generator(np.random.PCG64([self.seed, point])).integers(0, 2, self.dimensions)
+        return (2 * bits - 1).astype(np.int8)
+
+    def codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of the lower-case letters, each stretch of other characters as one blank, a blank at each end of a text;
+        where each text begins; whether it has a letter. A text is lower-cased by itself."""
+        lowered = [t.lower() if t else "" for t in texts.to_pylist()]
+        n = len(lowered)
+        points = np.frombuffer((" " + "  ".join(lowered) + " ").encode("utf-32-le"), np.uint32)
+        starts = np.r_[0, np.cumsum(np.array([len(t) + 2 for t in lowered], np.int64))]
+        code = self.code[points]
+        if not code.all():
+            new = np.unique(points[code == 0]).tolist()
+            found = [p for p in new if chr(p).isalpha()]
+            self.code[new] = 1
+            self.code[found] = len(self.letters) + np.arange(len(found))
+            if found:
+                self.letters = np.concatenate([self.letters, np.stack([self.letter(p) for p in found])])
+            code = self.code[points]
+        keep = np.ones(len(code), bool)
+        keep[1:] = (code[1:] != 1) | (code[:-1] != 1)
+        keep[starts[:-1]] = True
+        bounds = np.r_[0, np.cumsum(np.add.reduceat(keep, starts[:-1], dtype=np.int64))]
+        return code[keep], bounds, np.maximum.reduceat(code, starts[:-1]) > 1
+
+    def grams(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text and n-gram (as a place among the distinct ones) of each occurrence, the distinct n-grams, which texts have letters."""
+        code, bounds, has = self.codes(texts)
+        gram = np.zeros(max(len(code) - GRAM + 1, 0), np.int64)
+        inside = np.ones(len(gram) + GRAM, bool)
+        for k in range(GRAM):
+            gram = (gram << BITS) | code[k : k + len(gram)]
+            if k:
+                inside[np.maximum(bounds[1:] - k, 0)] = False  # would reach into the next text
+        count = np.where(has, np.maximum(np.diff(bounds) - GRAM + 1, 0), 0)
+        inside = inside[: len(gram)]
+        if not has.all():
+            inside &= np.repeat(has, np.diff(bounds))[: len(gram)]
+        coded = pa.array(gram[inside]).dictionary_encode()
+        return np.repeat(np.arange(len(has)), count), coded.indices.to_numpy(), coded.dictionary.to_numpy(), has
+
+    def bound(self, grams: np.ndarray) -> np.ndarray:
+        """One row per n-gram: the product of its letters' vectors, each rotated by its place."""
+        if len(self.rows) + len(grams) > HELD:
+            self.rows = {}
+        new = np.array([g for g in grams.tolist() if g not in self.rows], np.int64)
+        if len(new):
+            made = np.ones((len(new), self.dimensions), np.int8)
+            for k in range(GRAM):
+                letter = (new >> (BITS * (GRAM - 1 - k))) & ((1 << BITS) - 1)
+                made *= np.roll(self.letters[letter], k, axis=1)
+            held, size = len(self.rows), len(self.rows) + len(new)
+            if size > len(self.vectors):
+                larger = np.empty((min(HELD, 2 * size), self.dimensions), np.float32)
+                larger[:held] = self.vectors[:held]
+                self.vectors = larger
+            self.vectors[held:size] = made
+            self.rows.update(zip(new.tolist(), range(held, size)))
+        return self.vectors[[self.rows[g] for g in grams.tolist()]]
+
+    def bundle(self, row: np.ndarray, column: np.ndarray, grams: np.ndarray, n: int, weight: np.ndarray | None = None) -> np.ndarray:
+        """Sums of n-gram vectors by row, each occurrence with its weight."""
+        out = np.zeros((n, self.dimensions), np.float32 if weight is None else np.float64)
+        for low in range(0, len(grams), STEP):
+            width = min(STEP, len(grams) - low)
+            cell, own = row * width + column - low, weight
+            if len(grams) > STEP:
+                part = (column >= low) & (column < low + width)
+                cell, own = cell[part], None if weight is None else weight[part]
+            counts = np.bincount(cell, own, n * width).reshape(n, width)
+            out += counts.astype(np.float32) @ self.bound(grams[low : low + width])
+        return out
 
     def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Unit vector of each text (0 without letters), and whether it has a letter."""
-        points, starts, has = letters_of(texts)
-        n = len(starts) - 1
-        out = np.zeros((n, self.dimensions), np.float32)
-        count = np.maximum(np.diff(starts) - GRAM + 1, 0)
-        if not count.sum():
-            return out, has
-        kinds, code = np.unique(points, return_inverse=True)
-        doc = np.repeat(np.arange(n), count)
-        at = np.repeat(starts[:-1], count) + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-        gram = np.zeros(len(doc), np.int64)
-        for k in range(GRAM):
-            gram = gram * len(kinds) + code[at + k]
-        both, times = np.unique(doc * (len(kinds) ** GRAM) + gram, return_counts=True)
-        doc, gram = np.divmod(both, len(kinds) ** GRAM)
-        known, column = np.unique(gram, return_inverse=True)
-        digits = [(known // len(kinds) ** (GRAM - 1 - k)) % len(kinds) for k in range(GRAM)]
-        names = np.stack([kinds[d] for d in digits], 1)
-        step = 8192  # n-grams per matrix product
-        for low in range(0, len(known), step):
-            part = (column >= low) & (column < low + step)
-            vectors = np.stack([self.gram(tuple(map(int, p))) for p in names[low : low + step]])
-            counts = np.zeros((n, len(vectors)), np.float32)
-            counts[doc[part], column[part] - low] = times[part]
-            out += counts @ vectors
+        row, column, grams, has = self.grams(texts)
+        out = self.bundle(row, column, grams, len(has))
         size = np.linalg.norm(out, axis=1, keepdims=True)
-        out[~has] = 0
         return np.divide(out, size, out=np.zeros_like(out), where=size > 0), has
 
 
@@ -108,14 +120,16 @@ def _sums(text: str, lang: str, dimensions: int, seed: int):
     def run(batches):
         book, sums = Codebook(dimensions, seed), {}
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                vectors, has = book.documents(part.column(text))
-                langs = np.array(part.column(lang).to_pylist(), object)
-                for name in set(langs[has]):
-                    own = vectors[has & (langs == name)]
-                    total, n = sums.get(name, (0, 0))
-                    sums[name] = (total + own.sum(0, dtype=np.float64), n + len(own))
+            for part in A.pieces(batch, text):
+                row, column, grams, has = book.grams(part.column(text))
+                langs, own = np.unique(np.array(part.column(lang).to_pylist(), object), return_inverse=True)
+                share = 1 / np.maximum(np.bincount(row, minlength=len(has)), 1)
+                totals = book.bundle(own[row], column, grams, len(langs), share[row])
+                texts = np.bincount(own[has], minlength=len(langs))
+                for name, total, n in zip(langs, totals, texts.tolist()):
+                    if n:
+                        before, count = sums.get(name, (0, 0))
+                        sums[name] = (before + total, count + n)
         names = list(sums)
         yield pa.RecordBatch.from_arrays(
             [pa.array(names, pa.string()), pa.array([sums[x][0] for x in names], pa.list_(pa.float64())), pa.array([sums[x][1] for x in names], pa.int64())],
@@ -141,8 +155,7 @@ def _cosines(text: str, names: list, prototypes: np.ndarray, dimensions: int, se
     def run(batches):
         book = Codebook(dimensions, seed)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in (piece.slice(at, ROWS) for piece in A.pieces(batch, text) for at in range(0, piece.num_rows, ROWS)):
                 best, score = np.full(part.num_rows, None, object), np.zeros(part.num_rows)
                 vectors, has = book.documents(part.column(text))
                 if names:

@@ -30,6 +30,35 @@ def test_bound_vectors_equal_the_definition():
     assert has and np.allclose(vector, want / np.linalg.norm(want), atol=1e-6)
 
 
+def test_prototypes_and_cosines_equal_plain_sums(spark, odd):
+    """Letter by letter and gram by gram, each text by itself."""
+    dimensions, book = 128, language.Codebook(128)
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in odd.collect() if r["doc_id"] != 8]
+    rows += [(20, "İstanbul ΑΣ", "tr"), (21, "Βx", "tr"), (22, "a", "tr"), (23, "été là-bas", "fr"), (24, "日本語 日本", "ja")]
+
+    def bundled(text):
+        marked = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        padded = " " + " ".join(marked.split()) + " "
+        grams = [padded[i : i + 3] for i in range(len(padded) - 2)] if marked.split() else []
+        return sum((np.prod([np.roll(book.letter(ord(c)), k).astype(float) for k, c in enumerate(g)], 0) for g in grams), np.zeros(dimensions)), len(grams)
+
+    want = {}
+    for _, text, lang in rows:
+        vector, n = bundled(text)
+        if lang and n:
+            want[lang] = want.get(lang, 0) + vector / n
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    prototypes = language.learn(docs, dimensions=dimensions)
+    got = {r["lang"]: np.array(r["prototype"]) for r in prototypes.collect()}
+    assert set(got) == set(want) and all(np.allclose(got[x], want[x], atol=1e-4) for x in want)
+    out = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(docs.select("doc_id", "text"), prototypes, dimensions=dimensions).collect()}
+    for key, text, _ in rows:
+        vector, n = bundled(text)
+        cosines = {x: vector @ p / np.linalg.norm(p) / np.linalg.norm(vector) for x, p in want.items()} if n else {"und": 0.0}
+        best = max(sorted(cosines), key=cosines.get)
+        assert out[key][0] == best and np.isclose(out[key][1], max(cosines[best], 0), atol=1e-4), key
+
+
 def test_grammar_on_clauses():
     lexicon, machine = toxicity.Lexicon({"blorb": 6.0}, 0.1), toxicity.grammar()
     texts = ["you blorb", "a blorb", "he said you blorb", "you are not a blorb", "I will kill you", "kill the lights", "fine day", None, "", "not good. blorb"]
