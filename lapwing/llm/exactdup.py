@@ -1,10 +1,11 @@
 """Exact duplicates through an extendible-hash index in the shared folder; DataFrame functions only.
 
-A record is (id, key, sha256), the key 60 bits of the digest of the normalised text. The directory doubles as long as a
-bucket is overfull: rounds of 12 more bits count the cells of buckets that still need a split, and each cell takes the
-smallest depth at which its prefix fits. Rows of one key cannot be split and form a chain. Records are written to the
-shared folder by bucket range; the tasks that own a range build the chains. Where a key occurs twice, whole texts are
-compared: copies collapse map-side before they are sent.
+A record is (id, key, sha256, bytes), the key 60 bits of the digest of the normalised text. The directory doubles as long
+as a bucket is overfull, that is, has texts of more than a megabyte: rounds of 12 more bits count the cells of buckets that
+still need a split, and each cell takes the smallest depth at which its prefix fits. Rows of one key cannot be split; such
+a bucket overflows into pages. Records are written to the shared folder by bucket and page. Each bucket has one owner task,
+which chains the texts of its keys; each page has one, which looks its records up in the chain. Where a key occurs twice in
+a bucket, whole texts are compared: copies collapse map-side before they are sent.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from lapwing.session import stage
 
 KEY_BITS = 60
 ROUND_BITS = 12
-CAPACITY = 200_000
+CAPACITY = 1 << 20  # bytes of text in a bucket
+PAGE_ROWS = 10_000  # records in a page of an overfull bucket
 
 
 def normalised(text: str | Column = "text") -> Column:
@@ -27,9 +29,10 @@ def normalised(text: str | Column = "text") -> Column:
 
 
 def records(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One slim record per row: (id, key, sha)."""
+    """One slim record per row: (id, sha, bytes, key); bytes counts 8 for the record itself."""
     sha = F.sha2(normalised(text), 256)
-    rows = docs.select(F.col(key).alias("id"), sha.alias("sha"))
+    size = F.octet_length(F.coalesce(text, F.lit(""))).cast("bigint") + 8
+    rows = docs.select(F.col(key).alias("id"), sha.alias("sha"), size.alias("bytes"))
     return rows.withColumn("key", F.conv(F.substring("sha", 1, KEY_BITS // 4), 16, 10).cast("bigint"))
 
 
@@ -39,25 +42,27 @@ def prefix(key: str, depth: Column | int) -> Column:
 
 
 def directory(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Buckets of the index: (depth, prefix, n, overflow). Together they cover every key, and no two overlap.
+    """Buckets of the index: (depth, prefix, n, bytes, pages). Together they cover every key, and no two overlap.
 
-    overflow marks a bucket of one key that holds more rows than the capacity: equal texts, which no split parts.
+    A bucket of more bytes than the capacity has one key: equal texts, which no split parts; its records go to pages.
     An empty table has no bucket.
     """
-    done, open_ = [], rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))  # a third of all rows is one row here
+    # a third of all rows is one row here
+    done, open_ = [], rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
     open_, base = stage(open_, "keys"), 0
     while True:
         top = min(base + ROUND_BITS, KEY_BITS)
-        cells = stage(open_.groupBy(prefix("key", top).alias("cell")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("keys")), "cells")
+        cells = stage(open_.groupBy(prefix("key", top).alias("cell")).agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("keys")), "cells")
         # rows under the prefix of each depth of this round
-        own = cells.select("cell", "n", "keys", F.explode(F.sequence(F.lit(base), F.lit(top))).alias("depth"))
+        own = cells.select("cell", "n", "bytes", "keys", F.explode(F.sequence(F.lit(base), F.lit(top))).alias("depth"))
         own = own.withColumn("prefix", F.expr(f"cast(shiftright(cell, {top} - depth) as bigint)"))
-        sizes = own.groupBy("depth", "prefix").agg(F.sum("n").alias("n"), F.sum("keys").alias("keys"))
-        fits = sizes.where((F.col("n") <= capacity) | (F.col("keys") == 1))
-        chosen = own.select("cell", "depth", "prefix").join(fits, ["depth", "prefix"]).groupBy("cell").agg(F.min(F.struct("depth", "prefix", "n", "keys")).alias("b"))
-        buckets = chosen.select("b.*").distinct().withColumn("overflow", F.col("n") > capacity)
+        sizes = own.groupBy("depth", "prefix").agg(*[F.sum(c).alias(c) for c in ("n", "bytes", "keys")])
+        fits = sizes.where((F.col("bytes") <= capacity) | (F.col("keys") == 1))
+        chosen = own.select("cell", "depth", "prefix").join(fits, ["depth", "prefix"]).groupBy("cell").agg(F.min(F.struct("depth", "prefix", "n", "bytes", "keys")).alias("b"))
+        pages = F.when(F.col("b.bytes") > capacity, F.ceil(F.col("b.n") / PAGE_ROWS)).otherwise(1).cast("bigint")
+        buckets = chosen.select("b.*", pages.alias("pages")).distinct()
         done.append(stage(buckets, "buckets"))
-        overfull = cells.where((F.col("n") > capacity) & (F.col("keys") > 1)).select("cell")
+        overfull = cells.where((F.col("bytes") > capacity) & (F.col("keys") > 1)).select("cell")
         if top == KEY_BITS or overfull.isEmpty():
             break
         open_ = stage(open_.withColumn("cell", prefix("key", top)).join(overfull, "cell", "left_semi").drop("cell"), "keys")
@@ -66,41 +71,39 @@ def directory(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def located(rows: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Records with the bucket that the directory gives them, as the first key of its range.
+    """Records with the bucket that the directory gives them, as the first key of its range, and their page in it.
 
-    A bucket covers keys from prefix << (60 - depth) on: one equality join per depth in use.
+    A bucket covers keys from prefix << (60 - depth) on: each distinct key is looked up at the depths in use.
     """
     depths = [r[0] for r in buckets.select("depth").distinct().collect()] or [0]  # at most 61
     tries = F.array(*[F.struct(F.lit(d).alias("depth"), prefix("key", d).alias("prefix")) for d in sorted(depths)])
-    if len(depths) == 1:
-        found = rows.withColumn("depth", F.lit(depths[0])).withColumn("prefix", prefix("key", depths[0]))
-    else:
-        tried = rows.select("key").distinct().select("key", F.explode(tries).alias("t")).select("key", "t.*")
-        place = tried.join(buckets.select("depth", "prefix"), ["depth", "prefix"], "left_semi")
-        found = rows.join(place, "key")
-    return found.withColumn("bucket", F.call_function("shiftleft", F.col("prefix"), F.lit(KEY_BITS) - F.col("depth")))
+    tried = rows.select("key").distinct().select("key", F.explode(tries).alias("t")).select("key", "t.*")
+    found = rows.join(tried.join(buckets.select("depth", "prefix", "pages"), ["depth", "prefix"]), "key")
+    found = found.withColumn("bucket", F.call_function("shiftleft", F.col("prefix"), F.lit(KEY_BITS) - F.col("depth")))
+    return found.withColumn("page", F.monotonically_increasing_id() % F.col("pages"))
 
 
 def index(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
-    """The directory and the record file, which is written once to the shared folder in order of bucket and key."""
+    """The directory and the record file, which is written once to the shared folder in order of bucket, page and key."""
     rows = stage(records(docs, key, text), "records")
     buckets = stage(directory(rows, capacity), "directory")
     placed = located(rows, buckets)
-    return buckets, stage(placed.repartitionByRange("bucket", "key", "id").sortWithinPartitions("bucket", "key", "id"), "index")
+    return buckets, stage(placed.repartitionByRange("bucket", "page").sortWithinPartitions("bucket", "page", "key"), "index")
 
 
 def chains(index_: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per text that occurs at least twice: (key, sha, keep, group_size), after comparing bytes.
+    """The chains of all buckets: (bucket, pages, key, sha, keep, group_size) of each text whose key occurs twice.
 
-    Only rows whose key occurs twice are read again with their text. Copies collapse in the map tasks. Two texts with one
-    digest would make two rows of the same (key, sha); that stops the job.
+    Only rows whose key occurs twice in its bucket are read again with their text, and whole texts are compared. Copies
+    collapse in the map tasks; what is left is dealt by bucket, and its owner links the texts of a key. Two texts with one
+    digest would make two links of the same (key, sha); that stops the job.
     """
-    twice = index_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    twice = index_.groupBy("bucket", "key").agg(F.count(F.lit(1)).alias("n"), F.max("pages").alias("pages")).where("n > 1").drop("n")
     sha = F.sha2(normalised(text), 256)
     rows = docs.select(F.col(key).alias("id"), sha.alias("sha"), normalised(text).alias("whole"))
-    rows = rows.withColumn("key", F.conv(F.substring("sha", 1, KEY_BITS // 4), 16, 10).cast("bigint")).join(twice, "key", "left_semi")
-    same = rows.groupBy("key", "sha", "whole").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    return same.groupBy("key", "sha").agg(
+    rows = rows.withColumn("key", F.conv(F.substring("sha", 1, KEY_BITS // 4), 16, 10).cast("bigint")).join(twice, "key")
+    same = rows.groupBy("bucket", "pages", "key", "sha", "whole").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    return same.drop("whole").repartition("bucket").groupBy("bucket", "pages", "key", "sha").agg(
         F.max("keep").alias("keep"),
         F.max("group_size").alias("group_size"),
         F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("two texts with one digest"))).alias("clash"),
@@ -110,13 +113,17 @@ def chains(index_: DataFrame, docs: DataFrame, key: str = "doc_id", text: str =
 def resolve(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row per row of `docs`: (key, keep, group_size, kept, sha, bucket).
 
+    The owner of a page looks its records up in the bucket's chain, of which each page has a copy.
+
     Texts are equal when their bytes are after lower-casing A-Z; null equals empty. The largest id stays; of repeated rows
     with that id, all are marked kept. A null id stays only in a group without other ids. An empty table stays empty;
     other columns are not read.
     """
     _, placed = index(docs, key, text, capacity)
     chain = stage(chains(placed, docs, key, text), "chains")
-    rows = placed.join(chain, ["key", "sha"], "left")
+    chain = chain.withColumn("page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1))).drop("pages", "clash")
+    owned = ["bucket", "page"]
+    rows = placed.drop("pages").repartition(*owned).join(chain.repartition(*owned), [*owned, "key", "sha"], "left")
     alone = F.col("group_size").isNull()
     return rows.select(
         F.col("id").alias(key),
