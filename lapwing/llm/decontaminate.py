@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lapwing.llm import arrays as A
+from lapwing.llm.columns import as_before, by_place
 
 WINDOW = 13
 SHARD_WORDS = 2_000_000
@@ -341,9 +342,9 @@ def contaminated(share: int = 20):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Documents without those that are contaminated; same columns, same defined cases as `find`."""
-    found = find(docs, benchmark, keep_text=True, **options)
-    return found.where(~contaminated()).select(*docs.columns)
+    """Documents without those that are contaminated; same columns and values, same defined cases as `find`."""
+    rows, (text,) = by_place(docs, options.pop("text", "text"))
+    return as_before(find(rows, benchmark, text=text, keep_text=True, **options).where(~contaminated()), docs)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lapwing.llm.columns import as_before, by_place
 from lapwing.session import stage
 
 LEVELS = ["domain", "lang", "source"]
+ALIKE = ["doc_id", "lang", "source", "tokens"]
 SEED = 7
 BUDGET_SHARE = 0.5
 EPOCHS = 3
@@ -107,8 +109,8 @@ def select(slim: DataFrame, key: str = "doc_id", budget_share: float = BUDGET_SH
 
     Whole epochs take every row; in the last one, rows come in seeded order while the tokens before them stay below what
     is left, so a leaf goes over its budget by less than one row. Rows without tokens are taken in whole epochs and while
-    tokens are left. Null names are nodes of their own, ties in the order follow the key, repeated rows count each; an
-    empty table stays empty. A leaf with a third of all rows is cut into pieces by the order key: prefix sums run over
+    tokens are left. Null names are nodes of their own, ties in the order follow the key, then the tokens; repeated rows
+    count each; an empty table stays empty. A leaf with a third of all rows is cut into pieces by the order key: prefix sums run over
     pieces, then inside them.
     """
     weights = WEIGHTS if weights is None else weights
@@ -128,7 +130,7 @@ def select(slim: DataFrame, key: str = "doc_id", budget_share: float = BUDGET_SH
     sizes = sizes.select(*[F.col(c).alias(f"_{c}") for c in LEVELS], F.col("_piece").alias("_of"), "_ahead")
     same = [rows[c].eqNullSafe(sizes[f"_{c}"]) for c in LEVELS] + [rows["_piece"] == sizes["_of"]]
     rows = rows.join(sizes, same).drop(*[f"_{c}" for c in LEVELS], "_of")
-    inside = W.partitionBy(*LEVELS, "_piece").orderBy("_order", key).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*LEVELS, "_piece").orderBy("_order", key, "tokens").rowsBetween(W.unboundedPreceding, -1)
     start = F.col("_ahead") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))
     taken = (start < F.col("rest")).cast("bigint")
     return rows.withColumn("times", F.col("full") + taken).select(key, *LEVELS, "tokens", "budget", "times")
@@ -144,12 +146,34 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that the mixture takes, each as often as epochs take it; same columns."""
+    """The rows of `docs` that the mixture takes, each as often as epochs take it; same columns, whatever their names.
+
+    Rows that agree in id, language, source and tokens are told apart only where a leaf's budget ends among them, which
+    is at most one such group per leaf: there, rows are counted, by task, and the first ones get the further epoch.
+    """
     options.setdefault("epochs", 1)
-    plan = select(slim_of(docs), **options).where("times > 0").select(F.col("doc_id").alias("_id"), "times").distinct()
-    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]))
+    plan = select(slim_of(docs), **options).groupBy(*ALIKE).agg(F.min("times").alias("low"), F.max("times").alias("high"), F.sum("times").alias("all"), F.count(F.lit(1)).alias("n"))
+    plan = stage(plan.where("high > 0").select(*[F.col(c).alias(f"_{c}") for c in ALIKE], "low", "high", (F.col("all") - F.col("low") * F.col("n")).alias("more")), "plan")
+    rows, (key, text, lang, source) = by_place(docs, "doc_id", "text", "lang", "source")
+    own = {"doc_id": F.col(key), "lang": F.col(lang), "source": F.col(source), "tokens": tokens(text)}
+    same = [own[c].eqNullSafe(F.col(f"_{c}")) for c in ALIKE]
+    rows = rows.join(plan, same)
+    whole = rows.where("low = high").withColumn("times", F.col("low"))
+    cut = plan.where("low < high")
+    if not cut.isEmpty():
+        split = stage(rows.where("low < high").withColumn("_row", F.monotonically_increasing_id()), "split")
+        group = [f"_{c}" for c in ALIKE]
+        # rows before a task's first one, of the same group; then rows inside the task
+        split = split.withColumn("_task", F.expr("shiftright(_row, 33)"))
+        sizes = split.groupBy(*group, "_task").agg(F.count(F.lit(1)).alias("_size"))
+        ahead = F.sum("_size").over(W.partitionBy(*group).orderBy("_task").rowsBetween(W.unboundedPreceding, -1))
+        sizes = sizes.select(*[F.col(c).alias(f"{c}_of") for c in group], F.col("_task").alias("_task_of"), F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+        split = split.join(sizes, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in group] + [F.col("_task") == F.col("_task_of")])
+        place = F.col("_ahead") + F.row_number().over(W.partitionBy(*group, "_task").orderBy("_row"))
+        split = split.withColumn("times", F.col("low") + (place <= F.col("more")).cast("bigint"))
+        whole = whole.unionByName(split.select(*whole.columns))
     many = F.explode(F.sequence(F.lit(1), F.col("times")))
-    return rows.withColumn("_epoch", many).select(*docs.columns)
+    return as_before(whole.where("times > 0").withColumn("_epoch", many), docs)
 
 
 def _fill_sql(source: str, parents: str, name: str, weights: dict) -> str:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from lapwing.llm import arrays as A
+from lapwing.llm.columns import as_before, by_place
 from lapwing.session import stage
 
 WORDS = 5
@@ -405,20 +406,22 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", page_rows:
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", page_rows: int = PAGE_ROWS) -> DataFrame:
-    """Rows of `docs` that are the smallest key of their class; of repeated rows with that key, all stay. Same columns.
+    """Rows of `docs` that are the smallest key of their class; of repeated rows with that key, all stay. Same columns
+    and values, whatever their names.
 
     A class of null keys only keeps one row; rows with a null key and no word are classes of their own and all stay.
     """
-    found, inner = _labelled(docs, key, text, page_rows)
+    rows, (key, text) = by_place(docs, key, text)
+    found, inner = _labelled(rows, key, text, page_rows)
     first = F.when(F.col("keyed"), F.col("id") == F.col("name")).otherwise(F.col("name").isNull() & (F.col("id") == F.col("label")))
     keep = found.where(first).groupBy(F.col("id").alias("_id")).agg(F.max("keyed").alias("_keyed"), F.max("n").alias("_n"))
     keep = stage(keep, "kept")
-    kept = docs.withColumn("_id", inner).join(keep.select("_id"), "_id", "left_semi")
+    kept = rows.withColumn("_id", inner).join(keep.select("_id"), "_id", "left_semi")
     if keep.where("not _keyed").isEmpty():
-        return kept.select(*docs.columns)
+        return as_before(kept, docs)
     once = keep.where("not _keyed and _n > 0").select("_id")
     alone = kept.join(once, "_id", "left_semi").dropDuplicates(["_id"])
-    return kept.join(once, "_id", "left_anti").unionByName(alone).select(*docs.columns)
+    return as_before(kept.join(once, "_id", "left_anti").unionByName(alone), docs)
 
 
 def digest(docs: DataFrame) -> DataFrame:

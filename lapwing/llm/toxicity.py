@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from lapwing.llm import arrays as A, ngramjoin
+from lapwing.llm.columns import as_before, by_place
 from lapwing.session import stage
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -350,5 +351,6 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", keep_text: bool
 
 
 def civil(docs: DataFrame, lexicon: Lexicon, limit: float = 0.5, text: str = "text") -> DataFrame:
-    """Rows of `docs` whose score is below the limit; same columns."""
-    return score(docs, lexicon, text, keep_text=True).where(F.col("score") < limit).select(*docs.columns)
+    """Rows of `docs` whose score is below the limit; same columns and values, whatever their names."""
+    rows, (text,) = by_place(docs, text)
+    return as_before(score(rows, lexicon, text, keep_text=True).where(F.col("score") < limit), docs)

@@ -53,15 +53,30 @@ def test_exact_duplicates(spark, odd, none):
 
 def test_directory_doubles_until_buckets_fit(spark):
     keys = [(i, (i * 0x9E3779B97F4A7C15) % (1 << 60)) for i in range(3000)] + [(9000 + i, 7) for i in range(500)] + [(9600 + i, 8 + i) for i in range(300)]
-    rows = spark.createDataFrame(keys, "id bigint, key bigint")
-    buckets = exactdup.directory(rows, capacity=100)
+    rows = spark.createDataFrame(keys, "id bigint, key bigint").withColumn("bytes", F.lit(10).cast("bigint"))
+    buckets = exactdup.directory(rows, capacity=1000)
     sizes = {(r["depth"], r["prefix"]): r["n"] for r in buckets.collect()}
     assert sum(sizes.values()) == len(keys)
-    assert [r["n"] for r in buckets.where("overflow").collect()] == [500] and all(n <= 100 or n == 500 for n in sizes.values())
+    assert [r["n"] for r in buckets.where("bytes > 1000").collect()] == [500] and all(n <= 100 or n == 500 for n in sizes.values())
     placed = Counter((r["depth"], r["prefix"]) for r in exactdup.located(rows, buckets).collect())
     assert placed == Counter(sizes)
 
 
+def test_chains_by_bucket_and_page(spark, documents, monkeypatch):
+    """The registered query splits buckets; an overfull bucket has pages, and any capacity gives the same rows."""
+    copies = documents.withColumn("text", F.explode(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.concat(i.cast("string"), "text"))))
+    size = copies.agg(F.sum(F.octet_length("text"))).first()[0]
+    buckets, _ = exactdup.index(copies)
+    assert size > 2 * exactdup.CAPACITY and buckets.count() > 2 and buckets.agg(F.min("depth")).first()[0] > 0
+    monkeypatch.setattr(exactdup, "PAGE_ROWS", 7)
+    hot = documents.select("doc_id", "text").unionByName(spark.range(10_000, 10_100).select(F.col("id").alias("doc_id"), F.lit("Hot text").alias("text")))
+    buckets, placed = exactdup.index(hot, capacity=1000)
+    pages = placed.where("pages > 1").groupBy("bucket", "page").count().collect()
+    assert len(pages) >= 15 and max(r["count"] for r in pages) < 20
+    few, many = (Counter(tuple(r) for r in exactdup.resolve(hot, capacity=c).drop("bucket").collect()) for c in (1 << 40, 1000))
+    assert few == many and sum(r[2] == 100 and r[1] == 10_099 for r in few.elements()) == 100
+
+
 @pytest.mark.parametrize("name", ["op7_source_mixing", "op10_exact_dedup"])
 def test_equals_sql(spark, sf_dir, name):
     fn, sql = catalog.CATALOG[name]
@@ -91,6 +106,20 @@ def test_mixing_odd_rows(spark, odd, none):
     assert mixing.mix(odd, budget_share=1.0).columns == odd.columns
 
 
+def test_mixture_counts_repeated_rows(spark):
+    """Rows alike in id, leaf and tokens at the end of a budget: some get one epoch more than others."""
+    rows = [(5, f"{a} {b}", "en", "a") for a in "abc" for b in "xyz"] + [(None, "p q", "en", "a")] * 4 + [(6, "one two three", "de", "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(3)
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("text")) for c in ("times", "_id", "_epoch", "low", "more", "domain", "tokens", "_row")})
+    for epochs, share in ((1, 0.35), (1, 0.8), (3, 0.5), (3, 1.7)):
+        plan = mixing.select(mixing.slim_of(docs), budget_share=share, epochs=epochs).collect()
+        taken = mixing.mix(docs, budget_share=share, epochs=epochs).collect()
+        assert Counter(r["doc_id"] for r in taken) == Counter({k: sum(r["times"] for r in plan if r["doc_id"] == k) for k in (5, None, 6)}) - Counter()
+        each = Counter(r["text"] for r in taken if r["doc_id"] == 5)
+        times = [each[t] for k, t, _, _ in rows if k == 5]
+        assert max(times) - min(times) <= 1 and all(r["times"] == "times" + r["text"] and r["_epoch"] == "_epoch" + r["text"] for r in taken)
+
+
 def test_pipeline_equals_plain_version(spark, sf_dir, documents, texts):
     docs = dict(texts)
     lexicon = toxicity.learn(documents, spark.read.parquet(f"{sf_dir}/labels.parquet").where(catalog.language.held_out() == False))  # noqa: E712
@@ -112,6 +141,17 @@ def test_pipeline_equals_plain_version(spark, sf_dir, documents, texts):
     assert 0 < len(got) < len(texts) and got == want
 
 
+def test_stages_keep_values_of_clashing_columns(spark, odd, sf_dir):
+    names = ["times", "_id", "_epoch", "score", "matched_clauses", "items", "n_words", "n_hit", "matches", "label", "domain", "tokens", "low", "a b"]
+    docs = odd.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, sf_dir)
+        assert kept.columns == docs.columns, name
+        rows = kept.collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in names), name
+    assert "start" in wavelet.digest(docs.withColumnRenamed("low", "start")).columns
+
+
 def test_stages_keep_the_columns(spark, odd, sf_dir):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, sf_dir).columns == odd.columns, name
