@@ -42,7 +42,8 @@ def prefix(key: str, depth: Column | int) -> Column:
 
 
 def directory(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Buckets of the index: (depth, prefix, n, bytes, pages). Together they cover every key, and no two overlap.
+    """Entries of the directory: (top, cell, depth, prefix, n, bytes, pages). An entry points from the first `top` bits of
+    a key to its bucket; each key that occurs has one entry. Buckets cover every key, and no two overlap.
 
     A bucket of more bytes than the capacity has one key: equal texts, which no split parts; its records go to pages.
     An empty table has no bucket.
@@ -60,8 +61,8 @@ def directory(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         fits = sizes.where((F.col("bytes") <= capacity) | (F.col("keys") == 1))
         chosen = own.select("cell", "depth", "prefix").join(fits, ["depth", "prefix"]).groupBy("cell").agg(F.min(F.struct("depth", "prefix", "n", "bytes", "keys")).alias("b"))
         pages = F.when(F.col("b.bytes") > capacity, F.ceil(F.col("b.n") / PAGE_ROWS)).otherwise(1).cast("bigint")
-        buckets = chosen.select("b.*", pages.alias("pages")).distinct()
-        done.append(stage(buckets, "buckets"))
+        entries = chosen.select(F.lit(top).alias("top"), "cell", "b.*", pages.alias("pages"))
+        done.append(stage(entries, "entries"))
         overfull = cells.where((F.col("bytes") > capacity) & (F.col("keys") > 1)).select("cell")
         if top == KEY_BITS or overfull.isEmpty():
             break
@@ -73,12 +74,12 @@ def directory(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def located(rows: DataFrame, buckets: DataFrame) -> DataFrame:
     """Records with the bucket that the directory gives them, as the first key of its range, and their page in it.
 
-    A bucket covers keys from prefix << (60 - depth) on: each distinct key is looked up at the depths in use.
+    A bucket covers keys from prefix << (60 - depth) on. Each round of the directory is looked up once, and a record is
+    found in one of them.
     """
-    depths = [r[0] for r in buckets.select("depth").distinct().collect()] or [0]  # at most 61
-    tries = F.array(*[F.struct(F.lit(d).alias("depth"), prefix("key", d).alias("prefix")) for d in sorted(depths)])
-    tried = rows.select("key").distinct().select("key", F.explode(tries).alias("t")).select("key", "t.*")
-    found = rows.join(tried.join(buckets.select("depth", "prefix", "pages"), ["depth", "prefix"]), "key")
+    tops = sorted(r[0] for r in buckets.select("top").distinct().collect()) or [ROUND_BITS]  # at most 5
+    rounds = [buckets.where(F.col("top") == top).select("cell", "depth", "prefix", "pages") for top in tops]
+    found = reduce(DataFrame.unionByName, [rows.withColumn("cell", prefix("key", top)).join(own, "cell") for top, own in zip(tops, rounds)]).drop("cell")
     found = found.withColumn("bucket", F.call_function("shiftleft", F.col("prefix"), F.lit(KEY_BITS) - F.col("depth")))
     return found.withColumn("page", F.monotonically_increasing_id() % F.col("pages"))
 
