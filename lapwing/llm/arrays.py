@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import SparkSession
 
 PIECE_BYTES = 4 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15
+#: Longer words get a digest: a polynomial modulo 2^64 has known collisions among words of 1,024 letters and more.
+LONG_WORD = 256
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> SparkSession:
@@ -73,7 +76,7 @@ _LETTERS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(MULTIPLIER))
 
 
 def word_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 20) -> np.ndarray:
-    """64-bit polynomial hash of every word, some words at a time so that temporaries stay small."""
+    """64-bit hash of every word: a polynomial, some words at a time so that temporaries stay small, or a digest of a long word."""
     out = np.zeros(len(starts), np.uint64)
     lengths = ends - starts
     if not len(starts):
@@ -90,7 +93,10 @@ def word_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: i
         terms = _LETTERS[codes[np.repeat(starts[at:to], size) + place]] * powers[place]
         out[at:to] = np.add.reduceat(terms, first)
         at = to
-    return mixed(out ^ (lengths.astype(np.uint64) << np.uint64(48)))
+    out = mixed(out ^ (lengths.astype(np.uint64) << np.uint64(48)))
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(codes[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def of_rows(batch: pa.RecordBatch, **columns) -> pa.RecordBatch:

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lapwing.llm import decontaminate as D
+from lapwing.llm import decontaminate as D, ngramjoin as N
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -92,3 +92,16 @@ def test_odd_and_empty(spark, odd, none):
     assert D.digest(D.find(none, bench)).count() == 0
     empty = bench.limit(0)
     assert all(v[0][1] == 0 for v in rows(D.digest(D.find(odd, empty))).values())
+
+
+def test_words_of_one_polynomial_hash_differ(spark):
+    """A Thue-Morse word and its complement agree in any polynomial modulo 2^64."""
+    word = "ab"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, word), (2, other)], "doc_id bigint, text string")
+    items = spark.createDataFrame([("i", other)], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in D.digest(D.find(docs, items)).collect()}
+    assert got == {1: (1, 0), 2: (1, 1)}
+    assert [r["component_id"] for r in N.classes(docs).orderBy("doc_id").collect()] == [1, 2]
