@@ -1,9 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols (insult, threat, target, negation, report, other) with weights; weights of insults are log odds
-learned from labelled texts, beside a small fixed vocabulary. Four transducers read the symbols of a clause: negation and
-reported speech lower the weight of what they cover, a target raises it, a threat counts only with a target near it. They
-are composed into one machine; a text's score is the logistic of the prior log odds plus the weight of its heaviest clause.
+Words become symbols (insult, stem, threat, target, negation, report, other) with weights; weights of insults and stems are
+log odds learned from labelled texts, beside a small fixed vocabulary. Four transducers read the symbols of a clause:
+negation and reported speech lower the weight of what they cover, a target raises it, a threat counts only with a target near
+it. They are composed into one machine, which enters a quotation that a word of reporting stands beside as reported speech. A
+text's score is the logistic of the prior log odds plus the weight of its heaviest clause, or of its heaviest pair of words
+with a stem of insults, inflected or compounded, that stand near each other.
 """
 
 from __future__ import annotations
@@ -22,20 +24,25 @@ from lapwing.llm import arrays as A, ngramjoin
 from lapwing.llm.columns import as_before, by_place
 from lapwing.session import stage
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, STEM = SYMBOLS = range(7)
 SAMPLE_ROWS = 40_000
 #: Words on either side of a word that make its surroundings.
 NEAR_WORDS = 4
 #: Words of families and surroundings that a task holds before it hands them on.
 HELD = 500_000
+#: Characters of a stem; words with one stem count where two different ones are at most so many words apart.
+STEM_LETTERS = range(4, 9)
+STEM_WORDS = 40
+#: A word of reporting stands at most so many words before or after a quotation.
+QUOTE_WORDS = 3
 PRIOR = 0.1
 MOST = 8.0
 #: Fixed vocabulary, English, German, French and Spanish.
 WORDS = {
     INSULT: "idiot moron stupid scum trash loser pathetic worthless disgusting imbecile bastard dumbass retard idioten trottel dummkopf abschaum connard imbécile salaud estúpido imbécil basura",
     THREAT: "kill hurt destroy beat burn shoot stab strangle smash töten umbringen schlagen tuer frapper matar golpear",
-    TARGET: "you your yours u he she they them him her these those du dich dir ihr euch sie tu te toi vous ils eux tú ti usted ustedes ellos",
-    NEGATION: "not never no nobody without isn aren wasn don doesn didn nicht kein keine nie pas jamais sans nunca sin",
+    TARGET: "you your yours u us he she they them him her these those du dich dir ihr euch sie tu te toi vous ils eux tú ti usted ustedes ellos",
+    NEGATION: "not never no nobody without cannot isn aren wasn weren don doesn didn won wouldn couldn shouldn mustn haven hasn hadn nicht kein keine nie pas jamais sans nunca sin",
     REPORT: "said says say wrote writes quoted quote quotes claimed called reported according sagte schrieb berichtete déclaré écrit selon dijo escribió según",
 }
 SEED_WEIGHT = 3.0
@@ -54,11 +61,11 @@ class Transducer:
 
     def __init__(self, states: int, step):
         self.states = states
-        self.next = [[step(s, x)[0] for x in range(6)] for s in range(states)]
-        self.factor = [[step(s, x)[1] for x in range(6)] for s in range(states)]
-        self.bonus = [[step(s, x)[2] for x in range(6)] for s in range(states)]
+        self.next = [[step(s, x)[0] for x in SYMBOLS] for s in range(states)]
+        self.factor = [[step(s, x)[1] for x in SYMBOLS] for s in range(states)]
+        self.bonus = [[step(s, x)[2] for x in SYMBOLS] for s in range(states)]
         # share of the weight of the last threat that falls due here
-        self.due = [[(*step(s, x), 0.0)[3] for x in range(6)] for s in range(states)]
+        self.due = [[(*step(s, x), 0.0)[3] for x in SYMBOLS] for s in range(states)]
 
 
 def compose(*parts: Transducer) -> Transducer:
@@ -75,9 +82,9 @@ def compose(*parts: Transducer) -> Transducer:
     return Transducer(len(names), step)
 
 
-def negation(reach: int = 3, left: float = 0.1) -> Transducer:
+def negation(reach: int = 4, left: float = 0.1) -> Transducer:
     """For some words after a negation, weights nearly vanish."""
-    return Transducer(reach + 1, lambda s, x: (reach if x == NEGATION else max(s - 1, 0), left if s and x in (INSULT, THREAT, TARGET) else 1.0, 0.0))
+    return Transducer(reach + 1, lambda s, x: (reach if x == NEGATION else max(s - 1, 0), left if s and x in (INSULT, STEM, THREAT, TARGET) else 1.0, 0.0))
 
 
 def report(left: float = 0.15) -> Transducer:
@@ -107,9 +114,10 @@ def grammar() -> Transducer:
     return compose(negation(), report(), target(), threat())
 
 
-def clause_hits(machine: Transducer, symbols: list[int], weights: list[float]):
-    """(place, value, whether nothing lowers it, place of the insult or threat) of each hit in a clause."""
-    state, threat_at = 0, -1
+def clause_hits(machine: Transducer, symbols: list[int], weights: list[float], quoted: bool = False):
+    """(place, value, whether nothing lowers it, place of the insult or threat) of each hit in a clause. A stem alone has no
+    value. A clause of a reported quotation begins as if a word of reporting stood before it."""
+    state, threat_at = (machine.next[0][REPORT] if quoted else 0), -1
     for i, (symbol, weight) in enumerate(zip(symbols, weights)):
         factor, due = machine.factor[state][symbol], machine.due[state][symbol]
         value = machine.bonus[state][symbol]
@@ -117,7 +125,7 @@ def clause_hits(machine: Transducer, symbols: list[int], weights: list[float]):
             value += factor * weight
         if due:
             value += due * weights[threat_at]
-        if value > 0 or symbol == INSULT or due:
+        if value > 0 or symbol in (INSULT, STEM) or due:
             yield i, value, factor >= 1, threat_at if due else i
         # of threats that wait for a target, the heaviest counts
         if symbol == THREAT and not (machine.due[state][TARGET] and weights[threat_at] > weight):
@@ -125,11 +133,11 @@ def clause_hits(machine: Transducer, symbols: list[int], weights: list[float]):
         state = machine.next[state][symbol]
 
 
-def clause_weight(machine: Transducer, symbols: list[int], weights: list[float]) -> float:
+def clause_weight(hits) -> float:
     """The largest hit that negation or reporting lowers, or the largest sum of other hits within a few words, so that a
     clause does not weigh more only because it is long."""
     best, now, held = 0.0, 0.0, deque()
-    for i, value, full, _ in clause_hits(machine, symbols, weights):
+    for i, value, full, _ in hits:
         if not full:
             best = max(best, value)
             continue
@@ -146,11 +154,11 @@ def _words(texts: pa.Array):
     codes = raw.copy()
     codes[np.isin(codes, SEPARATORS.astype(np.uint8))] = 0
     starts, ends, first = A.spans(codes, offsets)
-    return raw, codes, starts, ends, first
+    return raw, offsets, codes, starts, ends, first
 
 
 def hash_of(words: list[str]) -> np.ndarray:
-    _, codes, starts, ends, first = _words(pa.array(words, pa.string()))
+    _, _, codes, starts, ends, first = _words(pa.array(words, pa.string()))
     if len(starts) != len(words):
         raise ValueError("a lexicon entry must be one word")
     return A.word_hashes(codes, starts, ends)
@@ -166,7 +174,7 @@ def fitted(weight: float, toxic: int, clean: int, prior: float) -> float:
 class Lexicon:
     """Words with kind and weight. `vocabulary` has weights that labels gave to words of the fixed vocabulary; 0 removes one."""
 
-    def __init__(self, learned: dict[str, float], prior: float, vocabulary: dict[str, float] | None = None):
+    def __init__(self, learned: dict[str, float], prior: float, vocabulary: dict[str, float] | None = None, stems: dict[str, float] | None = None):
         usual = {INSULT: SEED_WEIGHT, THREAT: THREAT_WEIGHT}
         entries = {w: (kind, usual.get(kind, 0.0)) for kind, words in WORDS.items() for w in words.split()}
         for word, weight in (vocabulary or {}).items():
@@ -183,11 +191,37 @@ class Lexicon:
         self.symbols = np.array([k for k, _ in entries.values()])[order]
         self.weights = np.array([w for _, w in entries.values()], float)[order]
         self.prior = math.log(prior / (1 - prior))
+        # stems by their length in bytes, none the beginning of another
+        self.stems = {}
+        for size in sorted({len(x.encode()) for x in stems or {}}):
+            own = {x: w for x, w in stems.items() if len(x.encode()) == size}
+            found = hash_of(list(own))
+            order = np.argsort(found)
+            self.stems[size] = found[order], np.array(list(own.values()))[order]
+
+
+def reported_quotes(raw: np.ndarray, offsets: np.ndarray, starts: np.ndarray, doc: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word, how many quotation marks stand before it, and whether it is in a quotation with a word of reporting
+    close before or behind it. Marks of a text open and close in turn; a last one without a partner opens nothing."""
+    mark = raw == 0x22
+    # the curly marks U+201C to U+201F, by their last byte
+    mark[2:] |= (raw[:-2] == 0xE2) & (raw[1:-1] == 0x80) & (raw[2:] >= 0x9C) & (raw[2:] <= 0x9F)
+    marks = np.r_[0, np.cumsum(mark)]
+    before, begin, end = marks[starts], marks[offsets[doc]], marks[offsets[doc + 1]]
+    inside = ((before - begin) % 2 == 1) & (before < end)
+    head = np.flatnonzero(np.r_[True, (before[1:] != before[:-1]) | (doc[1:] != doc[:-1])])  # words between the same marks
+    tail = np.r_[head[1:], len(starts)]
+    said = np.r_[0, np.cumsum(symbols == REPORT)]
+    low = np.maximum(head - QUOTE_WORDS, np.searchsorted(doc, doc[head]))
+    high = np.minimum(tail + QUOTE_WORDS, np.searchsorted(doc, doc[head], "right"))
+    reported = inside[head] & ((said[head] > said[low]) | (said[high] > said[tail]))
+    return before, np.repeat(reported, tail - head)
 
 
 def clauses(texts: pa.Array, lexicon: Lexicon):
-    """(text, symbols, weights, places in the lexicon) of each clause with an insult or a threat."""
-    raw, codes, starts, ends, first = _words(texts)
+    """(text, first word, symbols, weights, places in the lexicon, whether quoted) of each clause with an insult, a stem of
+    one or a threat."""
+    raw, offsets, codes, starts, ends, first = _words(texts)
     if not len(starts):
         return
     hashes = A.word_hashes(codes, starts, ends)
@@ -195,21 +229,41 @@ def clauses(texts: pa.Array, lexicon: Lexicon):
     known = lexicon.hashes[place] == hashes
     symbols = np.where(known, lexicon.symbols[place], OTHER)
     weights = np.where(known, lexicon.weights[place], 0.0)
+    # "n't" of any verb; a word of its own, or with a curly apostrophe, U+2019, the end of one
+    cut = np.flatnonzero((ends - starts == 1) & (raw[starts] == ord("t")) & (starts > 1))
+    symbols[cut[(raw[starts[cut] - 1] == ord("'")) & (raw[starts[cut] - 2] == ord("n"))]] = NEGATION
+    cut = np.flatnonzero((ends - starts > 5) & (raw[ends - 1] == ord("t")))
+    symbols[cut[np.all([raw[ends[cut] - 5 + k] == b for k, b in enumerate("n’".encode())], axis=0)]] = NEGATION
+    for size, (stems, odds) in lexicon.stems.items():
+        at = np.flatnonzero((ends - starts >= size) & (symbols == OTHER))
+        found = A.word_hashes(codes, starts[at], starts[at] + size)
+        stem = np.minimum(np.searchsorted(stems, found), len(stems) - 1)
+        same = stems[stem] == found
+        symbols[at[same]], weights[at[same]] = STEM, odds[stem[same]]
     stops = np.r_[0, np.cumsum(np.isin(raw, np.frombuffer(CLAUSE_ENDS, np.uint8)))]
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    # a clause ends at a clause mark or with its text
-    clause = np.cumsum(np.r_[False, (stops[starts[1:]] != stops[starts[:-1]]) | (doc[1:] != doc[:-1])])
+    marks, quoted = reported_quotes(raw, offsets, starts, doc, symbols)
+    # a clause ends at a clause mark, with its text, or where a reported quotation begins or ends
+    new = (stops[starts[1:]] != stops[starts[:-1]]) | (doc[1:] != doc[:-1]) | ((marks[1:] != marks[:-1]) & (quoted[1:] | quoted[:-1]))
+    clause = np.cumsum(np.r_[False, new])
     begin = np.searchsorted(clause, np.arange(clause[-1] + 2))
-    for c in np.unique(clause[(symbols == INSULT) | (symbols == THREAT)]).tolist():
+    for c in np.unique(clause[np.isin(symbols, (INSULT, STEM, THREAT))]).tolist():
         a, b = begin[c], begin[c + 1]
-        yield doc[a], symbols[a:b].tolist(), weights[a:b].tolist(), place[a:b]
+        yield doc[a], a, symbols[a:b].tolist(), weights[a:b].tolist(), place[a:b], bool(quoted[a])
 
 
 def scores(texts: pa.Array, lexicon: Lexicon, machine: Transducer) -> tuple[np.ndarray, np.ndarray]:
-    """Score of each text, from its heaviest clause, and how many of its clauses matched."""
+    """Score of each text, from its heaviest clause or pair of stems, and how many of its clauses matched."""
     most, matched = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-    for doc, symbols, weights, _ in clauses(texts, lexicon):
-        weight = clause_weight(machine, symbols, weights)
+    last, last_at, last_weight = -1, 0, 0.0
+    for doc, begin, symbols, weights, _, quoted in clauses(texts, lexicon):
+        hits = list(clause_hits(machine, symbols, weights, quoted))
+        weight = clause_weight(hits)
+        for i, _, full, _ in hits:
+            if full and symbols[i] == STEM:
+                if last == doc and begin + i - last_at <= STEM_WORDS:
+                    weight = max(weight, (weights[i] + last_weight) / 2)
+                last, last_at, last_weight = doc, begin + i, weights[i]
         if weight > 0:
             most[doc] = max(most[doc], weight)
             matched[doc] += 1
@@ -219,8 +273,8 @@ def scores(texts: pa.Array, lexicon: Lexicon, machine: Transducer) -> tuple[np.n
 def vocabulary_hits(texts: pa.Array, lexicon: Lexicon, machine: Transducer) -> list[dict[bytes, bytes]]:
     """Of each text, the insults and threats of the vocabulary that count there in full, as " word"; " " is any threat."""
     out = [{} for _ in range(len(texts))]
-    for doc, symbols, weights, places in clauses(texts, lexicon):
-        for _, _, full, at in clause_hits(machine, symbols, weights):
+    for doc, _, symbols, weights, places, quoted in clauses(texts, lexicon):
+        for _, _, full, at in clause_hits(machine, symbols, weights, quoted):
             if full and symbols[at] in (INSULT, THREAT):
                 word = lexicon.names[places[at]].encode()
                 out[doc][b" " + word] = word
@@ -229,6 +283,21 @@ def vocabulary_hits(texts: pa.Array, lexicon: Lexicon, machine: Transducer) -> l
     return out
 
 
+def repeated_stems(words: list[str]) -> dict[bytes, int]:
+    """"~stem" and a place of each stem of two different words near each other."""
+    last, out = {}, {}
+    for i, word in enumerate(words):
+        for size in STEM_LETTERS:
+            if size >= len(word):
+                break
+            stem = word[:size]
+            before = last.get(stem)
+            if before and i - before[0] <= STEM_WORDS and before[1] != word:
+                out.setdefault(stem, i)
+            last[stem] = (i, word)
+    return {b"~" + stem.encode(): i for stem, i in out.items()}
+
+
 ALONE, FAMILY, CONTEXT = range(3)
 
 
@@ -258,7 +327,7 @@ def _counted(text: str, label: str, family: str):
                 is_toxic = value_label == 1
                 words = value.encode().translate(_PARTING).split()
                 first = dict(zip(reversed(words), range(len(words) - 1, -1, -1)))
-                first |= {mark: first[w] for mark, w in hit.items()}
+                first |= {mark: first[w] for mark, w in hit.items()} | repeated_stems([w.decode() for w in words])
                 once.update((w, CONTEXT, zlib.crc32(b" ".join([*words[max(i - NEAR_WORDS, 0) : i], b"", *words[i + 1 : i + 1 + NEAR_WORDS]])), is_toxic) for w, i in first.items())
                 if own is None:
                     counts[is_toxic].update([b"", *first])  # the empty word counts texts
@@ -284,6 +353,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     word, copies and near copies (the families of `ngramjoin`) once, or that of its different surroundings of four words on
     either side, if there are fewer (a passage in many texts). So copies neither make insults of the other words of a toxic
     text nor hide an insult that a clean one quotes.
+    A stem is the beginning of words, four to eight characters; its evidence are texts in which two different words with it
+    stand near each other, under the same rules. Of stems that begin each other the best attested one stays, and its words
+    are no insults of their own.
     Words of the vocabulary start from its weight, which evidence raises, lowers or removes; threats from a weight fitted
     to all of them. Only hits that the grammar counts in full are evidence there. Without labels only the vocabulary counts.
     """
@@ -315,15 +387,22 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     vocabulary |= {w: fitted(usual, *seen.get(w, (0, 0)), settled) for w in WORDS[THREAT].split()}
     if not n_toxic:
         return Lexicon({}, settled, vocabulary)
-    counted = counted.where("word not like ' %'")
+    counted = counted.where("word not like ' %'").withColumn("stem", F.col("word").startswith("~"))
     n_words = counted.count()  # one more than the words
     counted = counted.where("word <> ''")
     share = (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1)
     gain = F.col("toxic") * F.log(share / prior) + F.col("clean") * F.log((1 - share) / max(1 - prior, 1e-9))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    kept = counted.withColumn("odds", odds).where((gain > math.log(n_words) + 3) & (share >= 0.8))
-    learned = {r["word"]: min(r["odds"], MOST) for r in kept.select("word", "odds").collect()}  # of a bounded sample
-    return Lexicon(learned, settled, vocabulary)
+    kept = counted.withColumn("odds", odds).withColumn("gain", gain).where((gain > math.log(n_words) + 3) & (share >= 0.8))
+    kept = kept.select("word", "stem", "odds", "gain").collect()  # of a bounded sample
+    stems = {}
+    for r in sorted((r for r in kept if r["stem"]), key=lambda r: (-r["gain"], r["word"])):
+        stem = r["word"][1:]
+        if not any(stem.startswith(x) or x.startswith(stem) for x in stems):
+            stems[stem] = min(r["odds"], MOST)
+    # a stem explains its words
+    learned = {r["word"]: min(r["odds"], MOST) for r in kept if not r["stem"] and not r["word"].startswith(tuple(stems))}
+    return Lexicon(learned, settled, vocabulary, stems)
 
 
 def _scored(text: str, lexicon: Lexicon, keep_text: bool):

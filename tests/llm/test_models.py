@@ -1,5 +1,7 @@
 """Language, toxicity and quality: held-out accuracy, and defined results for odd input."""
 
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -68,6 +70,52 @@ def test_grammar_on_clauses():
     assert clauses.tolist() == [1, 1, 1, 1, 1, 0, 0, 0, 0, 1]
 
 
+def test_quotation_negation_and_targets_of_the_grammar():
+    lexicon, machine = toxicity.Lexicon({}, 0.1), toxicity.grammar()
+    mild = [
+        "I can't call you an idiot",
+        "I can’t call you an idiot",
+        "you won't kill them",
+        'He said: "You idiot. You moron."',
+        '"You idiot", he said',
+        "“You idiot. You moron”, he wrote",
+        '"Fine." She said: "You idiot."',
+    ]
+    harsh = ["they will kill us", '"You idiot" is what you are', "he wrote this. You idiot", 'a 5" pipe. he said so. You idiot', '"Hello", he said. You idiot', "t'es un idiot"]
+    score, _ = toxicity.scores(pa.array(mild + harsh), lexicon, machine)
+    assert (score >= 0.5).tolist() == [False] * len(mild) + [True] * len(harsh)
+    apart, _ = toxicity.scores(pa.array(['he said "no', 'You idiot" end']), lexicon, machine)
+    assert apart[1] >= 0.5  # a mark pairs inside its own text only
+
+
+def test_stems_count_in_pairs():
+    lexicon, machine = toxicity.Lexicon({}, 0.1, stems={"grumpf": 4.0, "été": 3.0}), toxicity.grammar()
+    texts = ["grumpfen grumpfer", "die grumpfen. Die grumpfer", "grumpfen étés", "grumpfen", "grumpfen " + "x " * 60 + "grumpfer", "said grumpfen grumpfer", "grumpf not grumpfer"]
+    score, _ = toxicity.scores(pa.array(texts), lexicon, machine)
+    assert (score >= 0.5).tolist() == [True, True, True, False, False, False, False]
+    parted, _ = toxicity.scores(pa.array(["a grumpfen", "grumpfer b"]), lexicon, machine)
+    assert (parted < 0.5).all()
+    assert toxicity.repeated_stems("grumpfen is grumpfer".split()) == {b"~grum": 2, b"~grump": 2, b"~grumpf": 2, b"~grumpfe": 2}
+    assert toxicity.repeated_stems(["grumpfen", *"x" * 41, "grumpfer"]) == toxicity.repeated_stems(["same", "same"]) == {}
+
+
+def test_stems_are_learned(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(300)]
+    ends = [a + b + c for a in "abcde" for b in "abcde" for c in "abcde"]
+    rows = [(i, " ".join(rng.choice(words, 40)), 0) for i in range(400)]
+    # one word with the stem is not evidence, two are
+    rows += [(i, " ".join([*rng.choice(words, 30), "zorp" + rng.choice(ends)]), 0) for i in range(400, 500)]
+    for i in range(500, 550):
+        own = ["zorp" + e for e in rng.choice(ends, 2, replace=False)]
+        rows.append((i, " ".join([own[0], *rng.choice(words, 12), own[1], *rng.choice(words, 12)]), 1))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    lexicon = toxicity.learn(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    assert list(lexicon.stems) == [4] and lexicon.stems[4][0].tolist() == toxicity.hash_of(["zorp"]).tolist()
+    score, _ = toxicity.scores(pa.array(["zorpxx and zorpyy", "zorpxx", "nothing"]), lexicon, toxicity.grammar())
+    assert (score >= 0.5).tolist() == [True, False, False]
+
+
 def test_composition_equals_the_parts():
     parts = [toxicity.negation(), toxicity.report(), toxicity.target(), toxicity.threat()]
     whole, rng = toxicity.compose(*parts), np.random.default_rng(0)
@@ -134,6 +182,16 @@ def test_labels_lower_the_vocabulary_and_length_adds_nothing(spark):
     assert toxicity.scores(pa.array(["you basura"]), clean, machine)[0][0] < 0.5
 
 
+def test_toxicity_held_out(spark, sf_dir):
+    sf_dir = os.path.join(os.path.dirname(sf_dir), "sf0.1")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    marked = spark.read.parquet(f"{sf_dir}/labels.parquet").where(language.held_out() & F.col("toxic").isNotNull()).select("doc_id", "toxic")
+    lexicon = toxicity.learn(docs, labels(spark, sf_dir))
+    out = toxicity.score(docs, lexicon).join(marked, "doc_id").select("toxic", (F.col("score") >= 0.5).alias("found")).collect()
+    toxic, clean = [r["found"] for r in out if r["toxic"] == 1], [r["found"] for r in out if r["toxic"] == 0]
+    assert np.mean(toxic) >= 0.9 and np.mean(clean) < 0.01
+
+
 def test_toxicity_odd_rows(spark, odd):
     out = toxicity.score(odd.withColumn("score", F.lit("clash")), toxicity.Lexicon({}, 0.1))
     got = {r["doc_id"]: r["score"] for r in out.collect()}
