@@ -10,7 +10,7 @@ from catalog.views import Catalog, sql
 from lapwing.functions import vectors as V
 from lapwing.operators import shape
 from lapwing.plans import tables as T
-from lapwing.session import stage_dir
+from lapwing.session import stage, stage_dir
 from lapwing.sources import behaviours as B, sinks, vectors as VS
 
 CATALOG = Catalog()
@@ -195,6 +195,30 @@ def upsert_results(spark, d):
     return sinks.upsert(old, new)
 
 
+@q(
+    "upsert_in_place",
+    """WITH c AS (SELECT max(ts) - INTERVAL 1 HOUR AS cut FROM events),
+    o AS (SELECT user_id, count(*) AS n_events, max(event_id) AS last_event FROM events, c WHERE ts < cut GROUP BY 1),
+    n AS (SELECT user_id, count(*) AS n_events, max(event_id) AS last_event FROM events, c GROUP BY 1 HAVING max(ts) >= max(cut)),
+    t AS (SELECT * FROM n UNION ALL SELECT * FROM o WHERE user_id NOT IN (SELECT user_id FROM n)),
+    b AS (SELECT *, ('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8))::BIGINT % 256 AS bucket FROM t)
+    SELECT user_id, n_events, last_event, bucket IN (SELECT bucket FROM b JOIN n USING (user_id)) AS rewritten FROM b""",
+)
+def upsert_in_place(spark, d):
+    """Event counts of all users, kept in a keyed table; users of the last hour are replaced. `rewritten` tells whether the
+    row's file is younger than the upsert."""
+    ev = T.events(spark, d).select("user_id", "event_id", "ts")
+    cut = ev.agg(F.max("ts") - F.expr("INTERVAL 1 HOUR")).first()[0]
+    counts = lambda rows: rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events"), F.max("event_id").alias("last_event"), F.max("ts").alias("ts"))
+    path = f"{stage_dir(spark)}/keyed-{uuid.uuid4().hex}"
+    sinks.write_keyed(counts(ev.where(F.col("ts") < cut)).drop("ts"), path, "user_id")
+    file = F.col("_metadata.file_path").alias("file")
+    before = stage(spark.read.parquet(path).select(file).distinct().withColumn("old", F.lit(True)), "files")
+    sinks.upsert_keyed(counts(ev).where(F.col("ts") >= cut).drop("ts"), path, "user_id")
+    rows = spark.read.parquet(path).select("user_id", "n_events", "last_event", file).join(before, "file", "left")
+    return rows.select("user_id", "n_events", "last_event", F.col("old").isNull().alias("rewritten"))
+
+
 _KEPT = """SELECT count(*) AS n_before, count(*) FILTER (WHERE {0}) AS n_kept, count(*) FILTER (WHERE NOT {0}) AS n_removed,
     round(count(*) FILTER (WHERE NOT {0}) * 100.0 / count(*), 6)::DOUBLE AS removed_pct FROM b"""
 _BEHAV = """b AS (SELECT i.impression_id, i.clicked, coalesce(h.n, 0) AS n_history FROM

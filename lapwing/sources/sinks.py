@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from lapwing.session import stage
 
 MODEL_TABLES = ("popularity", "recency", "coclick", "categories", "params")
+#: Partition column of keyed tables, and how many partitions they have unless told otherwise.
+BUCKET, BUCKETS = "key_bucket", 256
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
@@ -42,6 +46,41 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "method") -> DataFrame:
     return new.withColumn("ord", F.lit(0).cast("bigint")).unionByName(kept)
 
 
+def bucket_of(key: str, buckets: int = BUCKETS) -> Column:
+    """The partition of a key in a keyed table; that of null is 0."""
+    digest = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10)
+    return F.coalesce(F.pmod(digest.cast("bigint"), F.lit(buckets)), F.lit(0)).cast("int")
+
+
+def write_keyed(df: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
+    """A table that `upsert_keyed` can change: one folder per bucket of the key."""
+    dealt = df.withColumn(BUCKET, bucket_of(key, buckets))
+    dealt.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop(BUCKET)
+
+
+def upsert_keyed(new: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
+    """Replace all rows of the keys of `new` in a keyed table, in place; null is a key like others.
+
+    Only folders with such a key are read and written (dynamic partition overwrite); all other files stay as they are. The
+    merged rows are staged first, so a job that fails leaves the table as it was. `buckets` is that of `write_keyed`; no rows
+    change nothing.
+    """
+    spark = new.sparkSession
+    new = stage(new.withColumn(BUCKET, bucket_of(key, buckets)), "upsert")
+    touched = [r[0] for r in new.select(BUCKET).distinct().collect()]  # at most `buckets` numbers
+    if not touched:
+        return
+    old = spark.read.parquet(path).where(F.col(BUCKET).isin(touched))
+    keys = new.select(F.col(key).alias("_key")).distinct()
+    kept = old.join(keys, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+    merged = stage(new.unionByName(kept), "merged")
+    merged.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+
+
 def with_defaults(users: DataFrame, snapshot: DataFrame, defaults: dict, key: str = "user_id") -> DataFrame:
     """Snapshot values per user, with defaults for users the snapshot does not know."""
     joined = users.join(snapshot, key, "left")

@@ -83,3 +83,23 @@ def test_revive_list_keeps_the_other_quote(spark):
 
 def test_read_vec_only_forgives_a_missing_file(spark, tmp_path):
     assert VS.read_vec(spark, str(tmp_path / "none.vec")).count() == 0
+
+
+def test_upsert_touches_only_its_folders(spark, tmp_path):
+    path = str(tmp_path / "keyed")
+    key = lambda i: None if i == 0 else f"user {i}"
+    old = spark.createDataFrame([(key(i), i, "old") for i in range(200)], "name string, n int, state string")
+    sinks.write_keyed(old, path, "name", 16)
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    before = files()
+    new = spark.createDataFrame([(None, -1, "new"), ("user 7", -2, "new"), ("user 7", -3, "new"), ("user 900", 9, "new")], old.schema)
+    touched = {r[0] for r in new.select(sinks.bucket_of("name", 16)).collect()}
+    sinks.upsert_keyed(new, path, "name", 16)
+    after = files()
+    bucket = lambda f: int(f.split(f"{sinks.BUCKET}=")[1].split("/")[0])
+    assert {bucket(f) for f in before if f not in after} <= touched < {bucket(f) for f in before}
+    assert all(after[f] == at for f, at in before.items() if bucket(f) not in touched)
+    want = [(key(i), i, "old") for i in range(200) if i not in (0, 7)] + [tuple(r) for r in new.collect()]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in sinks.read_keyed(spark, path).collect())
+    sinks.upsert_keyed(new.limit(0), path, "name", 16)
+    assert files() == after
