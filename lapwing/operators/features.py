@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from hashlib import md5
+from math import log
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lapwing.functions import vectors as V
 from lapwing.operators.shape import sorted_codes
+from lapwing.session import stage
 
 # fixed values: tower weights and category dimensions
 TOWER_WEIGHTS = {"text": 0.60, "entity": 0.30, "category": 0.10}
@@ -102,20 +110,58 @@ def text_tower(docs: DataFrame, encode: Callable[[DataFrame], DataFrame] | None
 
     Words are runs of letters a-z (upper case included), digits and `_`. A word's slot is the first 32 bits of its md5 modulo
     `n_features`, the weight of a slot its count times ln((n + 1) / (documents with the slot + 1)). A text without words
-    has the zero vector; item ids are distinct. Counts by item and slot merge in the task that holds the text, so at most
-    `n_features` slim rows of a text are sent.
+    has the zero vector; texts of one item id count as one. A text is read once, and at most `n_features` slots of it with
+    their counts are sent and written; the weights of the slots are no more than `n_features` numbers.
     """
     if encode is not None:
         return encode(docs)
-    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    word = F.explode(F.regexp_extract_all(lower, F.lit("[a-z0-9_]+"), 0))
-    rows = docs.select("item_id", word.alias("_w")).groupBy("item_id", "_w").agg(F.count(F.lit(1)).alias("_n"))
-    slot = (F.conv(F.substring(F.md5(F.encode("_w", "UTF-8")), 1, 8), 16, 10).cast("bigint") % n_features).cast("int")
-    counts = rows.groupBy("item_id", slot.alias("_slot")).agg(F.sum("_n").alias("_tf"))
-    total = docs.agg(F.count(F.lit(1))).scalar()
-    idf = counts.groupBy("_slot").agg(F.ln((total + 1) / (F.count(F.lit(1)) + 1)).alias("_idf"))  # no more rows than slots
-    weighted = counts.join(F.broadcast(idf), "_slot").select("item_id", F.struct("_slot", (F.col("_tf") * F.col("_idf")).alias("w")).alias("_s"))
-    sparse = weighted.groupBy("item_id").agg(F.map_from_entries(F.collect_list("_s")).alias("_m"))
-    none = F.create_map().cast("map<int,double>")
-    dense = F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)), lambda i: F.coalesce(F.try_element_at(F.coalesce("_m", none), i), F.lit(0.0)))
-    return docs.select("item_id").join(sparse, "item_id", "left").select("item_id", V.unit(dense).alias("vec"))
+    counts = docs.select("item_id", "text").mapInArrow(slot_counter(n_features), f"item_id {docs.schema['item_id'].dataType.simpleString()}, slots array<int>, counts array<bigint>")
+    sparse = stage(counts.groupBy("item_id").agg(F.flatten(F.collect_list("slots")).alias("slots"), F.flatten(F.collect_list("counts")).alias("counts")), "slots")
+    n = docs.count()
+    found = sparse.select(F.explode(F.array_distinct("slots")).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n")).collect()  # no more rows than slots
+    idf = np.zeros(n_features)
+    for slot, with_slot in found:
+        idf[slot] = log((n + 1) / (with_slot + 1))
+    rows = docs.select("item_id").join(sparse, "item_id", "left")
+    return rows.mapInArrow(weigher(idf), f"item_id {docs.schema['item_id'].dataType.simpleString()}, vec array<double>")
+
+
+def slot_counter(n_features: int):
+    """Task function: the slots of each text's words and how often each comes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = re.compile("[A-Za-z0-9_]+").findall
+        slot = lru_cache(1 << 17)(lambda word: int.from_bytes(md5(word.lower().encode()).digest()[:4], "big") % n_features)
+        for batch in batches:
+            tallies = []
+            for text in batch.column("text"):
+                tally = {}
+                for word, count in Counter(words(text.as_py() or "")).items():
+                    at = slot(word)
+                    tally[at] = tally.get(at, 0) + count
+                tallies.append(tally)
+            slots = pa.array([list(t) for t in tallies], pa.list_(pa.int32()))
+            counts = pa.array([list(t.values()) for t in tallies], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), slots, counts], names=["item_id", "slots", "counts"])
+
+    return run
+
+
+def weigher(idf: np.ndarray):
+    """Task function: unit vectors of the counts of slots times the slots' weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                slots, counts = batch.column("slots"), batch.column("counts")
+                rows = np.repeat(np.arange(batch.num_rows), slots.value_lengths().fill_null(0).to_numpy())
+                vec = np.zeros((batch.num_rows, len(idf)))
+                np.add.at(vec, (rows, slots.flatten().to_numpy()), counts.flatten().to_numpy())
+                vec *= idf
+                norm = np.sqrt((vec * vec).sum(axis=1, keepdims=True))
+                np.divide(vec, norm, out=vec, where=norm > 0)
+                offsets = np.arange(0, vec.size + 1, len(idf), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.ListArray.from_arrays(offsets, vec.ravel())], names=["item_id", "vec"])
+
+    return run
