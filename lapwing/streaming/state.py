@@ -44,7 +44,7 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        every = list(self.waiting.get()) if self.waiting.exists() else []
+        every = list(self.waiting.get())
         due = sorted((row for row in every if row[0] // 1000 < mark), key=lambda row: row[:2])
         later = [row for row in every if row[0] // 1000 >= mark]
         if due and later:
@@ -84,7 +84,7 @@ class ProfileProcessor(InOrder):
     def fold(self, key, due, mark) -> Iterator[pd.DataFrame]:
         if not due:
             return
-        *values, last, clicked = self.state.get() if self.state.exists() else (*start().values(), None, False)
+        *values, last, clicked = self.state.get() or (*start().values(), None, False)
         state = dict(zip(self.KEYS, values))
         piece = Fold(key[0], state["total_interactions"], state["feedback_count"], (last,) if clicked else None)
         for _, _, action, value, label in due:
@@ -110,7 +110,8 @@ class SessionProcessor(InOrder):
     """Reading session: items in first-read order, clicks counted, reset to the seed history, expiry after 24 h of silence.
 
     Events: seed (the item joins the history and the seed history), click, reset (the history becomes the seed history
-    again). The item list is a map state, so a long session is never rewritten as a whole, except by a reset.
+    again). The item list is a map state, so a long session is never rewritten as a whole, except by a reset: a fold reads
+    the items it meets, and writes each of them that changed once.
     """
 
     held = "at long, event_id long, action string, item_id long"
@@ -123,32 +124,46 @@ class SessionProcessor(InOrder):
         self.items = handle.getMapState("items", "item_id long", "ord long, seed long")
         self.meta = handle.getValueState("meta", "clicked long, size long, next long, seeds long, last long")
 
+    def met(self, due: list[tuple], size: int) -> dict:
+        """(ord, seed) of the items that a fold needs, by item: of a short session all in one read, of a long one those of
+        `due`; with None for items it does not have."""
+        read = {item for *_, item in due}
+        if not size or not read:
+            return dict.fromkeys(read)
+        if size <= 4 * len(read) or any(action == "reset" for _, _, action, _ in due):
+            return dict.fromkeys(read) | {item: tuple(entry) for (item,), entry in self.items.iterator()}
+        return {item: tuple(entry) if (entry := self.items.getValue((item,))) is not None else None for item in read}
+
     def fold(self, key, due, mark) -> Iterator[pd.DataFrame]:
         fresh = (0, 0, 0, 0, None)
-        clicked, size, next_, seeds, last = self.meta.get() if self.meta.exists() else fresh
+        clicked, size, next_, seeds, last = self.meta.get() or fresh
         if last is None and not due:
             return
+        items = self.met(due, size)
+        before = {item: entry for item, entry in items.items() if entry is not None}
         for at, _, action, item in due:
             if last is not None and at - last > DAY_MS * 1000:  # the watermark came past the gap and this event at once
                 self.items.clear()
+                items, before = dict.fromkeys(items), {}
                 clicked, size, next_, seeds, last = fresh
             last = at
             if action == "reset":
-                for (read,), (_, seed) in list(self.items.iterator()):
-                    if seed < 0:
-                        self.items.removeKey((read,))
-                    else:
-                        self.items.updateValue((read,), (seed, seed))
+                items = {read: (entry[1], entry[1]) if entry is not None and entry[1] >= 0 else None for read, entry in items.items()}
                 clicked, size, next_ = 0, seeds, seeds
                 continue
-            ord_, seed = self.items.getValue((item,)) if self.items.containsKey((item,)) else (None, -1)
+            ord_, seed = items.get(item) or (None, -1)
             if ord_ is None or (action == "seed" and seed < 0):
                 if action == "seed":
                     seed, seeds = seeds, seeds + 1
                 if ord_ is None:
                     ord_, next_, size = next_, next_ + 1, size + 1
-                self.items.updateValue((item,), (ord_, seed))
+                items[item] = (ord_, seed)
             clicked += action == "click"
+        for item, entry in items.items():
+            if entry is None and item in before:
+                self.items.removeKey((item,))
+            elif entry is not None and entry != before.get(item):
+                self.items.updateValue((item,), entry)
         over = last // 1000 + DAY_MS < mark
         if due or over:
             yield self._row(key, clicked, size, last, over)
