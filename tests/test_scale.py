@@ -138,3 +138,16 @@ def test_a_fold_of_a_session_calls_its_state_once_an_item():
     assert states.map == {(3,): (0, 0), (99,): (1, 1), (5,): (2, -1)} and states.value[:4] == (1, 3, 3, 2)
     fold([(402 + 2 * DAY_MS * 1000, 402, "click", 5)])
     assert states.map == {(5,): (0, -1)}
+
+
+def test_recommendation_plan_reads_staged_tables_and_vectors_only(spark, sf_dir):
+    """The last plan has no scan of events or documents: lists, items and signals were written once."""
+    from lapwing.plans import recommend as M, tables as T
+
+    try:
+        model, h = M.fitted(spark, sf_dir)
+        files = M.recommend(T.test_lists(spark, sf_dir), h, model, 10).inputFiles()
+        assert files and not [f for f in files if "/events.parquet" in f or "/documents.parquet" in f]
+        assert not [f for f in model.items.inputFiles() if "/embeddings.parquet" in f]
+    finally:
+        tune(spark)
