@@ -117,16 +117,18 @@ class WaveletMatrix:
         return int(self.occurrences(value)[k])
 
     def all(self) -> np.ndarray:
-        """The whole row of ids: places and the bits read so far go down the planes together and are put back once."""
-        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
-        place, now = np.arange(self.n, dtype=np.uint32 if self.n < 1 << 32 else np.uint64), np.zeros(self.n, kind)
-        for level in range(len(self.planes)):
-            one = self.bits_of(level)
-            now = (now << kind(1)) | one
-            place, now = parted(place, one), parted(now, one)
-        out = np.empty(self.n, kind)
-        out[place] = now
-        return out
+        """The whole row of ids, from the last plane up: the bits known so far go back to where they stood above a plane."""
+        kind, last = np.uint16 if len(self.planes) <= 16 else np.uint32, len(self.planes) - 1
+        now = np.zeros(self.n, kind)
+        for level in range(last, -1, -1):
+            one, zeros = self.bits_of(level), self.zeros[level]
+            now[zeros:] |= kind(1 << (last - level))
+            if 0 < zeros < self.n:
+                above = np.empty_like(now)
+                above[np.flatnonzero(~one)] = now[:zeros]
+                above[np.flatnonzero(one)] = now[zeros:]
+                now = above
+        return now
 
     def pack(self) -> bytes:
         """The directory of counts is made again on reading."""

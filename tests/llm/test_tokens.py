@@ -87,3 +87,22 @@ def test_wavelet_matrix(n):
             assert m.rank(value, end) == (row[:end] == value).sum()
         if len(places):
             assert m.select(value, len(places) - 1) == places[-1]
+
+
+@pytest.mark.parametrize("bits", [1, 6, 16, 17])
+def test_whole_rows_come_back_and_no_places_are_carried_along(bits):
+    """Planes of zeros or of ones only, and mixed ones."""
+    rng = np.random.default_rng(bits)
+    rows = [np.zeros(0), np.zeros(700), np.full(700, (1 << bits) - 1), rng.integers(0, 1 << bits, 5000), rng.integers(0, 1 << bits, 513) | 1]
+    for row in rows:
+        row = row.astype(np.uint32)
+        m = wavelet.WaveletMatrix.unpack(len(row), bits, wavelet.WaveletMatrix.of(row, bits).pack())
+        assert np.array_equal(m.all(), row)
+    # np.compress is what parts rows of places: none is called on the way back
+    calls, compress = [], np.compress
+    try:
+        np.compress = lambda *a, **b: calls.append(1) or compress(*a, **b)
+        m.all()
+    finally:
+        np.compress = compress
+    assert not calls
