@@ -32,6 +32,8 @@ LEAF = 16
 PAGE_ROWS = 1_000
 REPEATED = 8
 BITMAP_BITS = 1 << 25
+#: Bytes of text that a task takes apart at a time: shingles and their temporaries take several times that.
+PIECE = 1 << 20
 #: White space of the contract.
 BLANKS = np.r_[9:14, 32]
 
@@ -96,7 +98,7 @@ def _signatures(key: str, text: str):
 
     def run(batches):
         for whole in batches:
-            for batch in A.pieces(whole, text):
+            for batch in A.pieces(whole, text, PIECE):
                 sets, first = shingle_sets(batch.column(text))
                 salted = [A.mixed(sets ^ np.uint64(s)) for s in (0x51ED270B7F4A7C15, 0xA24BAED4963EE407)]
                 # sums over a set do not depend on order
@@ -122,7 +124,7 @@ def _repeated(text: str, least: int, bits: int):
                 words[bit >> 6] = words.get(bit >> 6, 0) | 1 << (bit & 63)
 
         for whole in batches:
-            for batch in A.pieces(whole, text):
+            for batch in A.pieces(whole, text, PIECE):
                 sets, _ = shingle_sets(batch.column(text))
                 held.append(sets)
                 size += len(sets)
@@ -153,7 +155,7 @@ def _routes(key: str, text: str, sent):
         marks = sent.value
         bits = np.uint64(len(marks) * 64)
         for whole in batches:
-            for batch in A.pieces(whole, text):
+            for batch in A.pieces(whole, text, PIECE):
                 sets, first = shingle_sets(batch.column(text))
                 n = np.diff(first)
                 doc = np.repeat(np.arange(len(n)), n)
@@ -172,7 +174,7 @@ def _routes(key: str, text: str, sent):
 def _sets(key: str, text: str):
     def run(batches):
         for whole in batches:
-            for batch in A.pieces(whole, text):
+            for batch in A.pieces(whole, text, PIECE):
                 sets, first = shingle_sets(batch.column(text))
                 values = [sets[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(values, pa.binary())], names=["id", "shingles"])

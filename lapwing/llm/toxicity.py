@@ -28,8 +28,10 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, STEM = SYMBOLS = range(7)
 SAMPLE_ROWS = 40_000
 #: Words on either side of a word that make its surroundings.
 NEAR_WORDS = 4
-#: Words of families and surroundings that a task holds before it hands them on.
-HELD = 500_000
+#: Words, counted or with families and surroundings, that a task holds before it hands them on.
+HELD = 20_000
+#: Bytes of text that a task takes apart at a time: words, hashes and places take several times that.
+PIECE = 1 << 20
 #: Characters of a stem; words with one stem count where two different ones are at most so many words apart.
 STEM_LETTERS = range(4, 9)
 STEM_WORDS = 40
@@ -302,8 +304,9 @@ ALONE, FAMILY, CONTEXT = range(3)
 
 
 def _counted(text: str, label: str, family: str):
-    """Per task: in how many texts of either label each word occurs; words of copied texts once for each family and label;
-    the different surroundings of each word, where it first stands in a text."""
+    """In how many texts of either label each word occurs; words of copied texts once for each family and label; the
+    different surroundings of each word, where it first stands in a text. A task hands on what it has whenever that is much,
+    so a word has several rows."""
 
     def rows(counts, once):
         words = list(counts[0].keys() | counts[1].keys())
@@ -320,7 +323,7 @@ def _counted(text: str, label: str, family: str):
     def run(batches):
         counts, once = (Counter(), Counter()), set()
         plain, machine = Lexicon({}, PRIOR), grammar()
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in A.pieces(whole, text, PIECE)):
             hits = vocabulary_hits(batch.column(text), plain, machine)
             lowered = pc.utf8_lower(pc.fill_null(batch.column(text), "")).to_pylist()
             for value, value_label, own, hit in zip(lowered, batch.column(label).to_pylist(), batch.column(family).to_pylist(), hits):
@@ -333,9 +336,9 @@ def _counted(text: str, label: str, family: str):
                     counts[is_toxic].update([b"", *first])  # the empty word counts texts
                 else:
                     once.update((w, FAMILY, own, is_toxic) for w in [b"", *first])
-                if len(once) > HELD:
-                    yield rows((Counter(), Counter()), once)
-                    once = set()
+                if len(once) + len(counts[0]) + len(counts[1]) > HELD:
+                    yield rows(counts, once)
+                    counts, once = (Counter(), Counter()), set()
         yield rows(counts, once)
 
     return run
@@ -409,7 +412,7 @@ def _scored(text: str, lexicon: Lexicon, keep_text: bool):
     def run(batches):
         machine = grammar()
         for whole in batches:
-            for batch in A.pieces(whole, text):
+            for batch in A.pieces(whole, text, PIECE):
                 score, matched = scores(batch.column(text), lexicon, machine)
                 kept = batch if keep_text else batch.drop_columns([text])
                 yield A.of_rows(kept, score=pa.array(score), matched_clauses=pa.array(matched))

@@ -216,3 +216,31 @@ def test_additive_model_finds_an_interaction():
     assert ((model.score(x) > 0.5) == (y == 1)).mean() > 0.9 and (1, 0) in [(i, j) for i, j, _ in model.pairs]
     alone = quality.fit(x[:0], y[:0])
     assert np.allclose(alone.score(x), 0.5)
+
+
+def test_counting_hands_on_words_in_bounded_pieces(monkeypatch):
+    """A task holds a bounded number of words, whatever its texts; the rows add up to the same evidence."""
+    from collections import Counter
+
+    rows = [(" ".join(f"w{i}x{k}" for k in range(40)) + " idiot", i % 2, None if i % 3 else i // 6) for i in range(300)]
+    texts, marks, families = zip(*rows)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(marks, pa.int64()), pa.array(families, pa.int64())], names=["t", "l", "f"])
+    parts = [batch.slice(i, 20) for i in range(0, 300, 20)]
+
+    def evidence(held):
+        monkeypatch.setattr(toxicity, "HELD", held)
+        out, most = Counter(), 0
+        for b in toxicity._counted("t", "l", "f")(iter(parts)):
+            most = max(most, b.num_rows)
+            for r in b.to_pylist():
+                if r["kind"] == toxicity.ALONE:
+                    out[r["word"], r["kind"], r["id"], "toxic"] += r["toxic"]
+                    out[r["word"], r["kind"], r["id"], "clean"] += r["clean"]
+                else:
+                    out[r["word"], r["kind"], r["id"], "toxic"] |= r["toxic"]
+                    out[r["word"], r["kind"], r["id"], "clean"] |= r["clean"]
+        return +out, most
+
+    whole, all_rows = evidence(10**9)
+    pieces, most = evidence(500)
+    assert pieces == whole and all_rows > 10_000 and most < 1000
