@@ -151,3 +151,37 @@ def test_recommendation_plan_reads_staged_tables_and_vectors_only(spark, sf_dir)
         assert not [f for f in model.items.inputFiles() if "/embeddings.parquet" in f]
     finally:
         tune(spark)
+
+
+def test_lists_are_not_broadcast_once_they_are_measured(spark):
+    """60,000 list ids take 960 KB as rows and six times that as the driver's hash table."""
+    lists = spark.range(300_000).where("id % 5 = 0").select(F.col("id").alias("impression_id"))
+    rows = spark.range(300_000).select(F.col("id").alias("impression_id"), F.lit(1).alias("x"))
+    try:
+        lean(spark)
+        kept = rows.join(lists, "impression_id", "left_semi")
+        assert len(kept.collect()) == 60_000
+        final = kept._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "SortMergeJoin" in final and "BroadcastHashJoin" not in final
+    finally:
+        tune(spark)
+
+
+def test_profiles_are_cut_to_the_lists_before_they_are_written(spark, monkeypatch):
+    from lapwing.plans import recommend as M
+
+    class Written(Exception):
+        pass
+
+    def stage(df, name):
+        if name == "profiles":
+            raise Written(sorted(r["impression_id"] for r in df.collect()))
+        return df
+
+    monkeypatch.setattr(M, "stage", stage)
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "item_id bigint, embedding array<double>")
+    history = spark.createDataFrame([(i, i, 0, p, p + 1) for i in (7, 8, 9) for p in (0, 1)], "impression_id bigint, user_id bigint, bucket bigint, pos bigint, item_id bigint")
+    lists = spark.createDataFrame([(7,), (9,), (9,), (10,), (None,)], "impression_id bigint")
+    with pytest.raises(Written) as found:
+        M.recommend(lists, history, M.Model(vectors, vectors, None, None, None), 5)
+    assert found.value.args[0] == [7, 9]
