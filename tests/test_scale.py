@@ -167,6 +167,23 @@ def test_lists_are_not_broadcast_once_they_are_measured(spark):
         tune(spark)
 
 
+def test_vectors_are_packed_in_as_many_tasks_as_their_bytes_need(spark, monkeypatch):
+    """Adaptive execution saw the ids only: 300 lists of 10 rows were one task, whatever their vectors took."""
+    rows = spark.range(3000).select((F.col("id") % 300).alias("impression_id"), (F.col("id") % 7).alias("item_id"))
+    vectors = spark.range(6).select(F.col("id").alias("item_id"), F.array_repeat(F.col("id").cast("double"), 64).alias("embedding"))
+
+    def tasks_and_rows():
+        lists = blocks.packed_vectors(rows, vectors, ["impression_id"], ["item_id", "vec"], "cands")
+        rdd = lists.rdd
+        return rdd.getNumPartitions(), sorted((r["impression_id"], sorted((c["item_id"], c["vec"][0], len(c["vec"])) for c in r["cands"])) for r in rdd.collect())
+
+    few, want = tasks_and_rows()
+    monkeypatch.setattr(blocks, "PACKED_BYTES", 3000 * 68 * 8 // 20, raising=False)
+    many, got = tasks_and_rows()
+    assert few <= 4 and many >= 20 and got == want
+    assert len(got) == 300 and got[5] == (5, sorted((i % 7, float(i % 7), 64) for i in range(5, 3000, 300) if i % 7 < 6))
+
+
 def test_profiles_are_cut_to_the_lists_before_they_are_written(spark, monkeypatch):
     from lapwing.plans import recommend as M
 
