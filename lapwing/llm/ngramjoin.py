@@ -18,8 +18,9 @@ would visit nearly every leaf, so trees are built over parts that cannot lose a
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from lapwing.llm import arrays as A
 from lapwing.llm.columns import as_before, by_place
@@ -148,8 +149,37 @@ def bitmap(docs: DataFrame, text: str, least: int = REPEATED, bits: int = BITMAP
     return out
 
 
+def id_bits(ids: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
+    """Bitmap of the places of `ids` (one column), see `id_place`, of a fixed number of bits."""
+    place = ids.select(id_place(ids.columns[0], bits).alias("_p"))
+    word = F.expr("shiftleft(1L, cast(_p & 63 as int))")
+    rows = place.groupBy(F.shiftright("_p", 6).alias("place")).agg(F.bit_or(word).alias("word")).toArrow()  # at most bits / 64 rows
+    out = np.zeros(bits >> 6, np.uint64)
+    out[rows.column("place").to_numpy()] = rows.column("word").to_numpy().view(np.uint64)
+    return out
+
+
+def id_place(column: str = "id", bits: int = BITMAP_BITS) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(bits).cast("bigint"))
+
+
+def marked(marks: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """1 where a bit of the bitmap is set, else 0."""
+    return (marks[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)
+
+
+def _held(sent):
+    """Column function: whether a place is set in the bitmap sent."""
+
+    @F.pandas_udf("boolean")
+    def held(place: pd.Series) -> pd.Series:
+        return pd.Series(marked(sent.value, place.to_numpy(np.uint64)) == 1)
+
+    return held
+
+
 def _routes(key: str, text: str, sent):
-    """(shingle, id) for the first 20 % of each set in the global order."""
+    """(id, shingles): the first 20 % of each set in the global order."""
 
     def run(batches):
         marks = sent.value
@@ -159,22 +189,23 @@ def _routes(key: str, text: str, sent):
                 sets, first = shingle_sets(batch.column(text))
                 n = np.diff(first)
                 doc = np.repeat(np.arange(len(n)), n)
-                bit = sets % bits
-                late = (marks[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)
+                late = marked(marks, sets % bits)
                 order = np.lexsort((sets, late, doc))
-                take = n - -(-n * NEAR[0] // NEAR[1]) + 1
+                take = np.minimum(n - -(-n * NEAR[0] // NEAR[1]) + 1, n)
                 place = np.arange(len(doc)) - first[doc]
                 chosen = order[place < take[doc]]
-                ids = batch.column(key).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(sets[chosen].view(np.int64)), pa.array(ids[doc[chosen]])], names=["shingle", "id"])
+                yield pa.RecordBatch.from_arrays([batch.column(key), A.lists(pa.array(sets[chosen].view(np.int64)), take)], names=["id", "shingles"])
 
     return run
 
 
-def _sets(key: str, text: str):
+def _sets(key: str, text: str, sent):
+    """(id, shingles) of the texts whose `place` is set in the bitmap sent."""
+
     def run(batches):
         for whole in batches:
-            for batch in A.pieces(whole, text, PIECE):
+            place = whole.column("place").to_numpy(zero_copy_only=False).view(np.uint64)
+            for batch in A.pieces(whole.filter(pa.array(marked(sent.value, place) == 1)), text, PIECE):
                 sets, first = shingle_sets(batch.column(text))
                 values = [sets[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(values, pa.binary())], names=["id", "shingles"])
@@ -371,9 +402,10 @@ def _labelled(docs: DataFrame, key: str, text: str, page_rows: int):
     heads = every.where("n > 0").groupBy("sig_a", "sig_b", "n").agg(F.min(F.when(F.col("keyed"), F.col("id"))).alias("name"), F.min("id").alias("rep"))
     heads = heads.withColumn("rep", F.coalesce("name", "rep"))
     heads = stage(heads, "representatives")
-    reps = rows.join(heads.select(F.col("rep").alias("id")), "id", "left_semi")
     marks = spark.sparkContext.broadcast(bitmap(rows, "text"))
-    routes = reps.mapInArrow(_routes("id", "text", marks), "shingle bigint, id bigint")
+    # joins take what was made of a text, a few times shorter than the text itself
+    routes = rows.mapInArrow(_routes("id", "text", marks), "id bigint, shingles array<bigint>")
+    routes = routes.join(heads.select(F.col("rep").alias("id")), "id", "left_semi").select(F.explode("shingles").alias("shingle"), "id")
     leader = F.min("id").over(W.partitionBy("shingle"))
     pairs = routes.withColumn("leader", leader).where("leader < id").select("leader", "id").distinct()
     pairs = stage(pairs, "routes")
@@ -382,7 +414,9 @@ def _labelled(docs: DataFrame, key: str, text: str, page_rows: int):
     placed = parts_of(members, page_rows).join(every.select("id", "point").hint("merge"), "id")  # points compress well: their file size would pass for a broadcast
     placed = placed.repartition(*PART).sortWithinPartitions(*PART).select(*PART, "side", "id", "point")
     near = stage(placed.mapInArrow(_clusters, "leader bigint, page int, with_page int, cluster int, side int, id bigint"), "clusters")
-    wanted = rows.join(near.select("id").distinct(), "id", "left_semi").mapInArrow(_sets("id", "text"), "id bigint, shingles binary")
+    # a bitmap of ids spares nearly all other texts; the join below drops what it lets through
+    clustered = spark.sparkContext.broadcast(id_bits(near.select("id")))
+    wanted = rows.withColumn("place", id_place()).mapInArrow(_sets("id", "text", clustered), "id bigint, shingles binary")
     keys = [*PART, "cluster"]
     grouped = near.join(wanted, "id").repartition(*keys).sortWithinPartitions(*keys).select(*keys, "side", "id", "shingles")
     links = grouped.mapInArrow(_links, "a bigint, b bigint")
@@ -416,9 +450,14 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", page_r
     rows, (key, text) = by_place(docs, key, text)
     found, inner = _labelled(rows, key, text, page_rows)
     first = F.when(F.col("keyed"), F.col("id") == F.col("name")).otherwise(F.col("name").isNull() & (F.col("id") == F.col("label")))
-    keep = found.where(first).groupBy(F.col("id").alias("_id")).agg(F.max("keyed").alias("_keyed"), F.max("n").alias("_n"))
-    keep = stage(keep, "kept")
-    kept = rows.withColumn("_id", inner).join(keep.select("_id"), "_id", "left_semi")
+    first = F.coalesce(first, F.lit(False))
+    whole = [F.max(F.when(first, F.col(c))).alias(f"_{c}") for c in ("keyed", "n")]
+    ids = stage(found.groupBy(F.col("id").alias("_id")).agg(F.max(first).alias("_first"), *whole), "kept")
+    keep = ids.where("_first")
+    # rows whose id is not in the bitmap of those that go stay where they are; only the others are joined
+    gone = docs.sparkSession.sparkContext.broadcast(id_bits(ids.where("not _first").select("_id")))
+    rows = rows.withColumn("_id", inner).withColumn("_doubt", _held(gone)(id_place("_id")))
+    kept = rows.where("not _doubt").unionByName(rows.where("_doubt").join(keep.select("_id"), "_id", "left_semi")).drop("_doubt")
     if keep.where("not _keyed").isEmpty():
         return as_before(kept, docs)
     once = keep.where("not _keyed and _n > 0").select("_id")

@@ -71,6 +71,30 @@ def test_families_in_pages(spark):
     assert got(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute(rows)
 
 
+def test_joins_take_no_texts(spark, monkeypatch):
+    """Prefixes are taken before representatives are looked up, and a bitmap of ids stands in for a join of texts."""
+    plans, real = {}, N.stage
+
+    def stage(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(N, "stage", stage)
+    rows = families(9)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
+    assert 0 < plans["routes"].index("LeftSemi") < plans["routes"].index("MapInArrow")
+    assert "MapInArrow" in plans["edges"] and "LeftSemi" not in plans["edges"]
+
+
+def test_rows_that_stay_are_not_joined(spark):
+    rows = families(9)
+    out = N.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.count("LeftSemi") == 1  # one branch of two is joined
+    least = {label for _, _, label in brute(rows)}
+    assert sorted(map(tuple, out.collect())) == [(k, t) for k, t in rows if k in least]
+
+
 def test_odd_and_empty(spark, odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert got(odd.withColumn("label", F.lit("clash"))) == brute(rows)
