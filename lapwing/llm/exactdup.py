@@ -1,7 +1,7 @@
 """Exact duplicates through an extendible-hash index in the shared folder; DataFrame functions only.
 
 A record is (id, key, sha256, bytes), the key 60 bits of the digest of the normalised text. The directory doubles as long
-as a bucket is overfull, that is, has texts of more than a megabyte: rounds of 12 more bits count the cells of buckets that
+as a bucket is overfull, that is, has texts of more than a megabyte: rounds of a few more bits count the cells of buckets that
 still need a split, and each cell takes the smallest depth at which its prefix fits. Rows of one key cannot be split; such
 a bucket overflows into pages. Records are written to the shared folder by bucket and page. Each bucket has one owner task,
 which chains the texts of its keys; each page has one, which looks its records up in the chain. Where a key occurs twice in
@@ -15,10 +15,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lapwing.session import stage
+from lapwing.session import lean, stage
 
 KEY_BITS = 60
-ROUND_BITS = 12
+#: Bits that a cell has in each round. Steps are small where the bytes of a corpus may make all cells overfull, so that there are
+#: a few cells for each bucket, not one for each key; later rounds see the few keys that agree in 20 bits and more.
+ROUNDS = (12, 16, 20, 28, 44, 60)
+#: Entries of a round beyond this join by shuffle.
+BROADCAST_ENTRIES = 100_000
+#: Bits that mark keys which occur twice; a wrong one costs a text in a shuffle. The driver holds no more than bits / 64 rows.
+MARK_BITS = 1 << 23
 CAPACITY = 1 << 20  # bytes of text in a bucket
 PAGE_ROWS = 10_000  # records in a page of an overfull bucket
 
@@ -50,9 +56,8 @@ def directory(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     # a third of all rows is one row here
     done, open_ = [], rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
-    open_, base = stage(open_, "keys"), 0
-    while True:
-        top = min(base + ROUND_BITS, KEY_BITS)
+    open_ = stage(open_, "keys")
+    for base, top in zip((0, *ROUNDS), ROUNDS):
         cells = stage(open_.groupBy(prefix("key", top).alias("cell")).agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("keys")), "cells")
         # rows under the prefix of each depth of this round
         own = cells.select("cell", "n", "bytes", "keys", F.explode(F.sequence(F.lit(base), F.lit(top))).alias("depth"))
@@ -67,7 +72,6 @@ def directory(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         if top == KEY_BITS or overfull.isEmpty():
             break
         open_ = stage(open_.withColumn("cell", prefix("key", top)).join(overfull, "cell", "left_semi").drop("cell"), "keys")
-        base = top
     return reduce(DataFrame.unionByName, done).drop("keys")
 
 
@@ -77,9 +81,13 @@ def located(rows: DataFrame, buckets: DataFrame) -> DataFrame:
     A bucket covers keys from prefix << (60 - depth) on. Each round of the directory is looked up once, and a record is
     found in one of them.
     """
-    tops = sorted(r[0] for r in buckets.select("top").distinct().collect()) or [ROUND_BITS]  # at most 5
-    rounds = [buckets.where(F.col("top") == top).select("cell", "depth", "prefix", "pages") for top in tops]
-    found = reduce(DataFrame.unionByName, [rows.withColumn("cell", prefix("key", top)).join(own, "cell") for top, own in zip(tops, rounds)]).drop("cell")
+    tops = sorted(tuple(r) for r in buckets.groupBy("top").count().collect()) or [(ROUNDS[0], 0)]  # at most one of each round
+
+    def entries(top: int, n: int) -> DataFrame:
+        own = buckets.where(F.col("top") == top).select("cell", "depth", "prefix", "pages")
+        return F.broadcast(own) if n <= BROADCAST_ENTRIES else own
+
+    found = reduce(DataFrame.unionByName, [rows.withColumn("cell", prefix("key", top)).join(entries(top, n), "cell") for top, n in tops]).drop("cell")
     found = found.withColumn("bucket", F.call_function("shiftleft", F.col("prefix"), F.lit(KEY_BITS) - F.col("depth")))
     return found.withColumn("page", F.monotonically_increasing_id() % F.col("pages"))
 
@@ -92,19 +100,30 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: in
     return buckets, stage(placed.repartitionByRange("bucket", "page").sortWithinPartitions("bucket", "page", "key"), "index")
 
 
+def marked(rows: DataFrame, keys: DataFrame, bits: int = MARK_BITS) -> DataFrame:
+    """Rows whose key is among `keys`, and few others: those whose last bits agree with one of them."""
+    place = F.col("key").bitwiseAND(F.lit(bits - 1))
+    word, bit = F.call_function("shiftright", place, F.lit(6)), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))
+    word = F.coalesce(word, F.lit(0).cast("bigint"))  # never null: else a filter on it would digest every text once more
+    words = keys.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    found = rows.withColumn("_word", word).join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
+    return found.drop("_word", "_bits")
+
+
 def chains(index_: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The chains of all buckets: (bucket, pages, key, sha, keep, group_size) of each text whose key occurs twice.
 
-    Only rows whose key occurs twice in its bucket are read again with their text, and whole texts are compared. Copies
-    collapse in the map tasks; what is left is dealt by bucket, and its owner links the texts of a key. Two texts with one
-    digest would make two links of the same (key, sha); that stops the job.
+    Only texts whose key is marked as one that occurs twice are read again, and whole texts are compared. Copies collapse in
+    the map tasks; then the few keys that a wrong bit let pass fall out, the rest is dealt by bucket, and its owner links the
+    texts of a key. Two texts with one digest would make two links of the same (key, sha); that stops the job.
     """
     twice = index_.groupBy("bucket", "key").agg(F.count(F.lit(1)).alias("n"), F.max("pages").alias("pages")).where("n > 1").drop("n")
+    twice = stage(twice, "twice")
     sha = F.sha2(normalised(text), 256)
     rows = docs.select(F.col(key).alias("id"), sha.alias("sha"), normalised(text).alias("whole"))
-    rows = rows.withColumn("key", F.conv(F.substring("sha", 1, KEY_BITS // 4), 16, 10).cast("bigint")).join(twice, "key")
-    same = rows.groupBy("bucket", "pages", "key", "sha", "whole").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    return same.drop("whole").repartition("bucket").groupBy("bucket", "pages", "key", "sha").agg(
+    rows = marked(rows.withColumn("key", F.conv(F.substring("sha", 1, KEY_BITS // 4), 16, 10).cast("bigint")), twice)
+    same = rows.groupBy("key", "sha", "whole").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("group_size")).drop("whole").join(twice, "key")
+    return same.repartition("bucket").groupBy("bucket", "pages", "key", "sha").agg(
         F.max("keep").alias("keep"),
         F.max("group_size").alias("group_size"),
         F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("two texts with one digest"))).alias("clash"),
@@ -120,6 +139,7 @@ def resolve(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity:
     with that id, all are marked kept. A null id stays only in a group without other ids. An empty table stays empty;
     other columns are not read.
     """
+    lean(docs.sparkSession)
     _, placed = index(docs, key, text, capacity)
     chain = stage(chains(placed, docs, key, text), "chains")
     chain = chain.withColumn("page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1))).drop("pages", "clash")

@@ -77,6 +77,23 @@ def test_chains_by_bucket_and_page(spark, documents, monkeypatch):
     assert few == many and sum(r[2] == 100 and r[1] == 10_099 for r in few.elements()) == 100
 
 
+def test_directory_has_few_entries_for_each_bucket(spark):
+    """Where all cells of the first round are overfull, entries follow the buckets, not the keys."""
+    digest = F.conv(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 15), 16, 10).cast("bigint")
+    rows = spark.range(600_000).select("id", digest.alias("key"), F.lit(100).cast("bigint").alias("bytes"))
+    buckets = exactdup.directory(rows, capacity=10_000).cache()
+    assert buckets.agg(F.min("top")).first()[0] == 16
+    assert buckets.count() < 100_000 and 6_000 < buckets.select("depth", "prefix").distinct().count() < 30_000
+    assert exactdup.located(rows, buckets).count() == 600_000
+
+
+def test_marked_keys(spark):
+    rows = spark.range(5000).withColumn("key", F.col("id") * 7 + (1 << 59))
+    keys = rows.where("id % 50 = 0").select("key")
+    found = exactdup.marked(rows, keys, 1 << 12)
+    assert found.columns == rows.columns and found.join(keys, "key").count() == 100 and found.count() < 1000
+
+
 @pytest.mark.parametrize("name", ["op7_source_mixing", "op10_exact_dedup"])
 def test_equals_sql(spark, sf_dir, name):
     fn, sql = catalog.CATALOG[name]
