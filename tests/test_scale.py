@@ -202,3 +202,72 @@ def test_profiles_are_cut_to_the_lists_before_they_are_written(spark, monkeypatc
     with pytest.raises(Written) as found:
         M.recommend(lists, history, M.Model(vectors, vectors, None, None, None), 5)
     assert found.value.args[0] == [7, 9]
+
+
+def lists_and_catalogue(spark):
+    """Vectors (one item twice), candidates, history and queries with odd rows: unknown items, no history, no query, null ids."""
+    rng = np.random.default_rng(5)
+    unit = lambda: [float(np.float32(x)) for x in rng.normal(size=4)]
+    vectors = spark.createDataFrame([*[(i, unit()) for i in [*range(30), 7]], (None, unit())], "item_id bigint, embedding array<double>")
+    cands = [(u, i) for u in [*range(6), None] for i in [*range(u or 0, 36, 2), None]] + [(1, 3), (1, 3)]
+    seen = [(u, p, int(rng.integers(0, 36))) for u in (0, 1, 2, 5) for p in range(9)] + [(3, 0, 99), (None, 0, 2), (1, 9, None)]
+    queries = [(u, unit()) for u in (0, 1, 3, 4, 5)]
+    return (
+        vectors,
+        spark.createDataFrame(cands, "impression_id bigint, item_id bigint"),
+        spark.createDataFrame(seen, "impression_id bigint, pos bigint, item_id bigint"),
+        spark.createDataFrame(queries, "impression_id bigint, query array<double>"),
+    )
+
+
+def test_content_scores_send_no_vector_for_an_entry(spark, monkeypatch):
+    """Lists come to the catalogue as ids, in batches of any size; a catalogue too large for a task gives the same scores."""
+    from lapwing.operators import score as S
+
+    vectors, cands, seen, queries = lists_and_catalogue(spark)
+    found = lambda bounded: S.content_scores(cands, queries, seen, vectors, bounded)
+    rows = lambda df: sorted((*r[:2], round(r[2], 9)) for r in df.collect())
+    flat = found(True)
+    plan = flat._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Join" not in plan
+    want = rows(flat)
+    assert {r[0] for r in want} == {0, 1, 3, 4, 5} and len(want) > 60
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert rows(found(True)) == rows(found(False)) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(blocks, "LEAST_ROWS", 10)
+    assert rows(found(True)) == want
+    monkeypatch.setattr(blocks.catalogue, "__defaults__", (0,))
+    assert "collect_list" in found(True)._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(found(True)) == rows(found(False)) == want
+
+
+def test_greedy_methods_send_no_vector_for_a_candidate(spark, monkeypatch):
+    from lapwing.operators import rerank as H
+
+    vectors, cands, seen, _ = lists_and_catalogue(spark)
+    items = spark.range(33).select(
+        F.col("id").alias("item_id"),
+        F.when(F.col("id") % 5 > 0, F.concat(F.lit("c"), F.col("id") % 5)).alias("category"),
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id") % 3)).alias("subcategory"),
+    )
+    popularity = spark.range(20).select(F.col("id").alias("item_id"), (F.col("id") / 40).alias("popularity"))
+    ctx = H.Context(items, vectors, popularity, seen)
+    pool = cands.where("impression_id is not null and item_id is not null").distinct().withColumn("score", F.round(F.rand(3), 3))
+    pool = spark.createDataFrame(pool.collect(), "impression_id bigint, item_id bigint, score double")
+
+    def picks(method, k):
+        df = H.METHODS[method](pool, ctx, k)
+        return df._jdf.queryExecution().optimizedPlan().toString(), sorted(tuple(r) for r in df.collect())
+
+    ways = [("mmr", 5), ("serendipity", 5), ("composite", None)]
+    want = {}
+    for way in ways:
+        plan, want[way] = picks(*way)
+        assert "collect_list" not in plan and {r[0] for r in want[way]} == set(range(6))
+    monkeypatch.setattr(blocks.catalogue, "__defaults__", (0,))
+    for way in ways:
+        plan, rows = picks(*way)
+        assert "collect_list" in plan and rows == want[way]
