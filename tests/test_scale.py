@@ -271,3 +271,33 @@ def test_greedy_methods_send_no_vector_for_a_candidate(spark, monkeypatch):
     for way in ways:
         plan, rows = picks(*way)
         assert "collect_list" in plan and rows == want[way]
+
+
+def test_buckets_are_not_joined_row_by_row(spark, monkeypatch):
+    """The rows of Spark's LSH join, without its pairs: repeated rows, an item with two vectors, null ids, small shares."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    from lapwing.functions.ranking import by_score, top_k
+    from lapwing.operators import retrieve as R
+
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(300, 6))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    rows += [rows[3], rows[4], (5, rows[6][1]), (None, rows[7][1])]
+    items = spark.createDataFrame(rows, "item_id bigint, embedding array<double>")
+    queries = items.select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vec"))
+    same = spark.createDataFrame([(i, i) for i in range(300)], "query_id bigint, item_id bigint")
+    left, right = (df.withColumn("v", array_to_vector(c)) for df, c in ((queries, "vec"), (items, "embedding")))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=3, seed=7).fit(right)
+    pairs = model.approxSimilarityJoin(left.select("query_id", "v"), right.select("item_id", "v"), 0.7, "dist")
+    scores = pairs.select("datasetA.query_id", "datasetB.item_id", (1 - F.col("dist") * F.col("dist") / 2).alias("score"))
+    scores = scores.join(same, ["query_id", "item_id"], "left_anti").where("query_id is not null")
+    plain = lambda df: sorted((r["query_id"], r["rank"], -1 if r["item_id"] is None else r["item_id"], round(r["score"], 8)) for r in df.collect())
+    want = plain(top_k(scores, ["query_id"], by_score(), 4))
+    found = lambda: R.in_buckets(model.transform(left).drop("v"), model.transform(right).drop("v"), 4, 0.7, same)
+    assert plain(found()) == want and len(want) > 800
+    monkeypatch.setattr(blocks, "CELL_ITEMS", 1)
+    monkeypatch.setattr(blocks, "LEAST_QUERIES", 100)
+    assert plain(found()) == want
